@@ -196,3 +196,62 @@ def require_file(path: str) -> str:
     if not os.path.isfile(path):
         raise FileNotFoundError(path)
     return path
+
+
+# ---- joins that stay even where a key is hot ----------------------------------
+
+HOT_KEYS = 5_000
+
+
+def hot_threshold(rows: int) -> int:
+    """Keys with at least so many of ``rows`` rows number HOT_KEYS at most."""
+    return max(64, math.ceil(rows / HOT_KEYS))
+
+
+def even_join(rows: DataFrame, table: DataFrame, key: str, how: str, n_rows: int) -> DataFrame:
+    """Join ``rows`` with ``table``, which has one narrow row for a key; ``how``: inner, left_semi or left_anti.
+
+    Keys with very many rows are joined by broadcasting their (at most
+    HOT_KEYS) table rows, all others by a shuffle.
+    """
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_threshold(n_rows)).select(key)
+    cold_rows = rows.join(F.broadcast(hot), key, "left_anti")
+    hot_rows = rows.join(F.broadcast(hot), key, "left_semi")
+    hot_table = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    return cold_rows.join(table, key, how).unionByName(hot_rows.join(hot_table, key, how))
+
+
+# ---- bounded Bloom filters for Python stages -----------------------------------
+
+FILTER_BITS = 1 << 27
+BUCKET_BITS = 32768
+
+
+def bit_filter(values: DataFrame, column: str, count: int, max_bits: int = FILTER_BITS) -> np.ndarray:
+    """A bit array with bit ``v mod bits`` set for each value: at most max_bits / 8 bytes (16 MiB) reach the driver.
+
+    Full filters let more values through; what is let through is always checked again.
+    """
+    bits = max(BUCKET_BITS, min(max_bits, next_power_of_two(16 * count)))
+    place = F.pmod(F.col(column), F.lit(bits))
+    rows = values.select(place.alias("place")).groupBy(F.expr(f"place div {BUCKET_BITS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(place % {BUCKET_BITS})").alias("bitmap")).collect()
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        out[r["bucket"] * BUCKET_BITS // 8 : (r["bucket"] + 1) * BUCKET_BITS // 8] = np.frombuffer(r["bitmap"], dtype=np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Mask of the (u)int64 ``values`` that the filter lets through."""
+    place = values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def flag_known(rows: DataFrame, column: str, values: DataFrame, value: str, count: int, max_bits: int = FILTER_BITS) -> DataFrame:
+    """``rows`` with ``maybe``: false proves that the long ``column`` is none of ``values``; a bounded bitmap is broadcast."""
+    bits = max(BUCKET_BITS, min(max_bits, next_power_of_two(16 * count)))
+    place = F.pmod(F.col(value), F.lit(bits))
+    maps = values.select(place.alias("place")).groupBy(F.expr(f"place div {BUCKET_BITS}").alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(place % {BUCKET_BITS})").alias("_bitmap"))
+    out = rows.withColumn("_place", F.pmod(F.col(column), F.lit(bits))).join(F.broadcast(maps), F.expr(f"_place div {BUCKET_BITS} = _bucket"), "left")
+    byte = f"cast(conv(hex(substring(_bitmap, cast((_place % {BUCKET_BITS}) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return out.withColumn("maybe", F.coalesce(F.expr(f"({byte} & shiftleft(1, cast(_place % 8 as int))) <> 0"), F.lit(False))).drop("_place", "_bucket", "_bitmap")
