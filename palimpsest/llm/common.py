@@ -54,11 +54,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out

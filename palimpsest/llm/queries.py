@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import exact_dedup, near_dedup, packing, piece_codec, quality_qda, repetition, substring_dedup, token_counts
+from palimpsest.llm import exact_dedup, license_scan, lm_backoff, near_dedup, packing, piece_codec, quality_qda, repetition, substring_dedup, token_counts
 from palimpsest.llm.common import documents, materialize
 
 
@@ -27,10 +27,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_qda.scores(statistics, model)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_backoff.backoff_scores(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -48,7 +56,9 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_token_counts": op6_token_counts,
+    "op7_license_scan": op7_license_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
