@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 
-def jaro(a: str, b: str) -> float:
+def jaro(a: str, b: str, whole: bool = False) -> float:
+    """Jaro similarity; ``whole``: an odd transposition is dropped instead of counted by half."""
     if a == b:
         return 1.0 if a else 0.0
     if not a or not b:
@@ -28,6 +29,7 @@ def jaro(a: str, b: str) -> float:
         return 0.0
     right = [c for c, t in zip(b, taken, strict=True) if t]
     swapped = sum(x != y for x, y in zip(left, right, strict=True)) / 2
+    swapped = int(swapped) if whole else swapped
     return (m / len(a) + m / len(b) + (m - swapped) / m) / 3
 
 
@@ -76,7 +78,7 @@ def _strings(function):
 
 
 def udfs() -> dict:
-    return {"jaro": _pairs(jaro), "jaro_winkler": _pairs(jaro_winkler), "string_similarity": _pairs(fallback), "normalize_unicode": _strings(folded), "normalise_surface": _strings(bare)}
+    return {"jaro": _pairs(jaro), "jaro_whole": _pairs(lambda a, b: jaro(a, b, whole=True)), "jaro_winkler": _pairs(jaro_winkler), "string_similarity": _pairs(fallback), "normalize_unicode": _strings(folded), "normalise_surface": _strings(bare)}
 
 
 def register(spark) -> None:

@@ -46,8 +46,8 @@ per_pair("T11_ocr_aware_similarity", F.round(F.when(T.confusion_folded(a) == T.c
 per_pair("T15_T18_normalized_edit_distance", F.round(T.normalized_edit_distance(a, b), 6), f"round({Q.edit_distance('a', 'b')}, 6)", "distance")
 per_pair("T16_levenshtein_similarity", F.round(1 - T.normalized_edit_distance(a, b), 6), f"round(1 - {Q.edit_distance('a', 'b')}, 6)")
 per_pair("T19_T20_levenshtein", F.levenshtein(a, b), "levenshtein(a, b)::INT", "distance")
-per_pair("T21_jaro", None, "round(jaro_similarity(a, b), 6)", lazy=lambda: F.round(similarity.udfs()["jaro"](a, b), 6))
-per_pair("T22_jaro_winkler", None, "round(jaro_similarity(a, b) + (CASE WHEN substr(a, 1, 1) <> substr(b, 1, 1) THEN 0 WHEN substr(a, 1, 2) <> substr(b, 1, 2) OR least(length(a), length(b)) < 2 THEN 1 WHEN substr(a, 1, 3) <> substr(b, 1, 3) OR least(length(a), length(b)) < 3 THEN 2 WHEN substr(a, 1, 4) <> substr(b, 1, 4) OR least(length(a), length(b)) < 4 THEN 3 ELSE 4 END) * 0.1e0 * (1 - jaro_similarity(a, b)), 6)", lazy=lambda: F.round(similarity.udfs()["jaro_winkler"](a, b), 6))
+per_pair("T24_jaro_whole_transpositions", None, "round(jaro_similarity(a, b), 6)", lazy=lambda: F.round(similarity.udfs()["jaro_whole"](a, b), 6))
+register("T21_T22_jaro_winkler", lambda s, d: pairs(s, d).select("a", "b", F.round(similarity.udfs()["jaro"](a, b), 6).alias("jaro"), F.round(similarity.udfs()["jaro_winkler"](a, b), 6).alias("winkler")))
 register("T23_T24_string_similarity", lambda s, d: pairs(s, d).select("a", "b", F.round(similarity.udfs()["string_similarity"](a, b), 6).alias("similarity")))
 register("T1_normalize_unicode", lambda s, d: documents(s, d).select("doc_id", F.sha2(similarity.udfs()["normalize_unicode"]("text"), 256).alias("sha")), f"WITH {DOCS} SELECT doc_id, sha256(regexp_replace({Q.strip('nfc_normalize(text)')}, '{Q.WS}+', ' ', 'g')) AS sha FROM docs")
 register("T3_T4_normalise_surface", lambda s, d: distinct_tokens(s, d).select("token", similarity.udfs()["normalise_surface"]("token").alias("bare")), rf"WITH {TOKENS} SELECT token, {Q.strip('regexp_replace(regexp_replace(strip_accents(lower(token)), ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_ ]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + ' +' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS bare FROM tok")
