@@ -167,7 +167,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     discard(pending)
     seeds = rows.mapInArrow(_windows(window, anchor, mixed, open_chunks), WINDOW_SCHEMA)
     seen = materialize(seeds.groupBy("seed", "seed2").agg(F.count("*").alias("n"), F.bool_or("own").alias("own")).where("n >= 2 AND own").select(F.struct("seed", "seed2").alias("key"), "n"), "seeds")
-    asked = seeds.where("own").withColumn("key", F.struct("seed", "seed2"))
+    asked = materialize(seeds.where("own").select("doc_id", "text_key", "start", F.struct("seed", "seed2").alias("key")), "asked")
     n_seen = seen.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).collect()[0]["n"]
     hits = even_join(asked, seen.select("key"), "key", "left_semi", n_seen).select("doc_id", "text_key", "start", F.lit(1).cast("long").alias("windows"))
     return whole.unionByName(hits)
