@@ -19,7 +19,8 @@ def boxes(s, d):
     return read(s, d, "lineitem").select(
         F.col("l_orderkey").alias("page_id"), ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("box_id"),
         x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.col("l_quantity") * 4).cast("int").alias("x2"), (y1 + 10 + F.col("l_quantity") * 2).cast("int").alias("y2"), name.alias("name"),
-    ).dropDuplicates(["page_id", "box_id"])
+        F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("l_quantity")).alias("k"),
+    ).where("k = 1").drop("k")
 
 
 B_SQL = (
@@ -63,18 +64,22 @@ register("J13_P38_unified", lambda s, d: G.unified(boxes(s, d), ["MainZone", "Ma
 register("W10_W11_merged_boxes", lambda s, d: G.merged_boxes(boxes(s, d)))
 register("W9_reading_order", lambda s, d: G.reading_order(boxes(s, d), 500), f"WITH {B_SQL}, m AS (SELECT *, (x1 + x2)::DOUBLE / 2 AS m FROM boxes), g AS (SELECT *, m - lag(m) OVER (PARTITION BY page_id ORDER BY m, box_id) AS gap FROM m), f AS (SELECT *, first_value(gap) OVER w AS bg, first_value(m) OVER w AS bm FROM g WINDOW w AS (PARTITION BY page_id ORDER BY gap DESC NULLS LAST, m DESC)), c AS (SELECT *, CASE WHEN bg > 40 AND m >= bm THEN 1 ELSE 0 END AS \"column\" FROM f) SELECT page_id, box_id, \"column\", row_number() OVER (PARTITION BY page_id ORDER BY \"column\", y1, x1, box_id) AS place FROM c")
 register("N14_N16_coco_records", lambda s, d: boxes(s, d).select("page_id", "box_id", "name", "x1", "y1", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area")), f"WITH {B_SQL} SELECT page_id, box_id, name, x1, y1, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area FROM boxes")
-corners = F.array(F.array("x1", "y1"), F.array("x1", "y2"), F.array("x2", "y2"), F.array("x2", F.col("y1") + 3))
+
+
+def corners():
+    return F.array(F.array("x1", "y1"), F.array("x1", "y2"), F.array("x2", "y2"), F.array("x2", F.col("y1") + 3))
+
 
 
 def shoelace(s, d):
     n = F.size("p")
     twice = F.aggregate(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("p")[i][0] * F.col("p")[(i + 1) % n][1] - F.col("p")[(i + 1) % n][0] * F.col("p")[i][1]), F.lit(0), lambda a, x: a + x)
-    return boxes(s, d).withColumn("p", corners).select("page_id", "box_id", (F.abs(twice) / 2).alias("area"))
+    return boxes(s, d).withColumn("p", corners()).select("page_id", "box_id", (F.abs(twice) / 2).alias("area"))
 
 
 register("N15_polygon_area", shoelace, f"WITH {B_SQL} SELECT page_id, box_id, abs(x1 * y2 - x1 * y1 + x1 * y2 - x2 * y2 + x2 * (y1 + 3) - x2 * y2 + x2 * y1 - x1 * (y1 + 3))::DOUBLE / 2 AS area FROM boxes")
-register("N17_N22_polygon_bbox", lambda s, d: boxes(s, d).withColumn("p", corners).select("page_id", "box_id", F.array_min(F.transform("p", lambda q: q[0])).alias("left_x"), F.array_min(F.transform("p", lambda q: q[1])).alias("top_y"), F.array_max(F.transform("p", lambda q: q[0])).alias("right_x"), F.array_max(F.transform("p", lambda q: q[1])).alias("bottom_y")), f"WITH {B_SQL} SELECT page_id, box_id, x1 AS left_x, y1 AS top_y, x2 AS right_x, greatest(y2, y1 + 3) AS bottom_y FROM boxes")
-register("N11_N21_flat_polygons", lambda s, d: boxes(s, d).select("page_id", "box_id", F.array_join(F.flatten(corners), ",").alias("flat")), f"WITH {B_SQL} SELECT page_id, box_id, concat_ws(',', x1, y1, x1, y2, x2, y2, x2, y1 + 3) AS flat FROM boxes")
+register("N17_N22_polygon_bbox", lambda s, d: boxes(s, d).withColumn("p", corners()).select("page_id", "box_id", F.array_min(F.transform("p", lambda q: q[0])).alias("left_x"), F.array_min(F.transform("p", lambda q: q[1])).alias("top_y"), F.array_max(F.transform("p", lambda q: q[0])).alias("right_x"), F.array_max(F.transform("p", lambda q: q[1])).alias("bottom_y")), f"WITH {B_SQL} SELECT page_id, box_id, x1 AS left_x, y1 AS top_y, x2 AS right_x, greatest(y2, y1 + 3) AS bottom_y FROM boxes")
+register("N11_N21_flat_polygons", lambda s, d: boxes(s, d).select("page_id", "box_id", F.array_join(F.flatten(corners()), ",").alias("flat")), f"WITH {B_SQL} SELECT page_id, box_id, concat_ws(',', x1, y1, x1, y2, x2, y2, x2, y1 + 3) AS flat FROM boxes")
 register("W22_W23_bands", lambda s, d: pages(s, d).select("page_id", F.least(F.greatest(F.round(F.col("height") / 260).cast("int"), F.lit(5)), F.lit(8)).alias("bands"), F.when(F.col("width") >= 1100, 2).otherwise(1).alias("cols")), f"WITH {P_SQL} SELECT page_id, least(greatest(round(height::DOUBLE / 260)::INT, 5), 8) AS bands, CASE WHEN width >= 1100 THEN 2 ELSE 1 END AS cols FROM pages")
 register("W25_W26_region_keys", lambda s, d: boxes(s, d).select("page_id", "box_id", ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).alias("area"), F.row_number().over(Window.partitionBy("page_id").orderBy("y1", "x1", "x2", "y2", "box_id")).alias("place")), f"WITH {B_SQL} SELECT page_id, box_id, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, x2, y2, box_id) AS place FROM boxes")
 
@@ -88,9 +93,14 @@ def chosen_regions(s, d):
 
 
 register("P26_chosen_regions", chosen_regions, f"WITH {B_SQL} SELECT page_id, name, box_id FROM boxes QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY CASE WHEN name = 'Page Number' THEN -y2 WHEN name IN ('DropCapitalZone', 'Embellished') THEN y1 ELSE -(x2 - x1) * (y2 - y1) END, CASE WHEN name IN ('DropCapitalZone', 'Embellished') THEN (x2 - x1) * (y2 - y1) ELSE 0 END, box_id) = 1")
-line_like = F.col("name").isin("DefaultLine", "Main script black")
-dx = F.when(line_like, F.floor((F.col("x2") - F.col("x1")) * 0.03)).otherwise(F.floor((F.col("x2") - F.col("x1")) * 0.05))
-register("M18_expand_bbox", lambda s, d: boxes(s, d).select("page_id", "box_id", F.greatest(F.lit(0), F.col("x1") - dx).alias("x1"), F.least(F.lit(500), F.col("x2") + dx).alias("x2")), f"WITH {B_SQL} SELECT page_id, box_id, greatest(0, x1 - dx) AS x1, least(500, x2 + dx) AS x2 FROM (SELECT *, floor((x2 - x1) * CASE WHEN name IN ('DefaultLine', 'Main script black') THEN 0.03e0 ELSE 0.05e0 END)::BIGINT AS dx FROM boxes)")
+
+
+def padding():
+    share = F.when(F.col("name").isin("DefaultLine", "Main script black"), 0.03).otherwise(0.05)
+    return F.floor((F.col("x2") - F.col("x1")) * share)
+
+
+register("M18_expand_bbox", lambda s, d: boxes(s, d).select("page_id", "box_id", F.greatest(F.lit(0), F.col("x1") - padding()).alias("x1"), F.least(F.lit(500), F.col("x2") + padding()).alias("x2")), f"WITH {B_SQL} SELECT page_id, box_id, greatest(0, x1 - dx) AS x1, least(500, x2 + dx) AS x2 FROM (SELECT *, floor((x2 - x1) * CASE WHEN name IN ('DefaultLine', 'Main script black') THEN 0.03e0 ELSE 0.05e0 END)::BIGINT AS dx FROM boxes)")
 register("M7_clipped_rects", lambda s, d: boxes(s, d).select("page_id", "box_id", F.greatest("x1", F.lit(30)).alias("x1"), F.least("x2", F.lit(280)).alias("x2"), "y1", "y2").where("x2 - x1 >= 8"), f"WITH {B_SQL} SELECT * FROM (SELECT page_id, box_id, greatest(x1, 30) AS x1, least(x2, 280) AS x2, y1, y2 FROM boxes) WHERE x2 - x1 >= 8")
 register("J15_location_suggestions", lambda s, d: boxes(s, d).where((F.col("x2") - F.col("x1") >= 8) & ~F.col("name").isin("GraphicZone", "Diagram")).withColumn("k", F.row_number().over(Window.partitionBy("page_id").orderBy("y1", "x1", "box_id"))).where("k <= 80").select("page_id", "k", "name", "box_id"), f"WITH {B_SQL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, box_id) AS k, name, box_id FROM boxes WHERE x2 - x1 >= 8 AND name NOT IN ('GraphicZone', 'Diagram') QUALIFY k <= 80")
 

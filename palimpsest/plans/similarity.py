@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,19 +38,18 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 PAIRS = f"{DOCS}, l AS (SELECT {Q.tokens(q_plain('text'))} AS w FROM docs), pairs AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM l))"
 
 
-def per_pair(name: str, column: Column, expression: str, out: str = "similarity", lazy=None) -> None:
-    register(name, lambda spark, d: pairs(spark, d).select("a", "b", (lazy() if lazy else column).alias(out)), f"WITH {PAIRS} SELECT a, b, {expression} AS {out} FROM pairs")
+def per_pair(name: str, column: Callable[[Column, Column], Column], expression: str, out: str = "similarity") -> None:
+    register(name, lambda spark, d: pairs(spark, d).select("a", "b", column(F.col("a"), F.col("b")).alias(out)), f"WITH {PAIRS} SELECT a, b, {expression} AS {out} FROM pairs")
 
 
-a, b = F.col("a"), F.col("b")
-per_pair("T14_bigram_overlap", F.round(T.bigram_overlap(a, b), 6), f"round({Q.dice(Q.bigrams('lower(a)'), Q.bigrams('lower(b)'))}, 6)")
-per_pair("T11_ocr_aware_similarity", F.round(F.when(T.confusion_folded(a) == T.confusion_folded(b), 1.0).otherwise(T.set_dice(T.character_bigrams(T.confusion_folded(a)), T.character_bigrams(T.confusion_folded(b)))), 6), f"round(CASE WHEN {Q.folded('a')} = {Q.folded('b')} THEN 1e0 ELSE {Q.dice(Q.bigrams(Q.folded('a')), Q.bigrams(Q.folded('b')))} END, 6)")
-per_pair("T15_T18_normalized_edit_distance", F.round(T.normalized_edit_distance(a, b), 6), f"round({Q.edit_distance('a', 'b')}, 6)", "distance")
-per_pair("T16_levenshtein_similarity", F.round(1 - T.normalized_edit_distance(a, b), 6), f"round(1 - {Q.edit_distance('a', 'b')}, 6)")
-per_pair("T19_T20_levenshtein", F.levenshtein(a, b), "levenshtein(a, b)::INT", "distance")
-per_pair("T24_jaro_whole_transpositions", None, "round(jaro_similarity(a, b), 6)", lazy=lambda: F.round(similarity.udfs()["jaro_whole"](a, b), 6))
-register("T21_T22_jaro_winkler", lambda s, d: pairs(s, d).select("a", "b", F.round(similarity.udfs()["jaro"](a, b), 6).alias("jaro"), F.round(similarity.udfs()["jaro_winkler"](a, b), 6).alias("winkler")))
-register("T23_T24_string_similarity", lambda s, d: pairs(s, d).select("a", "b", F.round(similarity.udfs()["string_similarity"](a, b), 6).alias("similarity")))
+per_pair("T14_bigram_overlap", lambda a, b: F.round(T.bigram_overlap(a, b), 6), f"round({Q.dice(Q.bigrams('lower(a)'), Q.bigrams('lower(b)'))}, 6)")
+per_pair("T11_ocr_aware_similarity", lambda a, b: F.round(F.when(T.confusion_folded(a) == T.confusion_folded(b), 1.0).otherwise(T.set_dice(T.character_bigrams(T.confusion_folded(a)), T.character_bigrams(T.confusion_folded(b)))), 6), f"round(CASE WHEN {Q.folded('a')} = {Q.folded('b')} THEN 1e0 ELSE {Q.dice(Q.bigrams(Q.folded('a')), Q.bigrams(Q.folded('b')))} END, 6)")
+per_pair("T15_T18_normalized_edit_distance", lambda a, b: F.round(T.normalized_edit_distance(a, b), 6), f"round({Q.edit_distance('a', 'b')}, 6)", "distance")
+per_pair("T16_levenshtein_similarity", lambda a, b: F.round(1 - T.normalized_edit_distance(a, b), 6), f"round(1 - {Q.edit_distance('a', 'b')}, 6)")
+per_pair("T19_T20_levenshtein", lambda a, b: F.levenshtein(a, b), "levenshtein(a, b)::INT", "distance")
+per_pair("T24_jaro_whole_transpositions", lambda a, b: F.round(similarity.udfs()["jaro_whole"](a, b), 6), "round(jaro_similarity(a, b), 6)")
+register("T21_T22_jaro_winkler", lambda s, d: pairs(s, d).select("a", "b", F.round(similarity.udfs()["jaro"]("a", "b"), 6).alias("jaro"), F.round(similarity.udfs()["jaro_winkler"]("a", "b"), 6).alias("winkler")))
+register("T23_T24_string_similarity", lambda s, d: pairs(s, d).select("a", "b", F.round(similarity.udfs()["string_similarity"]("a", "b"), 6).alias("similarity")))
 register("T1_normalize_unicode", lambda s, d: documents(s, d).select("doc_id", F.sha2(similarity.udfs()["normalize_unicode"]("text"), 256).alias("sha")), f"WITH {DOCS} SELECT doc_id, sha256(regexp_replace({Q.strip('nfc_normalize(text)')}, '{Q.WS}+', ' ', 'g')) AS sha FROM docs")
 register("T3_T4_normalise_surface", lambda s, d: distinct_tokens(s, d).select("token", similarity.udfs()["normalise_surface"]("token").alias("bare")), rf"WITH {TOKENS} SELECT token, {Q.strip('regexp_replace(regexp_replace(strip_accents(lower(token)), ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_ ]' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + ' +' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS bare FROM tok")
 
@@ -61,8 +62,8 @@ def halves(s, d):
 
 
 HALVES = f"{DOCS}, l AS (SELECT doc_id, {Q.tokens('lower(text)')} AS w FROM docs), halves AS (SELECT doc_id, w[1:len(w) // 2] AS a, w[len(w) // 2 + 1:len(w) // 2 * 2] AS b FROM l WHERE len(w) >= 2)"
-register("X1_token_stability", lambda s, d: halves(s, d).select("doc_id", F.round(T.jaccard(a, b), 6).alias("stability")), f"WITH {HALVES} SELECT doc_id, round({Q.jaccard('a', 'b')}, 6) AS stability FROM halves")
-register("T25_context_similarity", lambda s, d: halves(s, d).select("doc_id", F.round(F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(T.jaccard(a, b)), 6).alias("similarity")), f"WITH {HALVES} SELECT doc_id, round({Q.jaccard('a', 'b')}, 6) AS similarity FROM halves")
+register("X1_token_stability", lambda s, d: halves(s, d).select("doc_id", F.round(T.jaccard(F.col("a"), F.col("b")), 6).alias("stability")), f"WITH {HALVES} SELECT doc_id, round({Q.jaccard('a', 'b')}, 6) AS stability FROM halves")
+register("T25_context_similarity", lambda s, d: halves(s, d).select("doc_id", F.round(F.when((F.size("a") == 0) | (F.size("b") == 0), 0.0).otherwise(T.jaccard(F.col("a"), F.col("b"))), 6).alias("similarity")), f"WITH {HALVES} SELECT doc_id, round({Q.jaccard('a', 'b')}, 6) AS similarity FROM halves")
 
 
 def first_lines(s, d):
@@ -72,12 +73,12 @@ def first_lines(s, d):
 
 
 LINE_SQL = f"{DOCS}, l AS (SELECT doc_id, list_transform({Q.lines('text')}, lambda s: {q_plain('lower(regexp_replace(' + Q.strip('s') + ', ' + chr(39) + Q.WS + '+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))')}) AS r FROM docs), two AS (SELECT doc_id, substr(r[1], 1, 300) AS a, substr(r[2], 1, 300) AS b FROM l WHERE len(r) >= 2)"
-register("T17_cross_pass_stability", lambda s, d: first_lines(s, d).select("doc_id", F.when(a == b, 1.0).otherwise(F.round((1 - T.normalized_edit_distance(a, b) + T.jaccard(T.tokens("a"), T.tokens("b"))) / 2, 4)).alias("stability")), f"WITH {LINE_SQL} SELECT doc_id, CASE WHEN a = b THEN 1e0 ELSE round((1 - {Q.edit_distance('a', 'b')} + {Q.jaccard(Q.tokens('a'), Q.tokens('b'))}) / 2, 4) END AS stability FROM two")
+register("T17_cross_pass_stability", lambda s, d: first_lines(s, d).select("doc_id", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round((1 - T.normalized_edit_distance(F.col("a"), F.col("b")) + T.jaccard(T.tokens("a"), T.tokens("b"))) / 2, 4)).alias("stability")), f"WITH {LINE_SQL} SELECT doc_id, CASE WHEN a = b THEN 1e0 ELSE round((1 - {Q.edit_distance('a', 'b')} + {Q.jaccard(Q.tokens('a'), Q.tokens('b'))}) / 2, 4) END AS stability FROM two")
 
 
 def proofread_verdict(s, d):
     """Accept or reject by edit ratio, retained letters and token churn, in that order."""
-    ratio = T.normalized_edit_distance(a, b)
+    ratio = T.normalized_edit_distance(F.col("a"), F.col("b"))
     ta, tb = F.array_distinct(T.tokens("a")), F.array_distinct(T.tokens("b"))
     churn = F.size(F.array_except(tb, ta)) / F.greatest(F.size(tb), F.lit(1))
     kept = F.length("b") / F.greatest(F.length("a"), F.lit(1))
@@ -86,7 +87,7 @@ def proofread_verdict(s, d):
 
 
 register("P8_P9_proofread_guard", proofread_verdict, f"WITH {LINE_SQL} SELECT doc_id, CASE WHEN {Q.edit_distance('a', 'b')} > 0.4e0 THEN 'char_edit_ratio' WHEN length(b)::DOUBLE / greatest(length(a), 1) < 0.5e0 THEN 'retention' WHEN len(list_filter(list_distinct({Q.tokens('b')}), lambda t: NOT list_contains({Q.tokens('a')}, t)))::DOUBLE / greatest(len(list_distinct({Q.tokens('b')})), 1) > 0.5e0 THEN 'token_churn' ELSE 'accepted' END AS verdict FROM two")
-register("A17_agreement", lambda s, d: first_lines(s, d).select("doc_id", F.round(T.jaccard(F.array_distinct(T.trigrams(a)), F.array_distinct(T.trigrams(b))), 6).alias("agreement")), None)
+register("A17_agreement", lambda s, d: first_lines(s, d).select("doc_id", F.round(T.jaccard(F.array_distinct(T.trigrams(F.col("a"))), F.array_distinct(T.trigrams(F.col("b")))), 6).alias("agreement")), None)
 register("T34_line_mismatch", lambda s, d: documents(s, d).select("doc_id", F.round(F.abs(F.size(T.lines("text")) - 20) / F.greatest(F.size(T.lines("text")), F.lit(20)), 6).alias("mismatch")), f"WITH {DOCS} SELECT doc_id, round(abs(len({Q.lines('text')}) - 20)::DOUBLE / greatest(len({Q.lines('text')}), 20), 6) AS mismatch FROM docs")
 
 # ---- fuzzy dictionary -------------------------------------------------------------------

@@ -97,7 +97,7 @@ register("S27_insert_candidates", lambda s, d: candidates(s, d).where((F.col("la
 register("S28_replace_decisions", lambda s, d: S.first_by_key(decisions(s, d), ["run_id", "span_key"], [F.col("mention_id").desc()]), f"WITH {D_SQL} SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY run_id, span_key ORDER BY mention_id DESC) = 1")
 entity = lambda s, d: mentions(s, d).select(F.col("surface").alias("entity_id"), F.col("created_at"), F.col("created_at").alias("updated_at"), F.col("mention_id").alias("seq"), "ent_type", "confidence")
 register("S35_upsert_entities", lambda s, d: S.upsert(entity(s, d), "entity_id", "created_at", "updated_at", "seq"), f"WITH {M_SQL} SELECT surface AS entity_id, min(created_at) OVER (PARTITION BY surface) AS created_at, created_at AS updated_at, mention_id AS seq, ent_type, confidence FROM mentions QUALIFY row_number() OVER (PARTITION BY surface ORDER BY created_at DESC, mention_id DESC) = 1")
-register("S36_upsert_evidence", lambda s, d: mentions(s, d).select(F.sha2(F.concat_ws("|", "run_id", "surface", "start_offset"), 256).alias("span_id"), "mention_id", "end_offset").groupBy("span_id").agg(F.max_by("end_offset", "mention_id").alias("end_offset")), f"WITH {M_SQL} SELECT sha256(concat_ws('|', run_id, surface, start_offset)) AS span_id, max_by(end_offset, mention_id) AS end_offset FROM mentions GROUP BY 1")
+register("S36_upsert_evidence", lambda s, d: mentions(s, d).select(F.sha2(F.concat_ws("|", "run_id", "surface", "start_offset"), 256).alias("span_id"), "mention_id", "end_offset").groupBy("span_id").agg(F.max_by("end_offset", F.struct("mention_id", "end_offset")).alias("end_offset")), f"WITH {M_SQL} SELECT sha256(concat_ws('|', run_id, surface, start_offset)) AS span_id, max_by(end_offset, mention_id * 10000 + end_offset) AS end_offset FROM mentions GROUP BY 1")
 register("S37_upsert_links", lambda s, d: S.first_by_key(candidates(s, d).select("mention_id", "cand_key", "score"), ["mention_id"], [F.col("score").desc(), F.col("cand_key")]), f"WITH {C_SQL} SELECT mention_id, cand_key, score FROM candidates QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) = 1")
 register("S38_replace_aliases", lambda s, d: S.first_by_key(read(s, d, "customer").select(F.col("c_nationkey").alias("entity_id"), F.lower("c_mktsegment").alias("alias"), F.col("c_custkey").alias("pos")), ["entity_id", "alias"], [F.col("pos")]), "SELECT c_nationkey AS entity_id, lower(c_mktsegment) AS alias, min(c_custkey) AS pos FROM customer GROUP BY 1, 2")
 register("S39_replace_assertions", lambda s, d: read(s, d, "customer").select(F.col("c_nationkey").alias("entity_id"), F.lit("tpch").alias("source_name"), F.col("c_mktsegment").alias("property_value")).dropDuplicates(), "SELECT DISTINCT c_nationkey AS entity_id, 'tpch' AS source_name, c_mktsegment AS property_value FROM customer")
@@ -125,8 +125,7 @@ register(
     lambda s, d: candidates(s, d).select("mention_id", "cand_key", "score", "source").join(mentions(s, d).select("mention_id", "run_id", "surface", "start_offset", "part"), "mention_id").join(read(s, d, "supplier").select(F.col("s_suppkey").alias("cand_key"), F.col("s_name").alias("entity")), "cand_key", "left").join(read(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("evidence")), "run_id", "left").where("run_id < 200"),
     f"WITH {C_SQL} SELECT c.mention_id, c.cand_key, c.score, c.source, m.run_id, m.surface, m.start_offset, m.part, s_name AS entity, o_orderpriority AS evidence FROM candidates c JOIN mentions m USING (mention_id) LEFT JOIN supplier ON s_suppkey = c.cand_key LEFT JOIN orders ON o_orderkey = m.run_id AND o_orderstatus = 'O' WHERE m.run_id < 200",
 )
-rank = F.row_number().over(Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.col("cand_key")))
-register("J2_report_top_candidates", lambda s, d: candidates(s, d).withColumn("rank", rank).where("rank <= 2").select("mention_id", "rank", "label", "score"), f"WITH {C_SQL} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) AS rank, label, score FROM candidates QUALIFY rank <= 2")
+register("J2_report_top_candidates", lambda s, d: candidates(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.col("cand_key")))).where("rank <= 2").select("mention_id", "rank", "label", "score"), f"WITH {C_SQL} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) AS rank, label, score FROM candidates QUALIFY rank <= 2")
 register("J3_attempts_of_run", lambda s, d: candidates(s, d).select("mention_id", "cand_key").join(decisions(s, d).select("mention_id", "surface", "status"), "mention_id").groupBy("status").agg(F.count("*").alias("attempts"), F.countDistinct("surface").alias("surfaces")), f"WITH {D_SQL}, near AS (SELECT mention_id, unnest([part, part + 1, part + 2]) AS cand_key FROM mentions) SELECT status, count(*) AS attempts, count(DISTINCT surface) AS surfaces FROM near JOIN part ON p_partkey = cand_key JOIN decisions USING (mention_id) GROUP BY status")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,106 +30,104 @@ ENTROPY = (
 )
 
 
-def per_token(name: str, column: Column, expression: str, out: str) -> None:
-    register(name, lambda spark, d: distinct_tokens(spark, d).select("token", column.alias(out)), f"WITH {TOKENS} SELECT token, {expression} AS {out} FROM tok")
+def per_token(name: str, column: Callable[[Column], Column], expression: str, out: str) -> None:
+    register(name, lambda spark, d: distinct_tokens(spark, d).select("token", column(F.col("token")).alias(out)), f"WITH {TOKENS} SELECT token, {expression} AS {out} FROM tok")
 
 
-def per_document(name: str, columns: dict[str, Column], expressions: dict[str, str]) -> None:
+def per_document(name: str, columns: Callable[[Column, Column, Column], dict[str, Column]], expressions: dict[str, str]) -> None:
+    """``columns`` gets the text, its tokens and its lines."""
     register(
         name,
-        lambda spark, d: documents(spark, d).select("doc_id", *[c.alias(k) for k, c in columns.items()]),
+        lambda spark, d: documents(spark, d).select("doc_id", *[c.alias(k) for k, c in columns(F.col("text"), T.tokens("text"), T.lines("text")).items()]),
         f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"{e} AS {k}" for k, e in expressions.items()) + " FROM docs",
     )
 
 
-token, text = F.col("token"), F.col("text")
-toks, rows = T.tokens("text"), T.lines("text")
 q_toks, q_rows = Q.tokens("text"), Q.lines("text")
 
-per_token("T5_vowel_share", F.round(T.vowel_share_of_length(token), 6), f"round({Q.vowel_share_of_length('token')}, 6)", "vowel_share")
-per_token("T6_vowel_ratio", F.round(T.vowel_ratio(token), 6), f"round({Q.vowel_ratio('token')}, 6)", "vowel_ratio")
-per_token("T7_vowel_anomaly", (T.vowel_ratio(token) < 0.15) | (T.vowel_ratio(token) > 0.75), f"({Q.vowel_ratio('token')} < 0.15e0 OR {Q.vowel_ratio('token')} > 0.75e0)", "anomaly")
-per_token("T8_consonant_run", T.longest_consonant_run(token), Q.consonant_run("token"), "longest_run")
-per_token("T9_token_quality", T.token_quality(token), Q.token_quality("token"), "quality")
-per_token("T12_confusion_folding", T.confusion_folded(token), Q.folded("token"), "folded")
-per_token("T13_character_bigrams", F.array_join(F.array_sort(T.character_bigrams(token)), "|"), f"array_to_string(list_sort({Q.bigrams('token')}), '|')", "bigrams")
-per_token("T39_non_wordlike", F.round(T.non_wordlike(token), 6), f"round({Q.non_wordlike('token')}, 6)", "score")
-per_token("P10_common_word", F.lower(token).isin(*C.COMMON_WORDS), f"lower(token) IN {Q.words(C.COMMON_WORDS)}", "common")
-per_token("P13_roman_numeral", F.upper(token).rlike("^[IVXLCDM]+$"), "regexp_matches(upper(token), '^[IVXLCDM]+$')", "roman")
-per_token("P47_name_like", (F.length(token) >= 18) | token.rlike(r"^.+\p{Lu}"), r"(length(token) >= 18 OR regexp_matches(token, '^.+\p{Lu}'))", "name_like")
-per_token("P48_line_like", F.lower(token).rlike("line|numbering|row"), "regexp_matches(lower(token), 'line|numbering|row')", "line_like")
-per_token("T102_language_token", F.translate(F.lower(token), "ſvj", "sui"), "translate(lower(token), 'ſvj', 'sui')", "folded")
-per_token("T103_token_vowel_ratio", F.round(T.vowel_share_of_length(token), 4), f"round({Q.vowel_share_of_length('token')}, 4)", "vowel_ratio")
-per_token("T106_apply_case", F.when(token == F.upper(token), F.upper(F.lit("forma"))).when(token.rlike(r"^\p{Lu}"), F.lit("Forma")).otherwise(F.lit("forma")), r"CASE WHEN token = upper(token) THEN 'FORMA' WHEN regexp_matches(token, '^\p{Lu}') THEN 'Forma' ELSE 'forma' END", "cased")
-per_token("T46_unlikely_bigrams", F.lower(token).rlike("|".join(C.RARE_BIGRAMS)), f"regexp_matches(lower(token), '{'|'.join(C.RARE_BIGRAMS)}')", "unlikely")
+per_token("T5_vowel_share", lambda token: F.round(T.vowel_share_of_length(token), 6), f"round({Q.vowel_share_of_length('token')}, 6)", "vowel_share")
+per_token("T6_vowel_ratio", lambda token: F.round(T.vowel_ratio(token), 6), f"round({Q.vowel_ratio('token')}, 6)", "vowel_ratio")
+per_token("T7_vowel_anomaly", lambda token: (T.vowel_ratio(token) < 0.15) | (T.vowel_ratio(token) > 0.75), f"({Q.vowel_ratio('token')} < 0.15e0 OR {Q.vowel_ratio('token')} > 0.75e0)", "anomaly")
+per_token("T8_consonant_run", lambda token: T.longest_consonant_run(token), Q.consonant_run("token"), "longest_run")
+per_token("T9_token_quality", lambda token: T.token_quality(token), Q.token_quality("token"), "quality")
+per_token("T12_confusion_folding", lambda token: T.confusion_folded(token), Q.folded("token"), "folded")
+per_token("T13_character_bigrams", lambda token: F.array_join(F.array_sort(T.character_bigrams(token)), "|"), f"array_to_string(list_sort({Q.bigrams('token')}), '|')", "bigrams")
+per_token("T39_non_wordlike", lambda token: F.round(T.non_wordlike(token), 6), f"round({Q.non_wordlike('token')}, 6)", "score")
+per_token("P10_common_word", lambda token: F.lower(token).isin(*C.COMMON_WORDS), f"lower(token) IN {Q.words(C.COMMON_WORDS)}", "common")
+per_token("P13_roman_numeral", lambda token: F.upper(token).rlike("^[IVXLCDM]+$"), "regexp_matches(upper(token), '^[IVXLCDM]+$')", "roman")
+per_token("P47_name_like", lambda token: (F.length(token) >= 18) | token.rlike(r"^.+\p{Lu}"), r"(length(token) >= 18 OR regexp_matches(token, '^.+\p{Lu}'))", "name_like")
+per_token("P48_line_like", lambda token: F.lower(token).rlike("line|numbering|row"), "regexp_matches(lower(token), 'line|numbering|row')", "line_like")
+per_token("T102_language_token", lambda token: F.translate(F.lower(token), "ſvj", "sui"), "translate(lower(token), 'ſvj', 'sui')", "folded")
+per_token("T103_token_vowel_ratio", lambda token: F.round(T.vowel_share_of_length(token), 4), f"round({Q.vowel_share_of_length('token')}, 4)", "vowel_ratio")
+per_token("T106_apply_case", lambda token: F.when(token == F.upper(token), F.upper(F.lit("forma"))).when(token.rlike(r"^\p{Lu}"), F.lit("Forma")).otherwise(F.lit("forma")), r"CASE WHEN token = upper(token) THEN 'FORMA' WHEN regexp_matches(token, '^\p{Lu}') THEN 'Forma' ELSE 'forma' END", "cased")
+per_token("T46_unlikely_bigrams", lambda token: F.lower(token).rlike("|".join(C.RARE_BIGRAMS)), f"regexp_matches(lower(token), '{'|'.join(C.RARE_BIGRAMS)}')", "unlikely")
 per_token(
     "P34_suspicious_token",
-    (token.rlike("[0-9]") & ~F.upper(token).rlike("^[IVXLCDM]+$")) | ((F.length(token) >= 6) & (T.vowel_ratio(token) < 0.15)) | F.lower(token).rlike("|".join(C.RARE_BIGRAMS)) | F.lower(token).rlike(r"(.)\1\1") | (T.longest_consonant_run(token, C.VOWELS_LATIN) >= 5),
+    lambda token: (token.rlike("[0-9]") & ~F.upper(token).rlike("^[IVXLCDM]+$")) | ((F.length(token) >= 6) & (T.vowel_ratio(token) < 0.15)) | F.lower(token).rlike("|".join(C.RARE_BIGRAMS)) | F.lower(token).rlike(r"(.)\1\1") | (T.longest_consonant_run(token, C.VOWELS_LATIN) >= 5),
     f"((regexp_matches(token, '[0-9]') AND NOT regexp_matches(upper(token), '^[IVXLCDM]+$')) OR (length(token) >= 6 AND {Q.vowel_ratio('token')} < 0.15e0) OR regexp_matches(lower(token), '{'|'.join(C.RARE_BIGRAMS)}')"
     f" OR len(list_filter(range(1, length(token) - 1), lambda i: substr(lower(token), i, 1) = substr(lower(token), i + 1, 1) AND substr(lower(token), i, 1) = substr(lower(token), i + 2, 1))) > 0 OR {Q.consonant_run('token', C.VOWELS_LATIN)} >= 5)",
     "suspicious",
 )
 per_token(
     "P36_pattern_junk",
-    token.rlike(r"\?{6}") | token.rlike(r"(.)\1{6}") | ((T.letters(token) >= 10) & (F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(token), r"[^\p{L}]", ""), ""))) <= 2)),
+    lambda token: token.rlike(r"\?{6}") | token.rlike(r"(.)\1{6}") | ((T.letters(token) >= 10) & (F.size(F.array_distinct(F.split(F.regexp_replace(F.lower(token), r"[^\p{L}]", ""), ""))) <= 2)),
     f"(contains(token, '??????') OR len(list_filter(range(1, length(token) - 5), lambda i: substr(token, i, 7) = repeat(substr(token, i, 1), 7))) > 0 OR ({Q.letters('token')} >= 10 AND len(list_distinct(string_split(regexp_replace(lower(token), '[^\\p{{L}}]', '', 'g'), ''))) <= 2))",
     "junk",
 )
-per_token("T91_span_key", F.concat_ws(":", F.lit(0), F.length(token), token), "concat_ws(':', 0, length(token), token)", "span_key")
-per_token("T90_sha256", F.sha2(token, 256), "sha256(token)", "sha256")
-per_token("T112_cache_key", F.sha2(F.concat_ws(":", F.lit("wikidata"), F.lower(token), F.lit("fr"), F.lit("")), 256), "sha256(concat_ws(':', 'wikidata', lower(token), 'fr', ''))", "cache_key")
-
-per_document("T2_confusion_fixes", {"fixed": F.sha2(T.confusion_fixes(text), 256)}, {"fixed": "sha256(regexp_replace(" + "".join("replace(" for _ in C.CONFUSION_REPLACEMENTS) + "text" + "".join(f", '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in C.CONFUSION_REPLACEMENTS) + r", '([\p{L}\p{N}_])[|¦]([\p{L}\p{N}_])', '\1\2', 'g'))"})
-per_document("T10_text_quality_label", {"label": T.text_quality_label(toks)}, {"label": f"(SELECT CASE WHEN count(*) = 0 THEN 'LOW' WHEN avg(s) >= 0.55e0 AND count(*) FILTER (s < 0.3e0)::DOUBLE / count(*) < 0.15e0 THEN 'HIGH' WHEN avg(s) >= 0.35e0 AND count(*) FILTER (s < 0.3e0)::DOUBLE / count(*) < 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END FROM (SELECT {Q.token_quality('w')} AS s FROM (SELECT unnest({q_toks}) AS w)))"})
-per_document("T38_rare_bigram_ratio", {"ratio": F.round(T.rare_bigram_ratio(text), 6)}, {"ratio": f"round({Q.rare_bigram_ratio('text')}, 6)"})
-per_document("T40_uncertainty_density", {"density": F.round(T.uncertainty_density(text), 6)}, {"density": f"round({Q.uncertainty('text')}, 6)"})
-per_document("T42_leading_fragment_ratio", {"ratio": F.round(T.leading_fragment_ratio(rows), 4)}, {"ratio": f"round({Q.share_of(q_rows, Q.leading_fragment('x'), 'x')}, 4)"})
-per_document("T43_trailing_fragment_ratio", {"ratio": F.round(T.trailing_fragment_ratio(rows), 4)}, {"ratio": f"round({Q.share_of(q_rows, Q.trailing_fragment('x'), 'x')}, 4)"})
-SEAMS = F.array(F.lit(2), F.lit(5))
+per_token("T91_span_key", lambda token: F.concat_ws(":", F.lit(0), F.length(token), token), "concat_ws(':', 0, length(token), token)", "span_key")
+per_token("T90_sha256", lambda token: F.sha2(token, 256), "sha256(token)", "sha256")
+per_token("T112_cache_key", lambda token: F.sha2(F.concat_ws(":", F.lit("wikidata"), F.lower(token), F.lit("fr"), F.lit("")), 256), "sha256(concat_ws(':', 'wikidata', lower(token), 'fr', ''))", "cache_key")
+
+per_document("T2_confusion_fixes", lambda text, toks, rows: {"fixed": F.sha2(T.confusion_fixes(text), 256)}, {"fixed": "sha256(regexp_replace(" + "".join("replace(" for _ in C.CONFUSION_REPLACEMENTS) + "text" + "".join(f", '{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in C.CONFUSION_REPLACEMENTS) + r", '([\p{L}\p{N}_])[|¦]([\p{L}\p{N}_])', '\1\2', 'g'))"})
+per_document("T10_text_quality_label", lambda text, toks, rows: {"label": T.text_quality_label(toks)}, {"label": f"(SELECT CASE WHEN count(*) = 0 THEN 'LOW' WHEN avg(s) >= 0.55e0 AND count(*) FILTER (s < 0.3e0)::DOUBLE / count(*) < 0.15e0 THEN 'HIGH' WHEN avg(s) >= 0.35e0 AND count(*) FILTER (s < 0.3e0)::DOUBLE / count(*) < 0.4e0 THEN 'MEDIUM' ELSE 'LOW' END FROM (SELECT {Q.token_quality('w')} AS s FROM (SELECT unnest({q_toks}) AS w)))"})
+per_document("T38_rare_bigram_ratio", lambda text, toks, rows: {"ratio": F.round(T.rare_bigram_ratio(text), 6)}, {"ratio": f"round({Q.rare_bigram_ratio('text')}, 6)"})
+per_document("T40_uncertainty_density", lambda text, toks, rows: {"density": F.round(T.uncertainty_density(text), 6)}, {"density": f"round({Q.uncertainty('text')}, 6)"})
+per_document("T42_leading_fragment_ratio", lambda text, toks, rows: {"ratio": F.round(T.leading_fragment_ratio(rows), 4)}, {"ratio": f"round({Q.share_of(q_rows, Q.leading_fragment('x'), 'x')}, 4)"})
+per_document("T43_trailing_fragment_ratio", lambda text, toks, rows: {"ratio": F.round(T.trailing_fragment_ratio(rows), 4)}, {"ratio": f"round({Q.share_of(q_rows, Q.trailing_fragment('x'), 'x')}, 4)"})
 per_document(
     "T44_seam_fragment_ratio",
-    {"everywhere": F.round(T.seam_fragment_ratio(rows), 4), "at_seams": F.round(T.seam_fragment_ratio(rows, SEAMS), 4)},
+    lambda text, toks, rows: {"everywhere": F.round(T.seam_fragment_ratio(rows), 4), "at_seams": F.round(T.seam_fragment_ratio(rows, F.array(F.lit(2), F.lit(5))), 4)},
     {
         "everywhere": f"round({Q.share_of(q_rows, '(' + Q.leading_fragment('x') + ' OR ' + Q.trailing_break('x') + ')', 'x')}, 4)",
         "at_seams": f"round({Q.share_of(f'list_concat({q_rows}[2:4], {q_rows}[5:7])', '(' + Q.leading_fragment('x') + ' OR ' + Q.trailing_break('x') + ')', 'x')}, 4)",
     },
 )
-per_document("A18_line_duplicate_ratio", {"ratio": F.round(F.when(F.size(rows) > 0, 1 - F.size(F.array_distinct(F.transform(rows, lambda s: F.lower(T.collapse(s))))) / F.size(rows)).otherwise(0.0), 6)}, {"ratio": f"round(CASE WHEN len({q_rows}) > 0 THEN 1 - len(list_distinct(list_transform({q_rows}, lambda s: lower(regexp_replace({Q.strip('s')}, '{Q.WS}+', ' ', 'g')))))::DOUBLE / len({q_rows}) ELSE 0e0 END, 6)"})
-per_document("T49_letter_count", {"letters": F.regexp_count(text, F.lit(r"\p{L}"))}, {"letters": Q.letters("text")})
-per_document("T60_uncertainty_score", {"score": T.occurrences(text, "?") + 3 * T.occurrences(text, "[…]")}, {"score": f"{Q.count_of('text', '?')} + 3 * {Q.count_of('text', '[…]')}"})
-per_document("T79_uncertainty_markers", {"markers": T.occurrences(text, "?") + T.occurrences(text, "…")}, {"markers": f"{Q.count_of('text', '?')} + {Q.count_of('text', '…')}"})
-per_document("T61_uncertainty_tokens", {"sha": F.sha2(F.regexp_replace(text, r"\[\.\.\.\]|\.\.\.|…", "[…]"), 256)}, {"sha": r"sha256(regexp_replace(text, '\[\.\.\.\]|\.\.\.|…', '[…]', 'g'))"})
-per_document("T68_surface_norm", {"sha": F.sha2(F.lower(T.collapse(text)), 256)}, {"sha": f"sha256(lower(regexp_replace({Q.strip('text')}, '{Q.WS}+', ' ', 'g')))"})
-per_document("T59_line_key", {"sha": F.sha2(T.collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", "")), 256)}, {"sha": rf"sha256(regexp_replace({Q.strip(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '{Q.WS}+', ' ', 'g'))"})
-per_document("T58_repeat_signature", {"signature": F.substring(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), 1, 80)}, {"signature": r"substr(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), 1, 80)"})
-per_document("T75_strip_uncertainty", {"sha": F.sha2(F.regexp_replace(text, r"\[…\]|\[\.\.\.\]|\[\?\]|…|\?", ""), 256)}, {"sha": r"sha256(regexp_replace(text, '\[…\]|\[\.\.\.\]|\[\?\]|…|\?', '', 'g'))"})
-per_document("T81_short_text", {"short": F.when(F.length(T.collapse(text)) > 180, F.concat(F.regexp_replace(F.substring(T.collapse(text), 1, 179), f"{T.SPACE}+$", ""), F.lit("…"))).otherwise(T.collapse(text))}, {"short": f"(SELECT CASE WHEN length(s) > 180 THEN concat(rtrim(substr(s, 1, 179)), '…') ELSE s END FROM (SELECT regexp_replace({Q.strip('text')}, '{Q.WS}+', ' ', 'g') AS s))"})
-per_document("T99_clean_lines", {"n": F.size(rows), "sha": F.sha2(F.array_join(F.transform(rows, T.strip), "\n"), 256)}, {"n": f"len({q_rows})", "sha": f"sha256(coalesce(array_to_string(list_transform({q_rows}, lambda s: {Q.strip('s')}), chr(10)), ''))"})
-per_document("T76_strip_uncertainty_lines", {"n": F.size(F.filter(F.transform(rows, lambda s: T.strip(F.regexp_replace(s, r"\[…\]|…|\?", ""))), lambda s: s != ""))}, {"n": rf"len(list_filter({q_rows}, lambda x: regexp_replace(regexp_replace(x, '\[…\]|…|\?', '', 'g'), '{Q.WS}', '', 'g') <> ''))"})
-per_document("X7_token_set", {"tokens": F.size(F.array_distinct(T.tokens(F.lower(text))))}, {"tokens": f"len(list_distinct({Q.tokens('lower(text)')}))"})
-per_document("T80_query_terms", {"terms": F.array_join(F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.length(w) >= 2))), " ")}, {"terms": r"coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 2))), ' '), '')"})
-per_document("P12_date_anchor", {"dated": text.rlike(r"(?i)(^|[^\p{L}\p{N}])(l['’]an|lan|an +de +grace) +(mil|mille)([^\p{L}\p{N}]|$)") | text.rlike(r"(^|[^\p{L}\p{N}_])[0-9]{3,4}([^\p{L}\p{N}_]|$)") | F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit("([A-Za-zÀ-ÿ'’]+)"), F.lit(1)), T.quoted(C.DATE_ANCHORS + C.MONTHS)) | text.rlike(r"(^|[^\p{L}\p{N}_])M{1,4}[CDLXVI]{2,}([^\p{L}\p{N}_]|$)")}, {"dated": rf"(regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}])(l[''’]an|lan|an +de +grace) +(mil|mille)([^\p{{L}}\p{{N}}]|$)') OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])[0-9]{{3,4}}([^\p{{L}}\p{{N}}_]|$)') OR list_has_any(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ''’]+'), {Q.array(C.DATE_ANCHORS + C.MONTHS)}) OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])M{{1,4}}[CDLXVI]{{2,}}([^\p{{L}}\p{{N}}_]|$)'))"})
-per_document("P14_entity_cues", {"cues": F.arrays_overlap(F.filter(T.tokens(F.lower(text)), lambda w: w.isNotNull()), T.quoted(C.PLACE_ANCHORS + C.TITLE_ANCHORS + ["roi", "saint", "dame", "the"]))}, {"cues": f"coalesce(list_has_any({Q.tokens('lower(text)')}, {Q.array(C.PLACE_ANCHORS + C.TITLE_ANCHORS + ['roi', 'saint', 'dame', 'the'])}), false)"})
-per_document("T35_script_family", {"script": T.script_family(text)}, {"script": rf"CASE WHEN {Q.letters('text')} = 0 THEN 'unknown' WHEN length(regexp_replace(text, '[^\p{{Latin}}ªº]', '', 'g'))::DOUBLE / {Q.letters('text')} >= 0.8e0 THEN 'latin' ELSE 'mixed' END"})
-per_document("T36_script_hint", {"hint": F.when(text.rlike(r"[\p{IsGreek}]") & text.rlike("[A-Za-z]"), "mixed").when(text.rlike(r"[\p{IsGreek}]"), "greek").when(text.rlike(r"[\p{IsCyrillic}]"), "cyrillic").when(text.rlike("[A-Za-zÀ-ɏ]"), "latin").otherwise("unknown")}, {"hint": r"CASE WHEN regexp_matches(text, '\p{Greek}') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '\p{Greek}') THEN 'greek' WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'unknown' END"})
-per_document("T37_insular_hint", {"hint": F.when(text.rlike("[ꝺꝼꞃꞅꞇᵹ]"), "insular").when(text.rlike("[A-Za-z]"), "latin").otherwise("unknown")}, {"hint": "CASE WHEN regexp_matches(text, '[ꝺꝼꞃꞅꞇᵹ]') THEN 'insular' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END"})
-per_document("P40_script_drift", {"drift": text.rlike(r"[\p{IsGreek}\p{IsCyrillic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")}, {"drift": r"regexp_matches(text, '[\p{Greek}\p{Cyrillic}\p{Han}\p{Hiragana}\p{Katakana}]')"})
-per_document("T54_garbage_ratio", {"ratio": F.round(T.share(F.coalesce(F.aggregate(F.transform(F.regexp_extract_all(text, F.lit("([#*$%&|!]{5,})"), F.lit(1)), F.length), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("double"), F.length(text)), 6)}, {"ratio": f"round({Q.share('coalesce(list_sum(list_transform(regexp_extract_all(text, ' + chr(39) + '[#*$%&|!]{5,}' + chr(39) + '), lambda s: length(s))), 0)', 'length(text)')}, 6)"})
-per_document("T55_script_drift_ratio", {"ratio": F.round(T.share((T.letters(text) - F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", ""))).cast("double"), T.letters(text)), 6)}, {"ratio": rf"round({Q.share('(' + Q.letters('text') + chr(32) + '- length(regexp_replace(text, ' + chr(39) + '[^' + chr(92) + 'p{Latin}]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')))', Q.letters('text'))}, 6)"})
+per_document("A18_line_duplicate_ratio", lambda text, toks, rows: {"ratio": F.round(F.when(F.size(rows) > 0, 1 - F.size(F.array_distinct(F.transform(rows, lambda s: F.lower(T.collapse(s))))) / F.size(rows)).otherwise(0.0), 6)}, {"ratio": f"round(CASE WHEN len({q_rows}) > 0 THEN 1 - len(list_distinct(list_transform({q_rows}, lambda s: lower(regexp_replace({Q.strip('s')}, '{Q.WS}+', ' ', 'g')))))::DOUBLE / len({q_rows}) ELSE 0e0 END, 6)"})
+per_document("T49_letter_count", lambda text, toks, rows: {"letters": F.regexp_count(text, F.lit(r"\p{L}"))}, {"letters": Q.letters("text")})
+per_document("T60_uncertainty_score", lambda text, toks, rows: {"score": T.occurrences(text, "?") + 3 * T.occurrences(text, "[…]")}, {"score": f"{Q.count_of('text', '?')} + 3 * {Q.count_of('text', '[…]')}"})
+per_document("T79_uncertainty_markers", lambda text, toks, rows: {"markers": T.occurrences(text, "?") + T.occurrences(text, "…")}, {"markers": f"{Q.count_of('text', '?')} + {Q.count_of('text', '…')}"})
+per_document("T61_uncertainty_tokens", lambda text, toks, rows: {"sha": F.sha2(F.regexp_replace(text, r"\[\.\.\.\]|\.\.\.|…", "[…]"), 256)}, {"sha": r"sha256(regexp_replace(text, '\[\.\.\.\]|\.\.\.|…', '[…]', 'g'))"})
+per_document("T68_surface_norm", lambda text, toks, rows: {"sha": F.sha2(F.lower(T.collapse(text)), 256)}, {"sha": f"sha256(lower(regexp_replace({Q.strip('text')}, '{Q.WS}+', ' ', 'g')))"})
+per_document("T59_line_key", lambda text, toks, rows: {"sha": F.sha2(T.collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", "")), 256)}, {"sha": rf"sha256(regexp_replace({Q.strip(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '{Q.WS}+', ' ', 'g'))"})
+per_document("T58_repeat_signature", lambda text, toks, rows: {"signature": F.substring(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), 1, 80)}, {"signature": r"substr(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), 1, 80)"})
+per_document("T75_strip_uncertainty", lambda text, toks, rows: {"sha": F.sha2(F.regexp_replace(text, r"\[…\]|\[\.\.\.\]|\[\?\]|…|\?", ""), 256)}, {"sha": r"sha256(regexp_replace(text, '\[…\]|\[\.\.\.\]|\[\?\]|…|\?', '', 'g'))"})
+per_document("T81_short_text", lambda text, toks, rows: {"short": F.when(F.length(T.collapse(text)) > 180, F.concat(F.regexp_replace(F.substring(T.collapse(text), 1, 179), f"{T.SPACE}+$", ""), F.lit("…"))).otherwise(T.collapse(text))}, {"short": f"(SELECT CASE WHEN length(s) > 180 THEN concat(rtrim(substr(s, 1, 179)), '…') ELSE s END FROM (SELECT regexp_replace({Q.strip('text')}, '{Q.WS}+', ' ', 'g') AS s))"})
+per_document("T99_clean_lines", lambda text, toks, rows: {"n": F.size(rows), "sha": F.sha2(F.array_join(F.transform(rows, T.strip), "\n"), 256)}, {"n": f"len({q_rows})", "sha": f"sha256(coalesce(array_to_string(list_transform({q_rows}, lambda s: {Q.strip('s')}), chr(10)), ''))"})
+per_document("T76_strip_uncertainty_lines", lambda text, toks, rows: {"n": F.size(F.filter(F.transform(rows, lambda s: T.strip(F.regexp_replace(s, r"\[…\]|…|\?", ""))), lambda s: s != ""))}, {"n": rf"len(list_filter({q_rows}, lambda x: regexp_replace(regexp_replace(x, '\[…\]|…|\?', '', 'g'), '{Q.WS}', '', 'g') <> ''))"})
+per_document("X7_token_set", lambda text, toks, rows: {"tokens": F.size(F.array_distinct(T.tokens(F.lower(text))))}, {"tokens": f"len(list_distinct({Q.tokens('lower(text)')}))"})
+per_document("T80_query_terms", lambda text, toks, rows: {"terms": F.array_join(F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.length(w) >= 2))), " ")}, {"terms": r"coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 2))), ' '), '')"})
+per_document("P12_date_anchor", lambda text, toks, rows: {"dated": text.rlike(r"(?i)(^|[^\p{L}\p{N}])(l['’]an|lan|an +de +grace) +(mil|mille)([^\p{L}\p{N}]|$)") | text.rlike(r"(^|[^\p{L}\p{N}_])[0-9]{3,4}([^\p{L}\p{N}_]|$)") | F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit("([A-Za-zÀ-ÿ'’]+)"), F.lit(1)), T.quoted(C.DATE_ANCHORS + C.MONTHS)) | text.rlike(r"(^|[^\p{L}\p{N}_])M{1,4}[CDLXVI]{2,}([^\p{L}\p{N}_]|$)")}, {"dated": rf"(regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}])(l[''’]an|lan|an +de +grace) +(mil|mille)([^\p{{L}}\p{{N}}]|$)') OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])[0-9]{{3,4}}([^\p{{L}}\p{{N}}_]|$)') OR list_has_any(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ''’]+'), {Q.array(C.DATE_ANCHORS + C.MONTHS)}) OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])M{{1,4}}[CDLXVI]{{2,}}([^\p{{L}}\p{{N}}_]|$)'))"})
+per_document("P14_entity_cues", lambda text, toks, rows: {"cues": F.arrays_overlap(F.filter(T.tokens(F.lower(text)), lambda w: w.isNotNull()), T.quoted(C.PLACE_ANCHORS + C.TITLE_ANCHORS + ["roi", "saint", "dame", "the"]))}, {"cues": f"coalesce(list_has_any({Q.tokens('lower(text)')}, {Q.array(C.PLACE_ANCHORS + C.TITLE_ANCHORS + ['roi', 'saint', 'dame', 'the'])}), false)"})
+per_document("T35_script_family", lambda text, toks, rows: {"script": T.script_family(text)}, {"script": rf"CASE WHEN {Q.letters('text')} = 0 THEN 'unknown' WHEN length(regexp_replace(text, '[^\p{{Latin}}ªº]', '', 'g'))::DOUBLE / {Q.letters('text')} >= 0.8e0 THEN 'latin' ELSE 'mixed' END"})
+per_document("T36_script_hint", lambda text, toks, rows: {"hint": F.when(text.rlike(r"[\p{IsGreek}]") & text.rlike("[A-Za-z]"), "mixed").when(text.rlike(r"[\p{IsGreek}]"), "greek").when(text.rlike(r"[\p{IsCyrillic}]"), "cyrillic").when(text.rlike("[A-Za-zÀ-ɏ]"), "latin").otherwise("unknown")}, {"hint": r"CASE WHEN regexp_matches(text, '\p{Greek}') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '\p{Greek}') THEN 'greek' WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'unknown' END"})
+per_document("T37_insular_hint", lambda text, toks, rows: {"hint": F.when(text.rlike("[ꝺꝼꞃꞅꞇᵹ]"), "insular").when(text.rlike("[A-Za-z]"), "latin").otherwise("unknown")}, {"hint": "CASE WHEN regexp_matches(text, '[ꝺꝼꞃꞅꞇᵹ]') THEN 'insular' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END"})
+per_document("P40_script_drift", lambda text, toks, rows: {"drift": text.rlike(r"[\p{IsGreek}\p{IsCyrillic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")}, {"drift": r"regexp_matches(text, '[\p{Greek}\p{Cyrillic}\p{Han}\p{Hiragana}\p{Katakana}]')"})
+per_document("T54_garbage_ratio", lambda text, toks, rows: {"ratio": F.round(T.share(F.coalesce(F.aggregate(F.transform(F.regexp_extract_all(text, F.lit("([#*$%&|!]{5,})"), F.lit(1)), F.length), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("double"), F.length(text)), 6)}, {"ratio": f"round({Q.share('coalesce(list_sum(list_transform(regexp_extract_all(text, ' + chr(39) + '[#*$%&|!]{5,}' + chr(39) + '), lambda s: length(s))), 0)', 'length(text)')}, 6)"})
+per_document("T55_script_drift_ratio", lambda text, toks, rows: {"ratio": F.round(T.share((T.letters(text) - F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", ""))).cast("double"), T.letters(text)), 6)}, {"ratio": rf"round({Q.share('(' + Q.letters('text') + chr(32) + '- length(regexp_replace(text, ' + chr(39) + '[^' + chr(92) + 'p{Latin}]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')))', Q.letters('text'))}, 6)"})
 single = lambda w: F.length(w) == 1
 per_document(
     "T51_sanity_metrics",
-    {"single": F.round(T.share(F.size(F.filter(toks, single)).cast("double"), F.size(toks)), 4), "digit": F.round(T.share(F.size(F.filter(toks, lambda w: w.rlike("[0-9]"))).cast("double"), F.size(toks)), 4), "no_letter": F.round(T.share(F.size(F.filter(toks, lambda w: ~w.rlike(r"\p{L}"))).cast("double"), F.size(toks)), 4)},
+    lambda text, toks, rows: {"single": F.round(T.share(F.size(F.filter(toks, single)).cast("double"), F.size(toks)), 4), "digit": F.round(T.share(F.size(F.filter(toks, lambda w: w.rlike("[0-9]"))).cast("double"), F.size(toks)), 4), "no_letter": F.round(T.share(F.size(F.filter(toks, lambda w: ~w.rlike(r"\p{L}"))).cast("double"), F.size(toks)), 4)},
     {"single": f"round({Q.share_of(q_toks, 'length(x) = 1', 'x')}, 4)", "digit": f"round({Q.share_of(q_toks, 'regexp_matches(x, ' + chr(39) + '[0-9]' + chr(39) + ')', 'x')}, 4)", "no_letter": rf"round({Q.share_of(q_toks, 'NOT regexp_matches(x, ' + chr(39) + chr(92) + 'p{L}' + chr(39) + ')', 'x')}, 4)"},
 )
-per_document("T48_junk_ratio", {"ratio": F.round(T.share_of_lines(F.filter(toks, lambda w: F.length(w) >= 3), lambda w: (T.letters(w) * 2 < F.length(w)) | (T.vowel_ratio(w) < 0.1)), 4)}, {"ratio": f"round({Q.share_of('list_filter(' + q_toks + ', lambda y: length(y) >= 3)', '(' + Q.letters('x') + ' * 2 < length(x) OR ' + Q.vowel_ratio('x') + ' < 0.1e0)', 'x')}, 4)"})
-per_document("T31_trigrams", {"n": F.size(T.trigrams(text)), "first": F.element_at(F.array_sort(F.array_distinct(T.trigrams(text))), 1) if False else F.array_min(T.trigrams(text))}, {"n": rf"coalesce(list_sum(list_transform({q_toks}, lambda x: greatest(0, {Q.letters('lower(x)')} - 2))), 0)::INT", "first": rf"list_min(flatten(list_transform(list_transform({q_toks}, lambda x: regexp_replace(lower(x), '[^\p{{L}}]', '', 'g')), lambda x: list_transform(range(1, greatest(1, length(x) - 1)), lambda i: substr(x, i, 3)))))"})
-LANGUAGE = F.when(F.col("lang") == "fr", "french").when(F.col("lang") == "es", "spanish").otherwise("unknown")
+per_document("T48_junk_ratio", lambda text, toks, rows: {"ratio": F.round(T.share_of_lines(F.filter(toks, lambda w: F.length(w) >= 3), lambda w: (T.letters(w) * 2 < F.length(w)) | (T.vowel_ratio(w) < 0.1)), 4)}, {"ratio": f"round({Q.share_of('list_filter(' + q_toks + ', lambda y: length(y) >= 3)', '(' + Q.letters('x') + ' * 2 < length(x) OR ' + Q.vowel_ratio('x') + ' < 0.1e0)', 'x')}, 4)"})
+per_document("T31_trigrams", lambda text, toks, rows: {"n": F.size(T.trigrams(text)), "first": F.array_min(T.trigrams(text))}, {"n": rf"coalesce(list_sum(list_transform({q_toks}, lambda x: greatest(0, {Q.letters('lower(x)')} - 2))), 0)::INT", "first": rf"list_min(flatten(list_transform(list_transform({q_toks}, lambda x: regexp_replace(lower(x), '[^\p{{L}}]', '', 'g')), lambda x: list_transform(range(1, greatest(1, length(x) - 1)), lambda i: substr(x, i, 3)))))"})
 Q_LANGUAGE = "CASE lang WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' ELSE 'unknown' END"
 
 
 def lexical(spark: SparkSession, d: str) -> DataFrame:
-    p = T.lexical_plausibility(text, LANGUAGE)
+    language = F.when(F.col("lang") == "fr", "french").when(F.col("lang") == "es", "spanish").otherwise("unknown")
+    p = T.lexical_plausibility(F.col("text"), language)
     confidence = F.lit(0.8)
     adjusted = F.least(F.greatest(F.when(p < 0.35, confidence * 0.55).when(p < 0.60, confidence * 0.75).otherwise(confidence * 1.05), F.lit(0.05)), F.lit(0.95))
     return documents(spark, d).select("doc_id", F.round(p, 4).alias("plausibility"), F.round(adjusted, 4).alias("confidence"), F.when(p < 0.35, "LEXICAL_IMPLAUSIBLE").when(p < 0.60, "LEXICAL_UNCERTAIN").alias("warning"))
@@ -141,12 +141,12 @@ register(
     "p AS (SELECT d.doc_id, CASE WHEN d.lang NOT IN ('fr', 'es') OR h.n IS NULL THEN 0.5e0 ELSE least(1e0, h.hits::DOUBLE / h.n / 0.55e0) END AS p FROM docs d LEFT JOIN h USING (doc_id)) "
     "SELECT doc_id, round(p, 4) AS plausibility, round(least(greatest(CASE WHEN p < 0.35e0 THEN 0.8e0 * 0.55e0 WHEN p < 0.6e0 THEN 0.8e0 * 0.75e0 ELSE 0.8e0 * 1.05e0 END, 0.05e0), 0.95e0), 4) AS confidence, CASE WHEN p < 0.35e0 THEN 'LEXICAL_IMPLAUSIBLE' WHEN p < 0.6e0 THEN 'LEXICAL_UNCERTAIN' END AS warning FROM p",
 )
-register("T13_char_entropy", lambda spark, d: documents(spark, d).select("doc_id", F.round(T.char_entropy(text), 4).alias("entropy")), f"WITH {DOCS}, {ENTROPY} SELECT doc_id, round(entropy, 4) AS entropy FROM ent")
+register("T13_char_entropy", lambda spark, d: documents(spark, d).select("doc_id", F.round(T.char_entropy(F.col("text")), 4).alias("entropy")), f"WITH {DOCS}, {ENTROPY} SELECT doc_id, round(entropy, 4) AS entropy FROM ent")
 
 
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
     n = F.length("token")
-    return documents(spark, d).select("doc_id", F.explode(toks).alias("token")).groupBy("doc_id").agg(F.round(F.avg(n), 5).alias("mean"), F.round(F.stddev_pop(n), 5).alias("deviation"), F.round(F.avg((n < 3).cast("double")), 5).alias("very_short"), F.round(F.avg((n > 15).cast("double")), 5).alias("very_long"))
+    return documents(spark, d).select("doc_id", F.explode(T.tokens("text")).alias("token")).groupBy("doc_id").agg(F.round(F.avg(n), 5).alias("mean"), F.round(F.stddev_pop(n), 5).alias("deviation"), F.round(F.avg((n < 3).cast("double")), 5).alias("very_short"), F.round(F.avg((n > 15).cast("double")), 5).alias("very_long"))
 
 
 register("A12_token_length_stats", length_stats, f"WITH {DOCS}, t AS (SELECT doc_id, length(unnest({q_toks})) AS n FROM docs) SELECT doc_id, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS deviation, round(avg((n < 3)::INT), 5) AS very_short, round(avg((n > 15)::INT), 5) AS very_long FROM t GROUP BY doc_id")
@@ -154,7 +154,8 @@ register("A12_token_length_stats", length_stats, f"WITH {DOCS}, t AS (SELECT doc
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """The quality record of each text: signals, label and gates (empty texts are UNRELIABLE)."""
-    base = docs.withColumn("toks", toks).withColumn("rows", rows)
+    text = F.col("text")
+    base = docs.withColumn("toks", T.tokens("text")).withColumn("rows", T.lines("text"))
     signals = base.select(
         "doc_id",
         F.size("rows").alias("line_count"),
