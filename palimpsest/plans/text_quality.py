@@ -112,7 +112,6 @@ per_document("T35_script_family", lambda text, toks, rows: {"script": T.script_f
 per_document("T36_script_hint", lambda text, toks, rows: {"hint": F.when(text.rlike(r"[\p{IsGreek}]") & text.rlike("[A-Za-z]"), "mixed").when(text.rlike(r"[\p{IsGreek}]"), "greek").when(text.rlike(r"[\p{IsCyrillic}]"), "cyrillic").when(text.rlike("[A-Za-zÀ-ɏ]"), "latin").otherwise("unknown")}, {"hint": r"CASE WHEN regexp_matches(text, '\p{Greek}') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '\p{Greek}') THEN 'greek' WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'unknown' END"})
 per_document("T37_insular_hint", lambda text, toks, rows: {"hint": F.when(text.rlike("[ꝺꝼꞃꞅꞇᵹ]"), "insular").when(text.rlike("[A-Za-z]"), "latin").otherwise("unknown")}, {"hint": "CASE WHEN regexp_matches(text, '[ꝺꝼꞃꞅꞇᵹ]') THEN 'insular' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END"})
 per_document("P40_script_drift", lambda text, toks, rows: {"drift": text.rlike(r"[\p{IsGreek}\p{IsCyrillic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")}, {"drift": r"regexp_matches(text, '[\p{Greek}\p{Cyrillic}\p{Han}\p{Hiragana}\p{Katakana}]')"})
-per_document("T54_garbage_ratio", lambda text, toks, rows: {"ratio": F.round(T.share(F.coalesce(F.aggregate(F.transform(F.regexp_extract_all(text, F.lit("([#*$%&|!]{5,})"), F.lit(1)), F.length), F.lit(0), lambda a, x: a + x), F.lit(0)).cast("double"), F.length(text)), 6)}, {"ratio": f"round({Q.share('coalesce(list_sum(list_transform(regexp_extract_all(text, ' + chr(39) + '[#*$%&|!]{5,}' + chr(39) + '), lambda s: length(s))), 0)', 'length(text)')}, 6)"})
 per_document("T55_script_drift_ratio", lambda text, toks, rows: {"ratio": F.round(T.share((T.letters(text) - F.length(F.regexp_replace(text, r"[^\p{IsLatin}]", ""))).cast("double"), T.letters(text)), 6)}, {"ratio": rf"round({Q.share('(' + Q.letters('text') + chr(32) + '- length(regexp_replace(text, ' + chr(39) + '[^' + chr(92) + 'p{Latin}]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')))', Q.letters('text'))}, 6)"})
 single = lambda w: F.length(w) == 1
 per_document(
@@ -120,7 +119,6 @@ per_document(
     lambda text, toks, rows: {"single": F.round(T.share(F.size(F.filter(toks, single)).cast("double"), F.size(toks)), 4), "digit": F.round(T.share(F.size(F.filter(toks, lambda w: w.rlike("[0-9]"))).cast("double"), F.size(toks)), 4), "no_letter": F.round(T.share(F.size(F.filter(toks, lambda w: ~w.rlike(r"\p{L}"))).cast("double"), F.size(toks)), 4)},
     {"single": f"round({Q.share_of(q_toks, 'length(x) = 1', 'x')}, 4)", "digit": f"round({Q.share_of(q_toks, 'regexp_matches(x, ' + chr(39) + '[0-9]' + chr(39) + ')', 'x')}, 4)", "no_letter": rf"round({Q.share_of(q_toks, 'NOT regexp_matches(x, ' + chr(39) + chr(92) + 'p{L}' + chr(39) + ')', 'x')}, 4)"},
 )
-per_document("T48_junk_ratio", lambda text, toks, rows: {"ratio": F.round(T.share_of_lines(F.filter(toks, lambda w: F.length(w) >= 3), lambda w: (T.letters(w) * 2 < F.length(w)) | (T.vowel_ratio(w) < 0.1)), 4)}, {"ratio": f"round({Q.share_of('list_filter(' + q_toks + ', lambda y: length(y) >= 3)', '(' + Q.letters('x') + ' * 2 < length(x) OR ' + Q.vowel_ratio('x') + ' < 0.1e0)', 'x')}, 4)"})
 per_document("T31_trigrams", lambda text, toks, rows: {"n": F.size(T.trigrams(text)), "first": F.array_min(T.trigrams(text))}, {"n": rf"coalesce(list_sum(list_transform({q_toks}, lambda x: greatest(0, {Q.letters('lower(x)')} - 2))), 0)::INT", "first": rf"list_min(flatten(list_transform(list_transform({q_toks}, lambda x: regexp_replace(lower(x), '[^\p{{L}}]', '', 'g')), lambda x: list_transform(range(1, greatest(1, length(x) - 1)), lambda i: substr(x, i, 3)))))"})
 Q_LANGUAGE = "CASE lang WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' ELSE 'unknown' END"
 

@@ -89,3 +89,15 @@ def test_schemas_parse(spark):
 
     assert all(spark.createDataFrame([], ddl).columns for ddl in TABLES.values())
     assert len(TABLES) == 17
+
+
+def test_sequential_line_rules():
+    from palimpsest.functions import lines as L
+
+    assert L.collapse_single_runs("a b c word d e".split()) == (["[…]", "word", "d", "e"], 3)
+    assert L.collapse_fragments("a a mno y a nis word word word word".split())[0][0] == "[…]"
+    assert L.collapse_fragments(["a", "b"]) == (["a", "b"], 0)
+    assert L.merge_lines([("Reuerendi patris", 0.5), ("reuerendi patris.", 0.9), ("et domini", 0.7), ("", 0.1)]) == ["reuerendi patris.", "et domini"]
+    assert L.preferred("longer line", 0.5, "line?", 0.9) and not L.preferred("a", 0.4, "b", 0.5)
+    assert L.marked("qzx ok\nsame", "abc ok\nsame", lambda t: t == "qzx") == ("[…] ok\nsame", 1)
+    assert L.looks_like_false_hyphen("aB-c", True, lambda t: False) and not L.looks_like_false_hyphen("well-made", True, lambda t: False)
