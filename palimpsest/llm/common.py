@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
 
@@ -82,8 +83,8 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that ``column`` holds about ``limit`` bytes at most.
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that ``column`` holds about ``limit`` bytes, and they ``rows`` rows, at most.
 
     A single longer text is one batch of its own; no text is ever cut.
     """
@@ -96,7 +97,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_00
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, base + limit, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -200,7 +201,7 @@ def require_file(path: str) -> str:
 
 # ---- joins that stay even where a key is hot ----------------------------------
 
-HOT_KEYS = 5_000
+HOT_KEYS = 1_000
 
 
 def hot_threshold(rows: int) -> int:
@@ -215,6 +216,10 @@ def even_join(rows: DataFrame, table: DataFrame, key: str, how: str, n_rows: int
     HOT_KEYS) table rows, all others by a shuffle.
     """
     hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= hot_threshold(n_rows)).select(key)
+    # A made-up key is always among them, so the plan has one shape whether keys are hot or not.
+    kind = rows.schema[key].dataType
+    zero = F.lit(0).cast(kind) if not isinstance(kind, StructType) else F.struct(*[F.lit(0).cast(f.dataType).alias(f.name) for f in kind.fields])
+    hot = hot.unionByName(rows.sparkSession.range(1).select(zero.alias(key)))
     cold_rows = rows.join(F.broadcast(hot), key, "left_anti")
     hot_rows = rows.join(F.broadcast(hot), key, "left_semi")
     hot_table = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))

@@ -28,10 +28,20 @@ from palimpsest.llm.common import Words, discard, even_join, flag_known, gram_ha
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 30
-ROWS = 6
+#: Coordinates of a signature, bands drawn from them, and coordinates of a band.  At similarity 0.8 a pair shares
+#: a band with probability 0.999; at 0.33, as a shared passage gives, one band in 7000 collides.
+COORDINATES = 180
+BANDS = 44
+ROWS = 8
 SUB_BUCKET = 64
 LEAST_ROUNDS = 2
+#: Leaders of a sub-bucket in one round, by different orders of its members.
+ORDERS = 2
+SPREAD_STEPS = 8
+#: Members of a component that stay in a bucket after the first turn.
+REPRESENTATIVES = 4
+#: Darts of one batch, about: they need 100 bytes each.
+BATCH_DARTS = 1_000_000
 
 
 def shingles(texts: list[bytes], n: int = SHINGLE, weights: str = "presence") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,20 +126,22 @@ def signatures(e: np.ndarray, w: np.ndarray, d: np.ndarray, n: int, k: int) -> n
 
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """n x bands array of 64-bit bucket keys."""
-    parts = signature.reshape(len(signature), bands, rows)
-    out = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), parts.shape[:2]).copy()
+    """n x bands array of 64-bit bucket keys; every band hashes its own fixed draw of ``rows`` coordinates."""
+    draw = np.random.default_rng(11)
+    k = signature.shape[1]
+    parts = np.array([np.sort(draw.choice(k, rows, replace=False)) for _ in range(bands)])
+    out = np.broadcast_to(mix(np.arange(1, bands + 1, dtype=np.uint64)), (len(signature), bands)).copy()
     for j in range(rows):
-        out = mix(out ^ parts[:, :, j])
+        out = mix(out ^ signature[:, parts[:, j]])
     return out
 
 
-def _bands(n_gram: int, weights: str, bands: int, rows: int):
+def _bands(n_gram: int, weights: str, coordinates: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", rows=BATCH_DARTS // int(coordinates * (math.log(coordinates) + 2))):
             e, w, d = shingles(texts_of(batch.column(1)), n_gram, weights)
             has = np.unique(d)
-            keys = band_hashes(signatures(e, w, d, batch.num_rows, bands * rows)[has], bands, rows)
+            keys = band_hashes(signatures(e, w, d, batch.num_rows, coordinates)[has], bands, rows)
             nodes = batch.column(0).take(pa.array(np.repeat(has, bands)))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), nodes], names=["bucket", "node"])
 
@@ -160,16 +172,37 @@ def _verifier(n_gram: int, weights: str, threshold: float):
     return run
 
 
-def _verified(pairs: DataFrame, n_pairs: int, texts: DataFrame, n_gram: int, weights: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts reach ``threshold``."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("need"))
-    some = flag_known(texts, "node", needed, "need", 2 * n_pairs).where("maybe").select("node", "text").dropDuplicates(["node"])
-    joined = pairs.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, n_gram: int, weights: str, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts reach ``threshold``; ``texts`` has one row for each node."""
+    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_gram, weights, threshold), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each one's component, by alternating large and small stars.
+    """(node, label): the smallest node of each one's component; ``edges``: (a, b).
+
+    Labels spread along edges for some steps, enough for the flat graphs that
+    leaders make; if they still change then, alternating stars finish the work in
+    logarithmically many.  Every step writes its table to the shared folder.
+    """
+    pairs = edges.where("a <> b")
+    both = materialize(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "both")
+    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("moved")), "spread")
+    for _ in range(SPREAD_STEPS):
+        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        now = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
+        now = materialize(now, "spread")
+        discard(labels)
+        labels = now
+        if not labels.where("moved").limit(1).count():
+            discard(both)
+            return labels.select("node", "label")
+    discard(both)
+    return _stars(edges)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(node, label) by alternating large and small stars.
 
     ``edges``: (a, b).  Every step writes its edges to the shared folder, so no
     lineage grows; nodes of many edges are joined by broadcasting bounded tables.
@@ -195,47 +228,92 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
-def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
+def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
     """(node, label) for every node that has a near duplicate; ``texts``: (node, text), rows may repeat."""
-    every = materialize(texts.mapInArrow(_bands(n_gram, weights, bands, rows), "bucket long, node long"), "bands")
+    every = materialize(texts.mapInArrow(_bands(n_gram, weights, coordinates, bands, rows), "bucket long, node long"), "bands")
     shared = materialize(every.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "buckets")
     members = materialize(even_join(every, shared, "bucket", "left_semi", every.count()).distinct(), "members")
     discard(every)
     discard(shared)
-    labels = materialize(members.select("node", F.col("node").alias("label")).distinct(), "labels")
-    tested, turn = None, 0
+    n_members = members.count()
+    # The texts of all members, one row for each node, are set aside once; the others are read no more.
+    nodes = materialize(members.select(F.col("node").alias("need")).distinct(), "nodes")
+    some = flag_known(texts.select("node", "text"), "node", nodes, "need", nodes.count()).where("maybe").select("node", "text")
+    some = materialize(some.dropDuplicates(["node"]), "texts")
+    discard(nodes)
+    labels, tested, turn = None, None, 0
     while True:
-        # One node for each component of a bucket, picked anew in every round by a bijective order.
-        salt = (0x5851F42D4C957F2D * turn) & 0x7FFFFFFFFFFFFFFF
-        order = F.col("node").bitwiseXOR(F.lit(salt))
-        chosen = members.join(labels, "node").groupBy("bucket", "label").agg(F.min(order).alias("place"))
-        chosen = materialize(chosen.select("bucket", "place"), "chosen")
-        sizes = chosen.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2")
-        dealt = even_join(chosen, sizes, "bucket", "inner", chosen.count())
-        parts = F.expr(f"cast(pow(2, ceil(log2(greatest(n / {SUB_BUCKET}, 1)))) as long)")
-        dealt = dealt.select(F.xxhash64("bucket", F.pmod(F.xxhash64("place", F.lit(turn)), parts)).alias("sub"), "place")
-        leaders = dealt.groupBy("sub").agg(F.min("place").alias("leader"))
-        pairs = dealt.join(leaders, "sub").where("place <> leader").select(F.col("place").bitwiseXOR(F.lit(salt)).alias("x"), F.col("leader").bitwiseXOR(F.lit(salt)).alias("y"))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        if labels is not None:
+            members = materialize(_contracted(members, n_members, labels), "active")
+            n_members = members.count()
+        elif turn:
+            break
+        pairs = _leader_pairs(members, n_members, turn)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        discard(chosen)
         n_pairs = pairs.count()
-        links = materialize(_verified(pairs, n_pairs, texts, n_gram, weights, threshold), "links") if n_pairs else None
+        links = materialize(_verified(pairs, some, n_gram, weights, threshold), "links") if n_pairs else None
         turn += 1
         if links is not None and links.count():
-            by_label = links.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            merged = materialize(components(by_label), "components")
-            updated = even_join(labels.withColumnRenamed("label", "old"), merged.toDF("old", "label"), "old", "left", labels.count())
-            updated = materialize(updated.select("node", F.coalesce("label", "old").alias("label")), "labels")
-            discard(labels)
-            discard(merged)
-            labels = updated
+            if labels is None:
+                labels = materialize(components(links), "labels")
+            else:
+                known = lambda x: links.join(labels.toDF(x, f"l{x}"), x, "left").select("a", "b", F.coalesce(f"l{x}", x).alias(f"l{x}"))  # noqa: B023, E731
+                by_label = known("a").join(known("b"), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+                merged = materialize(components(by_label), "components")
+                every_node = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+                every_node = materialize(every_node.withColumnRenamed("label", "old"), "nodes")
+                updated = even_join(every_node, merged.toDF("old", "label"), "old", "left", every_node.count())
+                updated = materialize(updated.select("node", F.coalesce("label", "old").alias("label")), "labels")
+                for done in (labels, merged, every_node):
+                    discard(done)
+                labels = updated
         elif turn >= LEAST_ROUNDS or not n_pairs:
             break
         tested = pairs if tested is None else tested.unionByName(pairs)
+    discard(some)
+    if labels is None:
+        labels = texts.sparkSession.createDataFrame([], "node long, label long")
     return labels
 
 
+def _salts(first: int, count: int) -> list[int]:
+    return [(0x5851F42D4C957F2D * (first + k)) & 0x7FFFFFFFFFFFFFFF for k in range(count)]
+
+
+def _contracted(active: DataFrame, n_active: int, labels: DataFrame) -> DataFrame:
+    """(bucket, label, node): of every component in a bucket up to REPRESENTATIVES members, if the bucket holds several components."""
+    named = active.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    salts = _salts(1000, REPRESENTATIVES)
+    groups = named.groupBy("bucket", "label").agg(*[F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(salts)])
+    several = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2").select("bucket")
+    kept = even_join(groups, several, "bucket", "inner", n_active)
+    each = F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(salts)]))
+    return kept.select("bucket", "label", F.explode(each).alias("node"))
+
+
+def _leader_pairs(active: DataFrame, n_active: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of bucket members with leaders of their sub-buckets, each order of the turn with its own leader.
+
+    With a column ``label`` a component sends one member into each bucket.
+    """
+    salts = _salts(ORDERS * turn, ORDERS)
+    places = [F.col("node").bitwiseXOR(F.lit(x)) for x in salts]
+    if turn:
+        rows = active.groupBy("bucket", "label").agg(*[F.min(p).alias(f"p{k}") for k, p in enumerate(places)])
+    else:
+        rows = active.select("bucket", *[p.alias(f"p{k}") for k, p in enumerate(places)])
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("salt"), F.col(f"p{k}").alias("place")) for k, x in enumerate(salts)]))
+    dealt = rows.select("bucket", orders.alias("o")).select("bucket", "o.*")
+    # Of a bucket's members in the first turn, of its components later.
+    sizes = dealt.where("k = 0").groupBy("bucket").agg(F.count("*").alias("n"))
+    dealt = even_join(dealt, sizes, "bucket", "inner", ORDERS * n_active)
+    parts = F.expr(f"cast(pow(2, ceil(log2(greatest(n / {SUB_BUCKET}, 1)))) as long)")
+    dealt = dealt.select(F.xxhash64("bucket", "k", F.pmod(F.xxhash64("place"), parts)).alias("sub"), "place", "salt")
+    leaders = dealt.groupBy("sub").agg(F.min("place").alias("leader"))
+    pairs = dealt.join(leaders, "sub").where("place <> leader").select(F.col("place").bitwiseXOR(F.col("salt")).alias("x"), F.col("leader").bitwiseXOR(F.col("salt")).alias("y"))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _members(rows: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
     """``rows`` (doc_id, node) with ``label``, the node itself where it has none."""
     return even_join(rows, labels, "node", "left", n_rows).withColumn("label", F.coalesce("label", "node"))
