@@ -27,7 +27,8 @@ from palimpsest.llm.common import pick, require_file, sliced
 
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE_UNITS = 400_000
+#: Units of one of the two generations of the cache.
+CACHE_UNITS = 250_000
 CACHE_UNIT_CHARS = 64
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -57,9 +58,14 @@ class PieceCodec:
         for p, i in self.usable.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
+        self.longest = max(map(len, self.usable))
         self.shorter: dict[str, str] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[str, int, str]] = {}
+        self.older: dict[str, tuple[str, int, str]] = {}
+        self.shown = {p: f"{i}," for p, i in self.usable.items()}
+        singles = "".join(re.escape(p) for p in self.usable if len(p) == 1)
+        self.plain = re.compile(f"[{singles}]*")
 
     def merge(self, text: str) -> list[str]:
         """The pieces of ``text`` by merging the best-scored adjacent pair, leftmost first, until none is left."""
@@ -89,8 +95,14 @@ class PieceCodec:
         return [p for p in parts if p]
 
     def _longest(self, text: str, at: int) -> str:
-        piece = text[at : at + self.automaton.longest_prefix(text[at : at + 64])]
-        while piece and piece not in self.usable:
+        ahead = text[at : at + 24]
+        size = self.automaton.longest_prefix(ahead)
+        if size == 24:
+            ahead = text[at : at + self.longest]
+            size = self.automaton.longest_prefix(ahead)
+        piece = ahead[:size]
+        usable = self.usable
+        while piece and piece not in usable:
             piece = piece[:-1]
         return piece
 
@@ -197,11 +209,17 @@ class PieceCodec:
         """Decimal ids each followed by a comma, their number, and the decoded text with its marks."""
         known = self.cache.get(unit)
         if known is None:
-            ids = self.unit_ids(unit)
-            known = "".join([f"{i}," for i in ids]), len(ids), self._text(ids)
+            known = self.older.get(unit)
+            if known is None:
+                if len(unit) <= CACHE_UNIT_CHARS and self.plain.fullmatch(unit):
+                    pieces = self.backtrack(unit)
+                    known = "".join([self.shown[p] for p in pieces]), len(pieces), unit
+                else:
+                    ids = self.unit_ids(unit)
+                    known = "".join([f"{i}," for i in ids]), len(ids), self._text(ids)
             if len(unit) <= CACHE_UNIT_CHARS:
                 if len(self.cache) >= CACHE_UNITS:
-                    self.cache.clear()
+                    self.older, self.cache = self.cache, {}
                 self.cache[unit] = known
         return known
 
@@ -214,7 +232,7 @@ class PieceCodec:
             return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
         marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
         ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
-        held, tail, head = "", [], self.dummy_prefix
+        held, head = "", self.dummy_prefix
         units = UNIT.findall(marked)
         for k in range(0, len(units), 8192):  # bounded, whatever the text's length
             found = [self.unit(u) for u in units[k : k + 8192]]
@@ -227,7 +245,6 @@ class PieceCodec:
                 decoded = decoded.removeprefix(MARK)
                 head = False
             back.update(decoded.replace(MARK, " ").encode())
-        del tail
         return n, ids.hexdigest(), back.hexdigest()
 
     def encode(self, text: str) -> list[int]:
