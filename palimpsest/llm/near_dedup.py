@@ -8,10 +8,12 @@ a coordinate with the probability of their weighted Jaccard similarity, and a
 document costs its length plus k ln k steps.
 
 Runs of coordinates form bands; documents that share a band are candidates.
-Within a band's bucket no pairs are listed: members are compared with a leader
-of their sub-bucket (64 members on average) by the exact similarity of their
-whole texts, links are merged into components, and rounds with other leaders
-repeat between different components until a round adds no link.
+Members of a band's bucket are compared with a leader of their sub-bucket (64
+members on average) by the exact similarity of their whole texts, and links are
+merged into components.  Then every bucket that holds several components picks
+leaders, compares each with all its members of other components, and lets the
+leaders go, until what is left of it is one component: by then every pair of the
+bucket has been tested, is too different in size, or lies in one component.
 """
 
 from __future__ import annotations
@@ -34,9 +36,10 @@ COORDINATES = 180
 BANDS = 44
 ROWS = 8
 SUB_BUCKET = 64
-LEAST_ROUNDS = 2
 #: Leaders of a sub-bucket in one round, by different orders of its members.
 ORDERS = 2
+#: Leaders of a bucket in the first turn after that, twice as many in each later turn up to the second number.
+LEADERS, MOST_LEADERS = 4, 512
 SPREAD_STEPS = 8
 #: Members of a component that stay in a bucket after the first turn.
 REPRESENTATIVES = 4
@@ -143,7 +146,8 @@ def _bands(n_gram: int, weights: str, coordinates: int, bands: int, rows: int):
             has = np.unique(d)
             keys = band_hashes(signatures(e, w, d, batch.num_rows, coordinates)[has], bands, rows)
             nodes = batch.column(0).take(pa.array(np.repeat(has, bands)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), nodes], names=["bucket", "node"])
+            sizes = np.repeat(np.bincount(d, weights=w, minlength=batch.num_rows)[has], bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), nodes, pa.array(sizes)], names=["bucket", "node", "size"])
 
     return run
 
@@ -230,7 +234,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
     """(node, label) for every node that has a near duplicate; ``texts``: (node, text), rows may repeat."""
-    every = materialize(texts.mapInArrow(_bands(n_gram, weights, coordinates, bands, rows), "bucket long, node long"), "bands")
+    every = materialize(texts.mapInArrow(_bands(n_gram, weights, coordinates, bands, rows), "bucket long, node long, size double"), "bands")
     shared = materialize(every.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "buckets")
     members = materialize(even_join(every, shared, "bucket", "left_semi", every.count()).distinct(), "members")
     discard(every)
@@ -241,14 +245,22 @@ def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = TH
     some = flag_known(texts.select("node", "text"), "node", nodes, "need", nodes.count()).where("maybe").select("node", "text")
     some = materialize(some.dropDuplicates(["node"]), "texts")
     discard(nodes)
-    labels, tested, turn = None, None, 0
+    labels, tested, turn, read = None, None, 0, [members]
     while True:
-        if labels is not None:
-            members = materialize(_contracted(members, n_members, labels), "active")
-            n_members = members.count()
-        elif turn:
-            break
-        pairs = _leader_pairs(members, n_members, turn)
+        if turn:
+            active = materialize(_unsettled(members, n_members, labels), "active")
+            for done in read:
+                discard(done)
+            n_members = active.count()
+            if not n_members:
+                break
+            leaders = materialize(_leaders(active, turn), "leaders")
+            read = [active, leaders]
+            met = even_join(active, leaders, "bucket", "inner", n_members)
+            pairs = _met_pairs(met, threshold)
+            members = met.where("NOT exists(leaders, x -> x.node = node)").select("bucket", "node", "size")
+        else:
+            pairs = _leader_pairs(members, n_members, threshold)
         pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         n_pairs = pairs.count()
         links = materialize(_verified(pairs, some, n_gram, weights, threshold), "links") if n_pairs else None
@@ -267,8 +279,6 @@ def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = TH
                 for done in (labels, merged, every_node):
                     discard(done)
                 labels = updated
-        elif turn >= LEAST_ROUNDS or not n_pairs:
-            break
         tested = pairs if tested is None else tested.unionByName(pairs)
     discard(some)
     if labels is None:
@@ -280,38 +290,50 @@ def _salts(first: int, count: int) -> list[int]:
     return [(0x5851F42D4C957F2D * (first + k)) & 0x7FFFFFFFFFFFFFFF for k in range(count)]
 
 
-def _contracted(active: DataFrame, n_active: int, labels: DataFrame) -> DataFrame:
-    """(bucket, label, node): of every component in a bucket up to REPRESENTATIVES members, if the bucket holds several components."""
-    named = active.select("bucket", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _unsettled(active: DataFrame, n_active: int, labels: DataFrame | None) -> DataFrame:
+    """(bucket, label, node, size): of every component in a bucket up to REPRESENTATIVES members, if the bucket holds several components."""
+    named = active.withColumn("label", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     salts = _salts(1000, REPRESENTATIVES)
-    groups = named.groupBy("bucket", "label").agg(*[F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"m{k}") for k, x in enumerate(salts)])
+    groups = named.groupBy("bucket", "label").agg(*[F.min(F.struct(F.col("node").bitwiseXOR(F.lit(x)).alias("p"), "node", "size")).alias(f"m{k}") for k, x in enumerate(salts)])
     several = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2").select("bucket")
     kept = even_join(groups, several, "bucket", "inner", n_active)
-    each = F.array_distinct(F.array(*[F.col(f"m{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(salts)]))
-    return kept.select("bucket", "label", F.explode(each).alias("node"))
+    each = F.array_distinct(F.array(*[F.struct(f"m{k}.node", f"m{k}.size") for k in range(len(salts))]))
+    return kept.select("bucket", "label", F.explode(each).alias("m")).select("bucket", "label", "m.*")
 
 
-def _leader_pairs(active: DataFrame, n_active: int, turn: int) -> DataFrame:
-    """Pairs (a, b) of bucket members with leaders of their sub-buckets, each order of the turn with its own leader.
+def _as_pairs(x: str, y: str, threshold: float):
+    """Columns (a, b) of two structs of node and size, and whether their sizes allow the threshold."""
+    low, high = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")], low >= (threshold - 1e-9) * high
 
-    With a column ``label`` a component sends one member into each bucket.
-    """
-    salts = _salts(ORDERS * turn, ORDERS)
-    places = [F.col("node").bitwiseXOR(F.lit(x)) for x in salts]
-    if turn:
-        rows = active.groupBy("bucket", "label").agg(*[F.min(p).alias(f"p{k}") for k, p in enumerate(places)])
-    else:
-        rows = active.select("bucket", *[p.alias(f"p{k}") for k, p in enumerate(places)])
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("salt"), F.col(f"p{k}").alias("place")) for k, x in enumerate(salts)]))
-    dealt = rows.select("bucket", orders.alias("o")).select("bucket", "o.*")
-    # Of a bucket's members in the first turn, of its components later.
-    sizes = dealt.where("k = 0").groupBy("bucket").agg(F.count("*").alias("n"))
+
+def _leaders(active: DataFrame, turn: int) -> DataFrame:
+    """(bucket, leaders): for each bucket members of different components, and any members, by a hash of node and turn."""
+    count = min(LEADERS << (turn - 1), MOST_LEADERS)
+    rank = F.xxhash64("node", F.lit(turn))
+    slots = F.explode(F.array(F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(count)), F.pmod(rank, F.lit(count)) + count)).alias("slot")
+    best = active.select("bucket", "label", "node", "size", slots).groupBy("bucket", "slot").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "label")).alias("m"))
+    return best.groupBy("bucket").agg(F.collect_set(F.struct("m.node", "m.size", "m.label")).alias("leaders"))
+
+
+def _met_pairs(met: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members with every leader of their bucket that is of another component."""
+    pair, fit = _as_pairs("x", "y", threshold)
+    rows = met.select(F.struct("node", "size", "label").alias("x"), F.explode("leaders").alias("y")).where("x.label <> y.label")
+    return rows.where(fit).select(*pair).distinct()
+
+
+def _leader_pairs(active: DataFrame, n_active: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of bucket members with leaders of their sub-buckets, each order with its own leader."""
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64("node", F.lit(f"order {k}")).alias("rank")) for k in range(ORDERS)])).alias("o")
+    dealt = active.select("bucket", "node", "size", orders).select("bucket", "node", "size", "o.*")
+    sizes = active.groupBy("bucket").agg(F.count("*").alias("n"))
     dealt = even_join(dealt, sizes, "bucket", "inner", ORDERS * n_active)
     parts = F.expr(f"cast(pow(2, ceil(log2(greatest(n / {SUB_BUCKET}, 1)))) as long)")
-    dealt = dealt.select(F.xxhash64("bucket", "k", F.pmod(F.xxhash64("place"), parts)).alias("sub"), "place", "salt")
-    leaders = dealt.groupBy("sub").agg(F.min("place").alias("leader"))
-    pairs = dealt.join(leaders, "sub").where("place <> leader").select(F.col("place").bitwiseXOR(F.col("salt")).alias("x"), F.col("leader").bitwiseXOR(F.col("salt")).alias("y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    dealt = dealt.select(F.xxhash64("bucket", "k", F.pmod(F.xxhash64("rank"), parts)).alias("sub"), F.struct("rank", "node", "size").alias("x"))
+    leaders = dealt.groupBy("sub").agg(F.min("x").alias("y"))
+    pair, fit = _as_pairs("x", "y", threshold)
+    return dealt.join(leaders, "sub").where("x.node <> y.node").where(fit).select(*pair).distinct()
 
 
 def _members(rows: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:

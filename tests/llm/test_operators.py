@@ -358,6 +358,21 @@ def test_a_large_bucket_becomes_one_class(spark):
     assert {r["class_id"] for r in got} == {0} and {r["class_size"] for r in got} == {700}
 
 
+def in_one_bucket(monkeypatch):
+    monkeypatch.setattr(near_dedup, "band_hashes", lambda signature, bands, rows: np.zeros((len(signature), bands), dtype=np.uint64))
+
+
+def test_every_pair_of_a_bucket_is_tested(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    docs = []
+    for k in range(90):
+        w = prose(500 + k // 2, 150).split()
+        w[(k * 31) % 150] = f"new{k}"
+        docs.append((k, " ".join(w)))
+    got = near_dedup.near_duplicate_classes(frame(spark, docs, extra=False), bands=1).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == brute_classes(docs)
+
+
 def test_one_document_of_each_class_stays(spark, odd_rows):
     docs = frame(spark, odd_rows + near_copies(30))
     out = near_dedup.drop_near_duplicates(docs)
