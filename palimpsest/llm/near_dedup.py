@@ -41,8 +41,6 @@ ORDERS = 2
 #: Leaders of a bucket in the first turn after that, twice as many in each later turn up to the second number.
 LEADERS, MOST_LEADERS = 4, 512
 SPREAD_STEPS = 8
-#: Members of a component that stay in a bucket after the first turn.
-REPRESENTATIVES = 4
 #: Darts of one batch, about: they need 100 bytes each.
 BATCH_DARTS = 1_000_000
 
@@ -286,19 +284,11 @@ def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = TH
     return labels
 
 
-def _salts(first: int, count: int) -> list[int]:
-    return [(0x5851F42D4C957F2D * (first + k)) & 0x7FFFFFFFFFFFFFFF for k in range(count)]
-
-
 def _unsettled(active: DataFrame, n_active: int, labels: DataFrame | None) -> DataFrame:
-    """(bucket, label, node, size): of every component in a bucket up to REPRESENTATIVES members, if the bucket holds several components."""
+    """(bucket, node, size, label): all members of the buckets that hold several components."""
     named = active.withColumn("label", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    salts = _salts(1000, REPRESENTATIVES)
-    groups = named.groupBy("bucket", "label").agg(*[F.min(F.struct(F.col("node").bitwiseXOR(F.lit(x)).alias("p"), "node", "size")).alias(f"m{k}") for k, x in enumerate(salts)])
-    several = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n >= 2").select("bucket")
-    kept = even_join(groups, several, "bucket", "inner", n_active)
-    each = F.array_distinct(F.array(*[F.struct(f"m{k}.node", f"m{k}.size") for k in range(len(salts))]))
-    return kept.select("bucket", "label", F.explode(each).alias("m")).select("bucket", "label", "m.*")
+    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    return even_join(named, several, "bucket", "left_semi", n_active).select("bucket", "node", "size", "label")
 
 
 def _as_pairs(x: str, y: str, threshold: float):

@@ -373,6 +373,21 @@ def test_every_pair_of_a_bucket_is_tested(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == brute_classes(docs)
 
 
+def test_every_member_of_a_large_component_counts(spark, monkeypatch):
+    in_one_bucket(monkeypatch)
+    docs, w = [], prose(600, 200).split()
+    for k in range(16):
+        w[k * 5 % 200 : k * 5 % 200 + 3] = [f"a{k}", f"b{k}", f"c{k}"]
+        docs.append((k, " ".join(w)))
+        side = list(w)
+        side[(k * 5 + 60) % 200 : (k * 5 + 60) % 200 + 14] = [f"s{k}x{j}" for j in range(14)]
+        docs.append((100 + k, " ".join(side)))
+    got = near_dedup.near_duplicate_classes(frame(spark, docs, extra=False), bands=1).collect()
+    want = brute_classes(docs)
+    assert max(size for _, _, size in want) > 16
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == want
+
+
 def test_one_document_of_each_class_stays(spark, odd_rows):
     docs = frame(spark, odd_rows + near_copies(30))
     out = near_dedup.drop_near_duplicates(docs)
