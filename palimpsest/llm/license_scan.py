@@ -1,15 +1,18 @@
 """License scans by conditional compression.
 
-A line that speaks of licensing opens a candidate block.  The block is
-compressed with every template as a raw dictionary; the templates that save most
-are compared with it word for word, in that order, and the first whose wording
-differs in few enough words is the block's license.
+Words that speak of licensing open a candidate block.  For every template that
+has such words the block is laid around them, as far as a match that differs in
+few enough words can reach.  It is compressed with the template as a raw
+dictionary; every template that saves bytes is compared with it word for word,
+and the one with most words in common is the block's license.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,13 +66,9 @@ TEMPLATES = {
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
 }
-CUE = re.compile(r"licen[cs]|copyright|all rights reserved|permission (?:is hereby|to use)|redistribution and use|free software|creative commons", re.IGNORECASE)
+CUE = re.compile(r"licen[cs]|copyright|all\s+rights\s+reserved|permission\s+(?:is\s+hereby|to\s+use)|redistribution\s+and\s+use|free\s+software|creative\s+commons", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-TRIED = 4
 MOST_DIFFERENT = 0.15
-SLACK_WORDS = 12
-#: Characters that a block holds beyond a template's length, in parts of it.
-STRETCH = 1.3
 
 SCHEMA = (
     "doc_id long, n_blocks long, n_confirmed long, licenses array<string>, "
@@ -77,6 +76,17 @@ SCHEMA = (
 )
 
 
+def _words(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    found = [(m.group().lower(), m.span()) for m in WORD.finditer(text)]
+    return [w for w, _ in found], [s for _, s in found]
+
+
+def _cues(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int, int]]:
+    """Kind, number of its first word, start and end of every cue."""
+    starts = [a for a, _ in spans]
+    return [("".join(m.group().lower().split())[:5], bisect_right(starts, m.start()) - 1, *m.span()) for m in CUE.finditer(text)]
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         import zstandard
@@ -85,7 +95,9 @@ class Scanner:
         self.templates = []
         for name, text in templates:
             data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.templates.append((name, [w.lower() for w in WORD.findall(text)], len(text), zstandard.ZstdCompressor(level=3, dict_data=data)))
+            words, spans = _words(text)
+            places = {(kind, k) for kind, k, _, _ in _cues(text, spans)}
+            self.templates.append((name, words, Counter(words), places, zstandard.ZstdCompressor(level=3, dict_data=data)))
 
     def _differences(self, words: list[str], spans: list[tuple[int, int]], template: list[str]):
         """Missing and extra words of the best stretch of the block, its place, and the wording of the difference."""
@@ -93,63 +105,67 @@ class Scanner:
         same = [o for o in ops if o[0] == "equal"]
         if not same:
             return None
-        low, high = same[0][3], same[-1][4]
-        missing, extra, told = 0, 0, []
+
+        def cost(part):
+            common = sum(o[2] - o[1] for o in part)
+            return len(template) + part[-1][4] - part[0][3] - 2 * common
+
+        # Words before and after the notice may be in the template by chance.
+        while len(same) > 1 and min(cost(same[1:]), cost(same[:-1])) < cost(same):
+            same = min(same[1:], same[:-1], key=cost)
+        (_, i0, _, low, _), (_, _, i1, _, high) = same[0], same[-1]
+        missing, extra, told = i0, 0, [f"-{w}" for w in template[:i0]]
         for tag, i, j, k, m in ops:
-            k, m = max(k, low), min(m, high)
-            if tag != "equal":
+            if tag != "equal" and i0 <= i and j <= i1 and low <= k and m <= high:
                 missing += j - i
-                extra += max(0, m - k)
+                extra += m - k
                 told += [f"-{w}" for w in template[i:j]] + [f"+{w}" for w in words[k:m]]
+        missing += len(template) - i1
+        told += [f"-{w}" for w in template[i1:]]
         return missing, extra, spans[low][0], spans[high - 1][1], " ".join(told)
 
-    def block(self, text: str, start: int):
-        """The license of the block that starts at ``start``, or None."""
-        best, ranked = None, []
-        blocks: dict[int, tuple[bytes, int]] = {}
-        for name, template, size, compressor in self.templates:
-            reach = int(size * STRETCH) + 8
-            if reach not in blocks:
-                data = text[start : start + reach].encode()
-                blocks[reach] = data, len(self.plain.compress(data))
-            data, alone = blocks[reach]
-            saved = alone - len(compressor.compress(data))
-            ranked.append((saved / max(alone, 1), saved, name, template, reach))
-        ranked.sort(key=lambda x: (-x[0], -x[1], x[2]))
-        for reduction, saved, name, template, reach in ranked[:TRIED]:
-            found = [(m.group().lower(), m.span()) for m in WORD.finditer(text, start, min(len(text), start + reach))][: len(template) + SLACK_WORDS]
-            if not found or saved <= 0:
-                continue
-            words, spans = [w for w, _ in found], [s for _, s in found]
-            diff = self._differences(words, spans, template)
-            if diff and diff[0] + diff[1] <= MOST_DIFFERENT * len(template):
-                rank = (len(template) - diff[0] - diff[1], reduction)
-                if best is None or rank > best[0]:
-                    best = rank, {"start": diff[2], "end": diff[3], "license": name, "saved_bytes": saved, "reduction": reduction, "missing": diff[0], "extra": diff[1], "wording": diff[4]}
+    def block(self, text: str, words: list[str], spans: list[tuple[int, int]], kind: str, at: int, least: int):
+        """The license of the block around the cue in word ``at``, from word ``least`` on, or None."""
+        best, sizes = None, {}
+        for name, template, counts, places, compressor in self.templates:
+            slack = int(MOST_DIFFERENT * len(template))
+            # A template without cues may lie anywhere around.
+            reach = {(k + slack, len(template) - k + slack) for cue, k in places if cue == kind} if places else {(len(template) + slack, len(template) + slack)}
+            for before, after in sorted(reach):
+                low, high = max(least, at - before), min(len(words), at + after)
+                # So many words of the template at least must be there.
+                if sum((Counter(words[low:high]) & counts).values()) < len(template) - slack:
+                    continue
+                # White space does not count.
+                data = " ".join(text[spans[low][0] : spans[high - 1][1]].split()).encode()
+                if (low, high) not in sizes:
+                    sizes[low, high] = len(self.plain.compress(data))
+                saved = sizes[low, high] - len(compressor.compress(data))
+                diff = self._differences(words[low:high], spans[low:high], template)
+                if saved > 0 and diff and diff[0] + diff[1] <= MOST_DIFFERENT * len(template):
+                    reduction = saved / max(sizes[low, high], 1)
+                    rank = (len(template) - diff[0] - diff[1], reduction)
+                    if best is None or rank > best[0]:
+                        best = rank, {"start": diff[2], "end": diff[3], "license": name, "saved_bytes": saved, "reduction": reduction, "missing": diff[0], "extra": diff[1], "wording": diff[4]}
         return best and best[1]
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """Number of candidate blocks, and the confirmed matches in order of place."""
-        blocks, out, done = 0, [], -1
-        for cue in CUE.finditer(text):
-            line = text.rfind("\n", 0, cue.start()) + 1
-            if cue.start() < done or line == done:
+        if not CUE.search(text):
+            return 0, []
+        blocks, out, done, least = 0, [], -1, 0
+        words, spans = _words(text)
+        ends = [e for _, e in spans]
+        for kind, at, start, end in _cues(text, spans):
+            if start < done:
                 continue
             blocks += 1
-            # The notice may follow other words of its line: it starts at the line or a sentence of it.
-            starts = [line]
-            if cue.start() - line > 160:
-                starts = []
-            sentence = max(text.rfind(". ", line, cue.start()) + 2, text.rfind("! ", line, cue.start()) + 2, line)
-            if sentence not in starts:
-                starts.append(sentence)
-            for start in starts:
-                if match := self.block(text, start):
-                    out.append(match)
-                    done = match["end"]
-                    break
+            if match := self.block(text, words, spans, kind, at, least):
+                out.append(match)
+                done = match["end"]
+                least = bisect_right(ends, done)
             else:
-                done = cue.end()
+                done = end
         return blocks, out
 
 

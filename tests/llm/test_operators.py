@@ -440,6 +440,15 @@ def test_backoff_scores(spark, odd_rows):
 # ---- 7 ------------------------------------------------------------------------------------------------
 
 
+def test_licenses_anywhere_in_a_line():
+    scan = license_scan.scanner(tuple(license_scan.TEMPLATES.items())).scan
+    for name, notice in license_scan.TEMPLATES.items():
+        for text in ("(c) 2021 Example Corp and all contributors; " + notice, prose(3, 90) + ": " + notice + " " + prose(4, 90), notice.replace(" ", "      ")):
+            assert [m["license"] for m in scan(text)[1]] == [name]
+    low = "(c) 2021 Example Corp and all contributors; released under the MIT License."
+    assert [low[m["start"] : m["end"]] for m in scan(low)[1]] == ["released under the MIT License"]
+
+
 def test_license_scan(spark, odd_rows):
     mit = license_scan.TEMPLATES["mit"]
     docs = odd_rows + [
