@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.plans.retrieval import cosine, vectors
 from palimpsest.plans.store import C_SQL, D_SQL, M_SQL, candidates, decisions, mentions, read
+from palimpsest.plans.text_quality import DOCS, documents
 from palimpsest.registry import register
 
 register("S8_list_quality_reports_all", lambda s, d: decisions(s, d).select("mention_id", (F.col("status") == "ACCEPT_LINKABLE").alias("ner_allowed")), f"WITH {D_SQL} SELECT mention_id, status = 'ACCEPT_LINKABLE' AS ner_allowed FROM decisions")
@@ -42,3 +43,10 @@ def q_top(k: int, where: str = "true") -> str:
 register("V1_retrieve_chunks_all", lambda s, d: top_of_each(s, d, 5), q_top(5))
 register("V2_retrieve_entities_all", lambda s, d: top_of_each(s, d, 4, "label IN (1, 2, 3)"), q_top(4, "label IN (1, 2, 3)"))
 register("V7_retrieve_debug_all", lambda s, d: top_of_each(s, d, 20).withColumn("distance", F.round(1 - F.col("score"), 4)), f"SELECT *, round(1 - score, 4) AS distance FROM ({q_top(20)})")
+
+SIGNATURE = r"regexp_replace(regexp_replace(lower(text), '^[^\p{L}\p{Nl}\p{No}]+', ''), '[^\p{L}\p{N}]+', ' ', 'g')"
+register(
+    "T58_repeat_signature_all",
+    lambda s, d: documents(s, d).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"^[^\p{L}\p{Nl}\p{No}]+", ""), r"[^\p{L}\p{N}]+", " ")).alias("signature")),
+    f"WITH {DOCS} SELECT doc_id, trim({SIGNATURE}) AS signature FROM docs",
+)
