@@ -43,13 +43,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
     Only where neither that setting nor a checkpoint folder of the context is
-    set (local tests) does this set a folder of its own.
+    set, and driver and executors are one process, does this set a folder of its own.
     """
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not known:
         known = sc.getCheckpointDir()
     if not known:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         known = tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(known)
     return known
@@ -83,7 +85,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4_000_000, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1_000_000, rows: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``limit`` bytes, and they ``rows`` rows, at most.
 
     A single longer text is one batch of its own; no text is ever cut.
@@ -111,6 +113,8 @@ _GRAM_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 _IS_SEPARATOR = np.zeros(256, dtype=bool)
 _IS_SEPARATOR[list(SEPARATORS)] = True
 _POWERS: dict[int, np.ndarray] = {}
+#: Longer tables (8 bytes an entry, some ten bases) are made anew each time.
+KEPT_POWERS = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -121,7 +125,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(size, np.uint64(base), dtype=np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if size <= 1 << 22:
+        if size <= KEPT_POWERS:
             _POWERS[base] = have
     return have[:n]
 
@@ -226,6 +230,17 @@ def even_join(rows: DataFrame, table: DataFrame, key: str, how: str, n_rows: int
     return cold_rows.join(table, key, how).unionByName(hot_rows.join(hot_table, key, how))
 
 
+#: Rows of a table of two or three numbers that may be broadcast (a few MB).
+BROADCAST_ROWS = 250_000
+
+
+def sized_join(rows: DataFrame, table: DataFrame, key: str, how: str, n_rows: int, n_table: int) -> DataFrame:
+    """:func:`even_join`, but a ``table`` that was counted to have few rows is broadcast whole."""
+    if n_table <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key, how)
+    return even_join(rows, table, key, how, n_rows)
+
+
 # ---- bounded Bloom filters for Python stages -----------------------------------
 
 FILTER_BITS = 1 << 27
