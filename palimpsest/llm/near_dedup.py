@@ -8,12 +8,14 @@ a coordinate with the probability of their weighted Jaccard similarity, and a
 document costs its length plus k ln k steps.
 
 Runs of coordinates form bands; documents that share a band are candidates.
-Members of a band's bucket are compared with a leader of their sub-bucket (64
-members on average) by the exact similarity of their whole texts, and links are
-merged into components.  Then every bucket that holds several components picks
-leaders, compares each with all its members of other components, and lets the
-leaders go, until what is left of it is one component: by then every pair of the
-bucket has been tested, is too different in size, or lies in one component.
+First every member of a band's bucket is compared with the bucket's smallest node
+by the exact similarity of their whole texts, and links are merged into
+components.  Then, in each bucket that holds several components, the members
+outside the largest one are compared with all members.  Comparisons are made in
+cells of bounded size (some asked members, some others), each by one task; a
+bucket with very many members outside lets some of them go a turn, four times as
+many in each turn.  At the end every pair of a bucket has been tested, is too
+different in size, or lies in one component.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, discard, even_join, flag_known, gram_hashes, materialize, mix, pick, positional, sliced, texts_of
+from palimpsest.llm.common import Words, discard, even_join, flag_known, gram_hashes, materialize, mix, pick, positional, sized_join, sliced, texts_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -35,14 +37,14 @@ THRESHOLD = 0.8
 COORDINATES = 180
 BANDS = 44
 ROWS = 8
-SUB_BUCKET = 64
-#: Leaders of a sub-bucket in one round, by different orders of its members.
-ORDERS = 2
-#: Leaders of a bucket in the first turn after that, twice as many in each later turn up to the second number.
-LEADERS, MOST_LEADERS = 4, 512
-SPREAD_STEPS = 8
+#: Shingles of either side of a cell, about; a document that has more is a side of its own.
+CELL = 60_000
+#: Members outside the largest component that a bucket compares with all others in the first turn.
+OTHERS = 256
+#: Links that one task merges.
+SMALL = 100_000
 #: Darts of one batch, about: they need 100 bytes each.
-BATCH_DARTS = 1_000_000
+BATCH_DARTS = 500_000
 
 
 def shingles(texts: list[bytes], n: int = SHINGLE, weights: str = "presence") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,6 +144,8 @@ def _bands(n_gram: int, weights: str, coordinates: int, bands: int, rows: int):
         for batch in sliced(batches, "text", rows=BATCH_DARTS // int(coordinates * (math.log(coordinates) + 2))):
             e, w, d = shingles(texts_of(batch.column(1)), n_gram, weights)
             has = np.unique(d)
+            # Equal texts of a batch give one set of rows.
+            has = has[np.unique(batch.column(0).to_numpy()[has], return_index=True)[1]]
             keys = band_hashes(signatures(e, w, d, batch.num_rows, coordinates)[has], bands, rows)
             nodes = batch.column(0).take(pa.array(np.repeat(has, bands)))
             sizes = np.repeat(np.bincount(d, weights=w, minlength=batch.num_rows)[has], bands)
@@ -150,65 +154,84 @@ def _bands(n_gram: int, weights: str, coordinates: int, bands: int, rows: int):
     return run
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets given as sorted hashes with weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return both / max(a[1].sum() + b[1].sum() - both, 1e-300)
+def similarities(one: int, first: np.ndarray, ids: np.ndarray, w: np.ndarray, total: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of document ``one`` with all of a cell.
 
-
-def _verifier(n_gram: int, weights: str, threshold: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text_a", 2_000_000):
-            texts = texts_of(batch.column(2)) + texts_of(batch.column(3))
-            place: dict[bytes, int] = {}
-            for t in texts:
-                place.setdefault(t, len(place))
-            e, w, d = shingles(list(place), n_gram, weights)
-            first = np.searchsorted(d, np.arange(len(place) + 1))
-            part = lambda t: (e[first[place[t]] : first[place[t] + 1]], w[first[place[t]] : first[place[t] + 1]])  # noqa: B023, E731
-            n = batch.num_rows
-            good = [similarity(part(texts[i]), part(texts[n + i])) >= threshold - 1e-12 for i in range(n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
+    Document k has the shingles ``ids[first[k]:first[k + 1]]`` with weights ``w``
+    that sum to ``total[k]``; ``own`` is a zeroed array with a place for each shingle.
+    """
+    mine = slice(first[one], first[one + 1])
+    own[ids[mine]] = w[mine]
+    both = np.add.reduceat(np.minimum(own[ids], w), first[:-1])
+    own[ids[mine]] = 0
+    return both / (total[one] + total - both)
+
+
+def _tester(n_gram: int, weights: str, threshold: float):
+    """Compare every asked member of a cell with all members of other components; a spanning set of links comes out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes, at, place = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
+        label = table.column("label").to_numpy()[at]
+        asked = np.zeros(len(nodes), dtype=bool)
+        asked[place[table.column("asked").to_numpy()]] = True
+        e, w, d = shingles(texts_of(table.column("text").take(pa.array(at))), n_gram, weights)
+        first = np.searchsorted(d, np.arange(len(nodes) + 1))
+        total = np.add.reduceat(w, first[:-1])
+        ids = np.unique(e, return_inverse=True)[1]
+        own = np.zeros(ids.max() + 1)
+        names, root = np.unique(label, return_inverse=True)
+        links = []
+        for i in np.flatnonzero(asked):
+            low, high = np.minimum(total, total[i]), np.maximum(total, total[i])
+            if not ((root != root[i]) & (low >= (threshold - 1e-9) * high)).any():
+                continue
+            near = similarities(i, first, ids, w, total, own) >= threshold - 1e-12
+            for j in np.flatnonzero(near & (root != root[i])):
+                if root[j] != root[i]:
+                    links.append((label[i], label[j]))
+                    root[root == root[j]] = root[i]
+        a, b = np.array(links, dtype=np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n_gram: int, weights: str, threshold: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole texts reach ``threshold``; ``texts`` has one row for each node."""
-    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(n_gram, weights, threshold), "a long, b long")
+def _links(cells: DataFrame, texts: DataFrame, n_gram: int, weights: str, threshold: float) -> DataFrame:
+    """Links (a, b) between components; ``cells``: (cell, node, label, asked), ``texts`` has one row for each node."""
+    rows = cells.join(texts, "node").select("cell", "node", "label", "asked", "text")
+    return rows.groupBy("cell").applyInArrow(_tester(n_gram, weights, threshold), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each one's component; ``edges``: (a, b).
+# ---- components --------------------------------------------------------------------
 
-    Labels spread along edges for some steps, enough for the flat graphs that
-    leaders make; if they still change then, alternating stars finish the work in
-    logarithmically many.  Every step writes its table to the shared folder.
-    """
-    pairs = edges.where("a <> b")
-    both = materialize(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "both")
-    labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"), F.lit(True).alias("moved")), "spread")
-    for _ in range(SPREAD_STEPS):
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        now = labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved"))
-        now = materialize(now, "spread")
-        discard(labels)
-        labels = now
-        if not labels.where("moved").limit(1).count():
-            discard(both)
-            return labels.select("node", "label")
-    discard(both)
-    return _stars(edges)
-
-
-def _stars(edges: DataFrame) -> DataFrame:
-    """(node, label) by alternating large and small stars.
-
-    ``edges``: (a, b).  Every step writes its edges to the shared folder, so no
-    lineage grows; nodes of many edges are joined by broadcasting bounded tables.
+
+def _small_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [np.column_stack([x.column(0).to_numpy(), x.column(1).to_numpy()]) for x in batches]
+    nodes, place = np.unique(np.concatenate(held or [np.zeros((0, 2), dtype=np.int64)]), return_inverse=True)
+    a, b = place.reshape(-1, 2).T
+    up = np.arange(len(nodes))
+    while True:
+        least = np.minimum(up[a], up[b])
+        now = up.copy()
+        for side in (a, b, up[a], up[b]):
+            np.minimum.at(now, side, least)
+        now = now[now]
+        if (now == up).all():
+            break
+        up = now
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[up])], names=["node", "label"])
+
+
+def components(edges: DataFrame, n_edges: int | None = None) -> DataFrame:
+    """(node, label): the smallest node of each one's component; ``edges``: (a, b), distinct.
+
+    At most SMALL links (16 bytes each) are merged by one task; more of them by
+    alternating large and small stars over the cluster, every step of which writes
+    its edges to the shared folder, so no lineage grows.
     """
+    if (edges.count() if n_edges is None else n_edges) <= SMALL:
+        return edges.select("a", "b").coalesce(1).mapInArrow(_small_components, "node long, label long")
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
@@ -230,105 +253,118 @@ def _stars(edges: DataFrame) -> DataFrame:
         before = mark
 
 
-def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
-    """(node, label) for every node that has a near duplicate; ``texts``: (node, text), rows may repeat."""
-    every = materialize(texts.mapInArrow(_bands(n_gram, weights, coordinates, bands, rows), "bucket long, node long, size double"), "bands")
-    shared = materialize(every.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "buckets")
-    members = materialize(even_join(every, shared, "bucket", "left_semi", every.count()).distinct(), "members")
-    discard(every)
-    discard(shared)
-    n_members = members.count()
-    # The texts of all members, one row for each node, are set aside once; the others are read no more.
-    nodes = materialize(members.select(F.col("node").alias("need")).distinct(), "nodes")
-    some = flag_known(texts.select("node", "text"), "node", nodes, "need", nodes.count()).where("maybe").select("node", "text")
-    some = materialize(some.dropDuplicates(["node"]), "texts")
-    discard(nodes)
-    labels, tested, turn, read = None, None, 0, [members]
-    while True:
-        if turn:
-            active = materialize(_unsettled(members, n_members, labels), "active")
-            for done in read:
-                discard(done)
-            n_members = active.count()
-            if not n_members:
-                break
-            leaders = materialize(_leaders(active, turn), "leaders")
-            read = [active, leaders]
-            met = even_join(active, leaders, "bucket", "inner", n_members)
-            pairs = _met_pairs(met, threshold)
-            members = met.where("NOT exists(leaders, x -> x.node = node)").select("bucket", "node", "size")
-        else:
-            pairs = _leader_pairs(members, n_members, threshold)
-        pairs = materialize(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        n_pairs = pairs.count()
-        links = materialize(_verified(pairs, some, n_gram, weights, threshold), "links") if n_pairs else None
-        turn += 1
-        if links is not None and links.count():
-            if labels is None:
-                labels = materialize(components(links), "labels")
-            else:
-                known = lambda x: links.join(labels.toDF(x, f"l{x}"), x, "left").select("a", "b", F.coalesce(f"l{x}", x).alias(f"l{x}"))  # noqa: B023, E731
-                by_label = known("a").join(known("b"), ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-                merged = materialize(components(by_label), "components")
-                every_node = labels.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
-                every_node = materialize(every_node.withColumnRenamed("label", "old"), "nodes")
-                updated = even_join(every_node, merged.toDF("old", "label"), "old", "left", every_node.count())
-                updated = materialize(updated.select("node", F.coalesce("label", "old").alias("label")), "labels")
-                for done in (labels, merged, every_node):
-                    discard(done)
-                labels = updated
-        tested = pairs if tested is None else tested.unionByName(pairs)
-    discard(some)
+def _relabel(labels: DataFrame | None, merged: DataFrame) -> DataFrame:
+    """``labels`` after components (node, label) of labels were merged."""
+    merged = materialize(merged, "merged")
     if labels is None:
-        labels = texts.sparkSession.createDataFrame([], "node long, label long")
-    return labels
+        return merged
+    new = sized_join(labels.withColumnRenamed("label", "old"), merged.toDF("old", "label"), "old", "left", labels.count(), merged.count())
+    new = new.select("node", F.coalesce("label", "old").alias("label")).unionByName(merged)
+    return materialize(new.groupBy("node").agg(F.min("label").alias("label")), "labels")
 
 
-def _unsettled(active: DataFrame, n_active: int, labels: DataFrame | None) -> DataFrame:
-    """(bucket, node, size, label): all members of the buckets that hold several components."""
-    named = active.withColumn("label", F.col("node")) if labels is None else active.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
-    return even_join(named, several, "bucket", "left_semi", n_active).select("bucket", "node", "size", "label")
+# ---- buckets ------------------------------------------------------------------------
 
 
-def _as_pairs(x: str, y: str, threshold: float):
-    """Columns (a, b) of two structs of node and size, and whether their sizes allow the threshold."""
-    low, high = F.least(f"{x}.size", f"{y}.size"), F.greatest(f"{x}.size", f"{y}.size")
-    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")], low >= (threshold - 1e-9) * high
+def _shared_members(texts: DataFrame, run) -> DataFrame:
+    """(bucket, node, size, lead): members of buckets with several nodes, without buckets that repeat the members of another.
 
+    ``lead`` is the member with the smallest node.
+    """
+    every = materialize(texts.mapInArrow(run, "bucket long, node long, size double"), "bands")
+    shared = materialize(every.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("bucket"), "buckets")
+    members = materialize(sized_join(every, shared, "bucket", "left_semi", every.count(), shared.count()).distinct(), "members")
+    mark = [F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.min(F.struct("node", "size")).alias("lead")]
+    kept = members.groupBy("bucket").agg(*mark).groupBy("n", "x", "y").agg(F.min(F.struct("bucket", "lead")).alias("one")).select("one.*")
+    kept = materialize(kept, "kept")
+    out = materialize(sized_join(members, kept, "bucket", "inner", members.count(), kept.count()).select("bucket", "node", "size", "lead"), "members")
+    for done in (every, shared, members, kept):
+        discard(done)
+    return out
 
-def _leaders(active: DataFrame, turn: int) -> DataFrame:
-    """(bucket, leaders): for each bucket members of different components, and any members, by a hash of node and turn."""
-    count = min(LEADERS << (turn - 1), MOST_LEADERS)
-    rank = F.xxhash64("node", F.lit(turn))
-    slots = F.explode(F.array(F.pmod(F.xxhash64("label", F.lit(turn)), F.lit(count)), F.pmod(rank, F.lit(count)) + count)).alias("slot")
-    best = active.select("bucket", "label", "node", "size", slots).groupBy("bucket", "slot").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "label")).alias("m"))
-    return best.groupBy("bucket").agg(F.collect_set(F.struct("m.node", "m.size", "m.label")).alias("leaders"))
 
+def _lead_cells(members: DataFrame, threshold: float) -> DataFrame:
+    """Each lead with every member of its buckets, in cells of bounded size."""
+    fit = F.least("size", "lead.size") >= (threshold - 1e-9) * F.greatest("size", "lead.size")
+    pairs = materialize(members.where(F.col("node") != F.col("lead.node")).where(fit).select(F.col("lead.node").alias("first"), "node", "size").distinct(), "pairs")
+    of_lead = pairs.groupBy("first").agg(F.ceil(F.sum("size") / CELL).alias("parts"))
+    n = pairs.count()
+    dealt = sized_join(pairs, of_lead, "first", "inner", n, n).select("first", "node", F.xxhash64("first", F.pmod(F.xxhash64("node"), "parts")).alias("cell"))
+    dealt = materialize(dealt, "dealt")
+    leads = dealt.select("cell", F.col("first").alias("node")).distinct()
+    return dealt.select("cell", "node", F.lit(False).alias("asked")).unionByName(leads.withColumn("asked", F.lit(True))).withColumn("label", F.col("node"))
 
-def _met_pairs(met: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of members with every leader of their bucket that is of another component."""
-    pair, fit = _as_pairs("x", "y", threshold)
-    rows = met.select(F.struct("node", "size", "label").alias("x"), F.explode("leaders").alias("y")).where("x.label <> y.label")
-    return rows.where(fit).select(*pair).distinct()
+
+def _open_members(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, node, size, label, main, ...): all members of the buckets that hold several components.
+
+    ``main`` is the label of the largest component there; ``others`` counts the
+    members outside it, ``other_size`` and ``all_size`` are sums of their sizes.
+    """
+    rows = members.select("bucket", "node", "size")
+    if labels is not None:
+        rows = sized_join(rows, labels, "node", "left", members.count(), labels.count())
+    rows = rows.select("bucket", "node", "size", F.coalesce("label", "node").alias("label") if labels is not None else F.col("node").alias("label"))
+    rows = materialize(rows, "named")
+    parts = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    of_bucket = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("all_size"), F.count("*").alias("labels"), F.max_by("s", F.struct("n", "label")).alias("top_size"))
+    several = of_bucket.where("labels > 1").select("bucket", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("others"), (F.col("all_size") - F.col("top_size")).alias("other_size"), "all_size")
+    several = materialize(several, "several")
+    out = materialize(sized_join(rows, several, "bucket", "inner", rows.count(), several.count()), "open")
+    discard(rows)
+    discard(several)
+    return out
+
+
+def _other_cells(rows: DataFrame, turn: int, cell: float) -> tuple[DataFrame, DataFrame]:
+    """Cells that compare members outside the main component with all members of their bucket, and the rows left for later.
+
+    A bucket with at most so many of them as the turn allows is done for good;
+    else some are compared with all members and leave the bucket.
+    """
+    most = OTHERS << (2 * (turn - 1))
+    share = F.ceil(F.col("others") / most)
+    asked = (F.col("label") != F.col("main")) & (F.pmod(F.xxhash64("node", F.lit(turn)), share) == 0)
+    left = F.ceil(F.col("other_size") / share / cell)
+    right = F.ceil(F.col("all_size") / cell)
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), n)
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    meet = lambda mine, all_: F.explode(F.transform(up_to(all_), mine))
+    key = lambda i, j: F.xxhash64("bucket", i, j)
+    ask = rows.where(asked).select(meet(lambda j: key(block(left), j), right).alias("cell"), "node", "label", F.lit(True).alias("asked"))
+    answer = rows.select(meet(lambda i: key(i, block(right)), left).alias("cell"), "node", "label", F.lit(False).alias("asked"))
+    later = rows.where(share > 1).where(~asked).select("bucket", "node", "size")
+    return ask.unionByName(answer), later
 
 
-def _leader_pairs(active: DataFrame, n_active: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of bucket members with leaders of their sub-buckets, each order with its own leader."""
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64("node", F.lit(f"order {k}")).alias("rank")) for k in range(ORDERS)])).alias("o")
-    dealt = active.select("bucket", "node", "size", orders).select("bucket", "node", "size", "o.*")
-    sizes = active.groupBy("bucket").agg(F.count("*").alias("n"))
-    dealt = even_join(dealt, sizes, "bucket", "inner", ORDERS * n_active)
-    parts = F.expr(f"cast(pow(2, ceil(log2(greatest(n / {SUB_BUCKET}, 1)))) as long)")
-    dealt = dealt.select(F.xxhash64("bucket", "k", F.pmod(F.xxhash64("rank"), parts)).alias("sub"), F.struct("rank", "node", "size").alias("x"))
-    leaders = dealt.groupBy("sub").agg(F.min("x").alias("y"))
-    pair, fit = _as_pairs("x", "y", threshold)
-    return dealt.join(leaders, "sub").where("x.node <> y.node").where(fit).select(*pair).distinct()
+def similar_nodes(texts: DataFrame, n_gram: int = SHINGLE, threshold: float = THRESHOLD, coordinates: int = COORDINATES, bands: int = BANDS, rows: int = ROWS, weights: str = "presence") -> DataFrame:
+    """(node, label) for every node that has a near duplicate; ``texts``: (node, text), rows may repeat."""
+    members = _shared_members(texts, _bands(n_gram, weights, coordinates, bands, rows))
+    # The texts of all members, one row for each node, are set aside once; the others are read no more.
+    nodes = materialize(members.select(F.col("node").alias("need")).distinct(), "nodes")
+    some = flag_known(texts.select("node", "text"), "node", nodes, "need", nodes.count()).where("maybe").select("node", "text")
+    some = materialize(some.dropDuplicates(["node"]), "texts")
+    discard(nodes)
+    labels, turn, cells, asked = None, 0, _lead_cells(members, threshold), some
+    while True:
+        links = materialize(_links(cells, asked, n_gram, weights, threshold), "links")
+        n_links = links.count()
+        if n_links:
+            labels = _relabel(labels, components(links, n_links))
+        turn += 1
+        open_ = _open_members(members, labels)
+        discard(members)
+        if not open_.count():
+            break
+        cells, members = _other_cells(open_, turn, CELL)
+        need = materialize(open_.select("node").distinct(), "need")
+        asked = sized_join(some, need, "node", "left_semi", some.count(), need.count())
+    return texts.sparkSession.createDataFrame([], "node long, label long") if labels is None else labels
 
 
 def _members(rows: DataFrame, labels: DataFrame, n_rows: int) -> DataFrame:
     """``rows`` (doc_id, node) with ``label``, the node itself where it has none."""
-    return even_join(rows, labels, "node", "left", n_rows).withColumn("label", F.coalesce("label", "node"))
+    return sized_join(rows, labels, "node", "left", n_rows, labels.count()).withColumn("label", F.coalesce("label", "node"))
 
 
 def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -339,15 +375,16 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", doc_id: str = "d
     component of links, class_id its smallest doc_id (null only if all its ids
     are), class_size its rows.  ``kept`` marks the row whose id is class_id; rows
     that repeat id and text are marked alike.  Texts are told apart by a 64-bit
-    hash.
+    hash.  An empty table gives no rows; further columns are ignored.
     """
     base = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     base = base.withColumn("node", F.xxhash64("text"))
     labels = similar_nodes(base.select("node", "text"), **options)
     members = materialize(_members(base.select("doc_id", "node"), labels, base.count()).select("doc_id", "label"), "class-members")
-    classes = members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    out = even_join(members, classes, "label", "inner", members.count())
-    return out.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classes = materialize(members.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size >= 2"), "classes")
+    out = sized_join(members, classes, "label", "left", members.count(), classes.count())
+    class_id = F.coalesce("class_id", "doc_id")
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
@@ -363,7 +400,7 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     members = materialize(_members(rows.select(F.col(key).alias("doc_id"), "node"), labels, rows.count()), "class-members")
     winners = members.groupBy("label").agg(F.min(F.struct("doc_id", "node")).alias("best"), F.count("*").alias("n")).where("n >= 2")
     winners = materialize(winners.select("label", F.col("best.doc_id").alias("win_id"), F.col("best.node").alias("win_node")), "winners")
-    grouped = even_join(members, winners.select("label"), "label", "left_semi", members.count()).select(F.col("node").alias("in_class")).distinct()
+    grouped = sized_join(members, winners.select("label"), "label", "left_semi", members.count(), winners.count()).select(F.col("node").alias("in_class")).distinct()
     grouped = materialize(grouped, "grouped")
     flagged = flag_known(rows, "node", grouped, "in_class", grouped.count())
     alone = flagged.where("NOT maybe").select(*flat.columns)

@@ -1,6 +1,7 @@
 """Each operator against brute force, on odd rows and on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -11,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from palimpsest.llm import exact_dedup, license_scan, lm_backoff, near_dedup, packing, piece_codec, quality_qda, repetition, substring_dedup, token_counts
+from palimpsest.llm import common, exact_dedup, license_scan, lm_backoff, near_dedup, packing, piece_codec, quality_qda, repetition, substring_dedup, token_counts
 from palimpsest.llm.common import Words, even_join, gram_hashes
 from palimpsest.llm.queries import ORACLE, QUERIES
 from tests.compare import connection, rows
@@ -298,6 +299,39 @@ def test_repeated_passages(spark, odd_rows, window, anchor):
     assert substring_dedup.passage_report(empty(spark)).count() == 0
 
 
+def test_longest_matches_and_factors():
+    rng = random.Random(8)
+    for _ in range(150):
+        stretches = [[rng.randint(0, 2) for _ in range(rng.randint(1, 14))] for _ in range(rng.randint(1, 6))]
+        flat, ends = np.array([x for s in stretches for x in s], dtype=np.uint64), np.cumsum([len(s) for s in stretches])
+        places = [s[j:] for s in stretches for j in range(len(s))]
+        common_part = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        best = [max((common_part(a, b) for q, b in enumerate(places) if q != p), default=0) for p, a in enumerate(places)]
+        matches = substring_dedup.longest_matches(flat, ends)
+        assert matches.tolist() == best
+        begins = ends - np.diff(ends, prepend=0)
+        start, size = substring_dedup.factors(matches, begins, ends)
+        assert sorted(p for a, n in zip(start, size) for p in range(a, a + n)) == list(range(len(flat)))
+        assert all(n == max(1, best[a]) for a, n in zip(start, size))
+        asked = np.flatnonzero([rng.random() < 0.7 for _ in stretches])
+        owner = np.repeat(np.arange(len(stretches)), np.diff(ends, prepend=0))
+        assert substring_dedup.duplicate_windows(flat, ends, asked, 3).tolist() == [best[p] >= 3 and owner[p] in asked for p in range(len(flat))]
+
+
+def test_passages_in_many_small_blocks_and_hot_anchors(spark, odd_rows):
+    shared = prose(20, 60)
+    docs = odd_rows + [(100 + k, f"{prose(30 + k, 20)} {shared} {prose(60 + k, 10)}") for k in range(12)] + [(300 + k, prose(80, 50)) for k in range(3)]
+    for options in ({"block_chunks": 1}, {"anchor_chunks": 1}, {"anchor_chunks": 3, "block_chunks": 2}):
+        got = substring_dedup.passage_report(frame(spark, docs), window=12, anchor=4, **options).collect()
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_spans(docs, 12)
+
+
+def test_many_equal_rows_say_the_same_once(spark):
+    docs = [(7, prose(21, 60))] * 200 + [(8, prose(22, 40))]
+    got = substring_dedup.passage_report(frame(spark, docs)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_spans(docs, 35)
+
+
 def test_passages_are_cut_out_of_documents(spark):
     shared = prose(20, 60)
     docs = frame(spark, [(1, f"One  two.\n{shared}\nThree\tfour."), (2, f"Five six. {shared}"), (3, "Seven\n\neight."), (4, None), (5, shared)])
@@ -373,6 +407,30 @@ def test_every_pair_of_a_bucket_is_tested(spark, monkeypatch):
     assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == brute_classes(docs)
 
 
+def test_components_by_stars_equal_those_of_one_task(spark, monkeypatch):
+    edges = [(k, k + 1) for k in range(0, 60) if k % 7] + [(100, k) for k in range(101, 400)] + [(5, 200)]
+    table = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
+    small = Counter(map(tuple, near_dedup.components(table).collect()))
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    assert Counter(map(tuple, near_dedup.components(table).collect())) == small
+
+
+def test_buckets_beyond_the_limits_are_tested_to_the_end(spark, monkeypatch):
+    """One bucket of many clusters, few members a turn, tiny cells, no broadcast."""
+    in_one_bucket(monkeypatch)
+    monkeypatch.setattr(near_dedup, "OTHERS", 5)
+    monkeypatch.setattr(near_dedup, "CELL", 400)
+    monkeypatch.setattr(near_dedup, "SMALL", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = []
+    for k in range(120):
+        w = prose(500 + k // 3, 60 + k % 40).split()
+        w[(k * 31) % 60] = f"new{k}"
+        docs.append((k, " ".join(w)))
+    got = near_dedup.near_duplicate_classes(frame(spark, docs, extra=False), bands=1).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"]) for r in got) == brute_classes(docs)
+
+
 def test_every_member_of_a_large_component_counts(spark, monkeypatch):
     in_one_bucket(monkeypatch)
     docs, w = [], prose(600, 200).split()
