@@ -28,6 +28,7 @@ LINK_TIERS = {
 VOWELS = "aeiouyàâäéèêëïîôùûüœæ"
 VOWELS_LATIN = "aeiouyàáâãäåæèéêëìíîïòóôõöùúûüýÿœ"
 RARE_BIGRAMS = "zx xz qx xq jx xj zq qz bx xb vx xv kx xk wx xw jq qj jz zj bk kb fq qf vq qv zz xx qq".split()
+UNLIKELY_BIGRAMS = "zx xz qx xq jx xj zq qz bx xb vx xv kx xk wx xw jq qj jz zj bk kb fq qf vq qv".split()
 CONFUSION_REPLACEMENTS = (
     ("ſ", "s"), ("vn", "un"), ("ieh", "jeh"), ("œ", "oe"), ("æ", "ae"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"),
     ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ë", "e"), ("ï", "i"), ("‘", "'"), ("’", "'"), ("“", '"'), ("”", '"'),

@@ -116,19 +116,6 @@ def non_wordlike(token: Column) -> Column:
     return F.when(n < 2, F.lit(0.5)).otherwise(F.least(F.lit(1.0), score))
 
 
-def non_wordlike_share(toks: Column) -> Column:
-    long_ones = F.filter(toks, lambda t: F.length(t) >= 3)
-    return share(F.size(F.filter(long_ones, lambda t: non_wordlike(t) > 0.45)).cast("double"), F.size(long_ones))
-
-
-def char_entropy(text: Column) -> Column:
-    """Bits of the distribution of lower-cased characters."""
-    low, n = F.lower(text), F.length(text)
-    counts = F.transform(F.array_distinct(F.split(low, "")), lambda c: F.when(c == "", 0).otherwise(F.length(low) - F.length(F.replace(low, c, F.lit("")))))
-    terms = F.transform(F.filter(counts, lambda c: c > 0), lambda c: c / n * F.log2(c / n))
-    return F.when(n > 0, -F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
-
-
 def occurrences(text: Column, what: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(what), F.lit("")))) / len(what)
 
@@ -138,11 +125,10 @@ def uncertainty_density(text: Column) -> Column:
     return share(marks, F.length(text))
 
 
-def gibberish(text: Column, toks: Column) -> Column:
-    entropy = char_entropy(text)
+def gibberish_score(bad: Column, entropy: Column, rare: Column, uncertain: Column) -> Column:
+    """0 for words, 1 for gibberish: unlike words, odd entropy, rare bigrams and doubt."""
     penalty = F.when(entropy < 2.0, 0.3).when(entropy > 5.5, 0.2).otherwise(0.0)
-    score = 0.40 * non_wordlike_share(toks) + 0.20 * penalty + 0.20 * F.least(F.lit(1.0), rare_bigram_ratio(text) * 5) + 0.20 * F.least(F.lit(1.0), uncertainty_density(text) * 5)
-    return F.when(F.size(toks) == 0, F.lit(0.0)).otherwise(F.round(F.least(F.lit(1.0), score), 4))
+    return F.least(F.lit(1.0), 0.40 * bad + 0.20 * penalty + 0.20 * F.least(F.lit(1.0), rare * 5) + 0.20 * F.least(F.lit(1.0), uncertain * 5))
 
 
 def _first(line: Column) -> Column:

@@ -1,149 +1,162 @@
-"""Mentions with code-point offsets: chunks natively, scanners as Arrow map functions."""
+"""Chunks and mentions with code-point offsets, as DataFrame operations only."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from itertools import product
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
 
-MENTION_SCHEMA = "doc_id long, start_offset int, end_offset int, surface string, ent_type string, confidence double, method string"
-TOKEN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ'’\-]*")
-ROMAN = re.compile(r"[IVXLCDM]+", re.IGNORECASE)
-BETWEEN = re.compile(r"[\s,.;:()\-–—]*")
-# Particles, trigger words and prefixes.
-PARTICLES = {"de", "d'", "d’", "du", "des"}
+# Token and span patterns, particles, trigger words, prefixes, confidences.
+TOKEN = r"[A-Za-zÀ-ÖØ-öø-ÿ][A-Za-zÀ-ÖØ-öø-ÿ'’\-]*"
+ROMAN = "(?i)^[IVXLCDM]+$"
+PARTICLES = ["de", "d'", "d’", "du", "des"]
 TRIGGERS = {
-    "person": set(
-        "roi rois roy dame dames damoisele sire sires monseigneur evesque euesque eusque prince princesse conte comte duc duchesse chevalier chevaliers frere pere pape abbé dominus domini episcopus rex regis papa".split()
-    ),
-    "place": set("chastel cité ville forest terre royaume pays mont".split()),
+    "person": sorted(set("roi rois roy dame dames damoisele sire sires monseigneur evesque euesque eusque prince princesse conte comte duc duchesse chevalier chevaliers frere pere pape abbé dominus domini episcopus rex regis papa".split())),
+    "place": "chastel cité ville forest terre royaume pays mont".split(),
 }
-PREFIXES = set("messire monseigneur monseignor mon ma li le la del des ser fra frere pere mere saint sainte san santa".split())
+PREFIXES = "messire monseigneur monseignor mon ma li le la del des ser fra frere pere mere saint sainte san santa".split()
+RECALL_TOKEN = "[A-Za-zÀ-ÿĀ-žſ]+"
+EDGE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 DATE_PATTERNS = (
-    re.compile(r"\b(?:l['’]an|lan|an de grace)\b(?:\s+[A-Za-z0-9IVXLCDM]+){0,4}", re.IGNORECASE),
-    re.compile(r"\b(?:mil|mille)\b(?:\s+[A-Za-z0-9IVXLCDM]+){0,4}", re.IGNORECASE),
-    re.compile(r"\b1[0-9]{3}\b"),
-    re.compile(r"\bM{1,4}[CDLXVI]{2,}\b"),
+    r"(?:l['’]an|lan|an de grace)" + EDGE[1] + r"(?:\s+[A-Za-z0-9]+){0,4}",
+    r"(?:mil|mille)" + EDGE[1] + r"(?:\s+[A-Za-z0-9]+){0,4}",
+    r"(?-i:1[0-9]{3})" + EDGE[1],
+    r"(?-i:M{1,4}[CDLXVI]{2,})" + EDGE[1],
 )
-DATE_FORMULA = re.compile(r"\b(?:l['’]an|lan|an\s+de\s+grace)\s+(?:mil|mille)\b", re.IGNORECASE)
-
-
-def has_date_anchor(span: str) -> bool:
-    low = span.lower()
-    if DATE_FORMULA.search(low) or re.search(r"\b[0-9]{3,4}\b", span) or DATE_PATTERNS[3].search(span):
-        return True
-    return any(w in C.DATE_ANCHORS or w in C.MONTHS for w in re.findall(r"[A-Za-zÀ-ÿ'’]+", low))
-
-
-def person_mentions(text: str) -> list[tuple]:
-    """Runs of two to five capitalised names, particles between them allowed, on one line."""
-    out, base = [], 0
-    for line in text.splitlines(keepends=True):
-        found = list(TOKEN.finditer(line))
-        named = [m.group()[0].isupper() and not ROMAN.fullmatch(m.group()) for m in found]
-        i = 0
-        while i < len(found):
-            last, count, names, linked, particle = -1, 0, 1, False, False
-            if named[i]:
-                for j in range(i + 1, min(len(found), i + 7)):
-                    if not BETWEEN.fullmatch(line[found[j - 1].end() : found[j].start()]):
-                        break
-                    if found[j].group().lower() in PARTICLES:
-                        linked = True
-                        continue
-                    if not named[j]:
-                        break
-                    names += 1
-                    if names <= 5:
-                        last, count = j, names
-            particle = linked
-            if last < 0:
-                i += 1
-                continue
-            confidence = 0.65 + min(0.15, 0.05 * (count - 2))
-            if particle:
-                confidence = min(0.85, confidence + 0.05)
-            start, end = base + found[i].start(), base + found[last].end()
-            out.append((start, end, text[start:end], "person", round(confidence, 4), "rule:proper_name_sequence"))
-            i = last + 1
-        base += len(line)
-    return out
-
-
-def anchor_mentions(text: str) -> list[tuple]:
-    """Known places and titles, validated dates, and a short first line that starts with an article."""
-    out = []
-    for words, kind, confidence, method in ((C.PLACE_ANCHORS, "place", 0.84, "rule:toponym_anchor"), (C.TITLE_ANCHORS, "title", 0.64, "rule:title_anchor")):
-        for m in re.finditer(r"\b(?:" + "|".join(sorted(words)) + r")\b", text, re.IGNORECASE):
-            out.append((m.start(), m.end(), m.group(), kind, confidence, method))
+DATE_FORMULA = "(?i)" + EDGE[0] + r"(?:l['’]an|lan|an\s+de\s+grace)\s+(?:mil|mille)" + EDGE[1]
+NUMBER = EDGE[0] + "[0-9]{3,4}" + EDGE[1]
+ROMAN_YEAR = EDGE[0] + "M{1,4}[CDLXVI]{2,}" + EDGE[1]
+NAMES_MOST, REACH = 5, 6
+#: Between two tokens of one name: no line break.
+JOINED = "^[ \t\xa0\x1f,.;:()\\-–—]*\\z"
+
+MENTION = ["doc_id", "start_offset", "end_offset", "surface", "ent_type", "confidence", "method"]
+
+
+def occurrences(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """(doc_id, pos, gap, surface, start_offset, end_offset): every match of a Java pattern, left to right, with the text before it.
+
+    Offsets come from running sums of the lengths of gaps and matches; a document
+    is shuffled once, on its id, before it is exploded.
+    """
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)).alias("surface"))
+    rows = docs.repartition("doc_id").select("doc_id", F.posexplode(both).alias("pos", "m")).select("doc_id", "pos", "m.gap", "m.surface").where("surface IS NOT NULL")
+    end = F.sum(F.length("gap") + F.length("surface")).over(Window.partitionBy("doc_id").orderBy("pos"))
+    return rows.withColumn("end_offset", end.cast("int")).withColumn("start_offset", (F.col("end_offset") - F.length("surface")).cast("int"))
+
+
+def _mention(rows: DataFrame, kind, confidence, method) -> DataFrame:
+    column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return rows.select("doc_id", "start_offset", "end_offset", "surface", column(kind).alias("ent_type"), column(confidence).cast("double").alias("confidence"), column(method).alias("method"))
+
+
+def sequence_pattern(joint: str = "-", name: str = "N", particle: str = "[PB]", first: str = "[NB]") -> str:
+    """A regular expression for names in a row, over two signs a token (how it joins the one before, what it is).
+
+    A first name, then one to four more, particles between them, all within six
+    tokens; the most names that fit are tried first.
+    """
+    tries = []
+    for names in range(NAMES_MOST - 1, 0, -1):
+        for between in product(range(REACH - names + 1), repeat=names):
+            if sum(between) + names <= REACH:
+                tries.append("".join(f"(?:{joint}{particle}){{{n}}}{joint}{name}" if n else joint + name for n in between))
+    return first + "(?:" + "|".join(tries) + ")"
+
+
+def person_mentions(docs: DataFrame) -> DataFrame:
+    """Two to five capitalised names in a row on one line, particles between them allowed.
+
+    Each token becomes two signs (joined or not; name, particle, both or other),
+    and the names in a row are matches of one pattern on the signs of a text.
+    """
+    low = F.lower("surface")
+    name = F.col("surface").rlike(r"^\p{Lu}") & ~F.col("surface").rlike(ROMAN)
+    kind = F.when(name & low.isin(PARTICLES), "B").when(name, "N").when(low.isin(PARTICLES), "P").otherwise("x")
+    tokens = occurrences(docs, TOKEN).select("doc_id", "pos", "start_offset", "end_offset", F.concat(F.when(F.col("gap").rlike(JOINED), "-").otherwise("|"), kind).alias("sign"))
+    by_doc = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sign", "start_offset", "end_offset"))).alias("t"))
+    signs = by_doc.select("doc_id", "t", F.array_join(F.col("t.sign"), "").alias("text")).where(F.col("text").rlike("[NB]-"))
+    runs = occurrences(signs.select("doc_id", "text"), sequence_pattern()).join(signs, "doc_id")
+    # A match begins on the second sign of its first token and ends behind its last one.
+    first, last = F.expr("t[(start_offset - 1) div 2]"), F.expr("t[(end_offset - 2) div 2]")
+    count = F.length(F.regexp_replace(F.col("surface"), "[^N]", "")) + F.when(F.col("surface").startswith("B"), 1).otherwise(0)
+    linked = F.substring(F.col("text"), F.col("start_offset") + 2, F.lit(2 * REACH)).rlike("^(?:-N)*-[PB]")
+    runs = runs.select("doc_id", first["start_offset"].alias("start_offset"), last["end_offset"].alias("end_offset"), (0.65 + F.least(F.lit(0.15), 0.05 * (count - 2))).alias("c"), linked.alias("linked"))
+    runs = runs.withColumn("confidence", F.round(F.when(F.col("linked"), F.least(F.lit(0.85), F.col("c") + 0.05)).otherwise(F.col("c")), 4))
+    shown = runs.join(docs.select("doc_id", "text"), "doc_id").withColumn("surface", F.expr("substring(text, start_offset + 1, end_offset - start_offset)"))
+    return _mention(shown, "person", F.col("confidence"), "rule:proper_name_sequence")
+
+
+def word_anchors(docs: DataFrame) -> DataFrame:
+    """Known places and titles, as whole words."""
+    words = occurrences(docs, r"[\p{L}\p{N}_]+")
+    low = F.lower("surface")
+    place = low.isin(C.PLACE_ANCHORS)
+    kept = words.where(place | low.isin(C.TITLE_ANCHORS))
+    return _mention(kept, F.when(place, "place").otherwise("title"), F.when(place, 0.84).otherwise(0.64), F.when(place, "rule:toponym_anchor").otherwise("rule:title_anchor"))
+
+
+def has_date_anchor(span: Column) -> Column:
+    """A date formula, a number of three or four digits, a Roman year, or a month or date word."""
+    words = F.regexp_extract_all(F.lower(span), F.lit("([A-Za-zÀ-ÿ'’]+)"), F.lit(1))
+    return span.rlike(DATE_FORMULA) | span.rlike(NUMBER) | span.rlike(ROMAN_YEAR) | F.arrays_overlap(words, F.array(*[F.lit(w) for w in [*C.DATE_ANCHORS, *C.MONTHS]]))
+
+
+def date_mentions(docs: DataFrame) -> DataFrame:
+    """Spans of the date patterns that hold a date anchor; over a line break in the first and the last line, or as a formula."""
+    found = None
     for pattern in DATE_PATTERNS:
-        for m in pattern.finditer(text):
-            span = m.group()
-            if not has_date_anchor(span):
-                continue
-            parts = span.split("\n")
-            if len(parts) > 1 and not DATE_FORMULA.search(span) and not (has_date_anchor(parts[0]) and has_date_anchor(parts[-1])):
-                continue
-            out.append((m.start(), m.end(), span, "date", 0.72, "rule:date_pattern"))
-    first = next((s.strip() for s in text.splitlines() if s.strip()), "")
-    if 0 < len(first) <= 80 and first.lower().startswith(("la ", "le ", "l'", "l’")) and len(first.split()) >= 2:
-        start = text.find(first)
-        out.append((start, start + len(first), first, "work", 0.56, "rule:first_line_title_heuristic"))
-    return out
-
-
-def high_recall_mentions(text: str) -> list[tuple]:
-    """Tokens after a trigger, longer capitalised tokens, and prefix plus token."""
-    out = []
-    found = list(re.finditer(r"[A-Za-zÀ-ÿĀ-žſ]+", text))
-    for i, m in enumerate(found):
-        word, low = m.group(), m.group().lower()
-        following = found[i + 1] if i + 1 < len(found) else None
-        kind = next((k for k, words in TRIGGERS.items() if low in words), None)
-        if kind and following and len(following.group()) >= 3:
-            end = following.end()
-            if i + 2 < len(found) and (found[i + 2].group().lower() in PREFIXES or len(found[i + 2].group()) >= 4) and found[i + 2].start() - end <= 2:
-                end = found[i + 2].end()
-            out.append((following.start(), end, text[following.start() : end], kind, 0.35, "high_recall:trigger"))
-        if len(word) >= 5 and word[0].isupper():
-            out.append((m.start(), m.end(), word, "person", 0.25, "high_recall:capitalized"))
-        if low in PREFIXES and following and len(following.group()) >= 4:
-            out.append((m.start(), following.end(), text[m.start() : following.end()], "person", 0.30, "high_recall:name_prefix"))
-    return out
-
-
-def without_overlaps(mentions: list[tuple]) -> list[tuple]:
+        rows = occurrences(docs, f"(?i){EDGE[0]}{pattern}")
+        found = rows if found is None else found.unionByName(rows)
+    span, parts = F.col("surface"), F.split("surface", "\n")
+    whole = (F.size(parts) == 1) | span.rlike(DATE_FORMULA) | (has_date_anchor(parts[0]) & has_date_anchor(F.element_at(parts, -1)))
+    return _mention(found.where(has_date_anchor(span) & whole), "date", 0.72, "rule:date_pattern")
+
+
+def first_line_mentions(docs: DataFrame) -> DataFrame:
+    """A first line of at most 80 characters and two words or more that starts with an article."""
+    first = F.try_element_at(F.filter(F.transform(F.split("text", "\n"), T.strip), lambda s: s != ""), F.lit(1))
+    rows = docs.select("doc_id", "text", first.alias("surface"))
+    rows = rows.where((F.length("surface") <= 80) & F.lower("surface").rlike("^(la |le |l'|l’)") & (F.size(T.tokens("surface")) >= 2))
+    rows = rows.withColumn("start_offset", F.expr("cast(locate(surface, text) - 1 as int)")).withColumn("end_offset", F.expr("cast(start_offset + length(surface) as int)"))
+    return _mention(rows, "work", 0.56, "rule:first_line_title_heuristic")
+
+
+def anchor_mentions(docs: DataFrame) -> DataFrame:
+    return word_anchors(docs).unionByName(date_mentions(docs)).unionByName(first_line_mentions(docs))
+
+
+def high_recall_mentions(docs: DataFrame) -> DataFrame:
+    """Tokens after a trigger (two, if a prefix or a longer token follows at once), longer capitalised tokens, and prefix plus token."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    ahead = lambda c, n: F.lead(c, n).over(w)
+    rows = occurrences(docs, RECALL_TOKEN).withColumns({"next": ahead("surface", 1), "next_start": ahead("start_offset", 1), "next_end": ahead("end_offset", 1), "next_gap": ahead("gap", 1), "third": ahead("surface", 2), "third_gap": ahead("gap", 2), "third_end": ahead("end_offset", 2)})
+    low = F.lower("surface")
+    kind = F.when(low.isin(TRIGGERS["person"]), "person").when(low.isin(TRIGGERS["place"]), "place")
+    more = F.coalesce((F.lower("third").isin(PREFIXES) | (F.length("third") >= 4)) & (F.length("third_gap") <= 2), F.lit(False))
+    triggered = rows.where(kind.isNotNull() & (F.length("next") >= 3)).select("doc_id", F.col("next_start").alias("start_offset"), F.when(more, F.col("third_end")).otherwise(F.col("next_end")).alias("end_offset"), F.when(more, F.concat("next", "third_gap", "third")).otherwise(F.col("next")).alias("surface"), kind.alias("kind"))
+    prefixed = rows.where(low.isin(PREFIXES) & (F.length("next") >= 4)).select("doc_id", "start_offset", F.col("next_end").alias("end_offset"), F.concat("surface", "next_gap", "next").alias("surface"))
+    capital = rows.where((F.length("surface") >= 5) & F.col("surface").rlike(r"^\p{Lu}"))
+    return (
+        _mention(triggered, F.col("kind"), 0.35, "high_recall:trigger")
+        .unionByName(_mention(capital, "person", 0.25, "high_recall:capitalized"))
+        .unionByName(_mention(prefixed, "person", 0.30, "high_recall:name_prefix"))
+    )
+
+
+def without_overlaps(mentions: DataFrame) -> DataFrame:
     """Best confidence of each span and type; then, from the surest and longest, those that overlap no kept one of their type."""
-    best: dict[tuple, tuple] = {}
-    for m in mentions:
-        key = (m[0], m[1], m[3])
-        if m[1] > m[0] >= 0 and (key not in best or m[4] > best[key][4]):
-            best[key] = m
-    kept: list[tuple] = []
-    for m in sorted(best.values(), key=lambda x: (-x[4], -(x[1] - x[0]))):
-        if not any(m[3] == k[3] and m[0] < k[1] and m[1] > k[0] for k in kept):
-            kept.append(m)
-    return sorted(kept, key=lambda x: (x[0], -x[4]))
-
-
-def extract(docs: DataFrame, *scanners, dedupe: bool = False) -> DataFrame:
-    """Mentions of every text by the given scanners, UNION ALL, or without overlaps."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                found = [m for scan in scanners for m in scan(text or "")]
-                rows += [(doc_id, *m) for m in (without_overlaps(found) if dedupe else found)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MENTION_SCHEMA.split(", ")])
-
-    return docs.select("doc_id", "text").mapInPandas(run, MENTION_SCHEMA)
+    best = mentions.where("end_offset > start_offset AND start_offset >= 0").groupBy("doc_id", "ent_type", "start_offset", "end_offset").agg(F.max_by(F.struct("surface", "method"), F.struct("confidence", "method")).alias("m"), F.max("confidence").alias("confidence"))
+    order = F.struct((-F.col("confidence")).alias("c"), (F.col("start_offset") - F.col("end_offset")).alias("l"), F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), F.col("m.surface").alias("surface"), F.col("m.method").alias("method"))
+    ranked = best.groupBy("doc_id", "ent_type").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    free = lambda kept, x: ~F.exists(kept, lambda k: (x["s"] < k["e"]) & (x["e"] > k["s"]))
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    rows = ranked.select("doc_id", "ent_type", F.explode(kept).alias("k"))
+    return rows.select("doc_id", F.col("k.s").alias("start_offset"), F.col("k.e").alias("end_offset"), "k.surface", "ent_type", (-F.col("k.c")).alias("confidence"), "k.method")
 
 
 def line_chunks(docs: DataFrame) -> DataFrame:

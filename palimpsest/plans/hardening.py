@@ -9,6 +9,7 @@ from palimpsest.functions import constants as C
 from palimpsest.functions import lines as L
 from palimpsest.functions import text as T
 from palimpsest.operators import extraction as X
+from palimpsest.operators.passes import best_of_line
 from palimpsest.plans import sql as Q
 from palimpsest.plans.store import C_SQL, D_SQL, M_SQL, candidates, decisions, mentions, read
 from palimpsest.plans.text_quality import DOCS, REPORT_SQL, documents, gates, per_document, quality_report
@@ -172,7 +173,16 @@ register("T119_gate_report", lambda s, d: gates(quality_report(documents(s, d)))
 # ---- sequential rules: no SQL, literal tests --------------------------------------------------
 register("W14_single_runs", lambda s, d: documents(s, d).select("doc_id", L.as_udf(lambda t: L.collapse_single_runs(t.split())[1], "int")("text").alias("lost")))
 register("W15_T64_fragment_sequences", lambda s, d: documents(s, d).select("doc_id", L.as_udf(lambda t: L.collapse_fragments(t.split())[1], "int")("text").alias("lost")))
-register("W6_W7_merged_lines", lambda s, d: documents(s, d).select("doc_id", L.as_udf(lambda t: len(L.merge_lines([(x, 0.9) for x in t.split("\n")])), "int")("text").alias("lines")))
+
+
+def merged_lines(s, d):
+    """Lines of a text that repeat each other closely, each such set by its best reading."""
+    base = documents(s, d).select("doc_id", F.split("text", "\n").alias("ls"))
+    rows = base.select("doc_id", F.posexplode(F.arrays_zip("ls", L.founders_udf()("ls").alias("entry"))).alias("pos", "x")).select("doc_id", "pos", F.col("x.entry").alias("entry"), T.strip("x.ls").alias("text"), F.lit(0.9).alias("confidence"))
+    return best_of_line(rows.where("entry >= 0")).select("doc_id", "entry", F.sha2("text", 256).alias("sha"), "readings")
+
+
+register("W6_W7_merged_lines", merged_lines)
 
 # ---- mentions and links -------------------------------------------------------------------------
 register("P18_place_context", lambda s, d: documents(s, d).select("doc_id", F.lower("text").rlike(r"(^|[^\p{L}])(in|at|from|near|to)( +\p{L}+){0,3} +the([^\p{L}]|$)").alias("place")), rf"WITH {DOCS} SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{{L}}])(in|at|from|near|to)( +\p{{L}}+){{0,3}} +the([^\p{{L}}]|$)') AS place FROM docs")
@@ -194,14 +204,13 @@ LETTER_TOKENS = rf"{DOCS}, tok AS (SELECT DISTINCT unnest(regexp_extract_all(low
 Q_V, Q_RUN = Q.vowel_share_of_length("token"), Q.consonant_run("token")
 register("T30_name_likeness", lambda s, d: tokens_of(s, d).select("token", name_likeness(F.col("token")).alias("score")), f"WITH {LETTER_TOKENS} SELECT token, CASE WHEN token IN {Q.words(C.COMMON_WORDS)} THEN 0.05e0 ELSE round(greatest(0e0, 0.5e0 - (CASE WHEN length(token) < 3 OR length(token) > 20 THEN 0.3e0 ELSE 0e0 END) + (CASE WHEN {Q_V} < 0.15e0 OR {Q_V} > 0.85e0 THEN -0.3e0 WHEN {Q_V} BETWEEN 0.25e0 AND 0.65e0 THEN 0.15e0 ELSE 0e0 END) - (CASE WHEN {Q_RUN} >= 4 THEN 0.35e0 ELSE 0e0 END)), 3) END AS score FROM tok")
 register("P16_medieval_name", lambda s, d: tokens_of(s, d).select("token", (F.length("token").between(3, 18) & ~F.col("token").isin(*C.COMMON_WORDS) & T.vowel_share_of_length(F.col("token")).between(0.20, 0.80) & (T.longest_consonant_run(F.col("token")) < 4)).alias("name_like")), f"WITH {LETTER_TOKENS} SELECT token, length(token) BETWEEN 3 AND 18 AND token NOT IN {Q.words(C.COMMON_WORDS)} AND {Q_V} BETWEEN 0.2e0 AND 0.8e0 AND {Q_RUN} < 4 AS name_like FROM tok")
-register("T47_false_hyphens", lambda s, d: documents(s, d).select(F.explode(T.tokens("text")).alias("token")).where(F.col("token").rlike("^[^-]+-[^-]+$")).distinct())
 register("J17_structured_sections", lambda s, d: decisions(s, d).where("status = 'ACCEPT_LINKABLE'").groupBy("surface").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n")).orderBy(F.col("confidence").desc(), F.col("n").desc(), "surface").limit(4), f"WITH {D_SQL} SELECT surface, max(confidence) AS confidence, count(*) AS n FROM decisions WHERE status = 'ACCEPT_LINKABLE' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 4")
 register("A26_entity_assertions", lambda s, d: candidates(s, d).where("compatible AND score >= 0.9").select("cand_key", F.explode(F.array(F.struct(F.lit("label").alias("property"), F.col("label").alias("value")), F.struct(F.lit("source").alias("property"), F.col("source").alias("value")))).alias("p")).select("cand_key", "p.property", "p.value").distinct(), f"WITH {C_SQL} SELECT DISTINCT cand_key, 'label' AS property, label AS value FROM candidates WHERE compatible AND score >= 0.9e0 UNION SELECT cand_key, 'source', source FROM candidates WHERE compatible AND score >= 0.9e0")
 register("W21_top_candidates", lambda s, d: candidates(s, d).where("run_id < 50").select("mention_id", "cand_key", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, label, score FROM candidates WHERE run_id < 50")
 register("T114_candidate_source", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.nullif("source", F.lit("viaf")), F.when(F.col("cand_key") % 2 == 0, "viaf"), F.lit("unknown")).alias("resolved")), f"WITH {C_SQL} SELECT mention_id, cand_key, coalesce(nullif(source, 'viaf'), CASE WHEN cand_key % 2 = 0 THEN 'viaf' END, 'unknown') AS resolved FROM candidates")
 register("T88_context", lambda s, d: documents(s, d).select("doc_id", F.substring("text", 1, 400).alias("context")), f"WITH {DOCS} SELECT doc_id, substr(text, 1, 400) AS context FROM docs")
 register("M6_listed_surfaces", lambda s, d: documents(s, d).select("doc_id", F.instr("text", "the").alias("place")).where("place > 0"), f"WITH {DOCS} SELECT doc_id, instr(text, 'the')::INT AS place FROM docs WHERE instr(text, 'the') > 0")
-register("M3_salvaged_mentions", lambda s, d: X.extract(documents(s, d), X.high_recall_mentions, X.anchor_mentions, dedupe=True))
+register("M3_salvaged_mentions", lambda s, d: X.without_overlaps(X.high_recall_mentions(documents(s, d)).unionByName(X.anchor_mentions(documents(s, d)))))
 register("R7_consolidated_report", lambda s, d: decisions(s, d).groupBy("status").agg(F.count("*").alias("n"), F.min("surface").alias("first")), f"WITH {D_SQL} SELECT status, count(*) AS n, min(surface) AS first FROM decisions GROUP BY 1")
 register("W24_model_choice", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(F.filter(F.array(F.lit("brass"), F.lit("steel"), F.lit("tin")), lambda m: F.lower(F.col("p_type")).contains(m)), ",").alias("models")), "SELECT p_partkey, array_to_string(list_filter(['brass', 'steel', 'tin'], lambda m: contains(lower(p_type), m)), ',') AS models FROM part")
 register("C9_metadata_hints", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"([A-Z][a-z]+)", 1).alias("name")), "SELECT conv_id, turn, regexp_extract(text, '([A-Z][a-z]+)', 1) AS name FROM conversations")

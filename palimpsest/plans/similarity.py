@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions import constants as C
 from palimpsest.functions import similarity
 from palimpsest.functions import text as T
+from palimpsest.operators import passes as P
 from palimpsest.plans import sql as Q
 from palimpsest.plans.store import C_SQL, candidates
-from palimpsest.plans.text_quality import DOCS, TOKENS, distinct_tokens, documents
+from palimpsest.plans.text_quality import DOCS, REPORT_SQL, TOKENS, distinct_tokens, documents, quality_report, spread
 from palimpsest.registry import register
 
 
@@ -66,28 +67,82 @@ register("X1_token_stability", lambda s, d: halves(s, d).select("doc_id", F.roun
 register("T25_context_similarity", lambda s, d: halves(s, d).select("doc_id", F.round(F.when((F.size("a") == 0) | (F.size("b") == 0), 0.0).otherwise(T.jaccard(F.col("a"), F.col("b"))), 6).alias("similarity")), f"WITH {HALVES} SELECT doc_id, round({Q.jaccard('a', 'b')}, 6) AS similarity FROM halves")
 
 
-def first_lines(s, d):
-    """Stability of the first two lines, at most 300 characters each: edit distance is quadratic."""
-    rows = F.transform(T.lines("text"), lambda x: plain(F.lower(T.collapse(x))))
-    return documents(s, d).select("doc_id", rows.alias("rows")).where(F.size("rows") >= 2).select("doc_id", F.substring(F.element_at("rows", 1), 1, 300).alias("a"), F.substring(F.element_at("rows", 2), 1, 300).alias("b"))
-
-
-LINE_SQL = f"{DOCS}, l AS (SELECT doc_id, list_transform({Q.lines('text')}, lambda s: {q_plain('lower(regexp_replace(' + Q.strip('s') + ', ' + chr(39) + Q.WS + '+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))')}) AS r FROM docs), two AS (SELECT doc_id, substr(r[1], 1, 300) AS a, substr(r[2], 1, 300) AS b FROM l WHERE len(r) >= 2)"
-register("T17_cross_pass_stability", lambda s, d: first_lines(s, d).select("doc_id", F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.round((1 - T.normalized_edit_distance(F.col("a"), F.col("b")) + T.jaccard(T.tokens("a"), T.tokens("b"))) / 2, 4)).alias("stability")), f"WITH {LINE_SQL} SELECT doc_id, CASE WHEN a = b THEN 1e0 ELSE round((1 - {Q.edit_distance('a', 'b')} + {Q.jaccard(Q.tokens('a'), Q.tokens('b'))}) / 2, 4) END AS stability FROM two")
-
-
-def proofread_verdict(s, d):
-    """Accept or reject by edit ratio, retained letters and token churn, in that order."""
-    ratio = T.normalized_edit_distance(F.col("a"), F.col("b"))
-    ta, tb = F.array_distinct(T.tokens("a")), F.array_distinct(T.tokens("b"))
-    churn = F.size(F.array_except(tb, ta)) / F.greatest(F.size(tb), F.lit(1))
-    kept = F.length("b") / F.greatest(F.length("a"), F.lit(1))
-    verdict = F.when(ratio > 0.40, "char_edit_ratio").when(kept < 0.50, "retention").when(churn > 0.50, "token_churn").otherwise("accepted")
-    return first_lines(s, d).select("doc_id", verdict.alias("verdict"))
-
-
-register("P8_P9_proofread_guard", proofread_verdict, f"WITH {LINE_SQL} SELECT doc_id, CASE WHEN {Q.edit_distance('a', 'b')} > 0.4e0 THEN 'char_edit_ratio' WHEN length(b)::DOUBLE / greatest(length(a), 1) < 0.5e0 THEN 'retention' WHEN len(list_filter(list_distinct({Q.tokens('b')}), lambda t: NOT list_contains({Q.tokens('a')}, t)))::DOUBLE / greatest(len(list_distinct({Q.tokens('b')})), 1) > 0.5e0 THEN 'token_churn' ELSE 'accepted' END AS verdict FROM two")
-register("A17_agreement", lambda s, d: first_lines(s, d).select("doc_id", F.round(T.jaccard(F.array_distinct(T.trigrams(F.col("a"))), F.array_distinct(T.trigrams(F.col("b")))), 6).alias("agreement")), None)
+def second_pass(x: Column) -> Column:
+    """What another pass over a page might read: noise signs gone, r and n run together."""
+    return F.replace(F.regexp_replace(x, "[#*$%&|]+", ""), F.lit("rn"), F.lit("m"))
+
+
+def passes(s: SparkSession, d: str) -> DataFrame:
+    """Two readings ``a`` and ``b`` of every whole text."""
+    return documents(s, d).select("doc_id", F.col("text").alias("a"), second_pass(F.col("text")).alias("b"))
+
+
+PASSES = f"{DOCS}, passes AS (SELECT doc_id, text AS a, replace(regexp_replace(text, '[#*$%&|]+', '', 'g'), 'rn', 'm') AS b FROM docs)"
+q_flat = lambda x: f"regexp_replace({Q.strip(x)}, '{Q.WS}+', ' ', 'g')"
+folded = lambda c: plain(F.lower(T.strip(c)))
+q_folded = lambda c: q_plain(f"lower({Q.strip(c)})")
+register(
+    "T17_cross_pass_stability",
+    lambda s, d: spread(documents(s, d)).select("doc_id", F.col("text").alias("a"), second_pass(F.col("text")).alias("b")).select("doc_id", folded("a").alias("a"), folded("b").alias("b")).select("doc_id", P.stability(F.col("a"), F.col("b")).alias("stability")),
+    f"WITH {PASSES}, f AS (SELECT doc_id, {q_folded('a')} AS a, {q_folded('b')} AS b FROM passes) SELECT doc_id, CASE WHEN a = b THEN 1e0 WHEN least(length(a), length(b)) = 0 THEN 0e0 ELSE round((1 - {Q.edit_distance('a', 'b')} + {Q.jaccard('list_distinct(' + Q.tokens('a') + ')', 'list_distinct(' + Q.tokens('b') + ')')}) / 2, 4) END AS stability FROM f",
+)
+q_marks = lambda x: rf"(len(regexp_extract_all({x}, '\?')) + len(regexp_extract_all({x}, '…')) + 2 * len(regexp_extract_all({x}, '\[…\]')) + 2 * len(regexp_extract_all({x}, '\[\?\]')))"
+q_set = lambda x: f"list_distinct({Q.tokens('lower(' + x + ')')})"
+register(
+    "P9_proofread_delta",
+    lambda s, d: spread(documents(s, d)).select("doc_id", plain(F.col("text")).alias("a"), plain(second_pass(F.col("text"))).alias("b")).select("doc_id", P.proofread_verdict(F.col("a"), F.col("b")).alias("verdict")),
+    f"WITH {PASSES}, f AS (SELECT doc_id, {q_plain('a')} AS a, {q_plain('b')} AS b FROM passes), m AS (SELECT doc_id, {Q.edit_distance(q_flat('lower(a)'), q_flat('lower(b)'))} AS edit, {Q.share('abs(len(' + Q.lines('b') + ') - len(' + Q.lines('a') + '))', 'len(' + Q.lines('a') + ')')} AS drift, "
+    f"CASE WHEN {q_marks('a')} > 0 THEN {q_marks('b')}::DOUBLE / {q_marks('a')} ELSE 1e0 END AS kept, {Q.share('len(list_filter(' + q_set('b') + ', lambda t: NOT list_contains(' + q_set('a') + ', t)))', 'len(' + q_set('b') + ')')} AS churn FROM f) "
+    "SELECT doc_id, CASE WHEN edit > 0.4e0 THEN 'char_edit_ratio' WHEN drift > 0.3e0 THEN 'line_drift' WHEN kept < 0.5e0 THEN 'uncertainty_stripped' WHEN churn > 0.5e0 THEN 'token_churn' ELSE 'accepted' END AS verdict FROM m",
+)
+register(
+    "A17_agreement",
+    lambda s, d: P.agreement(passes(s, d)),
+    rf"WITH {PASSES}, tok AS (SELECT doc_id, 1 AS side, unnest({Q.tokens('a')}) AS w FROM passes UNION ALL SELECT doc_id, 2, unnest({Q.tokens('b')}) FROM passes), w AS (SELECT doc_id, side, regexp_replace(lower(w), '[^\p{{L}}]', '', 'g') AS w FROM tok), g AS (SELECT DISTINCT doc_id, side, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS g FROM w WHERE length(w) >= 3), "
+    "n AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2), v AS (SELECT doc_id, count(*) FILTER (n = 2)::DOUBLE / count(*) AS v FROM n GROUP BY 1) SELECT doc_id, round(coalesce(v, 1e0), 6) AS agreement FROM passes LEFT JOIN v USING (doc_id)",
+)
+q_positioned = lambda side: f"SELECT doc_id, line, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT doc_id, line, {Q.tokens('l')} AS t FROM (SELECT doc_id, unnest(range(len(string_split({side}, chr(10))))) AS line, unnest(string_split({side}, chr(10))) AS l FROM passes))"
+q_unlikely = lambda x: f"regexp_matches(lower({x}), '{'|'.join(C.UNLIKELY_BIGRAMS)}')"
+PARTS_OF = ("string_split(token, '-')[1]", "string_split(token, '-')[2]")
+Q_HYPHEN = rf"(regexp_matches(token, '^[^-]+-[^-]+$') AND regexp_matches(token, '\p{{Ll}}-\p{{Lu}}|\p{{Lu}}-\p{{Ll}}')::INT + {q_unlikely('replace(token, ' + chr(39) + '-' + chr(39) + ', ' + chr(39) * 2 + ')')}::INT + (least(length({PARTS_OF[0]}), length({PARTS_OF[1]})) <= 2)::INT + unstable::INT >= 3)"
+UNSTABLE = f"ta AS ({q_positioned('a')}), tb AS ({q_positioned('b')}), one AS (SELECT doc_id, line, token, 1 AS side FROM ta UNION ALL SELECT doc_id, line, token, 2 FROM tb), unst AS (SELECT DISTINCT doc_id, token, true AS unstable FROM (SELECT doc_id, line, token FROM one GROUP BY 1, 2, 3 HAVING min(side) = max(side)))"
+register(
+    "T47_false_hyphens",
+    lambda s, d: P.positioned_tokens(passes(s, d), "a").select("doc_id", "token").distinct().join(P.unstable_tokens(passes(s, d)).withColumn("unstable", F.lit(True)), ["doc_id", "token"], "left").where(F.col("token").contains("-")).select("doc_id", "token", P.false_hyphen(F.col("token"), F.coalesce("unstable", F.lit(False))).alias("false_hyphen")),
+    f"WITH {PASSES}, {UNSTABLE}, t AS (SELECT DISTINCT doc_id, token FROM ta WHERE contains(token, '-')), u AS (SELECT t.doc_id, t.token, coalesce(unstable, false) AS unstable FROM t LEFT JOIN unst USING (doc_id, token)) SELECT doc_id, token, {Q_HYPHEN} AS false_hyphen FROM u",
+)
+register(
+    "X2_uncertainty_markers",
+    lambda s, d: P.marked_passes(passes(s, d)).select("doc_id", F.sha2("text", 256).alias("sha"), "marks"),
+    f"WITH {PASSES}, {UNSTABLE}, k AS (SELECT ta.*, coalesce(unstable, false) AS unstable FROM ta LEFT JOIN unst USING (doc_id, token)), m AS (SELECT doc_id, line, pos, token, CASE WHEN NOT unstable THEN token WHEN {Q_HYPHEN} THEN '[…]' WHEN {q_unlikely('token')} AND {Q.non_wordlike('token')} > 0.45e0 THEN regexp_replace(token, '\\p{{L}}', '?', 'g') WHEN {Q.non_wordlike('token')} > 0.55e0 THEN '[…]' ELSE token END AS new FROM k), "
+    "l AS (SELECT doc_id, line, string_agg(new, ' ' ORDER BY pos) AS text, count(*) FILTER (new <> token) AS marks FROM m GROUP BY 1, 2), n AS (SELECT doc_id, unnest(range(len(string_split(a, chr(10))))) AS line FROM passes) "
+    "SELECT doc_id, sha256(string_agg(coalesce(text, ''), chr(10) ORDER BY line)) AS sha, sum(coalesce(marks, 0))::BIGINT AS marks FROM n LEFT JOIN l USING (doc_id, line) GROUP BY 1",
+)
+
+
+def guarded(s: SparkSession, d: str) -> DataFrame:
+    """Whether a proofread pass is kept: no label two ranks worse, no more gibberish, no doubt taken off worse words."""
+    both = passes(s, d)
+    report = lambda side: quality_report(both.select("doc_id", F.col(side).alias("text"))).select("doc_id", *[F.col(c).alias(f"{c}_{side}") for c in ("label", "gibberish", "non_wordlike")])
+    rank = lambda c: F.when(F.col(c) == "HIGH", 0).when(F.col(c) == "OK", 1).when(F.col(c) == "RISKY", 2).otherwise(3)
+    doubt = lambda c: F.regexp_count(c, F.lit(r"\?|\[…\]"))
+    reason = (
+        F.when(F.length(T.strip("b")) == 0, "empty").when(rank("label_b") > rank("label_a") + 1, "degraded")
+        .when(F.col("gibberish_b") > F.col("gibberish_a") + 0.10, "gibberish")
+        .when((doubt("a") > 0) & (doubt("b") == 0) & (F.col("non_wordlike_b") > F.col("non_wordlike_a")), "doubt_removed").otherwise("accepted")
+    )
+    return both.join(report("a"), "doc_id").join(report("b"), "doc_id").select("doc_id", reason.alias("reason"))
+
+
+REPORT_B = REPORT_SQL.replace(DOCS, "docs AS (SELECT doc_id, lang, source, replace(regexp_replace(coalesce(text, ''), '[#*$%&|]+', '', 'g'), 'rn', 'm') AS text FROM documents)")
+Q_RANK = lambda c: f"CASE {c} WHEN 'HIGH' THEN 0 WHEN 'OK' THEN 1 WHEN 'RISKY' THEN 2 ELSE 3 END"
+Q_DOUBT = lambda c: rf"len(regexp_extract_all({c}, '\?|\[…\]'))"
+register(
+    "P8_proofread_guard",
+    guarded,
+    f"WITH {PASSES}, ra AS (WITH {REPORT_SQL} SELECT doc_id, label, gibberish, non_wordlike FROM report), rb AS (WITH {REPORT_B} SELECT doc_id, label, gibberish, non_wordlike FROM report) "
+    f"SELECT p.doc_id, CASE WHEN length({Q.strip('p.b')}) = 0 THEN 'empty' WHEN {Q_RANK('rb.label')} > {Q_RANK('ra.label')} + 1 THEN 'degraded' WHEN rb.gibberish > ra.gibberish + 0.1e0 THEN 'gibberish' WHEN {Q_DOUBT('p.a')} > 0 AND {Q_DOUBT('p.b')} = 0 AND rb.non_wordlike > ra.non_wordlike THEN 'doubt_removed' ELSE 'accepted' END AS reason FROM passes p JOIN ra ON ra.doc_id = p.doc_id JOIN rb ON rb.doc_id = p.doc_id",
+)
 register("T34_line_mismatch", lambda s, d: documents(s, d).select("doc_id", F.round(F.abs(F.size(T.lines("text")) - 20) / F.greatest(F.size(T.lines("text")), F.lit(20)), 6).alias("mismatch")), f"WITH {DOCS} SELECT doc_id, round(abs(len({Q.lines('text')}) - 20)::DOUBLE / greatest(len({Q.lines('text')}), 20), 6) AS mismatch FROM docs")
 
 # ---- fuzzy dictionary -------------------------------------------------------------------

@@ -139,7 +139,7 @@ register(
     "p AS (SELECT d.doc_id, CASE WHEN d.lang NOT IN ('fr', 'es') OR h.n IS NULL THEN 0.5e0 ELSE least(1e0, h.hits::DOUBLE / h.n / 0.55e0) END AS p FROM docs d LEFT JOIN h USING (doc_id)) "
     "SELECT doc_id, round(p, 4) AS plausibility, round(least(greatest(CASE WHEN p < 0.35e0 THEN 0.8e0 * 0.55e0 WHEN p < 0.6e0 THEN 0.8e0 * 0.75e0 ELSE 0.8e0 * 1.05e0 END, 0.05e0), 0.95e0), 4) AS confidence, CASE WHEN p < 0.35e0 THEN 'LEXICAL_IMPLAUSIBLE' WHEN p < 0.6e0 THEN 'LEXICAL_UNCERTAIN' END AS warning FROM p",
 )
-register("T13_char_entropy", lambda spark, d: documents(spark, d).select("doc_id", F.round(T.char_entropy(F.col("text")), 4).alias("entropy")), f"WITH {DOCS}, {ENTROPY} SELECT doc_id, round(entropy, 4) AS entropy FROM ent")
+register("A13_char_entropy", lambda spark, d: documents(spark, d).select("doc_id").join(entropies(spread(documents(spark, d).select("doc_id", "text"))), "doc_id", "left").select("doc_id", F.round(F.coalesce("entropy", F.lit(0.0)), 4).alias("entropy")), f"WITH {DOCS}, {ENTROPY} SELECT doc_id, round(entropy, 4) AS entropy FROM ent")
 
 
 def length_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -150,24 +150,61 @@ def length_stats(spark: SparkSession, d: str) -> DataFrame:
 register("A12_token_length_stats", length_stats, f"WITH {DOCS}, t AS (SELECT doc_id, length(unnest({q_toks})) AS n FROM docs) SELECT doc_id, round(avg(n), 5) AS mean, round(stddev_pop(n), 5) AS deviation, round(avg((n < 3)::INT), 5) AS very_short, round(avg((n > 15)::INT), 5) AS very_long FROM t GROUP BY doc_id")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a table is fewer files than that; otherwise as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
+def token_signals(docs: DataFrame) -> DataFrame:
+    """Counts per text over its exploded tokens: all, marked as uncertain, of three signs and more, and of these unlike words."""
+    w = F.col("w")
+    rows = docs.select("doc_id", F.explode(T.tokens("text")).alias("w")).select("doc_id", "w", (F.length(w) >= 3).alias("long"))
+    rows = rows.select("doc_id", "long", (F.col("long") & (T.non_wordlike(w) > 0.45)).alias("bad"), (w.contains("?") | w.contains("…") | w.contains("[")).alias("odd"))
+    count = lambda c: F.count(F.when(F.col(c), 1)).cast("int").alias(c)
+    return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("token_count"), count("long"), count("bad"), count("odd"))
+
+
+def line_signals(docs: DataFrame) -> DataFrame:
+    """Counts per text over its exploded lines: all, and those that start, break or end in fragments."""
+    rows = docs.select("doc_id", F.explode(T.lines("text")).alias("line")).select("doc_id", "line", T.tokens("line").alias("t"))
+    lead, trail = T.leading_fragment(F.col("line")), T.trailing_break(F.col("line"))
+    rows = rows.select("doc_id", lead.alias("lead"), (lead | trail).alias("seam"), T.trailing_fragment(F.col("line")).alias("trail"))
+    count = lambda c: F.count(F.when(F.col(c), 1)).alias(c)
+    return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("line_count"), count("lead"), count("seam"), count("trail"))
+
+
+def entropies(docs: DataFrame) -> DataFrame:
+    """Bits of the distribution of lower-cased characters, from the count of each."""
+    chars = docs.select("doc_id", F.length("text").alias("size"), F.explode(F.split(F.lower("text"), "")).alias("c")).where("c <> ''")
+    p = F.col("n") / F.col("size")
+    return chars.groupBy("doc_id", "size", "c").agg(F.count("*").alias("n")).groupBy("doc_id").agg((-F.sum(p * F.log2(p))).alias("entropy"))
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
-    """The quality record of each text: signals, label and gates (empty texts are UNRELIABLE)."""
+    """The quality record of each text: signals, label and gates (empty texts are UNRELIABLE).
+
+    Tokens, lines and characters are exploded once each and counted per text
+    before they are shuffled; the counts meet on doc_id.
+    """
+    docs = spread(docs.select("doc_id", "text"))
     text = F.col("text")
-    base = docs.withColumn("toks", T.tokens("text")).withColumn("rows", T.lines("text"))
+    base = docs.select("doc_id", T.rare_bigram_ratio(text).alias("rare"), T.uncertainty_density(text).alias("unc"))
+    for part in (token_signals(docs), line_signals(docs), entropies(docs)):
+        base = base.join(part, "doc_id", "left")
+    base = base.na.fill(0)
+    bad = T.share(F.col("bad").cast("double"), F.col("long"))
+    of_lines = lambda c: F.round(T.share(F.col(c).cast("double"), F.col("line_count")), 4)
     signals = base.select(
-        "doc_id",
-        F.size("rows").alias("line_count"),
-        F.size("toks").alias("token_count"),
-        F.round(T.char_entropy(text), 4).alias("char_entropy"),
-        F.round(T.non_wordlike_share(F.col("toks")), 4).alias("non_wordlike"),
-        F.round(T.rare_bigram_ratio(text), 4).alias("rare_bigrams"),
-        T.gibberish(text, F.col("toks")).alias("gibberish"),
-        F.round(T.uncertainty_density(text), 4).alias("uncertainty"),
-        F.round(T.leading_fragment_ratio(F.col("rows")), 4).alias("lead_share"),
-        F.round(T.seam_fragment_ratio(F.col("rows")), 4).alias("seam_share"),
-        F.round(T.trailing_fragment_ratio(F.col("rows")), 4).alias("trail_share"),
-        F.size(F.filter("toks", lambda t: t.contains("?") | t.contains("…") | t.contains("["))).alias("sanitized"),
-    )
+        "doc_id", "line_count", "token_count",
+        F.round("entropy", 4).alias("char_entropy"),
+        F.round(bad, 4).alias("non_wordlike"),
+        F.round("rare", 4).alias("rare_bigrams"),
+        F.when(F.col("token_count") == 0, F.lit(0.0)).otherwise(F.round(T.gibberish_score(bad, F.col("entropy"), F.col("rare"), F.col("unc")), 4)).alias("gibberish"),
+        F.round("unc", 4).alias("uncertainty"),
+        of_lines("lead").alias("lead_share"), of_lines("seam").alias("seam_share"), of_lines("trail").alias("trail_share"),
+        F.col("odd").alias("sanitized"),
+    )
     label = T.quality_label(F.col("gibberish"), F.col("uncertainty"), F.lit(None).cast("double"), F.col("non_wordlike"), F.col("char_entropy"), F.col("seam_share"), F.col("lead_share"))
     out = signals.withColumn("label", F.when(F.col("token_count") == 0, "UNRELIABLE").otherwise(label))
     return out.withColumn("allowed", F.col("label").isin("HIGH", "OK")).withColumn("seam_retry", (F.col("seam_share") >= C.SEAM_FRAGMENT_LIMIT) | (F.col("lead_share") >= C.LEADING_FRAGMENT_LIMIT))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import similarity
 from palimpsest.functions import text as T
+from palimpsest.operators import passes as P
 from palimpsest.operators import extraction as X
 from palimpsest.operators import store as S
 
@@ -39,26 +40,69 @@ def test_jaro_bounds(a, b):
     assert 0.0 <= similarity.jaro(a, b) <= similarity.jaro_winkler(a, b) + 1e-12 <= 1.0 + 1e-9
 
 
-def test_mentions_of_a_charter():
+def texts(spark, *rows):
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+def test_mentions_of_a_charter(spark):
     text = "Tresreuerend pere en dieu euesque et prince de lausanne.\nApprochant l'an de grace mil cinq cens."
-    found = X.anchor_mentions(text)
-    assert any(m[3] == "place" and m[2] == "lausanne" for m in found)
-    assert any(m[3] == "title" and m[2] in {"pere", "euesque", "prince"} for m in found)
-    assert any(m[3] == "date" for m in found)
-    assert all(text[m[0] : m[1]] == m[2] for m in found)
-    assert X.anchor_mentions("") == X.person_mentions("") == []
+    found = X.anchor_mentions(texts(spark, text, "")).collect()
+    assert any(m["ent_type"] == "place" and m["surface"] == "lausanne" for m in found)
+    assert any(m["ent_type"] == "title" and m["surface"] in {"pere", "euesque", "prince"} for m in found)
+    assert {m["surface"] for m in found if m["ent_type"] == "date"} == {"l'an de grace mil cinq"}
+    assert all(text[m["start_offset"] : m["end_offset"]] == m["surface"] and m["doc_id"] == 0 for m in found)
+
+
+def test_dates_over_lines_and_first_lines(spark):
+    found = X.anchor_mentions(texts(spark, "Le livre de Lancelot\nen 1234 et MCCXL, lan\nmil deux", "mil\nhommes")).collect()
+    assert {(m["ent_type"], m["surface"]) for m in found if m["doc_id"] == 0} >= {("work", "Le livre de Lancelot"), ("date", "1234"), ("date", "MCCXL"), ("date", "lan\nmil deux")}
+    assert not [m for m in found if m["doc_id"] == 1]
+
+
+def test_person_runs_and_particles(spark):
+    text = "Jean de Berry vint.\nEt Marie Anne parla 😀 Guillaume de Machaut.\nIX Louis"
+    found = sorted(X.person_mentions(texts(spark, text, "", "A B C D E F G")).collect(), key=lambda m: (m["doc_id"], m["start_offset"]))
+    assert [(m["surface"], m["confidence"]) for m in found] == [("Jean de Berry", 0.7), ("Et Marie Anne", 0.7), ("Guillaume de Machaut", 0.7), ("A B", 0.65), ("E F G", 0.7)]
+    assert all(text[m["start_offset"] : m["end_offset"]] == m["surface"] for m in found if m["doc_id"] == 0)
+
 
+def test_overlaps_of_one_type_go(spark):
+    rows = [(1, 0, 5, "a", "person", 0.5, "r"), (1, 3, 9, "b", "person", 0.8, "r"), (1, 0, 5, "a", "place", 0.4, "r"), (1, 0, 5, "a", "person", 0.6, "r"), (1, 4, 4, "x", "person", 0.9, "r"), (2, 3, 9, "c", "person", 0.1, "r")]
+    kept = X.without_overlaps(spark.createDataFrame(rows, "doc_id long, start_offset int, end_offset int, surface string, ent_type string, confidence double, method string")).collect()
+    assert sorted((m["doc_id"], m["start_offset"], m["ent_type"], m["confidence"]) for m in kept) == [(1, 0, "place", 0.4), (1, 3, "person", 0.8), (2, 3, "person", 0.1)]
 
-def test_person_runs_and_particles():
-    text = "Jean de Berry vint.\nEt Marie Anne parla 😀 Guillaume de Machaut."
-    found = [m[2] for m in X.person_mentions(text)]
-    assert found == ["Jean de Berry", "Et Marie Anne", "Guillaume de Machaut"]
-    assert all(text[m[0] : m[1]] == m[2] for m in X.person_mentions(text))
 
+def test_edit_distance_beyond_the_bands(spark):
+    a, b = "ab" * 900, "ba" * 300 + "cd" * 700
+    assert one(spark, P.edit_distance(F.col("a"), F.col("b")), a=a, b=b) == one(spark, F.levenshtein(F.col("a"), F.col("b")), a=a, b=b) > 1024
+
+
+@pytest.mark.parametrize("raw, proofread, want", [
+    ("Reuerendi patris et domini", "Reuerendi patris et domini", "accepted"),
+    ("Reuerendi patru et domini", "Reuerendi patri et domini", "accepted"),
+    ("qjxvvbbx cccnnn zzppp", "In the name of the Lord and His holy kingdom we proclaim", "char_edit_ratio"),
+    ("ab cd\nef gh\nij kl\nmn op\nqr st", "ab cd ef gh ij kl mn op qr st", "line_drift"),
+    ("Reuerendi [?] et [?] domini nostri regis et aliorum", "Reuerendi et domini nostri regis et aliorum", "uncertainty_stripped"),
+    ("dorninus noster", "dominus noster", "accepted"),
+])
+def test_proofread_verdicts(spark, raw, proofread, want):
+    assert one(spark, P.proofread_verdict(F.col("a"), F.col("b")), a=raw, b=proofread) == want
+
+
+def test_unstable_tokens_are_marked(spark):
+    rows = [(1, "qzxkv ok\nsame  line\n\naB-c end", "abc ok\nsame line\n\nab end"), (2, "", ""), (3, "fine", "fine")]
+    got = {r["doc_id"]: (r["text"], r["marks"]) for r in P.marked_passes(spark.createDataFrame(rows, "doc_id long, a string, b string")).collect()}
+    assert got[2] == ("", 0) and got[3] == ("fine", 0)
+    assert got[1] == ("????? ok\nsame line\n\n[…] end", 2) or got[1] == ("????? ok\nsame line\n\naB-c end", 1)
+
+
+def test_the_best_reading_of_a_line(spark):
+    from palimpsest.functions import lines as L
 
-def test_overlaps_of_one_type_go():
-    kept = X.without_overlaps([(0, 5, "a", "person", 0.5, "r"), (3, 9, "b", "person", 0.8, "r"), (0, 5, "a", "place", 0.4, "r"), (0, 5, "a", "person", 0.6, "r"), (4, 4, "x", "person", 0.9, "r")])
-    assert [(m[0], m[3], m[4]) for m in kept] == [(0, "place", 0.4), (3, "person", 0.8)]
+    assert L.founders(["Reuerendi patris", "reuerendi patris.", "et domini", "", "Reuerendi patrix"]) == [0, 0, 2, -1, 0]
+    rows = [(1, 0, "longer line", 0.5, 0), (1, 0, "line?", 0.9, 1), (1, 2, "a", 0.4, 2), (1, 2, "b", 0.5, 3)]
+    got = {r["entry"]: (r["text"], r["readings"]) for r in P.best_of_line(spark.createDataFrame(rows, "doc_id long, entry int, text string, confidence double, pos int")).collect()}
+    assert got == {0: ("longer line", 2), 2: ("b", 2)}
 
 
 def test_line_chunks_have_raw_offsets(spark):
@@ -97,7 +141,3 @@ def test_sequential_line_rules():
     assert L.collapse_single_runs("a b c word d e".split()) == (["[…]", "word", "d", "e"], 3)
     assert L.collapse_fragments("a a mno y a nis word word word word".split())[0][0] == "[…]"
     assert L.collapse_fragments(["a", "b"]) == (["a", "b"], 0)
-    assert L.merge_lines([("Reuerendi patris", 0.5), ("reuerendi patris.", 0.9), ("et domini", 0.7), ("", 0.1)]) == ["reuerendi patris.", "et domini"]
-    assert L.preferred("longer line", 0.5, "line?", 0.9) and not L.preferred("a", 0.4, "b", 0.5)
-    assert L.marked("qzx ok\nsame", "abc ok\nsame", lambda t: t == "qzx") == ("[…] ok\nsame", 1)
-    assert L.looks_like_false_hyphen("aB-c", True, lambda t: False) and not L.looks_like_false_hyphen("well-made", True, lambda t: False)
