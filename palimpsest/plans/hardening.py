@@ -206,7 +206,6 @@ register("T30_name_likeness", lambda s, d: tokens_of(s, d).select("token", name_
 register("P16_medieval_name", lambda s, d: tokens_of(s, d).select("token", (F.length("token").between(3, 18) & ~F.col("token").isin(*C.COMMON_WORDS) & T.vowel_share_of_length(F.col("token")).between(0.20, 0.80) & (T.longest_consonant_run(F.col("token")) < 4)).alias("name_like")), f"WITH {LETTER_TOKENS} SELECT token, length(token) BETWEEN 3 AND 18 AND token NOT IN {Q.words(C.COMMON_WORDS)} AND {Q_V} BETWEEN 0.2e0 AND 0.8e0 AND {Q_RUN} < 4 AS name_like FROM tok")
 register("J17_structured_sections", lambda s, d: decisions(s, d).where("status = 'ACCEPT_LINKABLE'").groupBy("surface").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n")).orderBy(F.col("confidence").desc(), F.col("n").desc(), "surface").limit(4), f"WITH {D_SQL} SELECT surface, max(confidence) AS confidence, count(*) AS n FROM decisions WHERE status = 'ACCEPT_LINKABLE' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 4")
 register("A26_entity_assertions", lambda s, d: candidates(s, d).where("compatible AND score >= 0.9").select("cand_key", F.explode(F.array(F.struct(F.lit("label").alias("property"), F.col("label").alias("value")), F.struct(F.lit("source").alias("property"), F.col("source").alias("value")))).alias("p")).select("cand_key", "p.property", "p.value").distinct(), f"WITH {C_SQL} SELECT DISTINCT cand_key, 'label' AS property, label AS value FROM candidates WHERE compatible AND score >= 0.9e0 UNION SELECT cand_key, 'source', source FROM candidates WHERE compatible AND score >= 0.9e0")
-register("W21_top_candidates", lambda s, d: candidates(s, d).where("run_id < 50").select("mention_id", "cand_key", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, label, score FROM candidates WHERE run_id < 50")
 register("T114_candidate_source", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.nullif("source", F.lit("viaf")), F.when(F.col("cand_key") % 2 == 0, "viaf"), F.lit("unknown")).alias("resolved")), f"WITH {C_SQL} SELECT mention_id, cand_key, coalesce(nullif(source, 'viaf'), CASE WHEN cand_key % 2 = 0 THEN 'viaf' END, 'unknown') AS resolved FROM candidates")
 register("T88_context", lambda s, d: documents(s, d).select("doc_id", F.substring("text", 1, 400).alias("context")), f"WITH {DOCS} SELECT doc_id, substr(text, 1, 400) AS context FROM docs")
 register("M6_listed_surfaces", lambda s, d: documents(s, d).select("doc_id", F.instr("text", "the").alias("place")).where("place > 0"), f"WITH {DOCS} SELECT doc_id, instr(text, 'the')::INT AS place FROM docs WHERE instr(text, 'the') > 0")

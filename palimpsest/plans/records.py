@@ -10,7 +10,6 @@ from palimpsest.plans.store import E_SQL, M_SQL, events, mentions
 from palimpsest.registry import register
 
 register("S25_S29_S30_S31_S32_S33_S34_appends", lambda s, d: events(s, d).where("id % 2 = 0").unionByName(events(s, d).where("id % 2 = 1")).groupBy("stage").agg(F.count("*").alias("rows")), f"WITH {E_SQL} SELECT stage, count(*) AS rows FROM ev GROUP BY 1")
-register("S43_evidence_records", lambda s, d: mentions(s, d).where("run_id < 200").select(F.to_json(F.struct("mention_id", "surface", "start_offset")).alias("line")), f"WITH {M_SQL} SELECT json_object('mention_id', mention_id, 'surface', surface, 'start_offset', start_offset)::VARCHAR AS line FROM mentions WHERE run_id < 200")
 register("S44_S45_spans_of_page", lambda s, d: mentions(s, d).select(F.col("run_id").alias("page_id"), F.sha2(F.concat_ws("|", "run_id", "surface", "start_offset", "end_offset"), 256).alias("span_id"), "start_offset", "end_offset").dropDuplicates(["span_id"]).groupBy("page_id").agg(F.count("*").alias("spans"), F.max("end_offset").alias("reach")), f"WITH {M_SQL} SELECT run_id AS page_id, count(*) AS spans, max(end_offset) AS reach FROM (SELECT DISTINCT run_id, surface, start_offset, end_offset FROM mentions) GROUP BY 1")
 
 

@@ -9,33 +9,10 @@ from palimpsest.plans.store import read
 from palimpsest.registry import register
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-def top_k(vectors, query, k: int, where: Column | None = None):
-    """The k rows most like the query vector (one row, broadcast): a distributed top-k, never a full sort."""
-    rows = vectors if where is None else vectors.where(where)
-    scored = rows.crossJoin(F.broadcast(query)).select("vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
-    return scored.orderBy(F.col("score").desc(), "vec_id").limit(k)
-
-
 def vectors(s, d):
     return read(s, d, "embeddings")
 
 
-def query(s, d):
-    return vectors(s, d).where("vec_id = 7").select(F.col("embedding").alias("q"))
-
-
-COS = "SELECT vec_id, label, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * q[i]::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS score FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
-register("V1_retrieve_chunks", lambda s, d: top_k(vectors(s, d), query(s, d), 5), f"{COS} ORDER BY score DESC, vec_id LIMIT 5")
-register("V2_retrieve_entities", lambda s, d: top_k(vectors(s, d), query(s, d), 4, F.col("label").isin(1, 2, 3)), f"{COS} WHERE label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 4")
-register("V7_retrieve_debug", lambda s, d: top_k(vectors(s, d), query(s, d), 20).withColumn("distance", F.round(1 - F.col("score"), 4)), f"SELECT *, round(1 - score, 4) AS distance FROM ({COS} ORDER BY score DESC, vec_id LIMIT 20)")
 register("V4_V6_index_counts", lambda s, d: vectors(s, d).groupBy("label").agg(F.count("*").alias("indexed"), F.min(F.size("embedding")).alias("width")), "SELECT label, count(*) AS indexed, min(len(embedding))::INT AS width FROM embeddings GROUP BY 1")
 
 

@@ -226,6 +226,4 @@ register("P17_type_compatible", compat, f"WITH {C_SQL} SELECT mention_id, cand_k
 register("P19_P20_P22_reasons", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.when(F.col("score") < 0.3, "unresolved_low_quality").when(F.col("compatible"), "linked").otherwise("unresolved").alias("status")).withColumn("open", F.col("status").startswith("unresolved")).withColumn("text", F.when(F.col("status") == "linked", "Linked to an authority.").when(F.col("status").contains("low_quality"), "Too little evidence.").otherwise("No candidate fits.")), f"WITH {C_SQL} SELECT *, starts_with(status, 'unresolved') AS open, CASE WHEN status = 'linked' THEN 'Linked to an authority.' WHEN contains(status, 'low_quality') THEN 'Too little evidence.' ELSE 'No candidate fits.' END AS text FROM (SELECT mention_id, cand_key, CASE WHEN score < 0.3e0 THEN 'unresolved_low_quality' WHEN compatible THEN 'linked' ELSE 'unresolved' END AS status FROM candidates)")
 register("P24_prefilter_candidates", lambda s, d: candidates(s, d).where(~F.col("description").rlike("(?i)brushed|plated")).select("mention_id", "cand_key", F.round(F.col("score") + F.when(F.lower("label") == F.lower("surface"), 0.30).when(F.lower("label").contains(F.lower("surface")), 0.15).otherwise(0.0) + 0.10 * F.regexp_count(F.lower("description"), F.lit("steel|brass")), 6).alias("rank_score")), f"WITH {C_SQL} SELECT mention_id, cand_key, round(score + (CASE WHEN lower(label) = lower(surface) THEN 0.3e0 WHEN contains(lower(label), lower(surface)) THEN 0.15e0 ELSE 0e0 END) + 0.1e0 * len(regexp_extract_all(lower(description), 'steel|brass')), 6) AS rank_score FROM candidates WHERE NOT regexp_matches(description, '(?i)brushed|plated')")
 register("T113_T115_entity_ids", lambda s, d: candidates(s, d).select(F.concat_ws(":", F.coalesce("source", F.lit("none")), F.coalesce(F.nullif(F.col("cand_key").cast("string"), F.lit("")), "label")).alias("entity_id")).distinct(), f"WITH {C_SQL} SELECT DISTINCT concat_ws(':', source, cand_key) AS entity_id FROM candidates")
-register("T116_score_breakdown", lambda s, d: candidates(s, d).where("run_id < 50").select("mention_id", "cand_key", F.struct(F.col("score").alias("label"), F.round(1 - F.col("score"), 4).alias("context"), F.col("compatible").alias("type")).alias("parts")).select("mention_id", "cand_key", "parts.*"), f"WITH {C_SQL} SELECT mention_id, cand_key, score AS label, round(1 - score, 4) AS context, compatible AS type FROM candidates WHERE run_id < 50")
-register("T117_confidence_text", lambda s, d: candidates(s, d).where("run_id < 50").select("mention_id", "cand_key", F.coalesce(F.format_string("%.4f", "score"), F.lit("")).alias("shown")), f"WITH {C_SQL} SELECT mention_id, cand_key, printf('%.4f', score) AS shown FROM candidates WHERE run_id < 50")
 register("W17_query_variants", lambda s, d: pairs(s, d).where(F.length("a") >= 5).select("a", "b", F.array_join(F.array_distinct(F.array(F.concat_ws(" ", "a", "b"), F.col("a"), F.when(F.length("b") >= 5, F.col("b")).otherwise(F.col("a")))), "|").alias("variants")), f"WITH {PAIRS} SELECT a, b, CASE WHEN length(b) >= 5 AND b <> a THEN concat(a, ' ', b, '|', a, '|', b) ELSE concat(a, ' ', b, '|', a) END AS variants FROM pairs WHERE length(a) >= 5")

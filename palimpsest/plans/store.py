@@ -74,7 +74,6 @@ register("S4_list_mentions", lambda s, d: S.scan(mentions(s, d), {"ent_type": "p
 register("S5_list_evidence_spans", lambda s, d: S.scan(mentions(s, d), {"ent_type": "place", "method": "rule:trigger", "surface": None}, [F.col("created_at"), F.col("mention_id")]), f"WITH {M_SQL} SELECT * FROM mentions WHERE ent_type = 'place' AND method = 'rule:trigger' ORDER BY created_at, mention_id")
 register("S6_list_decisions", lambda s, d: S.scan(decisions(s, d), {"status": "ACCEPT_LINKABLE"}, [F.col("mention_id")], 100), f"WITH {D_SQL} SELECT * FROM decisions WHERE status = 'ACCEPT_LINKABLE' ORDER BY mention_id LIMIT 100")
 register("S7_list_attempts", lambda s, d: S.scan(candidates(s, d), {"run_id": RUN}, [F.col("mention_id"), F.col("cand_key")]), f"WITH {C_SQL} SELECT * FROM candidates WHERE run_id = {RUN} ORDER BY mention_id, cand_key")
-register("S8_list_quality_reports", lambda s, d: decisions(s, d).where("run_id < 100").select("mention_id", F.col("status").isin("ACCEPT_LINKABLE").cast("int").cast("boolean").alias("ner_allowed")), f"WITH {D_SQL} SELECT mention_id, status = 'ACCEPT_LINKABLE' AS ner_allowed FROM decisions WHERE run_id < 100")
 register("S9_latest_report", lambda s, d: S.first_by_key(mentions(s, d), ["run_id", "ent_type"], [F.col("created_at").desc(), F.col("mention_id").desc()]).select("run_id", "ent_type", "mention_id"), f"WITH {M_SQL} SELECT run_id, ent_type, mention_id FROM mentions QUALIFY row_number() OVER (PARTITION BY run_id, ent_type ORDER BY created_at DESC, mention_id DESC) = 1")
 register("S10_tile_audit", lambda s, d: S.scan(mentions(s, d).select("run_id", "start_offset", "end_offset"), {"run_id": RUN}, [F.col("start_offset"), F.col("end_offset")]), f"WITH {M_SQL} SELECT run_id, start_offset, end_offset FROM mentions WHERE run_id = {RUN} ORDER BY start_offset, end_offset")
 register("S11_ocr_attempts", lambda s, d: S.scan(events(s, d), {"event": "END"}, [F.col("id")], 200), f"WITH {E_SQL} SELECT * FROM ev WHERE event = 'END' ORDER BY id LIMIT 200")
@@ -83,8 +82,6 @@ register("S13_backend_results", lambda s, d: S.scan(candidates(s, d), {"source":
 view = lambda name: f"(SELECT to_json({name}) AS row FROM {name})"
 register("S14_table_view", lambda s, d: S.table_view(read(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey")), "SELECT json_object('n_nationkey', n_nationkey, 'n_name', n_name, 'n_regionkey', n_regionkey)::VARCHAR AS row FROM nation")
 register("S15_S21_table_views", lambda s, d: S.table_view(S.scan(decisions(s, d).select("mention_id", "run_id", "span_key", "status"), {"run_id": RUN})), f"WITH {D_SQL} SELECT json_object('mention_id', mention_id, 'run_id', run_id, 'span_key', span_key, 'status', status)::VARCHAR AS row FROM decisions WHERE run_id = {RUN}")
-register("S18_candidates_view", lambda s, d: candidates(s, d).where("run_id < 20").select("mention_id", "cand_key", "surface", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, surface, label, score FROM candidates WHERE run_id < 20")
-register("S20_attempts_view", lambda s, d: candidates(s, d).select("mention_id", "cand_key").join(decisions(s, d).select("mention_id", "run_id", "status"), "mention_id").where("run_id < 20"), f"WITH {C_SQL}, dec AS (SELECT mention_id, run_id, CASE WHEN confidence >= 0.7e0 THEN 'ACCEPT_LINKABLE' WHEN ent_type = 'date' THEN 'SKIP_NON_LINKABLE' WHEN confidence >= 0.2e0 THEN 'REJECT_LINKABLE' ELSE 'FILTERED_OUT' END AS status FROM mentions) SELECT mention_id, cand_key, dec.run_id, status FROM candidates JOIN dec USING (mention_id) WHERE dec.run_id < 20")
 register("S22_create_runs", lambda s, d: read(s, d, "documents").select(F.sha2(F.concat_ws("|", "source", "doc_id"), 256).alias("run_id"), F.col("source").alias("asset_ref"), F.lit("RUNNING").alias("status"), F.lit("RECEIVED").alias("current_stage")), "SELECT sha256(concat_ws('|', source, doc_id)) AS run_id, source AS asset_ref, 'RUNNING' AS status, 'RECEIVED' AS current_stage FROM documents")
 register("S23_current_stage", lambda s, d: events(s, d).groupBy("run_id").agg(F.max_by("stage", F.struct("ts", "id")).alias("current_stage"), F.max("ts").alias("updated_at")), f"WITH {E_SQL} SELECT run_id, stage AS current_stage, max(ts) OVER (PARTITION BY run_id) AS updated_at FROM ev QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, id DESC) = 1")
 register(
@@ -93,7 +90,6 @@ register(
     f"WITH {E_SQL} SELECT run_id, max_by(stage, id) FILTER (event = 'END') AS ended, max_by(value, id) FILTER (id % 5 = 0) AS value FROM ev GROUP BY run_id",
 )
 register("S26_insert_mentions_defaults", lambda s, d: mentions(s, d).select("mention_id", F.coalesce(F.nullif("ent_type", F.lit("date")), F.lit("unknown")).alias("ent_type"), F.coalesce(F.nullif("method", F.lit("rule:capital")), F.lit("rule:unknown")).alias("method")), f"WITH {M_SQL} SELECT mention_id, coalesce(nullif(ent_type, 'date'), 'unknown') AS ent_type, coalesce(nullif(method, 'rule:capital'), 'rule:unknown') AS method FROM mentions")
-register("S27_insert_candidates", lambda s, d: candidates(s, d).where((F.col("label") != "") & F.col("mention_id").isNotNull() & (F.col("run_id") < 50)).select("mention_id", F.to_json(F.struct("source", "cand_key")).alias("meta")), f"WITH {C_SQL} SELECT mention_id, json_object('source', source, 'cand_key', cand_key)::VARCHAR AS meta FROM candidates WHERE label <> '' AND mention_id IS NOT NULL AND run_id < 50")
 register("S28_replace_decisions", lambda s, d: S.first_by_key(decisions(s, d), ["run_id", "span_key"], [F.col("mention_id").desc()]), f"WITH {D_SQL} SELECT * FROM decisions QUALIFY row_number() OVER (PARTITION BY run_id, span_key ORDER BY mention_id DESC) = 1")
 entity = lambda s, d: mentions(s, d).select(F.col("surface").alias("entity_id"), F.col("created_at"), F.col("created_at").alias("updated_at"), F.col("mention_id").alias("seq"), "ent_type", "confidence")
 register("S35_upsert_entities", lambda s, d: S.upsert(entity(s, d), "entity_id", "created_at", "updated_at", "seq"), f"WITH {M_SQL} SELECT surface AS entity_id, min(created_at) OVER (PARTITION BY surface) AS created_at, created_at AS updated_at, mention_id AS seq, ent_type, confidence FROM mentions QUALIFY row_number() OVER (PARTITION BY surface ORDER BY created_at DESC, mention_id DESC) = 1")
@@ -101,7 +97,7 @@ register("S36_upsert_evidence", lambda s, d: mentions(s, d).select(F.sha2(F.conc
 register("S37_upsert_links", lambda s, d: S.first_by_key(candidates(s, d).select("mention_id", "cand_key", "score"), ["mention_id"], [F.col("score").desc(), F.col("cand_key")]), f"WITH {C_SQL} SELECT mention_id, cand_key, score FROM candidates QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) = 1")
 register("S38_replace_aliases", lambda s, d: S.first_by_key(read(s, d, "customer").select(F.col("c_nationkey").alias("entity_id"), F.lower("c_mktsegment").alias("alias"), F.col("c_custkey").alias("pos")), ["entity_id", "alias"], [F.col("pos")]), "SELECT c_nationkey AS entity_id, lower(c_mktsegment) AS alias, min(c_custkey) AS pos FROM customer GROUP BY 1, 2")
 register("S39_replace_assertions", lambda s, d: read(s, d, "customer").select(F.col("c_nationkey").alias("entity_id"), F.lit("tpch").alias("source_name"), F.col("c_mktsegment").alias("property_value")).dropDuplicates(), "SELECT DISTINCT c_nationkey AS entity_id, 'tpch' AS source_name, c_mktsegment AS property_value FROM customer")
-register("S40_clear_analysis", lambda s, d: S.without(candidates(s, d), mentions(s, d).where("run_id % 10 <> 3"), "mention_id").groupBy("run_id").agg(F.count("*").alias("left_over")), f"WITH {C_SQL} SELECT run_id, count(*) AS left_over FROM candidates WHERE mention_id NOT IN (SELECT mention_id FROM mentions WHERE run_id % 10 <> 3) GROUP BY run_id")
+register("S40_clear_analysis", lambda s, d: S.without(candidates(s, d), mentions(s, d).where("ent_type <> 'date'"), "mention_id").groupBy("run_id").agg(F.count("*").alias("left_over")), f"WITH {C_SQL} SELECT run_id, count(*) AS left_over FROM candidates WHERE mention_id NOT IN (SELECT mention_id FROM mentions WHERE ent_type <> 'date') GROUP BY run_id")
 register("S41_S42_clear_links", lambda s, d: S.without(mentions(s, d).select("mention_id", "run_id"), read(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id")), "run_id"), f"WITH {M_SQL} SELECT mention_id, run_id FROM mentions WHERE run_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 cache = lambda s, d: events(s, d).groupBy(F.col("run_id").alias("cache_key")).agg(F.max("ts").alias("created_at"), F.sum(F.when(F.col("stage") == "purchase", 1).otherwise(0)).alias("n_results"))
 CACHE_SQL = f"{E_SQL}, cache AS (SELECT run_id AS cache_key, max(ts) AS created_at, sum(CASE WHEN stage = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS n_results FROM ev GROUP BY run_id), latest AS (SELECT max(ts) AS now FROM events)"
@@ -120,11 +116,6 @@ register("S58_delete_run_vectors", lambda s, d: read(s, d, "embeddings").where("
 register("S59_expire_tasks", lambda s, d: read(s, d, "orders").where(F.col("o_orderdate") >= F.to_timestamp(F.lit("1996-01-01"))).select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'")
 
 # ---- joins -------------------------------------------------------------------------
-register(
-    "J1_mention_links",
-    lambda s, d: candidates(s, d).select("mention_id", "cand_key", "score", "source").join(mentions(s, d).select("mention_id", "run_id", "surface", "start_offset", "part"), "mention_id").join(read(s, d, "supplier").select(F.col("s_suppkey").alias("cand_key"), F.col("s_name").alias("entity")), "cand_key", "left").join(read(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("evidence")), "run_id", "left").where("run_id < 200"),
-    f"WITH {C_SQL} SELECT c.mention_id, c.cand_key, c.score, c.source, m.run_id, m.surface, m.start_offset, m.part, s_name AS entity, o_orderpriority AS evidence FROM candidates c JOIN mentions m USING (mention_id) LEFT JOIN supplier ON s_suppkey = c.cand_key LEFT JOIN orders ON o_orderkey = m.run_id AND o_orderstatus = 'O' WHERE m.run_id < 200",
-)
 register("J2_report_top_candidates", lambda s, d: candidates(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.col("score").desc(), F.col("cand_key")))).where("rank <= 2").select("mention_id", "rank", "label", "score"), f"WITH {C_SQL} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) AS rank, label, score FROM candidates QUALIFY rank <= 2")
 register("J3_attempts_of_run", lambda s, d: candidates(s, d).select("mention_id", "cand_key").join(decisions(s, d).select("mention_id", "surface", "status"), "mention_id").groupBy("status").agg(F.count("*").alias("attempts"), F.countDistinct("surface").alias("surfaces")), f"WITH {D_SQL}, near AS (SELECT mention_id, unnest([part, part + 1, part + 2]) AS cand_key FROM mentions) SELECT status, count(*) AS attempts, count(DISTINCT surface) AS surfaces FROM near JOIN part ON p_partkey = cand_key JOIN decisions USING (mention_id) GROUP BY status")
 
@@ -140,8 +131,8 @@ def chunk_of_span(s, d):
 
 
 register("J4_chunk_of_span", chunk_of_span, f"WITH {M_SQL}, chunk AS (SELECT unnest(range(0, 12)) AS idx) SELECT mention_id, idx AS chunk_id FROM mentions JOIN chunk ON start_offset < idx * 100 + 100 AND end_offset > idx * 100 OR (start_offset >= idx * 100 AND end_offset <= idx * 100 + 100) QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY CASE WHEN start_offset >= idx * 100 AND end_offset <= idx * 100 + 100 THEN 0 ELSE 1 END, idx) = 1")
-keys = ["start_offset", "end_offset", "ent_type", "surface"]
-register("J5_composite_key_join", lambda s, d: mentions(s, d).where("method = 'rule:trigger'").select("mention_id", *keys).join(mentions(s, d).where("method = 'rule:capital'").select(F.col("mention_id").alias("other_id"), *keys), keys), f"WITH {M_SQL} SELECT a.mention_id, b.mention_id AS other_id, a.start_offset, a.end_offset, a.ent_type, a.surface FROM mentions a JOIN mentions b ON a.start_offset = b.start_offset AND a.end_offset = b.end_offset AND a.ent_type = b.ent_type AND a.surface = b.surface WHERE a.method = 'rule:trigger' AND b.method = 'rule:capital'")
+keys = ["run_id", "start_offset", "end_offset", "ent_type", "surface"]
+register("J5_composite_key_join", lambda s, d: mentions(s, d).where("method = 'rule:trigger'").select("confidence", *keys).join(mentions(s, d).select("mention_id", *keys), keys), f"WITH {M_SQL} SELECT a.confidence, b.mention_id, a.run_id, a.start_offset, a.end_offset, a.ent_type, a.surface FROM mentions a JOIN mentions b ON a.run_id = b.run_id AND a.start_offset = b.start_offset AND a.end_offset = b.end_offset AND a.ent_type = b.ent_type AND a.surface = b.surface WHERE a.method = 'rule:trigger'")
 register("J8_aliases_by_entity", lambda s, d: read(s, d, "customer").join(read(s, d, "nation").where("n_regionkey = 1"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").groupBy(F.col("c_nationkey").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), "|").alias("aliases")), "SELECT c_nationkey AS entity_id, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS aliases FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1")
 register("J9_assertions_by_entity", lambda s, d: read(s, d, "supplier").groupBy(F.col("s_nationkey").alias("entity_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "s_name", "s_suppkey"))), "; ").alias("facts")), "SELECT s_nationkey AS entity_id, string_agg(concat_ws('=', s_name, s_suppkey), '; ' ORDER BY concat_ws('=', s_name, s_suppkey)) AS facts FROM supplier GROUP BY 1")
 register("J10_X10_X11_not_indexed", lambda s, d: runs(s, d).select("run_id").join(events(s, d).select("run_id").distinct(), "run_id", "left_anti").select("run_id"), f"WITH {R_SQL}, {E_SQL} SELECT run_id FROM runs WHERE run_id NOT IN (SELECT run_id FROM ev)")
@@ -171,7 +162,6 @@ register("A10_pivot_status", lambda s, d: decisions(s, d).join(mentions(s, d).se
 register("A11_persist_unresolved", lambda s, d: mentions(s, d).groupBy("ent_type").agg(F.count("*").alias("n"), F.round(F.sum(F.least("confidence", F.lit(0.35))), 2).alias("capped")), f"WITH {M_SQL} SELECT ent_type, count(*) AS n, round(sum(least(confidence, 0.35e0)), 2) AS capped FROM mentions GROUP BY 1")
 register("A14_A16_merge_confidence", lambda s, d: mentions(s, d).groupBy("run_id").agg(F.round(F.least(F.greatest(F.sum(F.col("confidence") * (F.col("end_offset") - F.col("start_offset"))) / F.sum(F.col("end_offset") - F.col("start_offset")), F.lit(0.0)), F.lit(1.0)), 6).alias("confidence"), F.round(F.least(F.avg("confidence"), F.lit(1.0)), 6).alias("mean")), f"WITH {M_SQL} SELECT run_id, round(least(greatest(sum(confidence * (end_offset - start_offset)) / sum(end_offset - start_offset), 0e0), 1e0), 6) AS confidence, round(least(avg(confidence), 1e0), 6) AS mean FROM mentions GROUP BY 1")
 register("A15_weighted_vote", lambda s, d: mentions(s, d).groupBy("run_id", "surface").agg(F.sum(F.greatest("confidence", F.lit(0.05))).alias("w"), F.min("mention_id").alias("first")).groupBy("run_id").agg(F.max_by("surface", F.struct(F.round("w", 6), -F.col("first"))).alias("hint")), f"WITH {M_SQL}, v AS (SELECT run_id, surface, round(sum(greatest(confidence, 0.05e0)), 6) AS w, min(mention_id) AS first_seen FROM mentions GROUP BY 1, 2) SELECT run_id, surface AS hint FROM v QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY w DESC, first_seen) = 1")
-register("A19_comparison_runs", lambda s, d: candidates(s, d).where("run_id < 300").groupBy("run_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_id", "cand_key", "label"))), lambda x: x["label"]), "\n").alias("text"), F.round(F.avg("score"), 6).alias("confidence")), f"WITH {C_SQL} SELECT run_id, source, string_agg(label, chr(10) ORDER BY mention_id, cand_key) AS text, round(avg(score), 6) AS confidence FROM candidates WHERE run_id < 300 GROUP BY 1, 2")
 register("A20_best_backend", lambda s, d: candidates(s, d).groupBy("mention_id").agg(F.max_by("source", F.struct("score", -F.col("cand_key"))).alias("backend")).groupBy("backend").agg(F.count("*").alias("n")), f"WITH {C_SQL}, b AS (SELECT mention_id, source AS backend FROM candidates QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) = 1) SELECT backend, count(*) AS n FROM b GROUP BY 1")
 register("A21_entity_documents", lambda s, d: mentions(s, d).groupBy(F.col("surface").alias("entity_id")).agg(F.max("confidence").alias("confidence"), F.array_join(F.slice(F.array_sort(F.collect_set("part")), 1, 12), ",").alias("parts")), f"WITH {M_SQL} SELECT surface AS entity_id, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(part)))[1:12], ',') AS parts FROM mentions GROUP BY 1")
 register("A22_A23_trace_snapshot", lambda s, d: events(s, d).groupBy("run_id").agg(F.count("*").alias("events"), F.max_by("stage", F.when(F.col("event") == "END", F.col("id"))).alias("last_end")), f"WITH {E_SQL} SELECT run_id, count(*) AS events, max_by(stage, id) FILTER (event = 'END') AS last_end FROM ev GROUP BY 1")
@@ -204,7 +194,6 @@ def disambiguated(s, d):
 
 
 register("W4_disambiguate", disambiguated, f"WITH {C_SQL} SELECT mention_id, cand_key, score, CASE WHEN NOT compatible THEN 'unresolved' WHEN score < 0.85e0 THEN 'unresolved' WHEN round(score - second, 6) < 0.15e0 THEN 'ambiguous' ELSE 'linked' END AS status FROM (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rank FROM candidates WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, cand_key)) WHERE rank = 1")
-register("W8_ordered_regions", lambda s, d: mentions(s, d).where("run_id < 100").select("mention_id", F.row_number().over(Window.partitionBy("run_id").orderBy(F.when(F.col("start_offset") > 200, F.col("start_offset")).asc_nulls_last(), F.col("mention_id"))).alias("place")), f"WITH {M_SQL} SELECT mention_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN start_offset > 200 THEN start_offset END ASC NULLS LAST, mention_id) AS place FROM mentions WHERE run_id < 100")
 register("W16_backend_ranking", lambda s, d: candidates(s, d).groupBy("source").agg(F.round(F.avg("score"), 6).alias("quality")).withColumn("place", F.row_number().over(Window.orderBy(F.col("quality").desc(), F.col("source")))), f"WITH {C_SQL} SELECT source, quality, row_number() OVER (ORDER BY quality DESC, source) AS place FROM (SELECT source, round(avg(score), 6) AS quality FROM candidates GROUP BY 1)")
 register("W18_linking_report", lambda s, d: disambiguated(s, d).withColumn("place", F.row_number().over(Window.partitionBy("status").orderBy(F.col("score").desc(), F.col("mention_id")))).where("place <= 6").select("status", "place", "mention_id"), f"WITH {C_SQL}, dis AS (SELECT mention_id, score, CASE WHEN NOT compatible THEN 'unresolved' WHEN score < 0.85e0 THEN 'unresolved' WHEN round(score - second, 6) < 0.15e0 THEN 'ambiguous' ELSE 'linked' END AS status FROM (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rank FROM candidates WINDOW w AS (PARTITION BY mention_id ORDER BY score DESC, cand_key)) WHERE rank = 1) SELECT status, row_number() OVER (PARTITION BY status ORDER BY score DESC, mention_id) AS place, mention_id FROM dis QUALIFY place <= 6")
 register("W19_unused_variant", lambda s, d: candidates(s, d).where("source <> 'viaf'").groupBy("mention_id").agg(F.max_by("cand_key", F.struct("score", "cand_key")).alias("variant")), f"WITH {C_SQL} SELECT mention_id, cand_key AS variant FROM candidates WHERE source <> 'viaf' QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key DESC) = 1")

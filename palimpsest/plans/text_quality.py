@@ -99,7 +99,6 @@ per_document("T79_uncertainty_markers", lambda text, toks, rows: {"markers": T.o
 per_document("T61_uncertainty_tokens", lambda text, toks, rows: {"sha": F.sha2(F.regexp_replace(text, r"\[\.\.\.\]|\.\.\.|…", "[…]"), 256)}, {"sha": r"sha256(regexp_replace(text, '\[\.\.\.\]|\.\.\.|…', '[…]', 'g'))"})
 per_document("T68_surface_norm", lambda text, toks, rows: {"sha": F.sha2(F.lower(T.collapse(text)), 256)}, {"sha": f"sha256(lower(regexp_replace({Q.strip('text')}, '{Q.WS}+', ' ', 'g')))"})
 per_document("T59_line_key", lambda text, toks, rows: {"sha": F.sha2(T.collapse(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", "")), 256)}, {"sha": rf"sha256(regexp_replace({Q.strip(chr(114) + 'egexp_replace(lower(text), ' + chr(39) + '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(92) + 's]' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')}, '{Q.WS}+', ' ', 'g'))"})
-per_document("T58_repeat_signature", lambda text, toks, rows: {"signature": F.substring(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]", ""), 1, 80)}, {"signature": r"substr(regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g'), 1, 80)"})
 per_document("T75_strip_uncertainty", lambda text, toks, rows: {"sha": F.sha2(F.regexp_replace(text, r"\[…\]|\[\.\.\.\]|\[\?\]|…|\?", ""), 256)}, {"sha": r"sha256(regexp_replace(text, '\[…\]|\[\.\.\.\]|\[\?\]|…|\?', '', 'g'))"})
 per_document("T81_short_text", lambda text, toks, rows: {"short": F.when(F.length(T.collapse(text)) > 180, F.concat(F.regexp_replace(F.substring(T.collapse(text), 1, 179), f"{T.SPACE}+$", ""), F.lit("…"))).otherwise(T.collapse(text))}, {"short": f"(SELECT CASE WHEN length(s) > 180 THEN concat(rtrim(substr(s, 1, 179)), '…') ELSE s END FROM (SELECT regexp_replace({Q.strip('text')}, '{Q.WS}+', ' ', 'g') AS s))"})
 per_document("T99_clean_lines", lambda text, toks, rows: {"n": F.size(rows), "sha": F.sha2(F.array_join(F.transform(rows, T.strip), "\n"), 256)}, {"n": f"len({q_rows})", "sha": f"sha256(coalesce(array_to_string(list_transform({q_rows}, lambda s: {Q.strip('s')}), chr(10)), ''))"})

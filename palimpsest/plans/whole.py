@@ -1,38 +1,37 @@
-"""Queries over all rows, beside those of the same name that look at a part of the ids or at one vector."""
+"""Views, links and searches over all rows of their tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from palimpsest.plans.retrieval import cosine, vectors
+from palimpsest.operators.retrieval import search
+from palimpsest.plans.retrieval import vectors
 from palimpsest.plans.store import C_SQL, D_SQL, M_SQL, candidates, decisions, mentions, read
 from palimpsest.plans.text_quality import DOCS, documents
 from palimpsest.registry import register
 
-register("S8_list_quality_reports_all", lambda s, d: decisions(s, d).select("mention_id", (F.col("status") == "ACCEPT_LINKABLE").alias("ner_allowed")), f"WITH {D_SQL} SELECT mention_id, status = 'ACCEPT_LINKABLE' AS ner_allowed FROM decisions")
-register("S18_candidates_view_all", lambda s, d: candidates(s, d).select("mention_id", "cand_key", "surface", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, surface, label, score FROM candidates")
-register("S20_attempts_view_all", lambda s, d: candidates(s, d).select("mention_id", "cand_key").join(decisions(s, d).select("mention_id", "run_id", "status"), "mention_id"), f"WITH {C_SQL}, dec AS (SELECT mention_id, run_id, CASE WHEN confidence >= 0.7e0 THEN 'ACCEPT_LINKABLE' WHEN ent_type = 'date' THEN 'SKIP_NON_LINKABLE' WHEN confidence >= 0.2e0 THEN 'REJECT_LINKABLE' ELSE 'FILTERED_OUT' END AS status FROM mentions) SELECT mention_id, cand_key, dec.run_id, status FROM candidates JOIN dec USING (mention_id)")
-register("S27_insert_candidates_all", lambda s, d: candidates(s, d).where((F.col("label") != "") & F.col("mention_id").isNotNull()).select("mention_id", F.to_json(F.struct("source", "cand_key")).alias("meta")), f"WITH {C_SQL} SELECT mention_id, json_object('source', source, 'cand_key', cand_key)::VARCHAR AS meta FROM candidates WHERE label <> '' AND mention_id IS NOT NULL")
+register("S8_list_quality_reports", lambda s, d: decisions(s, d).select("mention_id", (F.col("status") == "ACCEPT_LINKABLE").alias("ner_allowed")), f"WITH {D_SQL} SELECT mention_id, status = 'ACCEPT_LINKABLE' AS ner_allowed FROM decisions")
+register("S18_candidates_view", lambda s, d: candidates(s, d).select("mention_id", "cand_key", "surface", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, surface, label, score FROM candidates")
+register("S20_attempts_view", lambda s, d: candidates(s, d).select("mention_id", "cand_key").join(decisions(s, d).select("mention_id", "run_id", "status"), "mention_id"), f"WITH {C_SQL}, dec AS (SELECT mention_id, run_id, CASE WHEN confidence >= 0.7e0 THEN 'ACCEPT_LINKABLE' WHEN ent_type = 'date' THEN 'SKIP_NON_LINKABLE' WHEN confidence >= 0.2e0 THEN 'REJECT_LINKABLE' ELSE 'FILTERED_OUT' END AS status FROM mentions) SELECT mention_id, cand_key, dec.run_id, status FROM candidates JOIN dec USING (mention_id)")
+register("S27_insert_candidates", lambda s, d: candidates(s, d).where((F.col("label") != "") & F.col("mention_id").isNotNull()).select("mention_id", F.to_json(F.struct("source", "cand_key")).alias("meta")), f"WITH {C_SQL} SELECT mention_id, json_object('source', source, 'cand_key', cand_key)::VARCHAR AS meta FROM candidates WHERE label <> '' AND mention_id IS NOT NULL")
 register(
-    "J1_mention_links_all",
+    "J1_mention_links",
     lambda s, d: candidates(s, d).select("mention_id", "cand_key", "score", "source").join(mentions(s, d).select("mention_id", "run_id", "surface", "start_offset", "part"), "mention_id").join(read(s, d, "supplier").select(F.col("s_suppkey").alias("cand_key"), F.col("s_name").alias("entity")), "cand_key", "left").join(read(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("evidence")), "run_id", "left"),
     f"WITH {C_SQL} SELECT c.mention_id, c.cand_key, c.score, c.source, m.run_id, m.surface, m.start_offset, m.part, s_name AS entity, o_orderpriority AS evidence FROM candidates c JOIN mentions m USING (mention_id) LEFT JOIN supplier ON s_suppkey = c.cand_key LEFT JOIN orders ON o_orderkey = m.run_id AND o_orderstatus = 'O'",
 )
-register("A19_comparison_runs_all", lambda s, d: candidates(s, d).groupBy("run_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_id", "cand_key", "label"))), lambda x: x["label"]), "\n").alias("text"), F.round(F.avg("score"), 6).alias("confidence")), f"WITH {C_SQL} SELECT run_id, source, string_agg(label, chr(10) ORDER BY mention_id, cand_key) AS text, round(avg(score), 6) AS confidence FROM candidates GROUP BY 1, 2")
-register("W8_ordered_regions_all", lambda s, d: mentions(s, d).select("mention_id", F.row_number().over(Window.partitionBy("run_id").orderBy(F.when(F.col("start_offset") > 200, F.col("start_offset")).asc_nulls_last(), F.col("mention_id"))).alias("place")), f"WITH {M_SQL} SELECT mention_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN start_offset > 200 THEN start_offset END ASC NULLS LAST, mention_id) AS place FROM mentions")
-register("S43_evidence_records_all", lambda s, d: mentions(s, d).select(F.to_json(F.struct("mention_id", "surface", "start_offset")).alias("line")), f"WITH {M_SQL} SELECT json_object('mention_id', mention_id, 'surface', surface, 'start_offset', start_offset)::VARCHAR AS line FROM mentions")
-register("W21_top_candidates_all", lambda s, d: candidates(s, d).select("mention_id", "cand_key", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, label, score FROM candidates")
-register("T116_score_breakdown_all", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.col("score").alias("label"), F.round(1 - F.col("score"), 4).alias("context"), F.col("compatible").alias("type")), f"WITH {C_SQL} SELECT mention_id, cand_key, score AS label, round(1 - score, 4) AS context, compatible AS type FROM candidates")
-register("T117_confidence_text_all", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.format_string("%.4f", "score"), F.lit("")).alias("shown")), f"WITH {C_SQL} SELECT mention_id, cand_key, printf('%.4f', score) AS shown FROM candidates")
+register("A19_comparison_runs", lambda s, d: candidates(s, d).groupBy("run_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_id", "cand_key", "label"))), lambda x: x["label"]), "\n").alias("text"), F.round(F.avg("score"), 6).alias("confidence")), f"WITH {C_SQL} SELECT run_id, source, string_agg(label, chr(10) ORDER BY mention_id, cand_key) AS text, round(avg(score), 6) AS confidence FROM candidates GROUP BY 1, 2")
+register("W8_ordered_regions", lambda s, d: mentions(s, d).select("mention_id", F.row_number().over(Window.partitionBy("run_id").orderBy(F.when(F.col("start_offset") > 200, F.col("start_offset")).asc_nulls_last(), F.col("mention_id"))).alias("place")), f"WITH {M_SQL} SELECT mention_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN start_offset > 200 THEN start_offset END ASC NULLS LAST, mention_id) AS place FROM mentions")
+register("S43_evidence_records", lambda s, d: mentions(s, d).select(F.to_json(F.struct("mention_id", "surface", "start_offset")).alias("line")), f"WITH {M_SQL} SELECT json_object('mention_id', mention_id, 'surface', surface, 'start_offset', start_offset)::VARCHAR AS line FROM mentions")
+register("W21_top_candidates", lambda s, d: candidates(s, d).select("mention_id", "cand_key", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, label, score FROM candidates")
+register("T116_score_breakdown", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.col("score").alias("label"), F.round(1 - F.col("score"), 4).alias("context"), F.col("compatible").alias("type")), f"WITH {C_SQL} SELECT mention_id, cand_key, score AS label, round(1 - score, 4) AS context, compatible AS type FROM candidates")
+register("T117_confidence_text", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.format_string("%.4f", "score"), F.lit("")).alias("shown")), f"WITH {C_SQL} SELECT mention_id, cand_key, printf('%.4f', score) AS shown FROM candidates")
 
 
 def top_of_each(s, d, k: int, where: str = "true"):
     """The k rows most like each vector whose id is divisible by 50."""
     queries = vectors(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors(s, d).where(where).crossJoin(queries).select("query_id", "vec_id", "label", F.round(cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    return search(vectors(s, d).where(where), queries, k)
 
 
 def q_top(k: int, where: str = "true") -> str:
@@ -40,13 +39,13 @@ def q_top(k: int, where: str = "true") -> str:
     return f"SELECT * FROM ({cos} WHERE {where}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}"
 
 
-register("V1_retrieve_chunks_all", lambda s, d: top_of_each(s, d, 5), q_top(5))
-register("V2_retrieve_entities_all", lambda s, d: top_of_each(s, d, 4, "label IN (1, 2, 3)"), q_top(4, "label IN (1, 2, 3)"))
-register("V7_retrieve_debug_all", lambda s, d: top_of_each(s, d, 20).withColumn("distance", F.round(1 - F.col("score"), 4)), f"SELECT *, round(1 - score, 4) AS distance FROM ({q_top(20)})")
+register("V1_retrieve_chunks", lambda s, d: top_of_each(s, d, 5), q_top(5))
+register("V2_retrieve_entities", lambda s, d: top_of_each(s, d, 4, "label IN (1, 2, 3)"), q_top(4, "label IN (1, 2, 3)"))
+register("V7_retrieve_debug", lambda s, d: top_of_each(s, d, 20).withColumn("distance", F.round(1 - F.col("score"), 4)), f"SELECT *, round(1 - score, 4) AS distance FROM ({q_top(20)})")
 
 SIGNATURE = r"regexp_replace(regexp_replace(lower(text), '^[^\p{L}\p{Nl}\p{No}]+', ''), '[^\p{L}\p{N}]+', ' ', 'g')"
 register(
-    "T58_repeat_signature_all",
+    "T58_repeat_signature",
     lambda s, d: documents(s, d).select("doc_id", F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), r"^[^\p{L}\p{Nl}\p{No}]+", ""), r"[^\p{L}\p{N}]+", " ")).alias("signature")),
     f"WITH {DOCS} SELECT doc_id, trim({SIGNATURE}) AS signature FROM docs",
 )

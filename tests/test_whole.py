@@ -6,16 +6,16 @@ from palimpsest import registry
 def test_rows_beyond_the_first_runs(spark, sf):
     q = registry.queries()
     mentions = spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    for name in ("S8_list_quality_reports_all", "S43_evidence_records_all", "W8_ordered_regions_all"):
+    for name in ("S8_list_quality_reports", "S43_evidence_records", "W8_ordered_regions"):
         assert q[name](spark, sf).count() == mentions
 
 
 def test_each_query_vector_has_its_neighbours(spark, sf):
     ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 50 = 0").select("vec_id").collect()}
-    got = registry.queries()["V1_retrieve_chunks_all"](spark, sf).collect()
+    got = registry.queries()["V1_retrieve_chunks"](spark, sf).collect()
     assert {r["query_id"] for r in got} == ids and len(got) == 5 * len(ids)
 
 
 def test_signatures_are_whole(spark, sf):
-    got = {r["doc_id"]: r["signature"] for r in registry.queries()["T58_repeat_signature_all"](spark, sf).collect()}
+    got = {r["doc_id"]: r["signature"] for r in registry.queries()["T58_repeat_signature"](spark, sf).collect()}
     assert max(map(len, got.values())) > 1000 and any(" " in x for x in got.values())
