@@ -40,9 +40,10 @@ WINDOW = 35
 ANCHOR = 8
 #: Text of one numpy step, in bytes: it needs some 40 times that.
 SLICE = 1_000_000
-#: Stretches of a reference block, on average, and the most differing chunks of an anchor that a block takes.
+#: Stretches of a reference block, on average.
 BLOCK_CHUNKS = 2_000
-ANCHOR_CHUNKS = 1_000
+#: The most differing chunks of one anchor that a block takes: 2 million words, whose index needs about 200 MB and 2 s.
+ANCHOR_CHUNKS = 1 << 15
 
 CHUNK_SCHEMA = "doc_id long, text_key long, start int, windows int, anchor long, chunk long, chunk2 long"
 STRETCH_SCHEMA = "doc_id long, text_key long, start int, windows int, single boolean, block long, stretch binary"
