@@ -469,30 +469,48 @@ def test_signatures_estimate_weighted_similarity():
 # ---- 5 ----------------------------------------------------------------------------------------------
 
 
-def test_backoff_scores(spark, odd_rows):
+def brute_backoff(ids, order):
     import math
 
-    encode = token_counts.fast_encoder(BPE)
-    ids = [[int(x) for x in encode([t or ""])[0]] for _, t in odd_rows]
-    one, two = Counter(), Counter()
+    grams = lambda x: Counter(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1))
+    corpus, out = Counter(), []
     for x in ids:
-        one.update(x)
-        two.update(zip(x, x[1:]))
-    total, want = sum(one.values()), []
+        corpus.update(grams(x))
+    total = sum(map(len, ids))
     for x in ids:
-        u, b, score = Counter(x), Counter(zip(x, x[1:])), 0.0
-        rest = total - len(x)
-        for i, y in enumerate(x):
-            pair = two[(x[i - 1], y)] - b[(x[i - 1], y)] if i else 0
-            single = one[y] - u[y]
-            score += math.log(pair / (one[x[i - 1]] - u[x[i - 1]]) if pair else (0.4 if i else 1) * single / rest if single else 0.16 / (rest + 1))
-        want.append(score)
-    for block in (lm_backoff.BLOCK_TOKENS, 500):
-        got = lm_backoff.backoff_scores(frame(spark, odd_rows), BPE, block_tokens=block).collect()
-        assert sorted(r["n_tokens"] for r in got) == sorted(map(len, ids))
-        assert np.allclose(sorted(r["log_score"] for r in got), sorted(want))
-        assert all((r["mean_log_score"] is None) == (r["n_tokens"] == 0) for r in got)
-    assert lm_backoff.backoff_scores(empty(spark), BPE).count() == 0
+        own, rest = grams(x), total - len(x)
+        left = lambda g: corpus[g] - own[g]  # noqa: B023, E731
+        score, backed, unseen = 0.0, 0, 0
+        for i in range(len(x)):
+            gram, factor = tuple(x[max(0, i - order + 1) : i + 1]), 1.0
+            backed += len(gram) > 1 and not left(gram)
+            unseen += not left(gram[-1:])
+            while gram and not left(gram):
+                gram, factor = gram[1:], factor * 0.4
+            score += math.log(factor * (left(gram) / (left(gram[:-1]) if len(gram) > 1 else rest) if gram else 1 / (rest + 1)))
+        out.append((len(x), score, backed, unseen))
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("limits", [{}, {"part_tokens": 50, "hot_grams": 0}, {"part_tokens": 700, "hot_grams": 40}])
+def test_backoff_scores(spark, odd_rows, order, limits):
+    encode = token_counts.fast_encoder(BPE)
+    ids = [[int(x) for x in encode([t or ""])[0]] for _, t in odd_rows]
+    got = lm_backoff.backoff_scores(frame(spark, odd_rows), BPE, order=order, **limits).collect()
+    want = sorted(brute_backoff(ids, order))
+    got = sorted((r["n_tokens"], r["log_score"], r["n_backoff"], r["n_unseen"], r["score"]) for r in got)
+    assert np.allclose([r[:4] for r in got], want)
+    assert all(r[4] is None if not r[0] else np.isclose(r[4], r[1] / r[0]) for r in got)
+    assert lm_backoff.backoff_scores(empty(spark), BPE, order=order).count() == 0
+
+
+def test_the_hot_table_is_bounded(spark):
+    counts = spark.range(1, 2000).select(F.col("id").alias("gram"), (F.lit(4000) / F.col("id")).cast("long").alias("total"))
+    for most in (0, 1, 10, 100, 5000):
+        cutoff = lm_backoff.hot_cutoff(counts, most)
+        assert counts.where(F.col("total") >= cutoff).count() <= most
+    assert lm_backoff.hot_cutoff(counts, 5000) <= 2
 
 
 # ---- 7 ------------------------------------------------------------------------------------------------
