@@ -57,11 +57,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return known
 
 
-def materialize(df: DataFrame, label: str = "t", compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it back."""
+def materialize(df: DataFrame, label: str = "t", compression: str = "snappy", by: str | None = None, onto: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    ``by``: an int column of few values that files are laid out by; ``onto``: a
+    table of this function that ``df`` is added to.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    path = onto._palimpsest_path if onto is not None else f"{checkpoint_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
+    df.write.mode("append").parquet(path, compression=compression, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, covered, gram_hashes, mix, pick, positional, sliced, texts_of
+from palimpsest.llm.common import Words, covered, flag_known, gram_hashes, mix, pick, positional, sliced, texts_of
 
 FEATURES = (
     "log_words", "symbols", "exclamations", "upper", "word_size", "distinct", "adjacent_repeats", "trigram_repeats",
@@ -26,7 +26,6 @@ FEATURES = (
 )
 SHRINKAGE = 0.15
 RIDGE = 0.02
-TEMPERATURE = 1.0
 FOLDS, HELD_OUT = 3, 1
 
 SCORE_SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -85,7 +84,7 @@ def features(texts: list[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Qda:
-    """Log prior odds of class 1 and, per class, mean, inverse Cholesky factor and log determinant."""
+    """Log prior odds of class 1 and, per class, mean, Cholesky factor of the covariance and its log determinant."""
 
     odds: float
     means: tuple[np.ndarray, np.ndarray] | None
@@ -95,8 +94,16 @@ class Qda:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), 1 / (1 + math.exp(-self.odds)))
-        density = [-0.5 * ((((x - m) @ f.T) ** 2).sum(axis=1) + d) for m, f, d in zip(self.means, self.factors, self.log_dets, strict=True)]
-        return 1 / (1 + np.exp(-np.clip((density[1] - density[0] + self.odds) / TEMPERATURE, -500, 500)))
+        density = [-0.5 * ((solve_lower(f, (x - m).T) ** 2).sum(axis=0) + d) for m, f, d in zip(self.means, self.factors, self.log_dets, strict=True)]
+        return 1 / (1 + np.exp(-np.clip(density[1] - density[0] + self.odds, -500, 500)))
+
+
+def solve_lower(low: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x of ``low @ x = y`` by forward substitution, all columns of y at once."""
+    x = np.empty_like(y)
+    for i in range(len(low)):
+        x[i] = (y[i] - low[i, :i] @ x[:i]) / low[i, i]
+    return x
 
 
 def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float = SHRINKAGE, ridge: float = RIDGE) -> Qda:
@@ -119,7 +126,7 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrinkage: float
         cov = (1 - shrinkage) * cov + shrinkage * np.diag(np.diag(cov)) + ridge * np.diag(scale)
         low = np.linalg.cholesky(cov)
         means.append(mean)
-        factors.append(np.linalg.inv(low))
+        factors.append(low)
         dets.append(2 * float(np.log(np.diag(low)).sum()))
     return Qda(odds, tuple(means), tuple(factors), tuple(dets))
 
@@ -131,10 +138,17 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and the statistics of every row; null text counts as empty."""
+    """doc_id and the statistics of every row; null text counts as empty, an empty table gives none."""
     return pick(docs, doc_id=doc_id, text=text).mapInArrow(_vectors, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, text) of the rows that may have a label, without a shuffle: a bounded bit filter of the labelled ids is broadcast."""
+    ids = pick(labels, label_id="doc_id").where("label_id IS NOT NULL").distinct()
+    rows = pick(docs, doc_id=doc_id, text=text)
+    return flag_known(rows, "doc_id", ids, "label_id", ids.count()).where("maybe").select("doc_id", "text")
+
+
 def in_held_out_fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo FOLDS, is HELD_OUT; a null id is in no fold."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
@@ -171,7 +185,7 @@ def train(statistics: DataFrame, labels: DataFrame, label: str = "quality", shri
 
 
 def scores(statistics: DataFrame, model: Qda) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of :func:`document_statistics`."""
+    """doc_id, held_out, score and predicted for every row of :func:`document_statistics`; none for an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +197,10 @@ def scores(statistics: DataFrame, model: Qda) -> DataFrame:
 
 
 def keep_good_documents(docs: DataFrame, model: Qda, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``model`` scores at ``threshold`` or more; every row is judged on its own."""
+    """The rows of ``docs``, all columns, that ``model`` scores at ``threshold`` or more; every row is judged on its own.
+
+    Null text is judged as an empty one; an empty table stays empty.
+    """
     flat, names = positional(docs)
     place = names.index(text)
 

@@ -55,8 +55,9 @@ def test_even_join_keeps_every_row(spark):
 # ---- 10 -------------------------------------------------------------------------------
 
 
-def test_exact_duplicates(spark, odd_rows):
-    got = exact_dedup.exact_duplicates(frame(spark, odd_rows)).collect()
+@pytest.mark.parametrize("bits", [4096, 1 << 28])
+def test_exact_duplicates(spark, odd_rows, bits):
+    got = exact_dedup.exact_duplicates(frame(spark, odd_rows), range_bits=bits).collect()
     groups = defaultdict(list)
     for i, t in odd_rows:
         groups[t or ""].append(i)
@@ -71,10 +72,10 @@ def test_exact_duplicates(spark, odd_rows):
     assert set(kept.values()) == {1}
 
 
-@pytest.mark.parametrize("bits", [32768, 1 << 20])
+@pytest.mark.parametrize("bits", [2048, 8192, 1 << 28])
 def test_exact_drop_keeps_one_of_each(spark, odd_rows, bits):
     docs = frame(spark, odd_rows * 3)
-    out = exact_dedup.drop_exact_duplicates(docs, max_bits=bits)
+    out = exact_dedup.drop_exact_duplicates(docs, range_bits=bits)
     assert out.columns == docs.columns
     assert Counter(r[1] or "" for r in out.collect()) == Counter({t or "": 1 for _, t in odd_rows})
     assert exact_dedup.drop_exact_duplicates(empty(spark)).count() == 0
