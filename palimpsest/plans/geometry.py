@@ -46,7 +46,6 @@ register("M15_infer_grid", lambda s, d: G.inferred_grid(boxes(s, d)), f"WITH {B_
 for axis, name in (("y", "M16_seams_y"), ("x", "N25_seams_x")):
     register(name, lambda s, d, axis=axis: G.seams(boxes(s, d), axis), f"WITH {B_SQL} SELECT page_id, box_id, ({axis}2 + nxt) // 2 AS seam FROM (SELECT *, lead({axis}1) OVER (PARTITION BY page_id ORDER BY ({axis}1 + {axis}2) / 2, box_id) AS nxt FROM boxes) WHERE nxt IS NOT NULL")
 register("M17_boxes_signature", lambda s, d: boxes(s, d).groupBy("page_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(F.format_string("%05d,%05d,%05d,%05d", "x1", "y1", "x2", "y2"))), ";"), 256), 1, 16).alias("signature")), f"WITH {B_SQL} SELECT page_id, substr(sha256(string_agg(printf('%05d,%05d,%05d,%05d', x1, y1, x2, y2), ';' ORDER BY printf('%05d,%05d,%05d,%05d', x1, y1, x2, y2))), 1, 16) AS signature FROM boxes GROUP BY 1")
-register("X9_M14_identical_boxes", lambda s, d: boxes(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list("x1")).alias("a"), F.array_sort(F.collect_list("y1")).alias("b")).select("page_id", (F.col("a") == F.col("b")).alias("same")), f"WITH {B_SQL} SELECT page_id, list(x1 ORDER BY x1) = list(y1 ORDER BY y1) AS same FROM boxes GROUP BY 1")
 register("M5_shape_candidates", lambda s, d: G.shape_candidates(boxes(s, d).select("page_id", "box_id", F.col("x1").alias("x"), (F.floor(F.col("y1") / 40) * 40).alias("y"), (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1") - 5).alias("height"))),
     f"WITH {B_SQL}, b AS (SELECT page_id, box_id, x1 AS x, y1 // 40 * 40 AS y, x2 - x1 AS width, y2 - y1 - 5 AS height FROM boxes), n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(height) OVER w AS nh FROM b WINDOW w AS (PARTITION BY page_id ORDER BY y, x, box_id)), g AS (SELECT *, CASE WHEN least(y + height, ny + nh) - greatest(y, ny) > 0 THEN nx - x - width END AS gap FROM n WHERE true), "
     "u AS (SELECT *, coalesce(avg(gap) OVER (PARTITION BY page_id), 5e0) AS usual FROM g) SELECT page_id, box_id, CASE WHEN gap <= 0 THEN 'touching_components' ELSE 'abnormal_kerning' END AS reason FROM u WHERE nx IS NOT NULL AND (gap <= 0 OR (gap < usual * 0.3e0 AND usual > 2)) UNION ALL SELECT page_id, box_id, 'wide_aspect_ratio' FROM u WHERE width >= 10 AND height > 0 AND width::DOUBLE / height > 8")
@@ -116,6 +115,4 @@ def assigned_columns(s, d):
     return rows.join(zones, "page_id").withColumn("score", F.round(score, 6)).where("score > 0.05").groupBy("page_id", "box_id").agg(F.max_by("zone_id", F.struct("score", -F.col("zone_id"))).alias("zone_id"))
 
 
-register("J16_assigned_columns", assigned_columns, f"WITH {B_SQL}, j AS (SELECT t.page_id, t.box_id, z.box_id AS zone_id, round((greatest(least(t.x2, z.x2) - greatest(t.x1, z.x1), 0) * greatest(least(t.y2, z.y2) - greatest(t.y1, z.y1), 0))::DOUBLE / ((t.x2 - t.x1) * (t.y2 - t.y1)) + CASE WHEN (t.x1 + t.x2) / 2 BETWEEN z.x1 AND z.x2 AND (t.y1 + t.y2) / 2 BETWEEN z.y1 AND z.y2 THEN 0.25e0 ELSE 0e0 END, 6) AS score FROM boxes t JOIN boxes z ON t.page_id = z.page_id AND z.name IN ('MainZone', 'MarginTextZone') WHERE t.name = 'Main script black') SELECT page_id, box_id, zone_id FROM j WHERE score > 0.05e0 QUALIFY row_number() OVER (PARTITION BY page_id, box_id ORDER BY score DESC, zone_id) = 1")
-register("A6_H13_global_annotation_ids", lambda s, d: boxes(s, d).groupBy("page_id").agg(F.count("*").alias("n")).select("page_id", "n"), f"WITH {B_SQL} SELECT page_id, count(*) AS n FROM boxes GROUP BY 1")
 register("C7_C11_regions_by_label", lambda s, d: boxes(s, d).groupBy("page_id", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list("box_id")), lambda x: x.cast("string")), ",").alias("ids")), f"WITH {B_SQL} SELECT page_id, name, string_agg(box_id::VARCHAR, ',' ORDER BY box_id) AS ids FROM boxes GROUP BY 1, 2")

@@ -115,16 +115,11 @@ def text_score(text, rows):
 
 Q_SCORE = rf"(CASE WHEN length(t) = 0 THEN 0e0 ELSE greatest(0e0, least(1e0, 0.4e0 * least(1e0, {Q.letters('t')} / greatest(length(t) * 0.6e0, 1e0)) + 0.3e0 * length(regexp_replace(t, '[\x00-\x1f\x7f]', '', 'g')) / greatest(length(t), 1) + 0.2e0 * (1 - {Q.share_of(Q.lines('t'), 'length(' + Q.strip('x') + ') <= 2', 'x')}) + 0.1e0 * least(1e0, len(regexp_extract_all(t, '[A-Za-zÀ-ÿ]+')) / 20e0) - least(0.2e0, {Q.count_of('t', '…')} / greatest(length(t), 1)))) END)"
 register("T56_text_quality_score", lambda s, d: documents(s, d).withColumn("t", T.strip("text")).select("doc_id", F.round(text_score(F.col("t"), T.lines("t")), 6).alias("score")), f"WITH {DOCS} SELECT doc_id, round({Q_SCORE}, 6) AS score FROM (SELECT doc_id, {Q.strip('text')} AS t FROM docs)")
-register("T57_region_quality", lambda s, d: documents(s, d).withColumn("t", T.strip("text")).select("doc_id", F.round(F.least(F.lit(1.0), 0.25 * 0.8 + 0.45 * text_score(F.col("t"), T.lines("t")) + 0.30 * 0.5), 4).alias("quality")), f"WITH {DOCS} SELECT doc_id, round(least(1e0, 0.25e0 * 0.8e0 + 0.45e0 * {Q_SCORE} + 0.3e0 * 0.5e0), 4) AS quality FROM (SELECT doc_id, {Q.strip('text')} AS t FROM docs)")
 per_document("T62_latin_lock", lambda text, toks, rows: {"foreign": F.regexp_count(text, F.lit(r"[\p{IsGreek}\p{IsCyrillic}\p{IsHan}]")), "sha": F.sha2(T.collapse(F.regexp_replace(F.regexp_replace(text, r"\?{6,}", "[…]"), r"[\p{IsGreek}\p{IsCyrillic}\p{IsHan}]", "?")), 256)}, {"foreign": r"len(regexp_extract_all(text, '[\p{Greek}\p{Cyrillic}\p{Han}]'))::INT", "sha": rf"sha256(regexp_replace({Q.strip('regexp_replace(regexp_replace(text, ' + chr(39) + chr(92) + '?{6,}' + chr(39) + ', ' + chr(39) + '[…]' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '), ' + chr(39) + '[' + chr(92) + 'p{Greek}' + chr(92) + 'p{Cyrillic}' + chr(92) + 'p{Han}]' + chr(39) + ', ' + chr(39) + '?' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')}, '{Q.WS}+', ' ', 'g'))"})
 META = "as an ai|i cannot|i'm sorry|unable to (read|transcribe)|here is the (text|transcription)"
 per_document("P39_meta_text", lambda text, toks, rows: {"meta": F.lower(text).rlike(META)}, {"meta": f"regexp_matches(lower(text), '{META.replace(chr(39), chr(39) * 2)}')"})
-per_document("T63_kept_lines", lambda text, toks, rows: {"kept": F.size(F.filter(rows, lambda r: ~F.lower(r).rlike(META) & ~r.rlike(r"^\?{6,}$"))), "dropped": F.size(F.filter(rows, lambda r: F.lower(r).rlike(META)))}, {"kept": rf"len(list_filter({Q_ROWS}, lambda x: NOT regexp_matches(lower(x), '{META.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(x, '^\?{{6,}}$')))::INT", "dropped": f"len(list_filter({Q_ROWS}, lambda x: regexp_matches(lower(x), '{META.replace(chr(39), chr(39) * 2)}')))::INT"})
 bad = lambda w: (w.rlike("[0-9]") & ~F.upper(w).rlike("^[IVXLCDM]+$")) | F.lower(w).rlike("|".join(C.RARE_BIGRAMS)) | F.lower(w).rlike("[bcdfghjklmnpqrstvwxyz]{5,}")
 Q_BAD = f"((regexp_matches(y, '[0-9]') AND NOT regexp_matches(upper(y), '^[IVXLCDM]+$')) OR regexp_matches(lower(y), '{'|'.join(C.RARE_BIGRAMS)}') OR regexp_matches(lower(y), '[bcdfghjklmnpqrstvwxyz]{{5,}}'))"
-per_document("T65_masked_lines", lambda text, toks, rows: {"masked": F.size(F.filter(rows, lambda r: T.share_of_lines(T.tokens(r), bad) > 0.30))}, {"masked": f"len(list_filter({Q_ROWS}, lambda x: {Q.share_of(Q.tokens('x'), Q_BAD, 'y')} > 0.3e0))::INT"})
-per_document("T66_forced_markers", lambda text, toks, rows: {"marked": F.when(T.share_of_lines(toks, bad) > 0.05, F.least(F.lit(3), F.size(F.filter(toks, bad)))).otherwise(0)}, {"marked": f"CASE WHEN {Q.share_of(Q_TOKS, Q_BAD, 'y')} > 0.05e0 THEN least(3, len(list_filter({Q_TOKS}, lambda y: {Q_BAD}))) ELSE 0 END::INT"})
-per_document("T67_repaired_lines", lambda text, toks, rows: {"n": F.size(rows), "warning": F.when(F.size(F.split(text, "\n")) != F.size(rows), "BLANK_LINES_DROPPED")}, {"n": f"len({Q_ROWS})::INT", "warning": f"CASE WHEN len(string_split(text, chr(10))) <> len({Q_ROWS}) THEN 'BLANK_LINES_DROPPED' END"})
 
 
 def language_tokens(toks):
@@ -136,7 +131,6 @@ def language_tokens(toks):
 
 
 Q_LANG = rf"list_transform(list_filter(list_transform(list_filter({Q_TOKS}, lambda x: {Q.letters('x')} > 0 AND (length(x) - {Q.letters('x')})::DOUBLE / length(x) <= 0.5e0), lambda x: regexp_replace(x, '[^\p{{L}}]', '', 'g')), lambda x: length(x) < 4 OR {Q.vowel_ratio('x')} >= 0.2e0), lambda x: translate(lower(x), 'ſvj', 'sui'))"
-per_document("T69_T104_language_view", lambda text, toks, rows: {"tokens": F.size(language_tokens(toks)), "sha": F.sha2(F.array_join(language_tokens(toks), " "), 256)}, {"tokens": f"len({Q_LANG})::INT", "sha": f"sha256(coalesce(array_to_string({Q_LANG}, ' '), ''))"})
 hits = lambda toks, known: F.size(F.filter(language_tokens(toks), lambda w: w.isin(*known)))
 q_hits = lambda known: f"len(list_filter({Q_LANG}, lambda y: y IN {Q.words(known)}))"
 per_document("T74_latin_anchor_hits", lambda text, toks, rows: {"hits": F.size(F.array_intersect(language_tokens(toks), T.quoted(LATIN_ANCHORS)))}, {"hits": f"len(list_intersect({Q_LANG}, {Q.array(LATIN_ANCHORS)}))::INT"})
@@ -160,13 +154,10 @@ def detected(text, toks):
 TRI = rf"WITH {DOCS}, lst AS (SELECT doc_id, text, {Q_TOKS} AS toks FROM docs), w AS (SELECT doc_id, regexp_replace(lower(unnest(toks)), '[^\p{{L}}]', '', 'g') AS w FROM lst), tri AS (SELECT doc_id, unnest(list_transform(range(1, length(w) - 1), lambda i: substr(w, i, 3))) AS g FROM w WHERE length(w) >= 3), f AS (SELECT doc_id, count(*) FILTER (g IN {Q.words(C.TRIGRAMS['latin'])}) AS la, count(*) FILTER (g IN {Q.words(C.TRIGRAMS['french'])}) AS fr FROM tri GROUP BY 1)"
 register("T71_T73_T97_detected_language", lambda s, d: documents(s, d).select("doc_id", detected(F.col("text"), T.tokens("text")).alias("language")), TRI + rf" SELECT d.doc_id, CASE WHEN regexp_matches(text, '[\x{{0600}}-\x{{06FF}}]') THEN 'arabic' WHEN regexp_matches(text, '[\x{{0590}}-\x{{05FF}}]') THEN 'hebrew' WHEN {Q_FRENCH} IS NOT NULL THEN {Q_FRENCH} WHEN len({Q_TOKS}) = 0 THEN 'unknown' WHEN coalesce(la, 0) >= coalesce(fr, 0) THEN 'latin' ELSE 'french' END AS language FROM docs d LEFT JOIN f USING (doc_id)")
 CORRECTIONS = {"tho": "the", "teh": "the", "ofthe": "of", "ano": "and"}
-per_document("T78_T105_T107_micro_corrections", lambda text, toks, rows: {"sha": F.sha2(F.array_join(F.transform(toks, lambda w: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CORRECTIONS.items() for x in kv]), w), w)), " "), 256)}, {"sha": f"sha256(coalesce(array_to_string(list_transform({Q_TOKS}, lambda w: CASE w WHEN 'tho' THEN 'the' WHEN 'teh' THEN 'the' WHEN 'ofthe' THEN 'of' WHEN 'ano' THEN 'and' ELSE w END), ' '), ''))"})
-per_document("T82_T85_echo_lines", lambda text, toks, rows: {"left_over": F.size(F.filter(rows, lambda r: ~F.lower(r).rlike("^(translation|transcription|note|here is)[: ]")))}, {"left_over": f"len(list_filter({Q_ROWS}, lambda x: NOT regexp_matches(lower(x), '^(translation|transcription|note|here is)[: ]')))::INT"})
 per_document("T86_initial_letter", lambda text, toks, rows: {"letter": F.upper(F.regexp_extract(text, r"^\s*([A-Za-z])", 1))}, {"letter": r"upper(regexp_extract(text, '^\s*([A-Za-z])', 1))"})
 per_document("T95_T108_plain_text", lambda text, toks, rows: {"sha": F.sha2(T.strip(F.regexp_replace(F.concat(F.lit("```text\n"), text, F.lit("\n```")), "^```[a-z]*\n|\n```$", "")), 256)}, {"sha": f"sha256({Q.strip('text')})"})
 per_document("T109_T110_clean_list", lambda text, toks, rows: {"items": F.array_join(F.slice(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(text, r"[;•,|]"), lambda x: F.substring(T.strip(x), 1, 300)), lambda x: x != ""))), 1, 6), "/")}, {"items": f"coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(text, '[;•,|]'), lambda x: substr({Q.strip('x')}, 1, 300)), lambda x: x <> '')))[1:6], '/'), '')"})
 per_document("T111_tokenise", lambda text, toks, rows: {"n": F.size(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")))}, {"n": r"len(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')))::INT"})
-per_document("P42_P44_P49_allowed_values", lambda text, toks, rows: {"hint": F.when(F.substring(text, 1, 1).rlike("[A-M]"), "latin").when(F.substring(text, 1, 1).rlike("[N-Z]"), "insular").otherwise("unknown")}, {"hint": "CASE WHEN regexp_matches(substr(text, 1, 1), '[A-M]') THEN 'latin' WHEN regexp_matches(substr(text, 1, 1), '[N-Z]') THEN 'insular' ELSE 'unknown' END"})
 register("P6_effective_quality", lambda s, d: gates(quality_report(documents(s, d))).select("doc_id", (F.length("blocked") == 0).alias("clear"), F.when(F.col("blocked").contains("token_ner"), "vision").otherwise("tokens").alias("mode")), f"WITH {REPORT_SQL} SELECT doc_id, NOT (gibberish >= 0.4e0 OR non_wordlike >= 0.55e0 OR greatest(lead_share, seam_share) >= 0.15e0 OR label IN ('RISKY', 'UNRELIABLE')) AS clear, CASE WHEN gibberish >= 0.4e0 OR non_wordlike >= 0.55e0 OR label = 'UNRELIABLE' THEN 'vision' ELSE 'tokens' END AS mode FROM report")
 register("T119_gate_report", lambda s, d: gates(quality_report(documents(s, d))).select("doc_id", F.concat_ws(" ", F.concat(F.lit("gibberish="), F.when(F.col("gibberish_gate"), "pass").otherwise("fail")), F.concat(F.lit("words="), F.when(F.col("non_wordlike_gate"), "pass").otherwise("fail"))).alias("report")), f"WITH {REPORT_SQL} SELECT doc_id, concat_ws(' ', concat('gibberish=', CASE WHEN gibberish < 0.4e0 THEN 'pass' ELSE 'fail' END), concat('words=', CASE WHEN non_wordlike < 0.55e0 THEN 'pass' ELSE 'fail' END)) AS report FROM report")
 
@@ -185,7 +176,6 @@ def merged_lines(s, d):
 register("W6_W7_merged_lines", merged_lines)
 
 # ---- mentions and links -------------------------------------------------------------------------
-register("P18_place_context", lambda s, d: documents(s, d).select("doc_id", F.lower("text").rlike(r"(^|[^\p{L}])(in|at|from|near|to)( +\p{L}+){0,3} +the([^\p{L}]|$)").alias("place")), rf"WITH {DOCS} SELECT doc_id, regexp_matches(lower(text), '(^|[^\p{{L}}])(in|at|from|near|to)( +\p{{L}}+){{0,3}} +the([^\p{{L}}]|$)') AS place FROM docs")
 register("P21_P23_unresolved_types", lambda s, d: mentions(s, d).select("mention_id", F.when((F.col("ent_type") == "place") & (F.col("confidence") < 0.3), "possible_place_unresolved").otherwise(F.col("ent_type")).alias("shown"), F.concat_ws("; ", F.lit("deferred"), F.when((F.col("ent_type") == "place") & (F.col("confidence") < 0.3), "low_evidence_place")).alias("reason")), f"WITH {M_SQL} SELECT mention_id, CASE WHEN ent_type = 'place' AND confidence < 0.3e0 THEN 'possible_place_unresolved' ELSE ent_type END AS shown, CASE WHEN ent_type = 'place' AND confidence < 0.3e0 THEN 'deferred; low_evidence_place' ELSE 'deferred' END AS reason FROM mentions")
 
 
@@ -202,17 +192,7 @@ def tokens_of(s, d):
 
 LETTER_TOKENS = rf"{DOCS}, tok AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM docs)"
 Q_V, Q_RUN = Q.vowel_share_of_length("token"), Q.consonant_run("token")
-register("T30_name_likeness", lambda s, d: tokens_of(s, d).select("token", name_likeness(F.col("token")).alias("score")), f"WITH {LETTER_TOKENS} SELECT token, CASE WHEN token IN {Q.words(C.COMMON_WORDS)} THEN 0.05e0 ELSE round(greatest(0e0, 0.5e0 - (CASE WHEN length(token) < 3 OR length(token) > 20 THEN 0.3e0 ELSE 0e0 END) + (CASE WHEN {Q_V} < 0.15e0 OR {Q_V} > 0.85e0 THEN -0.3e0 WHEN {Q_V} BETWEEN 0.25e0 AND 0.65e0 THEN 0.15e0 ELSE 0e0 END) - (CASE WHEN {Q_RUN} >= 4 THEN 0.35e0 ELSE 0e0 END)), 3) END AS score FROM tok")
-register("P16_medieval_name", lambda s, d: tokens_of(s, d).select("token", (F.length("token").between(3, 18) & ~F.col("token").isin(*C.COMMON_WORDS) & T.vowel_share_of_length(F.col("token")).between(0.20, 0.80) & (T.longest_consonant_run(F.col("token")) < 4)).alias("name_like")), f"WITH {LETTER_TOKENS} SELECT token, length(token) BETWEEN 3 AND 18 AND token NOT IN {Q.words(C.COMMON_WORDS)} AND {Q_V} BETWEEN 0.2e0 AND 0.8e0 AND {Q_RUN} < 4 AS name_like FROM tok")
-register("J17_structured_sections", lambda s, d: decisions(s, d).where("status = 'ACCEPT_LINKABLE'").groupBy("surface").agg(F.max("confidence").alias("confidence"), F.count("*").alias("n")).orderBy(F.col("confidence").desc(), F.col("n").desc(), "surface").limit(4), f"WITH {D_SQL} SELECT surface, max(confidence) AS confidence, count(*) AS n FROM decisions WHERE status = 'ACCEPT_LINKABLE' GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 4")
-register("A26_entity_assertions", lambda s, d: candidates(s, d).where("compatible AND score >= 0.9").select("cand_key", F.explode(F.array(F.struct(F.lit("label").alias("property"), F.col("label").alias("value")), F.struct(F.lit("source").alias("property"), F.col("source").alias("value")))).alias("p")).select("cand_key", "p.property", "p.value").distinct(), f"WITH {C_SQL} SELECT DISTINCT cand_key, 'label' AS property, label AS value FROM candidates WHERE compatible AND score >= 0.9e0 UNION SELECT cand_key, 'source', source FROM candidates WHERE compatible AND score >= 0.9e0")
 register("T114_candidate_source", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.nullif("source", F.lit("viaf")), F.when(F.col("cand_key") % 2 == 0, "viaf"), F.lit("unknown")).alias("resolved")), f"WITH {C_SQL} SELECT mention_id, cand_key, coalesce(nullif(source, 'viaf'), CASE WHEN cand_key % 2 = 0 THEN 'viaf' END, 'unknown') AS resolved FROM candidates")
-register("T88_context", lambda s, d: documents(s, d).select("doc_id", F.substring("text", 1, 400).alias("context")), f"WITH {DOCS} SELECT doc_id, substr(text, 1, 400) AS context FROM docs")
-register("M6_listed_surfaces", lambda s, d: documents(s, d).select("doc_id", F.instr("text", "the").alias("place")).where("place > 0"), f"WITH {DOCS} SELECT doc_id, instr(text, 'the')::INT AS place FROM docs WHERE instr(text, 'the') > 0")
 register("M3_salvaged_mentions", lambda s, d: X.without_overlaps(X.high_recall_mentions(documents(s, d)).unionByName(X.anchor_mentions(documents(s, d)))))
-register("R7_consolidated_report", lambda s, d: decisions(s, d).groupBy("status").agg(F.count("*").alias("n"), F.min("surface").alias("first")), f"WITH {D_SQL} SELECT status, count(*) AS n, min(surface) AS first FROM decisions GROUP BY 1")
-register("W24_model_choice", lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(F.filter(F.array(F.lit("brass"), F.lit("steel"), F.lit("tin")), lambda m: F.lower(F.col("p_type")).contains(m)), ",").alias("models")), "SELECT p_partkey, array_to_string(list_filter(['brass', 'steel', 'tin'], lambda m: contains(lower(p_type), m)), ',') AS models FROM part")
-register("C9_metadata_hints", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"([A-Z][a-z]+)", 1).alias("name")), "SELECT conv_id, turn, regexp_extract(text, '([A-Z][a-z]+)', 1) AS name FROM conversations")
 register("C12_text_or_lines", lambda s, d: read(s, d, "documents").select("doc_id", F.coalesce(F.nullif("text", F.lit("")), "lang").alias("shown")), "SELECT doc_id, coalesce(nullif(text, ''), lang) AS shown FROM documents")
 register("C1_sorted_files", lambda s, d: read(s, d, "pages").where(F.col("url").rlike("^https?://")).select("page_id", "url").orderBy("url", "page_id"), "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://') ORDER BY url, page_id")
-register("V8_V9_evidence_payload", lambda s, d: read(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("query"), F.count("*").alias("asked")), "SELECT conv_id, max_by(text, turn) AS query, count(*) AS asked FROM conversations WHERE role = 'user' GROUP BY 1")

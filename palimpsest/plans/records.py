@@ -9,8 +9,6 @@ from palimpsest.plans.geometry import B_SQL, boxes
 from palimpsest.plans.store import E_SQL, M_SQL, events, mentions
 from palimpsest.registry import register
 
-register("S25_S29_S30_S31_S32_S33_S34_appends", lambda s, d: events(s, d).where("id % 2 = 0").unionByName(events(s, d).where("id % 2 = 1")).groupBy("stage").agg(F.count("*").alias("rows")), f"WITH {E_SQL} SELECT stage, count(*) AS rows FROM ev GROUP BY 1")
-register("S44_S45_spans_of_page", lambda s, d: mentions(s, d).select(F.col("run_id").alias("page_id"), F.sha2(F.concat_ws("|", "run_id", "surface", "start_offset", "end_offset"), 256).alias("span_id"), "start_offset", "end_offset").dropDuplicates(["span_id"]).groupBy("page_id").agg(F.count("*").alias("spans"), F.max("end_offset").alias("reach")), f"WITH {M_SQL} SELECT run_id AS page_id, count(*) AS spans, max(end_offset) AS reach FROM (SELECT DISTINCT run_id, surface, start_offset, end_offset FROM mentions) GROUP BY 1")
 
 
 def by_model(s, d):
@@ -20,8 +18,6 @@ def by_model(s, d):
 
 
 register("S53_models_in_order", by_model, f"WITH {B_SQL} SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY model, box_id) AS pos FROM (SELECT page_id, box_id, CASE WHEN name IN ('MainZone', 'MarginTextZone', 'NumberingZone') THEN 0 WHEN name = 'Main script black' THEN 1 ELSE 2 END AS model FROM boxes)")
-register("S56_batch_statistics", lambda s, d: boxes(s, d).groupBy("name").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages")), f"WITH {B_SQL} SELECT name, count(*) AS n, count(DISTINCT page_id) AS pages FROM boxes GROUP BY 1")
-register("A27_annotation_records", lambda s, d: boxes(s, d).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("box_id", "name"))), lambda x: F.concat_ws(":", x["box_id"], x["name"])), ";").alias("annotations")), f"WITH {B_SQL} SELECT page_id, string_agg(concat_ws(':', box_id, name), ';' ORDER BY box_id) AS annotations FROM boxes GROUP BY 1")
 register("N18_N23_N24_suggestions", lambda s, d: boxes(s, d).select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("y1", "x1", "box_id")).alias("reading_order"), "x1", "y1", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height")), f"WITH {B_SQL} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, box_id) AS reading_order, x1, y1, x2 - x1 AS width, y2 - y1 AS height FROM boxes")
 register("T101_union_box", lambda s, d: boxes(s, d).where("name <> 'GraphicZone'").groupBy("page_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")), f"WITH {B_SQL} SELECT page_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM boxes WHERE name <> 'GraphicZone' GROUP BY 1")
 register("M8_padded_boxes", lambda s, d: boxes(s, d).select("page_id", "box_id", F.greatest(F.lit(0), F.col("x1") - F.floor((F.col("x2") - F.col("x1")) * 0.04)).cast("int").alias("x1"), F.least(F.lit(520), F.col("x2") + F.floor((F.col("x2") - F.col("x1")) * 0.04)).cast("int").alias("x2")), f"WITH {B_SQL} SELECT page_id, box_id, greatest(0, x1 - floor((x2 - x1) * 0.04e0)::INT) AS x1, least(520, x2 + floor((x2 - x1) * 0.04e0)::INT) AS x2 FROM boxes")

@@ -29,7 +29,6 @@ register("V10_latest_user_query", lambda s, d: talks(s, d).where("role = 'user'"
 register("V11_substantive_query", lambda s, d: talks(s, d).where((F.col("role") == "user") & ~inspect()).groupBy("conv_id").agg(F.max_by("text", "turn").alias("query")), f"SELECT conv_id, text AS query FROM conversations WHERE role = 'user' AND NOT {Q_INSPECT} QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1")
 register("P29_inspection_query", lambda s, d: talks(s, d).select("conv_id", "turn", inspect().alias("inspection")), f"SELECT conv_id, turn, {Q_INSPECT} AS inspection FROM conversations")
 register("P46_asks_for_text", lambda s, d: talks(s, d).select("conv_id", "turn", F.col("text").rlike("(?i)read|transcri|text|what does").alias("asks")), "SELECT conv_id, turn, regexp_matches(text, '(?i)read|transcri|text|what does') AS asks FROM conversations")
-register("T94_evidence_blocks", lambda s, d: talks(s, d).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(F.lit("["), x["turn"].cast("string"), F.lit("] "), x["role"])), "\n").alias("blocks")), "SELECT conv_id, string_agg(concat('[', turn, '] ', role), chr(10) ORDER BY turn, role) AS blocks FROM conversations GROUP BY 1")
 register("N19_N20_flattened_results", lambda s, d: talks(s, d).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r")).select("conv_id", F.explode("r").alias("x")).select("conv_id", "x.turn", "x.role"), "SELECT conv_id, turn, role FROM conversations")
 register("C8_command_intent", lambda s, d: talks(s, d).select("conv_id", "turn", F.when(F.lower("text").rlike("transl"), "translate").when(F.lower("text").rlike("segment|layout"), "segment").when(F.lower("text").rlike("who|where|name"), "entities").otherwise("chat").alias("intent")), "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'transl') THEN 'translate' WHEN regexp_matches(lower(text), 'segment|layout') THEN 'segment' WHEN regexp_matches(lower(text), 'who|where|name') THEN 'entities' ELSE 'chat' END AS intent FROM conversations")
 
@@ -48,12 +47,10 @@ def langs():
     return F.map_from_arrays(F.array(F.lit("de"), F.when(F.col("event_id") % 2 == 0, "fr").otherwise("it")), F.array("event_type", F.upper("event_type")))
 register("N7_best_language_value", lambda s, d: read(s, d, "events").withColumn("m", langs()).select("event_id", F.coalesce(F.try_element_at("m", F.lit("en")), F.try_element_at("m", F.lit("fr")), F.try_element_at("m", F.lit("de")), F.map_values("m")[0]).alias("value")), "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE event_type END AS value FROM events")
 register("N8_flat_aliases", lambda s, d: read(s, d, "events").select(F.explode(langs()).alias("lang", "alias")).select("lang", F.lower("alias").alias("alias")).dropDuplicates(), "SELECT DISTINCT lang, lower(alias) AS alias FROM (SELECT 'de' AS lang, event_type AS alias FROM events UNION ALL SELECT CASE WHEN event_id % 2 = 0 THEN 'fr' ELSE 'it' END, upper(event_type) FROM events)")
-register("N9_N10_claims", lambda s, d: read(s, d, "events").where(F.col("value").isNotNull()).select("event_id", F.element_at(F.filter(F.array(F.col("value") - 50, F.col("value")), lambda x: x >= 0), 1).alias("first_valid")), "SELECT event_id, CASE WHEN value - 50 >= 0 THEN value - 50 WHEN value >= 0 THEN value END AS first_valid FROM events WHERE value IS NOT NULL")
 register("T83_T84_clean_model_output", lambda s, d: read(s, d, "pages").select("page_id", F.sha2(F.trim(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " "), r"(?s)<[^>]*>", " ")), 256).alias("sha")), r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'))) AS sha FROM pages")
 register("T89_parse_notes", lambda s, d: read(s, d, "part").select("p_partkey", F.concat_ws(" ", F.concat(F.lit("nd="), (F.col("p_size") / 100).cast("string")), F.concat(F.lit("canonical="), F.lower("p_brand"))).alias("notes")).select("p_partkey", F.regexp_extract("notes", r"nd=([0-9.]+)", 1).cast("double").alias("nd"), F.regexp_extract("notes", r"canonical=(\S+)", 1).alias("canonical")), r"SELECT p_partkey, p_size::DOUBLE / 100 AS nd, regexp_extract(lower(p_brand), '^(\S+)', 1) AS canonical FROM part")
 register("T92_T93_slugs", lambda s, d: read(s, d, "part").select("p_partkey", F.regexp_replace(F.lower("p_type"), "[^a-z0-9]+", "_").alias("slug")), "SELECT p_partkey, regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g') AS slug FROM part")
 register("P11_relevant_label", lambda s, d: read(s, d, "part").select("p_partkey", (~F.lower("p_type").rlike("plated|polished") & F.lower("p_type").rlike("steel|brass|tin")).alias("relevant")), "SELECT p_partkey, NOT regexp_matches(lower(p_type), 'plated|polished') AND regexp_matches(lower(p_type), 'steel|brass|tin') AS relevant FROM part")
-register("P25_P45_label_routing", lambda s, d: read(s, d, "part").select("p_partkey", F.when(F.col("p_size") <= 10, "textual").when(F.col("p_size") <= 30, "visual").otherwise("structural").alias("mode")), "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'textual' WHEN p_size <= 30 THEN 'visual' ELSE 'structural' END AS mode FROM part")
 
 
 def plans_for(s, d):
@@ -62,9 +59,6 @@ def plans_for(s, d):
     return read(s, d, "documents").join(F.broadcast(table), "lang", "left").select("doc_id", F.coalesce("backends", F.lit("glm")).alias("backends"))
 
 
-register("P27_P28_backend_plan", plans_for, "SELECT doc_id, CASE lang WHEN 'en' THEN 'kraken,glm' WHEN 'fr' THEN 'calamari,kraken,glm' WHEN 'de' THEN 'calamari,glm' ELSE 'glm' END AS backends FROM documents")
-register("T72_T98_language_code", lambda s, d: read(s, d, "documents").select("doc_id", F.when(F.col("lang") == "fr", "french").when(F.col("lang") == "de", "german").when(F.col("lang") == "es", "spanish").when(F.col("lang") == "en", "english").otherwise("unknown").alias("language")), "SELECT doc_id, CASE lang WHEN 'fr' THEN 'french' WHEN 'de' THEN 'german' WHEN 'es' THEN 'spanish' WHEN 'en' THEN 'english' ELSE 'unknown' END AS language FROM documents")
-register("P15_page_status", lambda s, d: read(s, d, "documents").select("doc_id", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "EMPTY").when((F.length("text") < 100) | F.col("text").contains("###"), "PARTIAL").otherwise("FULL").alias("status")), "SELECT doc_id, CASE WHEN coalesce(length(text), 0) = 0 THEN 'EMPTY' WHEN length(text) < 100 OR contains(text, '###') THEN 'PARTIAL' ELSE 'FULL' END AS status FROM documents")
 register("P41_P43_hint_flags", lambda s, d: read(s, d, "documents").select("doc_id", F.col("lang").contains("la").alias("latin_lock"), F.col("lang").isin("fr", "fro", "frm", "xno").alias("french_family")), "SELECT doc_id, contains(lang, 'la') AS latin_lock, lang IN ('fr', 'fro', 'frm', 'xno') AS french_family FROM documents")
 
 # ---- change detection (batch form of the streams) -----------------------------------------

@@ -59,7 +59,6 @@ per_token("P47_name_like", lambda token: (F.length(token) >= 18) | token.rlike(r
 per_token("P48_line_like", lambda token: F.lower(token).rlike("line|numbering|row"), "regexp_matches(lower(token), 'line|numbering|row')", "line_like")
 per_token("T102_language_token", lambda token: F.translate(F.lower(token), "ſvj", "sui"), "translate(lower(token), 'ſvj', 'sui')", "folded")
 per_token("T103_token_vowel_ratio", lambda token: F.round(T.vowel_share_of_length(token), 4), f"round({Q.vowel_share_of_length('token')}, 4)", "vowel_ratio")
-per_token("T106_apply_case", lambda token: F.when(token == F.upper(token), F.upper(F.lit("forma"))).when(token.rlike(r"^\p{Lu}"), F.lit("Forma")).otherwise(F.lit("forma")), r"CASE WHEN token = upper(token) THEN 'FORMA' WHEN regexp_matches(token, '^\p{Lu}') THEN 'Forma' ELSE 'forma' END", "cased")
 per_token("T46_unlikely_bigrams", lambda token: F.lower(token).rlike("|".join(C.RARE_BIGRAMS)), f"regexp_matches(lower(token), '{'|'.join(C.RARE_BIGRAMS)}')", "unlikely")
 per_token(
     "P34_suspicious_token",

@@ -22,7 +22,6 @@ register(
 )
 register("A19_comparison_runs", lambda s, d: candidates(s, d).groupBy("run_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_id", "cand_key", "label"))), lambda x: x["label"]), "\n").alias("text"), F.round(F.avg("score"), 6).alias("confidence")), f"WITH {C_SQL} SELECT run_id, source, string_agg(label, chr(10) ORDER BY mention_id, cand_key) AS text, round(avg(score), 6) AS confidence FROM candidates GROUP BY 1, 2")
 register("W8_ordered_regions", lambda s, d: mentions(s, d).select("mention_id", F.row_number().over(Window.partitionBy("run_id").orderBy(F.when(F.col("start_offset") > 200, F.col("start_offset")).asc_nulls_last(), F.col("mention_id"))).alias("place")), f"WITH {M_SQL} SELECT mention_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN start_offset > 200 THEN start_offset END ASC NULLS LAST, mention_id) AS place FROM mentions")
-register("S43_evidence_records", lambda s, d: mentions(s, d).select(F.to_json(F.struct("mention_id", "surface", "start_offset")).alias("line")), f"WITH {M_SQL} SELECT json_object('mention_id', mention_id, 'surface', surface, 'start_offset', start_offset)::VARCHAR AS line FROM mentions")
 register("W21_top_candidates", lambda s, d: candidates(s, d).select("mention_id", "cand_key", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, label, score FROM candidates")
 register("T116_score_breakdown", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.col("score").alias("label"), F.round(1 - F.col("score"), 4).alias("context"), F.col("compatible").alias("type")), f"WITH {C_SQL} SELECT mention_id, cand_key, score AS label, round(1 - score, 4) AS context, compatible AS type FROM candidates")
 register("T117_confidence_text", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.format_string("%.4f", "score"), F.lit("")).alias("shown")), f"WITH {C_SQL} SELECT mention_id, cand_key, printf('%.4f', score) AS shown FROM candidates")
