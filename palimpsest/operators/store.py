@@ -6,7 +6,10 @@ latest row of each key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -66,3 +69,23 @@ def append_parquet(rows: DataFrame, path: str) -> None:
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder below the one that driver and executors share (``spark.checkpoint.dir``); a temporary one where both are one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="palimpsest-")
+    return f"{root}/{kind}/{uuid.uuid4().hex}"
+
+
+def appended(batches: list[DataFrame], kind: str, as_json: bool = False) -> DataFrame:
+    """The table that is there after the batches were appended one by one."""
+    spark, schema = batches[0].sparkSession, batches[0].schema
+    path = shared_folder(spark, kind)
+    for rows in batches:
+        (append_jsonl if as_json else append_parquet)(rows, path)
+    reader = spark.read.schema(schema)
+    return reader.json(path) if as_json else reader.parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -214,28 +215,45 @@ def _blocks(page: pd.DataFrame) -> pd.DataFrame:
 register("W13_region_blocks", lambda s, d: boxes(s, d).select("page_id", "box_id", "x1", "x2").groupBy("page_id").applyInPandas(_blocks, "page_id long, box_id long, block int"))
 
 
+# A mask cell is so many pixels; boxes grow by so many cells; a block has so many cells and pixels a side at least.
+CELL, GROWN, BLOCK_CELLS, BLOCK_SIDE = 4, 18, 400, 16
+
+
 def _raster_blocks(page: pd.DataFrame) -> pd.DataFrame:
-    """Boxes drawn on a coarse grid and grown by one cell; connected cells are a block, small ones go."""
-    cell, grow, least = 8, 2, 400
-    n = len(page)
-    lo, hi = (page[["x1", "y1"]].to_numpy() // cell - grow), (page[["x2", "y2"]].to_numpy() // cell + grow)
-    up = list(range(n))
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for i in range(n):
-        touch = ((lo <= hi[i]) & (lo[i] <= hi)).all(axis=1)
-        for j in touch.nonzero()[0]:
-            up[root(int(j))] = root(i)
-    out = page.assign(block=[root(i) for i in range(n)]).groupby("block").agg({"page_id": "first", "x1": "min", "y1": "min", "x2": "max", "y2": "max"})
-    return out[(out["x2"] - out["x1"]) * (out["y2"] - out["y1"]) >= least][["page_id", "x1", "y1", "x2", "y2"]]
-
-
-register("W12_block_rects", lambda s, d: boxes(s, d).select("page_id", *XY).groupBy("page_id").applyInPandas(_raster_blocks, "page_id long, x1 int, y1 int, x2 int, y2 int"))
+    """Boxes painted on a coarse mask and grown; the frame of each set of touching ones, in pixels.
+
+    Grown boxes stay rectangles, so two of them touch if they overlap, or lie next to
+    each other with a side in common; no mask is needed.
+    """
+    top = (page[["width", "height"]].to_numpy() // CELL).clip(min=1) - 1
+    low = page[["x1", "y1"]].to_numpy() // CELL
+    high = np.maximum(low + 1, page[["x2", "y2"]].to_numpy() // CELL)
+    low, high = np.maximum(low - GROWN, 0), np.minimum(high + GROWN, top)
+    label = np.arange(len(page))
+    gap = np.maximum(low[:, None], low[None]) - np.minimum(high[:, None], high[None])
+    touch = (gap <= 1).all(axis=2) & (gap <= 0).any(axis=2)
+    while True:
+        least = np.where(touch, label[None], len(page)).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    frames = page.assign(label=label, a=low[:, 0], b=low[:, 1], c=high[:, 0], d=high[:, 1]).groupby("label").agg(a=("a", "min"), b=("b", "min"), c=("c", "max"), d=("d", "max"), page_id=("page_id", "first"), width=("width", "first"), height=("height", "first"))
+    frames = frames[(frames["c"] - frames["a"] + 1) * (frames["d"] - frames["b"] + 1) >= BLOCK_CELLS]
+    out = pd.DataFrame({"page_id": frames["page_id"], "x1": frames["a"] * CELL, "y1": frames["b"] * CELL, "x2": np.minimum(frames["width"], (frames["c"] + 1) * CELL), "y2": np.minimum(frames["height"], (frames["d"] + 1) * CELL)})
+    return out[(out["x2"] - out["x1"] >= BLOCK_SIDE) & (out["y2"] - out["y1"] >= BLOCK_SIDE)]
+
+
+Q_GROWN = (
+    f"gr AS (SELECT page_id, box_id, width, height, greatest(x1 // {CELL} - {GROWN}, 0) AS a, greatest(y1 // {CELL} - {GROWN}, 0) AS b, least(greatest(x1 // {CELL} + 1, x2 // {CELL}) + {GROWN}, greatest(1, width // {CELL}) - 1) AS c, least(greatest(y1 // {CELL} + 1, y2 // {CELL}) + {GROWN}, greatest(1, height // {CELL}) - 1) AS d FROM boxes JOIN pages USING (page_id)), "
+    "gp AS (SELECT p.page_id, p.box_id AS i, q.box_id AS j, greatest(p.a, q.a) - least(p.c, q.c) AS gx, greatest(p.b, q.b) - least(p.d, q.d) AS gy FROM gr p JOIN gr q USING (page_id)), tp AS (SELECT page_id, i, j FROM gp WHERE gx <= 1 AND gy <= 1 AND (gx <= 0 OR gy <= 0))"
+)
+register(
+    "W12_block_rects",
+    lambda s, d: boxes(s, d).join(pages(s, d), "page_id").select("page_id", *XY, "width", "height").groupBy("page_id").applyInPandas(_raster_blocks, "page_id long, x1 int, y1 int, x2 int, y2 int"),
+    f"WITH RECURSIVE {B_SQL}, {P_SQL}, {Q_GROWN}, re AS (SELECT page_id, i, j FROM tp UNION SELECT re.page_id, re.i, tp.j FROM re JOIN tp ON tp.page_id = re.page_id AND tp.i = re.j), ro AS (SELECT page_id, i AS box_id, min(j) AS label FROM re GROUP BY 1, 2), "
+    f"fr AS (SELECT page_id, label, min(a) AS a, min(b) AS b, max(c) AS c, max(d) AS d, any_value(width) AS width, any_value(height) AS height FROM gr JOIN ro USING (page_id, box_id) GROUP BY 1, 2 HAVING (max(c) - min(a) + 1) * (max(d) - min(b) + 1) >= {BLOCK_CELLS}) "
+    f"SELECT * FROM (SELECT page_id, (a * {CELL})::INT AS x1, (b * {CELL})::INT AS y1, least(width, (c + 1) * {CELL})::INT AS x2, least(height, (d + 1) * {CELL})::INT AS y2 FROM fr) WHERE x2 - x1 >= {BLOCK_SIDE} AND y2 - y1 >= {BLOCK_SIDE}",
+)
 
 # ---- annotation records (A6, A27) -------------------------------------------------------------
 

@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 
+from palimpsest.operators.store import shared_folder
 from palimpsest.registry import register
 from palimpsest.streaming import events as E
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder of its own below the one that driver and executors share (in one process: a temporary one)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="palimpsest-streams-")
-    return f"{root}/streams/{uuid.uuid4().hex}"
-
-
-register("R1_trace_stream", lambda s, d: E.run_to_table(E.changes(E.event_stream(s, d)), _folder(s)), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
-register("R2_windowed_progress", lambda s, d: E.run_to_table(E.windowed_counts(E.event_stream(s, d)), _folder(s), "complete"), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
+register("R1_trace_stream", lambda s, d: E.run_to_table(E.changes(E.event_stream(s, d)), shared_folder(s, "streams")), "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before <> event_type")
+register("R2_windowed_progress", lambda s, d: E.run_to_table(E.windowed_counts(E.event_stream(s, d)), shared_folder(s, "streams"), "complete"), "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
