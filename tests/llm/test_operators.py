@@ -119,6 +119,35 @@ def test_repetition_rules(spark, odd_rows, sf):
     assert repetition.repetition_rules(empty(spark)).count() == 0
 
 
+def test_repetition_shares(spark, odd_rows):
+    """Characters of words in later occurrences of an n-gram and of repeated lines, and the verdict, by definition."""
+    docs = odd_rows + [(400, (prose(40, 30) + " ") * 3 + prose(41, 40)), (401, "\n".join([prose(42, 12)] * 9 + [prose(43, 60)]))]
+    got = repetition.repetition_rules(frame(spark, docs)).collect()
+    want = []
+    for i, t in docs:
+        w = words(t)
+        total = max(1, sum(map(len, w)))
+        n_words, _, _, _, repeat = brute_rules(t)
+        shares = []
+        for k in sorted(repetition.GRAM_LIMITS):
+            seen, hit = set(), set()
+            for j in range(len(w) - k + 1):
+                gram = tuple(w[j : j + k])
+                hit |= set(range(j, j + k)) if gram in seen else set()
+                seen.add(gram)
+            shares.append(sum(len(w[j]) for j in hit) / total)
+        lines, dup = set(), 0
+        for line in (t or "").split("\n"):
+            dup += sum(map(len, words(line))) if line in lines else 0
+            lines.add(line)
+        failed = n_words < 50 or 100 * repeat > 50 * n_words
+        bad = dup / total > repetition.LINE_LIMIT or any(x > repetition.GRAM_LIMITS[k] for k, x in zip(sorted(repetition.GRAM_LIMITS), shares))
+        want.append((i, t, [*shares, dup / total], failed, not failed and not bad))
+    key = lambda i, shares: (i is None, i or 0, [round(x, 6) for x in shares])
+    mine = sorted((key(r["doc_id"], [*[r[f"dup_{k}gram_share"] for k in sorted(repetition.GRAM_LIMITS)], r["dup_line_share"]]), r["base_failed"], r["kept"]) for r in got)
+    assert mine == sorted((key(i, shares), failed, kept) for i, _, shares, failed, kept in want)
+
+
 def test_repeated_passage_is_rejected(spark):
     clean, block = prose(8, 300), prose(9, 40)
     got = {r["doc_id"]: r["kept"] for r in repetition.repetition_rules(frame(spark, [(1, clean), (2, prose(10, 100) + (" " + block) * 2 + " " + prose(11, 20))])).collect()}
@@ -161,6 +190,51 @@ def test_classifier_odd_rows(spark, odd_rows):
     assert quality_qda.document_statistics(empty(spark)).count() == 0
 
 
+def brute_features(t):
+    """The statistics of one text by their definitions."""
+    import math
+
+    t = t or ""
+    w, raw = words(t), t.encode()
+    n, size = len(w), max(1, len(t.encode()))
+    per = max(n, 1)
+    count = lambda chars: sum(raw.count(c.encode()) for c in chars)
+    share = lambda x: math.sqrt(x / (x + per))
+    later = set()
+    seen = set()
+    for j in range(n - 2):
+        gram = tuple(w[j : j + 3])
+        later |= {j, j + 1, j + 2} if gram in seen else set()
+        seen.add(gram)
+    upper = sum(c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in raw)
+    return [
+        math.log1p(n), share(count("#*$%&<>@^~=+_\\")), share(count("!")), math.sqrt(upper / size), math.log(size / per), math.log((len(set(w)) + 1) / (n + 1)) + 0.12 * math.log1p(n),
+        sum(a == b for a, b in zip(w, w[1:])) / per, len(later) / per, share(count("0123456789")), share(count(".,;:?'\"()-")), share(count("\n") + 1), share(count("|")), share(count("<>{}[]")),
+    ]
+
+
+def test_scores_equal_those_by_definition(spark, odd_rows):
+    """From text to number: statistics, class moments with shrinkage, log-densities by a general solver."""
+    docs = odd_rows + [(500 + k, prose(k, 40 + k) if k % 2 else "BUY NOW!!! $$$ " * (5 + k) + prose(k, 5)) for k in range(40)]
+    docs = [(i, t) for i, t in docs if i is not None]
+    labels = {i: i % 2 for i, _ in docs if i >= 500}
+    stats = quality_qda.document_statistics(frame(spark, docs))
+    model = quality_qda.train(stats, spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int"))
+    x = np.array([brute_features(t) for _, t in docs])
+    learnt = [k for k, (i, _) in enumerate(docs) if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    by_class = {c: x[[k for k in learnt if labels[docs[k][0]] == c]] for c in (0, 1)}
+    scale = np.maximum(np.concatenate(list(by_class.values())).var(axis=0), 1e-6)
+    density = []
+    for c in (0, 1):
+        cov = np.cov(by_class[c].T)
+        cov = (1 - quality_qda.SHRINKAGE) * cov + quality_qda.SHRINKAGE * np.diag(np.diag(cov)) + quality_qda.RIDGE * np.diag(scale)
+        off = x - by_class[c].mean(axis=0)
+        density.append(-0.5 * (np.einsum("ij,ij->i", off, np.linalg.solve(cov, off.T).T) + np.linalg.slogdet(cov)[1]))
+    want = 1 / (1 + np.exp(-np.clip(density[1] - density[0] + np.log((len(by_class[1]) + 1) / (len(by_class[0]) + 1)), -500, 500)))
+    got = quality_qda.scores(stats, model).collect()
+    assert np.allclose(sorted(r["score"] for r in got), sorted(want), atol=1e-6)
+
+
 def test_cholesky_factors_give_gaussian_densities():
     rng = np.random.default_rng(0)
     d = len(quality_qda.FEATURES)
@@ -236,7 +310,8 @@ def test_piece_digests(spark, odd_rows, library):
 
 
 def check_packing(got, docs, capacity=2048):
-    encode = token_counts.fast_encoder(BPE)
+    """Against the tokenizers library and a cut of its own."""
+    tok = token_counts.tokenizer(BPE)
     bins = defaultdict(list)
     for r in got:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -246,12 +321,23 @@ def check_packing(got, docs, capacity=2048):
             assert offset == at
             at += length
         assert at <= capacity
-    want = Counter()
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    want = defaultdict(list)
     for i, t in docs:
-        ids = np.concatenate([np.asarray(encode([t or ""])[0], dtype="<u4"), np.array([0], dtype="<u4")])
-        for k, (start, piece) in enumerate(packing.cut(ids, capacity)):
-            want[(i, k, start, len(piece), zlib.crc32(piece.tobytes()))] += 1
-    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want[i].append(ids)
+    for i, texts in want.items():
+        assert len(pieces[i]) == sum(max(1, -(-len(x) // capacity)) for x in texts)
+        crc = Counter((start, length, c) for _, start, length, c in pieces[i])
+        for ids in texts:
+            first = len(ids) % capacity or capacity if len(ids) > capacity else len(ids)
+            starts = [0, *range(first, len(ids), capacity)]
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                key = (a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b])))
+                assert crc[key] > 0
+                crc[key] -= 1
     return len(bins)
 
 
@@ -544,3 +630,36 @@ def test_license_scan(spark, odd_rows):
         for m in got[i]["matches"]:
             assert t[m["start"] : m["end"]].strip() == t[m["start"] : m["end"]]
     assert license_scan.license_scan(empty(spark)).count() == 0
+
+
+def brute_license(text):
+    """The license of a text with one notice at most: every template against every stretch of about its length, no cue words."""
+    import difflib
+
+    w = [m.group().lower() for m in license_scan.WORD.finditer(text)]
+    best = None
+    for name, template in license_scan.TEMPLATES.items():
+        t = [m.group().lower() for m in license_scan.WORD.finditer(template)]
+        limit = license_scan.MOST_DIFFERENT * len(t)
+        for a in range(len(w)):
+            if w[a] not in t[: int(limit) + 1]:
+                continue
+            for b in range(a + len(t) - int(limit), min(len(w), a + len(t) + int(limit)) + 1):
+                part = w[a:b]
+                common = sum(x.size for x in difflib.SequenceMatcher(None, t, part, autojunk=False).get_matching_blocks())
+                differ = len(t) + len(part) - 2 * common
+                if differ <= limit and (best is None or len(t) - differ > best[0]):
+                    best = len(t) - differ, name
+    return best and best[1]
+
+
+def test_licenses_against_every_stretch():
+    rng = random.Random(4)
+    scan = license_scan.scanner(tuple(license_scan.TEMPLATES.items())).scan
+    for k, (name, notice) in enumerate([*license_scan.TEMPLATES.items()] * 2 + [("", "the licensed trade lapsed")] * 3):
+        w = notice.split()
+        for _ in range(int(len(w) * rng.choice([0, 0.05, 0.1, 0.3]))):
+            w[rng.randrange(1, max(2, len(w) - 1))] = rng.choice(["quite", "other", ""])
+        text = prose(700 + k, rng.randint(0, 40)) + " " + " ".join(x for x in w if x) + " " + prose(800 + k, rng.randint(0, 40))
+        found = [m["license"] for m in scan(text)[1]]
+        assert found == ([want] if (want := brute_license(text)) else [])

@@ -4,8 +4,8 @@ from collections import Counter
 
 import corpus_pipeline
 from palimpsest.llm import near_dedup
-from palimpsest.llm.common import documents
-from tests.llm.conftest import BPE  # noqa: F401
+from palimpsest.llm.common import documents, materialize
+from tests.llm.conftest import BPE, frame  # noqa: F401
 from tests.llm.test_operators import brute_classes, brute_spans, check_packing, words
 
 
@@ -36,6 +36,28 @@ def test_stages(spark, sf):
     assert near_dedup.THRESHOLD == 0.8
 
 
+def test_stages_on_odd_rows_and_clashing_names(spark, sf, odd_rows, tmp_path):
+    spark.createDataFrame([(i, i % 2, 0) for i in range(14)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (frame(spark, odd_rows), frame(spark, odd_rows, extra=False), frame(spark, [(1, "a")]).where("doc_id < 0")):
+        columns = docs.columns
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "best-fit packing":
+                check_packing(out.collect(), [(r[0], r[1]) for r in docs.collect()])
+                break
+            assert out.columns == columns
+            docs = materialize(out, "stage") if len(set(map(str.lower, columns))) == len(columns) else out
+            after = docs.count()
+            assert after <= before
+            before = after
+
+
+def test_exact_stage_on_odd_rows(spark, sf, odd_rows):
+    docs = corpus_pipeline.exact_stage(spark, frame(spark, odd_rows), sf)
+    assert Counter(r[1] or "" for r in docs.collect()) == Counter({t or "": 1 for _, t in odd_rows})
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
