@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,12 +23,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes: 10,000 rows of text, the only bound by default below 64 MB, are held several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", spark.conf.get(name).lower()).groups()
+    now = int(size) << 10 * " kmgt".index(unit or " ")
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Select ``alias=name`` pairs by exact name.
 
     Columns are addressed by position, so tables that hold further columns whose
     names differ in case only, or repeat a name (the first one counts), work too.
     """
+    bounded_batches(df.sparkSession)
     names = df.columns
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
     return flat.select(*[F.col(f"_{names.index(name)}").alias(alias) for alias, name in columns.items()])
@@ -35,6 +49,7 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """The table with columns ``_0 .. _n`` and the names to restore afterwards."""
+    bounded_batches(df.sparkSession)
     names = df.columns
     return df.toDF(*[f"_{i}" for i in range(len(names))]), names
 
