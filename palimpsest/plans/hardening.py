@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
@@ -162,8 +162,46 @@ register("P6_effective_quality", lambda s, d: gates(quality_report(documents(s,
 register("T119_gate_report", lambda s, d: gates(quality_report(documents(s, d))).select("doc_id", F.concat_ws(" ", F.concat(F.lit("gibberish="), F.when(F.col("gibberish_gate"), "pass").otherwise("fail")), F.concat(F.lit("words="), F.when(F.col("non_wordlike_gate"), "pass").otherwise("fail"))).alias("report")), f"WITH {REPORT_SQL} SELECT doc_id, concat_ws(' ', concat('gibberish=', CASE WHEN gibberish < 0.4e0 THEN 'pass' ELSE 'fail' END), concat('words=', CASE WHEN non_wordlike < 0.55e0 THEN 'pass' ELSE 'fail' END)) AS report FROM report")
 
 # ---- sequential rules: no SQL, literal tests --------------------------------------------------
-register("W14_single_runs", lambda s, d: documents(s, d).select("doc_id", L.as_udf(lambda t: L.collapse_single_runs(t.split())[1], "int")("text").alias("lost")))
-register("W15_T64_fragment_sequences", lambda s, d: documents(s, d).select("doc_id", L.as_udf(lambda t: L.collapse_fragments(t.split())[1], "int")("text").alias("lost")))
+
+
+def word_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, token, single): the tokens of whole texts; ``single`` marks lone letters."""
+    rows = docs.select("doc_id", F.posexplode(T.tokens("text")).alias("pos", "token"))
+    return rows.withColumn("single", F.col("token").rlike(r"^\p{L}$"))
+
+
+def collapsed(rows: DataFrame) -> DataFrame:
+    """Texts in which every masked stretch of (doc_id, pos, token, masked) is one gap, and how many tokens were lost."""
+    before = F.lag("masked", 1, False).over(Window.partitionBy("doc_id").orderBy("pos"))
+    shown = F.when(~F.col("masked"), F.col("token")).when(~before, "[…]")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("shown").isNotNull(), F.struct("pos", "shown")))), lambda x: x["shown"]), " ")
+    return rows.withColumn("shown", shown).groupBy("doc_id").agg(F.count(F.when(F.col("masked"), 1)).alias("lost"), F.sha2(text, 256).alias("sha"))
+
+
+def single_runs(s, d) -> DataFrame:
+    """Runs of three lone letters and more: islands by the difference of two numberings."""
+    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    rows = word_rows(documents(s, d)).withColumn("island", F.row_number().over(by_doc) - F.row_number().over(Window.partitionBy("doc_id", "single").orderBy("pos")))
+    size = F.count("*").over(Window.partitionBy("doc_id", "single", "island"))
+    return collapsed(rows.withColumn("masked", F.col("single") & (size >= 3)))
+
+
+def fragments(s, d) -> DataFrame:
+    """Tokens in any window of five with three lone letters and more."""
+    by_doc = Window.partitionBy("doc_id").orderBy("pos")
+    ahead = by_doc.rowsBetween(0, 4)
+    rows = word_rows(documents(s, d)).withColumn("bad", (F.count("*").over(ahead) == 5) & (F.sum(F.col("single").cast("int")).over(ahead) / 5 >= 0.6))
+    return collapsed(rows.withColumn("masked", F.max("bad").over(by_doc.rowsBetween(-4, 0))))
+
+
+WORD_ROWS = rf"{DOCS}, wr AS (SELECT doc_id, pos, token, regexp_matches(token, '^\p{{L}}$') AS single FROM (SELECT doc_id, unnest(range(len({Q_TOKS}))) AS pos, unnest({Q_TOKS}) AS token FROM docs))"
+COLLAPSED = "SELECT doc_id, count(*) FILTER (masked) AS lost, sha256(string_agg(CASE WHEN masked THEN '[…]' ELSE token END, ' ' ORDER BY pos) FILTER (NOT masked OR NOT before)) AS sha FROM (SELECT *, lag(masked, 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ma) GROUP BY 1"
+register("W14_single_runs", single_runs, f"WITH {WORD_ROWS}, isl AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - row_number() OVER (PARTITION BY doc_id, single ORDER BY pos) AS island FROM wr), ma AS (SELECT *, single AND count(*) OVER (PARTITION BY doc_id, single, island) >= 3 AS masked FROM isl) {COLLAPSED}")
+register(
+    "W15_T64_fragment_sequences",
+    fragments,
+    f"WITH {WORD_ROWS}, ba AS (SELECT *, count(*) OVER f = 5 AND sum(single::INT) OVER f >= 3 AS bad FROM wr WINDOW f AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)), ma AS (SELECT *, max(bad) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS masked FROM ba) {COLLAPSED}",
+)
 
 
 def merged_lines(s, d):

@@ -1,5 +1,7 @@
 """Literal cases of the rules."""
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -135,9 +137,9 @@ def test_schemas_parse(spark):
     assert len(TABLES) == 17
 
 
-def test_sequential_line_rules():
-    from palimpsest.functions import lines as L
+def test_masked_stretches_become_gaps(spark):
+    from palimpsest.plans.hardening import collapsed
 
-    assert L.collapse_single_runs("a b c word d e".split()) == (["[…]", "word", "d", "e"], 3)
-    assert L.collapse_fragments("a a mno y a nis word word word word".split())[0][0] == "[…]"
-    assert L.collapse_fragments(["a", "b"]) == (["a", "b"], 0)
+    rows = [(1, i, t, t in "abc") for i, t in enumerate("a b c word a x".split())]
+    got = collapsed(spark.createDataFrame(rows, "doc_id long, pos int, token string, masked boolean")).collect()
+    assert [(r["lost"], r["sha"]) for r in got] == [(4, hashlib.sha256("[…] word […] x".encode()).hexdigest())]
