@@ -230,10 +230,10 @@ def q_translation(text: str) -> str:
     return body
 
 
-chatty = F.concat(F.lit("Here is the translation: "), F.replace("text", F.lit("\n"), F.lit("\nContext: x\n\"The page\" shows\nThis page has\n")), F.lit(" Note: uncertain"))
+chatty = lambda: F.concat(F.lit("Here is the translation: "), F.replace("text", F.lit("\n"), F.lit("\nContext: x\n\"The page\" shows\nThis page has\n")), F.lit(" Note: uncertain"))
 register(
     "T82_translation_output",
-    lambda s, d: documents(s, d).select("doc_id", chatty.alias("text")).select("doc_id", F.sha2(translation(F.col("text")), 256).alias("sha")),
+    lambda s, d: documents(s, d).select("doc_id", chatty().alias("text")).select("doc_id", F.sha2(translation(F.col("text")), 256).alias("sha")),
     f"WITH {DOCS}, c AS (SELECT doc_id, concat('Here is the translation: ', replace(text, chr(10), chr(10) || 'Context: x' || chr(10) || '\"The page\" shows' || chr(10) || 'This page has' || chr(10)), ' Note: uncertain') AS text FROM docs), r AS (SELECT doc_id, string_split(replace(text, chr(13), chr(10)), chr(10)) AS raw FROM c), b AS (SELECT doc_id, {q_translation('text')} AS body FROM r) SELECT doc_id, sha256(CASE WHEN body = '' THEN '[unclear]' ELSE body END) AS sha FROM b",
 )
 
@@ -251,11 +251,11 @@ def direct_text(label: Column, raw: Column) -> Column:
 LABELS = TEXTUAL + INITIALS + ILLUSTRATIONS + DIAGRAMS + STRUCTURAL
 label_of = lambda key: F.element_at(lit(LABELS), (key % len(LABELS) + 1).cast("int"))
 q_label_of = lambda key: f"{Q.array(LABELS)}[({key} % {len(LABELS)} + 1)::INT]"
-echoed = F.concat(F.lit("The text is:\n"), plain(F.col("text")), F.lit("\r\nDo not translate.\n"))
+echoed = lambda: F.concat(F.lit("The text is:\n"), plain(F.col("text")), F.lit("\r\nDo not translate.\n"))
 Q_CODE = r"'(?:^|[^A-Za-z0-9_])([0-9]{1,4}|[IVXLCDM]{1,8}|[A-Za-z]{1,4}[0-9]{0,3})(?:[^A-Za-z0-9_]|$)'"
 register(
     "T85_direct_text",
-    lambda s, d: documents(s, d).select("doc_id", label_of(F.col("doc_id")).alias("label"), echoed.alias("raw")).select("doc_id", "label", F.sha2(direct_text(F.col("label"), F.col("raw")), 256).alias("sha")),
+    lambda s, d: documents(s, d).select("doc_id", label_of(F.col("doc_id")).alias("label"), echoed().alias("raw")).select("doc_id", "label", F.sha2(direct_text(F.col("label"), F.col("raw")), 256).alias("sha")),
     f"WITH {DOCS}, r AS (SELECT doc_id, {q_label_of('doc_id')} AS label, concat('The text is:', chr(10), {q_plain('text')}, chr(13), chr(10), 'Do not translate.', chr(10)) AS raw FROM docs), "
     f"l AS (SELECT doc_id, label, list_filter(list_transform(string_split(replace(raw, chr(13), chr(10)), chr(10)), lambda x: {Q.strip('x')}), lambda x: x <> '' AND lower(x) NOT IN {Q.words(ECHO_LINES)} AND NOT starts_with(lower(x), 'if a character or word is unclear')) AS ls FROM r), "
     f"c AS (SELECT *, {Q.strip('coalesce(array_to_string(ls, ' + chr(39) + ' ' + chr(39) + '), ' + chr(39) * 2 + ')')} AS compact, label IN ('Page Number', 'Quire Mark', 'Running header', 'Catchword') AS mark FROM l) "
@@ -316,11 +316,11 @@ def q_corrected(x: str) -> str:
     return f"(SELECT coalesce(string_agg(gap || CASE WHEN t IS NULL THEN '' ELSE {new} END, '' ORDER BY i), '') FROM (SELECT unnest(string_split_regex({x}, '{p}')) AS gap, unnest(list_concat(regexp_extract_all({x}, '{p}'), [NULL])) AS t, unnest(range(len(string_split_regex({x}, '{p}')))) AS i))"
 
 
-worn = F.concat(F.when(F.col("doc_id") % 3 == 0, "R\n euerendi \n").when(F.col("doc_id") % 3 == 1, "R\n  euerend pere\n").otherwise(""), F.replace(F.replace(plain(F.col("text")), F.lit("er "), F.lit(" patru ")), F.lit("The "), F.lit("Patru clemencia CLEMENCIA ")))
+worn = lambda: F.concat(F.when(F.col("doc_id") % 3 == 0, "R\n euerendi \n").when(F.col("doc_id") % 3 == 1, "R\n  euerend pere\n").otherwise(""), F.replace(F.replace(plain(F.col("text")), F.lit("er "), F.lit(" patru ")), F.lit("The "), F.lit("Patru clemencia CLEMENCIA ")))
 Q_WORN = f"concat(CASE doc_id % 3 WHEN 0 THEN 'R' || chr(10) || ' euerendi ' || chr(10) WHEN 1 THEN 'R' || chr(10) || '  euerend pere' || chr(10) ELSE '' END, replace(replace({q_plain('text')}, 'er ', ' patru '), 'The ', 'Patru clemencia CLEMENCIA '))"
 register(
     "T77_T78_T105_T107_safe_normalizer",
-    lambda s, d: documents(s, d).select("doc_id", worn.alias("text")).select("doc_id", F.sha2(corrected(F.col("text")), 256).alias("corrected"), F.sha2(corrected(initial_fixed(F.col("text"))), 256).alias("normalized")),
+    lambda s, d: documents(s, d).select("doc_id", worn().alias("text")).select("doc_id", F.sha2(corrected(F.col("text")), 256).alias("corrected"), F.sha2(corrected(initial_fixed(F.col("text"))), 256).alias("normalized")),
     f"WITH {DOCS}, w AS (SELECT doc_id, {Q_WORN} AS text FROM docs), i AS (SELECT doc_id, text, {q_initial('text')} AS fixed FROM w) SELECT doc_id, sha256({q_corrected('text')}) AS corrected, sha256({q_corrected('fixed')}) AS normalized FROM i",
 )
 register(

@@ -91,8 +91,8 @@ q_set = lambda x: f"list_distinct({Q.tokens('lower(' + x + ')')})"
 register(
     "P9_proofread_delta",
     lambda s, d: spread(documents(s, d)).select("doc_id", plain(F.col("text")).alias("a"), plain(second_pass(F.col("text"))).alias("b")).select("doc_id", P.proofread_verdict(F.col("a"), F.col("b")).alias("verdict")),
-    f"WITH {PASSES}, f AS (SELECT doc_id, {q_plain('a')} AS a, {q_plain('b')} AS b FROM passes), m AS (SELECT doc_id, {Q.edit_distance(q_flat('lower(a)'), q_flat('lower(b)'))} AS edit, {Q.share('abs(len(' + Q.lines('b') + ') - len(' + Q.lines('a') + '))', 'len(' + Q.lines('a') + ')')} AS drift, "
-    f"CASE WHEN {q_marks('a')} > 0 THEN {q_marks('b')}::DOUBLE / {q_marks('a')} ELSE 1e0 END AS kept, {Q.share('len(list_filter(' + q_set('b') + ', lambda t: NOT list_contains(' + q_set('a') + ', t)))', 'len(' + q_set('b') + ')')} AS churn FROM f) "
+    f"WITH {PASSES}, f AS (SELECT doc_id, {q_plain('a')} AS a, {q_plain('b')} AS b FROM passes), g AS (SELECT *, {q_flat('lower(a)')} AS fa, {q_flat('lower(b)')} AS fb, {q_set('a')} AS sa, {q_set('b')} AS sb FROM f), m AS (SELECT doc_id, {Q.edit_distance('fa', 'fb')} AS edit, {Q.share('abs(len(' + Q.lines('b') + ') - len(' + Q.lines('a') + '))', 'len(' + Q.lines('a') + ')')} AS drift, "
+    f"CASE WHEN {q_marks('a')} > 0 THEN {q_marks('b')}::DOUBLE / {q_marks('a')} ELSE 1e0 END AS kept, {Q.share('len(sb) - len(list_intersect(sb, sa))', 'len(sb)')} AS churn FROM g) "
     "SELECT doc_id, CASE WHEN edit > 0.4e0 THEN 'char_edit_ratio' WHEN drift > 0.3e0 THEN 'line_drift' WHEN kept < 0.5e0 THEN 'uncertainty_stripped' WHEN churn > 0.5e0 THEN 'token_churn' ELSE 'accepted' END AS verdict FROM m",
 )
 register(

@@ -6,7 +6,7 @@ from palimpsest import registry
 def test_rows_beyond_the_first_runs(spark, sf):
     q = registry.queries()
     mentions = spark.read.parquet(f"{sf}/lineitem.parquet").count()
-    for name in ("S8_list_quality_reports", "S43_evidence_records", "W8_ordered_regions"):
+    for name in ("S8_list_quality_reports", "S43_evidence_jsonl", "W8_ordered_regions"):
         assert q[name](spark, sf).count() == mentions
 
 
