@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -148,6 +149,77 @@ def high_recall_mentions(docs: DataFrame) -> DataFrame:
     )
 
 
+# Salvage words and thresholds.
+SALVAGE_TRIGGERS = "roi roy roya evesque évesque euesque saint sainz pape duc conte dame sire".split()
+SALVAGE_WORKS = "lancelot arthur guenievre tristan perceval graal merlin galahad".split()
+SALVAGE_STOPWORDS = (
+    "et de la le les des du en a au aux que qui ne pas par pour sur son ses sa ce est fut sont une uns si il li lor mais car con com tout molt bien fait dit "
+    "del d' d’ mes ot ont vint fist dist estoit avoit ala alerent vont font firent puis lors tant moult aussi donc dont"
+).split()
+SALVAGE_TOKEN = "[A-Za-zÀ-ÖØ-öø-ÿĀ-žſƀ-ɏ]+"
+PLACE_PREPOSITION = "(?:en|au|aux|de\\s+la|de\\s+l['’]|de|du|des|del|d['’])\\s+"
+EDITORIAL = "lacune lacuna lacunae illegible gap missing illisible effacé rature trou déchirure dechirure".split()
+WEAK_PLACES = "enfant enfans enfants vilanie vilenie villanie amor amour courtoisie felonie honte honor honneur merci paor peor peur proece proesce chevalerie".split()
+PARTS = 4
+
+
+def salvaged_names(tokens: DataFrame, name_like: Callable[[Column], Column]) -> DataFrame:
+    """A trigger and the one to four words that follow it closely: a person if one of them is like a name, else a role.
+
+    ``tokens``: the occurrences of SALVAGE_TOKEN; ``rejected`` marks triggers that only common words follow.
+    """
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    ahead = {f"{c}{k}": F.lead(c, k).over(w) for k in range(1, PARTS + 1) for c in ("surface", "gap", "end_offset")}
+    rows = tokens.withColumns(ahead).where(F.lower("surface").isin(SALVAGE_TRIGGERS))
+    size, text, fits = F.lit(0), F.col("surface"), F.lit(True)
+    for k in range(1, PARTS + 1):
+        part, low = F.col(f"surface{k}"), F.lower(f"surface{k}")
+        good = (F.length(f"gap{k}") <= 3) & ~F.col(f"gap{k}").rlike("[.;:!?]") & (F.length(part) >= 2) & ~low.isin(SALVAGE_STOPWORDS + SALVAGE_TRIGGERS)
+        fits = fits & F.coalesce(good, F.lit(False))
+        size, text = size + fits.cast("int"), F.when(fits, F.concat(text, F.col(f"gap{k}"), part)).otherwise(text)
+    rows = rows.withColumn("size", size).withColumn("whole", text).where("size > 0")
+    content = lambda k: (F.col("size") >= k) & ~F.lower(f"surface{k}").isin(C.COMMON_WORDS)
+    some = [content(k) for k in range(1, PARTS + 1)]
+    like = [c & name_like(F.lower(f"surface{k + 1}")) for k, c in enumerate(some)]
+    either = lambda flags: F.greatest(*[F.coalesce(f, F.lit(False)) for f in flags])
+    end = F.element_at(F.array(*[F.col(f"end_offset{k}") for k in range(1, PARTS + 1)]), F.col("size"))
+    return rows.select("doc_id", "start_offset", end.alias("end_offset"), F.col("whole").alias("surface"), F.when(either(like), "person").otherwise("role").alias("ent_type"), F.when(either(like), 0.55).otherwise(0.25).alias("confidence"), F.lit("rule:salvage_trigger").alias("method"), (~either(some)).alias("rejected"))
+
+
+def salvaged_works(tokens: DataFrame) -> DataFrame:
+    """Tokens near the name of a known work: equal if short, else close with shared bigrams; distinct tokens are compared once."""
+    words = tokens.select(F.lower("surface").alias("low")).where((F.length("low") >= 4) & ~F.col("low").isin(C.COMMON_WORDS)).distinct()
+    low = F.col("low")
+    near = [F.struct(F.lit(k).alias("k"), T.normalized_edit_distance(low, F.lit(work)).alias("nd"), T.bigram_overlap(low, F.lit(work)).alias("bo")) for k, work in enumerate(SALVAGE_WORKS)]
+    first = F.try_element_at(F.filter(F.array(*near), lambda x: F.when(F.length(low) < 5, x["nd"] == 0).otherwise((x["nd"] <= 0.25) & (x["bo"] >= 0.40))), F.lit(1))
+    known = words.withColumn("hit", first).where("hit IS NOT NULL").select("low", F.greatest(F.lit(0.35), 0.65 - F.col("hit.nd")).alias("confidence"))
+    rows = tokens.withColumn("low", F.lower("surface")).join(known, "low")
+    return _mention(rows, "work", F.col("confidence"), "rule:salvage_work_fuzzy")
+
+
+def salvaged_places(docs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Tokens right behind a preposition of place, with ``reason`` where a list, the length or the quality of the token speaks against it."""
+    heads = occurrences(docs, f"(?i){EDGE[0]}{PLACE_PREPOSITION}").select("doc_id", F.col("end_offset").alias("behind"))
+    near = heads.select("doc_id", "behind", F.explode(F.sequence(F.col("behind"), F.col("behind") + 2)).alias("start_offset")).join(tokens, ["doc_id", "start_offset"])
+    first = near.groupBy("doc_id", "behind").agg(F.min_by(F.struct("start_offset", "end_offset", "surface"), "start_offset").alias("t")).select("doc_id", "t.*").distinct()
+    low, quality = F.lower("surface"), T.token_quality(F.lower("surface"))
+    anchor, capital = low.isin(C.PLACE_ANCHORS), F.col("surface").rlike(r"^\p{Lu}")
+    reason = (
+        F.when(low.isin(EDITORIAL), "editorial_blacklist").when(low.isin(WEAK_PLACES), "weak_place_lexical_blacklist").when((F.length("surface") < 5) | low.isin(SALVAGE_STOPWORDS), "too_short_or_stopword")
+        .when(~anchor & ~capital & ((F.length("surface") < 6) | (quality < 0.50)), "place_likeness").when(~anchor & capital & (quality < 0.40), "place_likeness")
+    )
+    return first.select("doc_id", "start_offset", "end_offset", "surface", F.lit("place").alias("ent_type"), F.lit(0.35).alias("confidence"), F.lit("rule:salvage_place_candidate").alias("method"), reason.alias("reason"))
+
+
+def salvaged_mentions(docs: DataFrame, name_like: Callable[[Column], Column]) -> DataFrame:
+    """Mentions of lower-case texts: names behind triggers, works, places; a span counts once, by the first rule that has it."""
+    tokens = occurrences(docs, SALVAGE_TOKEN)
+    works = salvaged_works(tokens)
+    places = salvaged_places(docs, tokens).where("reason IS NULL").select(*MENTION).join(works.select("doc_id", "start_offset", "end_offset"), ["doc_id", "start_offset", "end_offset"], "left_anti")
+    names = salvaged_names(tokens, name_like).where("NOT rejected").select(*MENTION)
+    return names.unionByName(works).unionByName(places.select(*MENTION))
+
+
 def without_overlaps(mentions: DataFrame) -> DataFrame:
     """Best confidence of each span and type; then, from the surest and longest, those that overlap no kept one of their type."""
     best = mentions.where("end_offset > start_offset AND start_offset >= 0").groupBy("doc_id", "ent_type", "start_offset", "end_offset").agg(F.max_by(F.struct("surface", "method"), F.struct("confidence", "method")).alias("m"), F.max("confidence").alias("confidence"))

@@ -45,9 +45,7 @@ RECALL = (
     f"UNION ALL SELECT doc_id, start_offset, nxt_e, surface || nxt_g || nxt, 'person', 0.3e0, 'high_recall:name_prefix' FROM trig WHERE lower(surface) IN {Q.words(X.PREFIXES)} AND length(nxt) >= 4)"
 )
 register("M1_person_mentions", lambda s, d: X.person_mentions(documents(s, d)), f"WITH {DOCS}, {SIGNS} SELECT * FROM person")
-register("M2_anchor_mentions", lambda s, d: X.anchor_mentions(documents(s, d)))
 register("M2_word_anchors", lambda s, d: X.word_anchors(documents(s, d)), f"WITH {DOCS}, {WORD_ANCHORS} SELECT * FROM anchors")
 register("M4_high_recall_mentions", lambda s, d: X.high_recall_mentions(documents(s, d)), f"WITH {DOCS}, {RECALL} SELECT * FROM recall")
-register("X6_W5_deduplicated_mentions", lambda s, d: X.without_overlaps(X.person_mentions(documents(s, d)).unionByName(X.anchor_mentions(documents(s, d)))))
 register("T77_decorated_initial", lambda s, d: documents(s, d).select("doc_id", F.split("text", "\n").alias("ls")).select("doc_id", F.when((F.size("ls") >= 2) & (F.length(F.col("ls")[0]) == 1), F.concat(F.col("ls")[0], F.col("ls")[1])).otherwise(F.col("ls")[0]).alias("first_line")), f"WITH {DOCS}, l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs) SELECT doc_id, CASE WHEN len(ls) >= 2 AND length(ls[1]) = 1 THEN concat(ls[1], ls[2]) ELSE ls[1] END AS first_line FROM l")
 register("X8_changed_lines", lambda s, d: documents(s, d).select("doc_id", F.split("text", "\n").alias("a"), F.split(F.regexp_replace("text", "[#*$%&]+", ""), "\n").alias("b")).select("doc_id", F.slice(F.filter(F.transform(F.arrays_zip("a", "b"), lambda p, i: F.when(p["a"] != p["b"], F.concat(F.lit("line_"), (i + 1).cast("string")))), lambda x: x.isNotNull()), 1, 50).alias("changed")).select("doc_id", F.array_join("changed", ",").alias("changed")), f"WITH {DOCS}, l AS (SELECT doc_id, string_split(text, chr(10)) AS a, string_split(regexp_replace(text, '[#*$%&]+', '', 'g'), chr(10)) AS b FROM docs) SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i])[1:50], lambda i: concat('line_', i)), ',') AS changed FROM l")

@@ -231,6 +231,5 @@ def tokens_of(s, d):
 LETTER_TOKENS = rf"{DOCS}, tok AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM docs)"
 Q_V, Q_RUN = Q.vowel_share_of_length("token"), Q.consonant_run("token")
 register("T114_candidate_source", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.nullif("source", F.lit("viaf")), F.when(F.col("cand_key") % 2 == 0, "viaf"), F.lit("unknown")).alias("resolved")), f"WITH {C_SQL} SELECT mention_id, cand_key, coalesce(nullif(source, 'viaf'), CASE WHEN cand_key % 2 = 0 THEN 'viaf' END, 'unknown') AS resolved FROM candidates")
-register("M3_salvaged_mentions", lambda s, d: X.without_overlaps(X.high_recall_mentions(documents(s, d)).unionByName(X.anchor_mentions(documents(s, d)))))
 register("C12_text_or_lines", lambda s, d: read(s, d, "documents").select("doc_id", F.coalesce(F.nullif("text", F.lit("")), "lang").alias("shown")), "SELECT doc_id, coalesce(nullif(text, ''), lang) AS shown FROM documents")
 register("C1_sorted_files", lambda s, d: read(s, d, "pages").where(F.col("url").rlike("^https?://")).select("page_id", "url").orderBy("url", "page_id"), "SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://') ORDER BY url, page_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
 from palimpsest.plans import sql as Q
-from palimpsest.plans.extraction import RECALL
+from palimpsest.plans.extraction import RECALL, SIGNS, q_matches
 from palimpsest.plans.hardening import META, SANITY, language_tokens, sanity, text_score, Q_LANG, Q_SCORE
 from palimpsest.plans.similarity import plain, q_plain
 from palimpsest.plans.store import read
@@ -475,20 +475,61 @@ register(
 )
 
 
+# What a prompt says of the language, first match first.
+PROMPT_HINTS = [
+    ("anglo norman", "anglo_norman"), ("old french", "old_french"), ("middle french", "middle_french"), ("medieval french", "middle_french"), ("latin", "latin"), ("french", "french"),
+    ("occitan|old occitan|provencal", "occitan"), ("italian", "italian"), ("spanish|iberian|portuguese|catalan", "spanish"), ("middle english", "middle_english"), ("old english", "old_english"),
+    ("middle high german", "middle_high_german"), ("old high german", "old_high_german"), ("german|dutch|flemish", "german"),
+]
+PROMPTS = ["Read this OLD French page", "medieval latin?", "French or German", "it is prov4ncal", "middle  high german!", "Old-English hand", "all embelished initials", "Which regions show music lines", "the main script coloured", "page number 4", "no hint"]
+command = lambda c: F.regexp_replace(F.regexp_replace(F.replace(F.lower(T.strip(c)), F.lit("4"), F.lit("a")), r"[^a-z0-9\s]", " "), r"\s+", " ")
+Q_COMMAND = r"regexp_replace(regexp_replace(replace(lower(trim(p)), '4', 'a'), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')"
+asked = lambda: F.concat_ws(" ", sample(PROMPTS, F.col("conv_id") + F.col("turn")), F.when(F.col("turn") % 3 == 0, F.col("text")))
+Q_ASKED = f"c AS (SELECT conv_id, turn, concat_ws(' ', {q_sample(PROMPTS, '(conv_id + turn)')}, CASE WHEN turn % 3 = 0 THEN text END) AS p FROM conversations), v AS (SELECT conv_id, turn, {Q_COMMAND} AS v FROM c)"
+
+
+def prompt_hints(s, d):
+    """Language, script and backend that a prompt names; nulls where it names none."""
+    v, language = F.col("v"), None
+    for words, name in PROMPT_HINTS:
+        hit = v.rlike(f"\\b(?:{words})\\b")
+        language = F.when(hit, name) if language is None else language.when(hit, name)
+    rows = read(s, d, "conversations").select("conv_id", "turn", command(asked()).alias("v")).select("conv_id", "turn", language.alias("language"))
+    known = F.col("language").isNotNull()
+    return rows.select("conv_id", "turn", "language", F.when(F.col("language") == "old_english", "insular_old_english").when(known, "latin").alias("script"), F.when(known, "auto").alias("backend"))
+
+
+register(
+    "C9_prompt_hints",
+    prompt_hints,
+    f"WITH {Q_ASKED}, l AS (SELECT conv_id, turn, CASE {' '.join(f'WHEN regexp_matches(v, {chr(39)}{chr(92)}b(?:{w}){chr(92)}b{chr(39)}) THEN {chr(39)}{n}{chr(39)}' for w, n in PROMPT_HINTS)} END AS language FROM v) SELECT conv_id, turn, language, CASE WHEN language = 'old_english' THEN 'insular_old_english' WHEN language IS NOT NULL THEN 'latin' END AS script, CASE WHEN language IS NOT NULL THEN 'auto' END AS backend FROM l",
+)
+labelled = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(command(c), r"\bembelished\b", "embellished"), r"\blabels\b", "label"), r"\bregions\b", "region")
+q_labelled = lambda x: rf"regexp_replace(regexp_replace(regexp_replace({x}, '\bembelished\b', 'embellished', 'g'), '\blabels\b', 'label', 'g'), '\bregions\b', 'region', 'g')"
+
+
 def best_labels(s, d):
-    """For every question the label that shares most words with it (the first of equals), if any."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
-    asked = read(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", words(F.concat("text", F.lit(" "), sample(ASKED + ["the main script", "running table margin"], F.col("conv_id")))).alias("w"))
-    scores = F.transform(lit(LABELS), lambda name, i: F.struct(F.size(F.array_intersect("w", words(name))).alias("n"), (-i).alias("i"), name.alias("label")))
-    return asked.select("conv_id", "turn", F.array_max(scores).alias("best")).where("best.n > 0").select("conv_id", "turn", "best.label", F.col("best.n").alias("shared"))
+    """For every prompt the label with most points, the first of equals: 100 if it is named whole, 10 for each word of it, more for initials."""
+    rows = read(s, d, "conversations").select("conv_id", "turn", labelled(asked()).alias("prompt"))
+    prompt = F.col("prompt")
+
+    def points(name: Column, i: Column) -> Column:
+        words = F.filter(F.split(name, " "), lambda w: (F.length(w) >= 3) & prompt.contains(w))
+        both = lambda w: prompt.contains(w) & name.contains(w)
+        n = F.when(prompt.contains(name), 100).otherwise(0) + 10 * F.size(words) + F.when(both("embellished"), 50).otherwise(0) + F.when(both("initial"), 30).otherwise(0)
+        return F.struct(n.alias("n"), (-i).alias("i"))
+
+    best = F.array_max(F.transform(F.transform(lit(LABELS), labelled), points))
+    rows = rows.select("conv_id", "turn", best.alias("best")).where("best.n > 0")
+    return rows.select("conv_id", "turn", F.element_at(lit(LABELS), 1 - F.col("best.i")).alias("label"), F.col("best.n").alias("points"))
 
 
-Q_W = lambda x: f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
 register(
     "C10_best_label",
     best_labels,
-    f"WITH q AS (SELECT conv_id, turn, {Q_W('concat(text, ' + chr(39) + ' ' + chr(39) + ', ' + q_sample(ASKED + ['the main script', 'running table margin'], 'conv_id') + ')')} AS w FROM conversations WHERE role = 'user'), l AS (SELECT unnest({Q.array(LABELS)}) AS label, unnest(range({len(LABELS)})) AS i), "
-    f"p AS (SELECT conv_id, turn, label, i, len(list_intersect(w, {Q_W('label')}))::INT AS shared FROM q, l) SELECT conv_id, turn, label, shared FROM p WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY shared DESC, i) = 1",
+    f"WITH {Q_ASKED}, q AS (SELECT conv_id, turn, {q_labelled('v')} AS prompt FROM v), l AS (SELECT label, i, {q_labelled(Q_COMMAND)} AS name FROM (SELECT label, label AS p, i FROM (SELECT unnest({Q.array(LABELS)}) AS label, unnest(range({len(LABELS)})) AS i))), "
+    "sc AS (SELECT conv_id, turn, label, i, (CASE WHEN contains(prompt, name) THEN 100 ELSE 0 END + 10 * len(list_filter(string_split(name, ' '), lambda w: length(w) >= 3 AND contains(prompt, w))) + CASE WHEN contains(prompt, 'embellished') AND contains(name, 'embellished') THEN 50 ELSE 0 END + CASE WHEN contains(prompt, 'initial') AND contains(name, 'initial') THEN 30 ELSE 0 END)::INT AS points FROM q, l) "
+    "SELECT conv_id, turn, label, points FROM sc WHERE points > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY points DESC, i) = 1",
 )
 
 # ---- names and places (P16, P18, T30) ----------------------------------------------------------------
@@ -621,3 +662,78 @@ register(
     f"WITH {DOCS}, {RECALL}, {Q_CHUNK_LINES}, kept AS (SELECT doc_id, e - length(line) AS s, e, line FROM r WHERE length({Q.strip('line')}) >= 2 AND lower({Q.strip('line')}) NOT IN {Q.words(C.CHUNK_STOPWORDS)} UNION ALL SELECT doc_id, 0, length(text), text FROM docs WHERE length({Q.strip('text')}) > 0 AND doc_id NOT IN (SELECT doc_id FROM r WHERE length({Q.strip('line')}) >= 2 AND lower({Q.strip('line')}) NOT IN {Q.words(C.CHUNK_STOPWORDS)})) "
     f"SELECT m.doc_id, start_offset, end_offset, method, sha256(concat_ws(' ', nullif(line, ''), {q_window(200)})) AS sha FROM recall m JOIN docs USING (doc_id) LEFT JOIN kept k ON k.doc_id = m.doc_id AND start_offset BETWEEN k.s AND k.e - 1",
 )
+
+# ---- salvaged mentions (M3) ---------------------------------------------------------------------------
+
+SALVAGE_INSERTS = [" le roi Artus vint ", " saint graal de Paris ", " la dame de bien ", " en enfant, du Chastelx au ", " del reaume d' Avignon ", " Lancelott duc xqzt. ", " l'an de grace mil cinq cens¶", " en 1234, MCCXL: lan¶mil deux mars "]
+FIRST_LINES = ["", "Le livre du roi¶", "", "La¶", "l'estoire de Merlin ¶"]
+
+
+def old_texts(s, d) -> DataFrame:
+    """Texts in plain letters with a first line and a phrase of the kind that the rules look for."""
+    broken = lambda values: F.replace(sample(values, F.col("doc_id")), F.lit("¶"), F.lit("\n"))
+    return documents(s, d).select("doc_id", F.concat(broken(FIRST_LINES), plain(F.col("text")), broken(SALVAGE_INSERTS)).alias("text"))
+
+
+OLD_TEXTS = f"{DOCS}, old AS (SELECT doc_id, concat(replace({q_sample(FIRST_LINES, 'doc_id')}, '¶', chr(10)), {q_plain('text')}, replace({q_sample(SALVAGE_INSERTS, 'doc_id')}, '¶', chr(10))) AS text FROM docs)"
+_lead = lambda c, k: f"lead({c}, {k}) OVER (PARTITION BY doc_id ORDER BY pos) AS {c}{k}"
+_fit = lambda k: f"coalesce(length(gap{k}) <= 3 AND NOT regexp_matches(gap{k}, '[.;:!?]') AND length(surface{k}) >= 2 AND lower(surface{k}) NOT IN {Q.words(X.SALVAGE_STOPWORDS + X.SALVAGE_TRIGGERS)}, false)"
+_like = lambda k: f"(size >= {k} AND lower(surface{k}) NOT IN {Q.words(C.COMMON_WORDS)} AND lower(surface{k}) IN (SELECT token FROM likely))"
+SALVAGED = (
+    f"{OLD_TEXTS}, st AS ({q_matches('old', 'text', X.SALVAGE_TOKEN)}), ah AS (SELECT *, {', '.join(_lead(c, k) for k in range(1, 5) for c in ('surface', 'gap', 'end_offset'))} FROM st), tg AS (SELECT *, {', '.join(f'{_fit(k)} AS f{k}' for k in range(1, 5))} FROM ah WHERE lower(surface) IN {Q.words(X.SALVAGE_TRIGGERS)}), "
+    "sz AS (SELECT *, CASE WHEN NOT f1 THEN 0 WHEN NOT f2 THEN 1 WHEN NOT f3 THEN 2 WHEN NOT f4 THEN 3 ELSE 4 END AS size FROM tg), tok AS (SELECT DISTINCT unnest([lower(surface1), lower(surface2), lower(surface3), lower(surface4)][1:size]) AS token FROM sz), "
+    f"known AS (SELECT unnest({Q.array(NAMES)}) AS name), {NEAR}, likely AS (SELECT token FROM near WHERE length(token) BETWEEN 3 AND 18 AND token NOT IN {Q.words(C.COMMON_WORDS)} AND (CASE WHEN length(token) < 5 THEN least = 0 ELSE near END OR ({Q_V} BETWEEN 0.2e0 AND 0.8e0 AND NOT regexp_matches(token, '[^{C.VOWELS}]{{4,}}') AND (length(token) < 5 OR least <= 0.35e0)))), "
+    f"nm AS (SELECT *, {' OR '.join(_like(k) for k in range(1, 5))} AS likes, {' OR '.join(f'(size >= {k} AND lower(surface{k}) NOT IN {Q.words(C.COMMON_WORDS)})' for k in range(1, 5))} AS content FROM sz WHERE size > 0), "
+    "names AS (SELECT doc_id, start_offset, CASE size WHEN 1 THEN end_offset1 WHEN 2 THEN end_offset2 WHEN 3 THEN end_offset3 ELSE end_offset4 END AS end_offset, surface || gap1 || surface1 || CASE WHEN size >= 2 THEN gap2 || surface2 ELSE '' END || CASE WHEN size >= 3 THEN gap3 || surface3 ELSE '' END || CASE WHEN size >= 4 THEN gap4 || surface4 ELSE '' END AS surface, "
+    "CASE WHEN likes THEN 'person' ELSE 'role' END AS ent_type, CASE WHEN likes THEN 0.55e0 ELSE 0.25e0 END AS confidence, 'rule:salvage_trigger' AS method FROM nm WHERE content), "
+    f"wk AS (SELECT DISTINCT lower(surface) AS low FROM st WHERE length(surface) >= 4 AND lower(surface) NOT IN {Q.words(C.COMMON_WORDS)}), wc AS (SELECT low, {Q.edit_distance('low', 'work')} AS nd, i FROM wk, (SELECT unnest({Q.array(X.SALVAGE_WORKS)}) AS work, unnest(range({len(X.SALVAGE_WORKS)})) AS i) "
+    f"WHERE CASE WHEN length(low) < 5 THEN low = work ELSE {Q.edit_distance('low', 'work')} <= 0.25e0 AND {Q.dice(Q.bigrams('low'), Q.bigrams('work'))} >= 0.4e0 END QUALIFY row_number() OVER (PARTITION BY low ORDER BY i) = 1), "
+    "works AS (SELECT doc_id, start_offset, end_offset, surface, 'work' AS ent_type, greatest(0.35e0, 0.65e0 - nd) AS confidence, 'rule:salvage_work_fuzzy' AS method FROM st JOIN wc ON low = lower(surface)), "
+    f"ph AS ({q_matches('old', 'text', '(?i)' + chr(92) + 'b' + X.PLACE_PREPOSITION.replace(chr(39), chr(39) * 2))}), pn AS (SELECT DISTINCT st.doc_id, st.start_offset, st.end_offset, st.surface FROM ph JOIN st ON st.doc_id = ph.doc_id AND st.start_offset BETWEEN ph.end_offset AND ph.end_offset + 2 QUALIFY row_number() OVER (PARTITION BY ph.doc_id, ph.end_offset ORDER BY st.start_offset) = 1), "
+    f"pq AS (SELECT *, lower(surface) AS low, {Q.token_quality('lower(surface)')} AS q, lower(surface) IN {Q.words(C.PLACE_ANCHORS)} AS anchor, regexp_matches(surface, '^\\p{{Lu}}') AS capital FROM pn), "
+    f"pr AS (SELECT *, CASE WHEN low IN {Q.words(X.EDITORIAL)} THEN 'editorial_blacklist' WHEN low IN {Q.words(X.WEAK_PLACES)} THEN 'weak_place_lexical_blacklist' WHEN length(surface) < 5 OR low IN {Q.words(X.SALVAGE_STOPWORDS)} THEN 'too_short_or_stopword' WHEN NOT anchor AND NOT capital AND (length(surface) < 6 OR q < 0.5e0) THEN 'place_likeness' WHEN NOT anchor AND capital AND q < 0.4e0 THEN 'place_likeness' END AS reason FROM pq)"
+)
+register(
+    "M3_salvaged_mentions",
+    lambda s, d: X.salvaged_mentions(old_texts(s, d), medieval_name),
+    f"WITH {SALVAGED} SELECT * FROM names UNION ALL SELECT * FROM works UNION ALL SELECT doc_id, start_offset, end_offset, surface, 'place', 0.35e0, 'rule:salvage_place_candidate' FROM pr WHERE reason IS NULL AND (doc_id, start_offset, end_offset) NOT IN (SELECT (doc_id, start_offset, end_offset) FROM works)",
+)
+register("M3_rejected_places", lambda s, d: X.salvaged_places(old_texts(s, d), X.occurrences(old_texts(s, d), X.SALVAGE_TOKEN)).where("reason IS NOT NULL").select("doc_id", "start_offset", "surface", "reason"), f"WITH {SALVAGED} SELECT doc_id, start_offset, surface, reason FROM pr WHERE reason IS NOT NULL")
+
+# ---- anchors and all mentions without overlaps (M2, W5, X6) ----------------------------------------------
+
+_quoted = lambda x: x.replace("'", "''")
+_edged = lambda p: _quoted("(?i)\\b" + p.replace(X.EDGE[1], "\\b"))
+_sql_pattern = lambda p: _quoted(p.replace(X.EDGE[0], "\\b").replace(X.EDGE[1], "\\b"))
+
+
+def q_dated(x: str) -> str:
+    words = f"regexp_extract_all(lower({x}), '{_quoted(chr(91))}A-Za-zÀ-ÿ''’]+')"
+    return f"(regexp_matches({x}, '{_sql_pattern(X.DATE_FORMULA)}') OR regexp_matches({x}, '{_sql_pattern(X.NUMBER)}') OR regexp_matches({x}, '{_sql_pattern(X.ROMAN_YEAR)}') OR list_has_any({words}, {Q.array([*C.DATE_ANCHORS, *C.MONTHS])}))"
+
+
+ANCHORS = (
+    f"an AS (SELECT doc_id, start_offset, end_offset, surface, CASE WHEN lower(surface) IN {Q.words(C.PLACE_ANCHORS)} THEN 'place' ELSE 'title' END AS ent_type, CASE WHEN lower(surface) IN {Q.words(C.PLACE_ANCHORS)} THEN 0.84e0 ELSE 0.64e0 END AS confidence, CASE WHEN lower(surface) IN {Q.words(C.PLACE_ANCHORS)} THEN 'rule:toponym_anchor' ELSE 'rule:title_anchor' END AS method "
+    f"FROM ({q_matches('old', 'text', chr(91) + 'A-Za-z0-9_]+')}) WHERE lower(surface) IN {Q.words(C.PLACE_ANCHORS + C.TITLE_ANCHORS)}), "
+    f"da AS ({' UNION ALL '.join('(' + q_matches('old', 'text', _edged(p)) + ')' for p in X.DATE_PATTERNS)}), dd AS (SELECT *, string_split(surface, chr(10)) AS ls FROM da), "
+    f"dates AS (SELECT doc_id, start_offset, end_offset, surface, 'date' AS ent_type, 0.72e0 AS confidence, 'rule:date_pattern' AS method FROM dd WHERE {q_dated('surface')} AND (len(ls) = 1 OR regexp_matches(surface, '{_sql_pattern(X.DATE_FORMULA)}') OR ({q_dated('ls[1]')} AND {q_dated('ls[-1]')}))), "
+    f"fl AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {Q.strip('x')}), lambda x: x <> '')[1] AS first FROM old), first AS (SELECT doc_id, (instr(text, first) - 1)::INT AS start_offset, (instr(text, first) - 1 + length(first))::INT AS end_offset, first AS surface, 'work' AS ent_type, 0.56e0 AS confidence, 'rule:first_line_title_heuristic' AS method "
+    f"FROM fl WHERE length(first) <= 80 AND regexp_matches(lower(first), '^(la |le |l''|l’)') AND len({Q.tokens('first')}) >= 2), anchored AS (SELECT * FROM an UNION ALL SELECT * FROM dates UNION ALL SELECT * FROM first)"
+)
+register("M2_anchor_mentions", lambda s, d: X.anchor_mentions(old_texts(s, d)), f"WITH {OLD_TEXTS}, {ANCHORS} SELECT * FROM anchored")
+
+
+def all_mentions(s, d) -> DataFrame:
+    """The union of four extractors: names in a row, anchors, salvage and high recall."""
+    docs = old_texts(s, d)
+    return X.person_mentions(docs).unionByName(X.anchor_mentions(docs)).unionByName(X.salvaged_mentions(docs, medieval_name)).unionByName(X.high_recall_mentions(docs))
+
+
+_over_old = lambda sql: sql.replace("FROM docs)", "FROM old)").replace("JOIN docs ON docs.doc_id", "JOIN old ON old.doc_id")
+ALL_MENTIONS = (
+    f"{SALVAGED}, {ANCHORS}, pe AS (WITH {_over_old(SIGNS)} SELECT * FROM person), hr AS (WITH {_over_old(RECALL)} SELECT * FROM recall), salvage AS (SELECT * FROM names UNION ALL SELECT * FROM works UNION ALL SELECT doc_id, start_offset, end_offset, surface, 'place', 0.35e0, 'rule:salvage_place_candidate' FROM pr WHERE reason IS NULL AND (doc_id, start_offset, end_offset) NOT IN (SELECT (doc_id, start_offset, end_offset) FROM works)), "
+    "every AS (SELECT doc_id, start_offset, end_offset, surface, ent_type, confidence, method FROM pe UNION ALL SELECT * FROM anchored UNION ALL SELECT * FROM salvage UNION ALL SELECT * FROM hr), best AS (SELECT doc_id, ent_type, start_offset, end_offset, max(confidence) AS confidence, max_by(surface, (confidence, method)) AS surface, max_by(method, (confidence, method)) AS method FROM every WHERE end_offset > start_offset GROUP BY 1, 2, 3, 4), "
+    "li AS (SELECT doc_id, ent_type, list([[start_offset, end_offset]] ORDER BY confidence DESC, start_offset - end_offset, start_offset, end_offset) AS l FROM best GROUP BY 1, 2), "
+    "ke AS (SELECT doc_id, ent_type, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: x[1][1] < k[2] AND x[1][2] > k[1])) = 0 THEN list_concat(acc, x) ELSE acc END)) AS k FROM li), kept AS (SELECT b.* FROM best b JOIN ke ON ke.doc_id = b.doc_id AND ke.ent_type = b.ent_type AND k[1] = start_offset AND k[2] = end_offset)"
+)
+register("X6_W5_deduplicated_mentions", lambda s, d: X.without_overlaps(all_mentions(s, d)), f"WITH {ALL_MENTIONS} SELECT doc_id, start_offset, end_offset, surface, ent_type, confidence, method FROM kept")
