@@ -143,3 +143,59 @@ def test_masked_stretches_become_gaps(spark):
     rows = [(1, i, t, t in "abc") for i, t in enumerate("a b c word a x".split())]
     got = collapsed(spark.createDataFrame(rows, "doc_id long, pos int, token string, masked boolean")).collect()
     assert [(r["lost"], r["sha"]) for r in got] == [(4, hashlib.sha256("[…] word […] x".encode()).hexdigest())]
+
+
+def boxes(spark, rows, extra=""):
+    return spark.createDataFrame(rows, f"page_id long, box_id long, x1 int, y1 int, x2 int, y2 int{extra}")
+
+
+def test_boxes_near_each_other_are_merged(spark):
+    from palimpsest.operators import geometry as G
+
+    got = G.merged_boxes(boxes(spark, [(1, 1, 0, 0, 10, 10), (1, 2, 18, 0, 30, 10), (1, 3, 38, 0, 50, 10), (1, 4, 100, 100, 110, 110), (2, 1, 0, 0, 5, 5)])).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0, 0, 50, 10), (1, 100, 100, 110, 110), (2, 0, 0, 5, 5)]
+
+
+def test_the_smaller_of_two_covered_boxes_goes(spark):
+    from palimpsest.operators import geometry as G
+
+    rows = [(1, 1, 0, 0, 100, 100, "MainZone"), (1, 2, 10, 10, 60, 60, "MainZone"), (1, 3, 90, 90, 200, 200, "MainZone"), (1, 4, 10, 10, 60, 60, "Table")]
+    assert {r["box_id"] for r in G.unified(boxes(spark, rows, ", name string"), ["MainZone"]).collect()} == {1, 3, 4}
+
+
+def test_regions_in_blocks_and_columns():
+    import pandas as pd
+
+    from palimpsest.plans import layout
+
+    page = pd.DataFrame([(1, 1, 0, 0, 100, 10), (1, 2, 5, 20, 95, 30), (1, 3, 400, 0, 500, 10), (1, 4, 410, 20, 480, 30), (1, 5, 40, 40, 60, 50)], columns=["page_id", "box_id", "x1", "y1", "x2", "y2"])
+    assert dict(zip(*[layout._blocks(page)[c] for c in ("box_id", "block")])) == {1: 0, 2: 0, 5: 0, 3: 1, 4: 1}
+    assert dict(zip(*[layout._grown_columns(page)[c] for c in ("box_id", "col")])) == {1: 0, 2: 0, 5: 0, 3: 1, 4: 1}
+
+
+def test_raster_blocks_touch_by_a_cell():
+    import pandas as pd
+
+    from palimpsest.plans import layout
+
+    near = (layout.GROWN * 2 + 1) * layout.CELL
+    rows = [(1, 200, 200, 240, 240, 4000, 4000), (1, 240 + near, 200, 300 + near, 240, 4000, 4000), (1, 2000, 2000, 2040, 2040, 4000, 4000)]
+    page = pd.DataFrame(rows, columns=["page_id", "x1", "y1", "x2", "y2", "width", "height"])
+    assert len(layout._raster_blocks(page)) == 2
+    assert len(layout._raster_blocks(page.assign(x1=page["x1"] + [0, 8, 0], x2=page["x2"] + [0, 8, 0]))) == 3
+
+
+def test_search_takes_queries_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from palimpsest.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(60, 8))
+    table = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(data)], "vec_id long, label int, embedding array<float>")
+    queries = table.where("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "embedding AS q")
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    want = {(q, int(v)) for q in range(0, 60, 7) for v in np.lexsort((np.arange(60), -np.round(unit @ unit[q], 4)))[:4]}
+    for size in (1000, 2):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", size)
+        assert {(r["query_id"], r["vec_id"]) for r in retrieval.search(table, queries, 4).collect()} == want
