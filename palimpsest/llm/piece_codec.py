@@ -34,7 +34,17 @@ CACHE_UNIT_CHARS = 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+#: Signs that every common normaliser rewrites: a ligature, a full-width letter, a combining accent, capitals.
+PROBE = "ﬁ Ａ e\u0301 ÀB"
+
+
 class PieceCodec:
+    """A BPE model of the ``sentencepiece`` format with byte fallback.
+
+    Models that rewrite white space or other signs are refused; pieces defined by
+    the user, which are cut out before merging, are not known to it.
+    """
+
     def __init__(self, path: str):
         import ahocorasick
         import sentencepiece
@@ -52,6 +62,8 @@ class PieceCodec:
             raise ValueError("pieces that hold a word mark inside are not supported")
         if sp.encode_as_pieces("a  b")[-2:] == [f"{MARK}b"] or sp.is_byte(sp.unk_id()):
             raise ValueError("models that rewrite white space are not supported")
+        if sp.decode(sp.encode(PROBE)) != PROBE:
+            raise ValueError("models with a normaliser are not supported")
         # Pieces that do not merge to themselves never occur in a result.
         self.usable = {p: i for p, i in self.ids.items() if self.merge(p) == [p]}
         self.automaton = ahocorasick.Automaton()
