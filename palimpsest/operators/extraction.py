@@ -171,28 +171,28 @@ def salvaged_names(tokens: DataFrame, name_like: Callable[[Column], Column]) ->
     w = Window.partitionBy("doc_id").orderBy("pos")
     ahead = {f"{c}{k}": F.lead(c, k).over(w) for k in range(1, PARTS + 1) for c in ("surface", "gap", "end_offset")}
     rows = tokens.withColumns(ahead).where(F.lower("surface").isin(SALVAGE_TRIGGERS))
-    size, text, fits = F.lit(0), F.col("surface"), F.lit(True)
-    for k in range(1, PARTS + 1):
-        part, low = F.col(f"surface{k}"), F.lower(f"surface{k}")
-        good = (F.length(f"gap{k}") <= 3) & ~F.col(f"gap{k}").rlike("[.;:!?]") & (F.length(part) >= 2) & ~low.isin(SALVAGE_STOPWORDS + SALVAGE_TRIGGERS)
-        fits = fits & F.coalesce(good, F.lit(False))
-        size, text = size + fits.cast("int"), F.when(fits, F.concat(text, F.col(f"gap{k}"), part)).otherwise(text)
-    rows = rows.withColumn("size", size).withColumn("whole", text).where("size > 0")
-    content = lambda k: (F.col("size") >= k) & ~F.lower(f"surface{k}").isin(C.COMMON_WORDS)
-    some = [content(k) for k in range(1, PARTS + 1)]
-    like = [c & name_like(F.lower(f"surface{k + 1}")) for k, c in enumerate(some)]
-    either = lambda flags: F.greatest(*[F.coalesce(f, F.lit(False)) for f in flags])
-    end = F.element_at(F.array(*[F.col(f"end_offset{k}") for k in range(1, PARTS + 1)]), F.col("size"))
-    return rows.select("doc_id", "start_offset", end.alias("end_offset"), F.col("whole").alias("surface"), F.when(either(like), "person").otherwise("role").alias("ent_type"), F.when(either(like), 0.55).otherwise(0.25).alias("confidence"), F.lit("rule:salvage_trigger").alias("method"), (~either(some)).alias("rejected"))
+    part = lambda k: F.struct(F.col(f"surface{k}").alias("word"), F.lower(f"surface{k}").alias("low"), F.col(f"gap{k}").alias("gap"), F.col(f"end_offset{k}").alias("end"))
+    fits = lambda p: F.coalesce((F.length(p["gap"]) <= 3) & ~p["gap"].rlike("[.;:!?]") & (F.length(p["word"]) >= 2) & ~p["low"].isin(SALVAGE_STOPWORDS + SALVAGE_TRIGGERS), F.lit(False))
+    rows = rows.select("doc_id", "start_offset", "surface", F.array(*[part(k) for k in range(1, PARTS + 1)]).alias("parts"))
+    misfit = F.array_position(F.transform("parts", fits), F.lit(False))
+    rows = rows.select("doc_id", "start_offset", "surface", F.slice("parts", F.lit(1), F.when(misfit == 0, PARTS).otherwise(misfit - 1).cast("int")).alias("parts")).where(F.size("parts") > 0)
+    content = F.filter("parts", lambda p: ~p["low"].isin(C.COMMON_WORDS))
+    rows = rows.select("doc_id", "start_offset", F.element_at("parts", -1)["end"].alias("end_offset"), F.concat("surface", F.array_join(F.transform("parts", lambda p: F.concat(p["gap"], p["word"])), "")).alias("surface"), F.exists(content, lambda p: name_like(p["low"])).alias("like"), (F.size(content) == 0).alias("rejected"))
+    return rows.select("doc_id", "start_offset", "end_offset", "surface", F.when(F.col("like"), "person").otherwise("role").alias("ent_type"), F.when(F.col("like"), 0.55).otherwise(0.25).alias("confidence"), F.lit("rule:salvage_trigger").alias("method"), "rejected")
 
 
 def salvaged_works(tokens: DataFrame) -> DataFrame:
     """Tokens near the name of a known work: equal if short, else close with shared bigrams; distinct tokens are compared once."""
     words = tokens.select(F.lower("surface").alias("low")).where((F.length("low") >= 4) & ~F.col("low").isin(C.COMMON_WORDS)).distinct()
     low = F.col("low")
-    near = [F.struct(F.lit(k).alias("k"), T.normalized_edit_distance(low, F.lit(work)).alias("nd"), T.bigram_overlap(low, F.lit(work)).alias("bo")) for k, work in enumerate(SALVAGE_WORKS)]
-    first = F.try_element_at(F.filter(F.array(*near), lambda x: F.when(F.length(low) < 5, x["nd"] == 0).otherwise((x["nd"] <= 0.25) & (x["bo"] >= 0.40))), F.lit(1))
-    known = words.withColumn("hit", first).where("hit IS NOT NULL").select("low", F.greatest(F.lit(0.35), 0.65 - F.col("hit.nd")).alias("confidence"))
+    best = None
+    for work in SALVAGE_WORKS:
+        distance = T.normalized_edit_distance(low, F.lit(work))
+        # Lengths rule most pairs out before a distance is computed.
+        possible = F.abs(F.length(low) - len(work)) <= 0.25 * F.greatest(F.length(low), F.lit(len(work)))
+        hit = F.when(F.length(low) < 5, low == work).otherwise(possible & (distance <= 0.25) & (T.bigram_overlap(low, F.lit(work)) >= 0.40))
+        best = F.when(hit, distance) if best is None else best.when(hit, distance)
+    known = words.withColumn("nd", best).where("nd IS NOT NULL").select("low", F.greatest(F.lit(0.35), 0.65 - F.col("nd")).alias("confidence"))
     rows = tokens.withColumn("low", F.lower("surface")).join(known, "low")
     return _mention(rows, "work", F.col("confidence"), "rule:salvage_work_fuzzy")
 

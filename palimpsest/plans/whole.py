@@ -20,9 +20,22 @@ register(
     lambda s, d: candidates(s, d).select("mention_id", "cand_key", "score", "source").join(mentions(s, d).select("mention_id", "run_id", "surface", "start_offset", "part"), "mention_id").join(read(s, d, "supplier").select(F.col("s_suppkey").alias("cand_key"), F.col("s_name").alias("entity")), "cand_key", "left").join(read(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("evidence")), "run_id", "left"),
     f"WITH {C_SQL} SELECT c.mention_id, c.cand_key, c.score, c.source, m.run_id, m.surface, m.start_offset, m.part, s_name AS entity, o_orderpriority AS evidence FROM candidates c JOIN mentions m USING (mention_id) LEFT JOIN supplier ON s_suppkey = c.cand_key LEFT JOIN orders ON o_orderkey = m.run_id AND o_orderstatus = 'O'",
 )
-register("A19_comparison_runs", lambda s, d: candidates(s, d).groupBy("run_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("mention_id", "cand_key", "label"))), lambda x: x["label"]), "\n").alias("text"), F.round(F.avg("score"), 6).alias("confidence")), f"WITH {C_SQL} SELECT run_id, source, string_agg(label, chr(10) ORDER BY mention_id, cand_key) AS text, round(avg(score), 6) AS confidence FROM candidates GROUP BY 1, 2")
+
+
+def comparison_runs(s, d):
+    """Per run and backend: its labels in reading order, the mean score, and what went wrong instead of a row."""
+    rows = candidates(s, d).withColumn("error", F.when(F.col("score") < 0.05, F.concat(F.lit("no text for "), F.col("mention_id").cast("string"))))
+    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("start_offset", "mention_id", "cand_key", "label")))), lambda x: x["label"]), "\n")
+    return rows.groupBy("run_id", "source").agg(told.alias("text"), F.round(F.avg(F.when(F.col("error").isNull(), F.col("score"))), 6).alias("confidence"), F.array_join(F.array_sort(F.collect_list("error")), "; ").alias("errors"))
+
+
+register("A19_comparison_runs", comparison_runs, f"WITH {C_SQL}, e AS (SELECT *, CASE WHEN score < 0.05e0 THEN concat('no text for ', mention_id) END AS error FROM candidates) SELECT run_id, source, coalesce(string_agg(label, chr(10) ORDER BY start_offset, mention_id, cand_key) FILTER (error IS NULL), '') AS text, round(avg(score) FILTER (error IS NULL), 6) AS confidence, coalesce(string_agg(error, '; ' ORDER BY error), '') AS errors FROM e GROUP BY 1, 2")
 register("W8_ordered_regions", lambda s, d: mentions(s, d).select("mention_id", F.row_number().over(Window.partitionBy("run_id").orderBy(F.when(F.col("start_offset") > 200, F.col("start_offset")).asc_nulls_last(), F.col("mention_id"))).alias("place")), f"WITH {M_SQL} SELECT mention_id, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN start_offset > 200 THEN start_offset END ASC NULLS LAST, mention_id) AS place FROM mentions")
-register("W21_top_candidates", lambda s, d: candidates(s, d).select("mention_id", "cand_key", "label", "score"), f"WITH {C_SQL} SELECT mention_id, cand_key, label, score FROM candidates")
+register(
+    "W21_top_candidates",
+    lambda s, d: candidates(s, d).withColumn("place", F.row_number().over(Window.partitionBy("mention_id").orderBy(F.col("score").desc(), "cand_key"))).where("place <= 3").select("mention_id", "place", "cand_key", "label", "source", F.round("score", 4).alias("score")),
+    f"WITH {C_SQL} SELECT mention_id, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) AS place, cand_key, label, source, round(score, 4) AS score FROM candidates QUALIFY row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, cand_key) <= 3",
+)
 register("T116_score_breakdown", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.col("score").alias("label"), F.round(1 - F.col("score"), 4).alias("context"), F.col("compatible").alias("type")), f"WITH {C_SQL} SELECT mention_id, cand_key, score AS label, round(1 - score, 4) AS context, compatible AS type FROM candidates")
 register("T117_confidence_text", lambda s, d: candidates(s, d).select("mention_id", "cand_key", F.coalesce(F.format_string("%.4f", "score"), F.lit("")).alias("shown")), f"WITH {C_SQL} SELECT mention_id, cand_key, printf('%.4f', score) AS shown FROM candidates")
 
