@@ -28,7 +28,7 @@ from palimpsest.llm.common import pick, require_file, sliced
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Units of one of the two generations of the cache.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 400_000
 CACHE_UNIT_CHARS = 64
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -71,16 +71,21 @@ class PieceCodec:
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
         self.longest = max(map(len, self.usable))
-        self.shorter: dict[str, str] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.size = {i: len(p) for p, i in self.usable.items()}
+        self.halves = {p: self.last_merge(p) for p in self.usable if len(p) > 1}
+        # Pieces that are merged sooner than one of their parts: borders within them are tried by merging.
+        self.odd = {p for p, both in self.halves.items() if any(half not in self.ids or self.rank(half) >= self.rank(p) for half in both)}
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.shorter: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
         self.cache: dict[str, tuple[str, int, str]] = {}
         self.older: dict[str, tuple[str, int, str]] = {}
-        self.shown = {p: f"{i}," for p, i in self.usable.items()}
+        self.shown = {i: f"{i}," for i in self.usable.values()}
         singles = "".join(re.escape(p) for p in self.usable if len(p) == 1)
         self.plain = re.compile(f"[{singles}]*")
 
-    def merge(self, text: str) -> list[str]:
-        """The pieces of ``text`` by merging the best-scored adjacent pair, leftmost first, until none is left."""
+    def merge(self, text: str, told: list[tuple[str, str]] | None = None) -> list[str]:
+        """The pieces of ``text`` by merging the best-scored adjacent pair, leftmost first, until none is left; ``told`` gets the merges."""
         parts = list(text)
         after = list(range(1, len(parts) + 1))
         before = list(range(-1, len(parts) - 1))
@@ -97,6 +102,8 @@ class PieceCodec:
             _, i, j, joined = heapq.heappop(heap)
             if not parts[i] or not parts[j] or after[i] != j or parts[i] + parts[j] != joined:
                 continue
+            if told is not None:
+                told.append((parts[i], parts[j]))
             parts[i], parts[j] = joined, ""
             after[i] = after[j]
             if after[i] < len(parts):
@@ -106,75 +113,122 @@ class PieceCodec:
                 offer(before[i], i)
         return [p for p in parts if p]
 
-    def _longest(self, text: str, at: int) -> str:
+    def _longest(self, text: str, at: int) -> int:
+        """The id of the longest piece that starts at ``at``; -1 without any."""
         ahead = text[at : at + 24]
         size = self.automaton.longest_prefix(ahead)
         if size == 24:
             ahead = text[at : at + self.longest]
             size = self.automaton.longest_prefix(ahead)
-        piece = ahead[:size]
         usable = self.usable
-        while piece and piece not in usable:
-            piece = piece[:-1]
-        return piece
-
-    def _next_shorter(self, piece: str) -> str:
+        while size:
+            if (found := usable.get(ahead[:size])) is not None:
+                return found
+            size -= 1
+        return -1
+
+    def _next_shorter(self, piece: int) -> int:
+        """The id of the next shorter piece that ``piece`` starts with; -1 without any."""
         found = self.shorter.get(piece)
         if found is None:
-            found = self.shorter[piece] = next((piece[:k] for k in range(len(piece) - 1, 0, -1) if piece[:k] in self.usable), "")
+            text = self.pieces[piece]
+            found = self.shorter[piece] = next((self.usable[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in self.usable), -1)
+        return found
+
+    def rank(self, text: str) -> float:
+        """When a piece is merged: the smaller, the sooner; single characters are there from the start."""
+        return -self.score[self.ids[text]] if len(text) > 1 else -1e30
+
+    def last_merge(self, text: str) -> tuple[str, str]:
+        """The two parts that are merged last to give a piece that merges to itself."""
+        last: list[tuple[str, str]] = []
+        self.merge(text, last)
+        return last[-1]
+
+    def _spine(self, piece: int, side: int) -> list[tuple[str, float]]:
+        """The piece, the part at its edge, that part's part, and so on, each with the rank of what it is merged into."""
+        found = self.spines[side].get(piece)
+        if found is None:
+            text, until, found = self.pieces[piece], float("inf"), []
+            while True:
+                found.append((text, until))
+                if len(text) == 1:
+                    break
+                text, until = self.halves[text][side], self.rank(text)
+            self.spines[side][piece] = found
         return found
 
-    def _compatible(self, left: str, right: str) -> bool:
-        key = (left, right)
+    def _compatible(self, left: int, right: int) -> bool:
+        """Whether merging both pieces' text anew gives the two pieces.
+
+        It does unless parts that meet at the border would merge with each other
+        before they merge into their own pieces (at equal rank the left pair goes first).
+        """
+        key = left << 20 | right
         known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+            near, far = self._spine(left, 1), self._spine(right, 0)
+            if self.odd and any(t in self.odd for t, _ in near + far):
+                a, b = self.pieces[left], self.pieces[right]
+                known = self.merge(a + b) == [a, b]
+            else:
+                known = True
+                for u, into in near:
+                    for v, onto in far:
+                        joined = self.ids.get(u + v)
+                        if joined is not None and -self.score[joined] < into and -self.score[joined] <= onto:
+                            known = False
+            self.pairs[key] = known
         return known
 
-    def backtrack(self, text: str) -> list[str]:
-        """The merge result of a text whose characters are all pieces."""
-        out: list[str] = []
-        failed = 0
-        at, size = 0, len(text)
-        piece = self._longest(text, 0)
+    def backtrack(self, text: str) -> list[int]:
+        """Ids of the merge result of a text whose characters are all pieces.
+
+        Longest matches come first, as the automaton finds them from left to
+        right; from the first pair on that does not stand, places are tried one
+        by one, and a bit is set for each from which no way leads on.
+        """
+        found = [i for _, i in self.automaton.iter_long(text)]
+        known, stand = self.pairs, len(found)
+        for k in range(1, len(found)):
+            ok = known.get(found[k - 1] << 20 | found[k])
+            if ok is None:
+                ok = self._compatible(found[k - 1], found[k])
+            if not ok:
+                stand = k
+                break
+        if stand == len(found):
+            return found
+        out, sizes = found[:stand], self.size
+        at, size = sum([sizes[i] for i in out]), len(text)
+        failed = bytearray(size // 8 + 1)
+        piece = found[stand]
         while True:
-            while piece and (failed >> (at + len(piece)) & 1 or out and not self._compatible(out[-1], piece)):
+            while piece >= 0:
+                end = at + sizes[piece]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if not out:
+                        break
+                    ok = known.get(out[-1] << 20 | piece)
+                    if ok is None:
+                        ok = self._compatible(out[-1], piece)
+                    if ok:
+                        break
                 piece = self._next_shorter(piece)
-            if piece:
+            if piece >= 0:
                 out.append(piece)
-                at += len(piece)
+                at = end
                 if at == size:
                     return out
                 piece = self._longest(text, at)
             else:
-                failed |= 1 << at
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise AssertionError(f"no encoding of {text!r}")
                 last = out.pop()
-                at -= len(last)
-                piece = self._next_shorter(last)
-
-    def _long(self, text: str) -> list[str]:
-        """As ``backtrack``, with the bitfield as an array: for units of any length."""
-        out: list[str] = []
-        failed = bytearray(len(text) // 8 + 1)
-        at, size = 0, len(text)
-        piece = self._longest(text, 0)
-        while True:
-            while piece and (failed[(at + len(piece)) >> 3] >> ((at + len(piece)) & 7) & 1 or out and not self._compatible(out[-1], piece)):
-                piece = self._next_shorter(piece)
-            if piece:
-                out.append(piece)
-                at += len(piece)
-                if at == size:
-                    return out
-                piece = self._longest(text, at)
-            else:
-                failed[at >> 3] |= 1 << (at & 7)
-                last = out.pop()
-                at -= len(last)
+                at -= sizes[last]
                 piece = self._next_shorter(last)
 
     def unit_ids(self, unit: str) -> list[int]:
@@ -191,7 +245,7 @@ class PieceCodec:
     def _run(self, text: str) -> list[int]:
         if not text:
             return []
-        return [self.usable[p] for p in (self.backtrack(text) if len(text) <= 512 else self._long(text))]
+        return self.backtrack(text)
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: marks become spaces, byte pieces UTF-8, the prefix mark is left out."""
@@ -247,7 +301,11 @@ class PieceCodec:
         held, head = "", self.dummy_prefix
         units = UNIT.findall(marked)
         for k in range(0, len(units), 8192):  # bounded, whatever the text's length
-            found = [self.unit(u) for u in units[k : k + 8192]]
+            known = self.cache.get
+            some = units[k : k + 8192]
+            found = [known(u) for u in some]
+            if None in found:
+                found = [x or self.unit(u) for x, u in zip(found, some, strict=True)]
             joined = held + "".join([x[0] for x in found])
             held = joined[-1:]
             ids.update(joined[:-1].encode())

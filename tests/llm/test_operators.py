@@ -291,6 +291,14 @@ def test_codec_equals_library(library, text):
     assert codec.digest(text) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
 
 
+def test_borders_stand_as_merging_anew_says():
+    codec = piece_codec.codec(PIECES)
+    rng, ids = random.Random(2), list(codec.usable.values())
+    for left, right in [(rng.choice(ids), rng.choice(ids)) for _ in range(4000)] + [(codec.usable["▁▁"], codec.usable["▁"])]:
+        a, b = codec.pieces[left], codec.pieces[right]
+        assert codec._compatible(left, right) == (codec.merge(a + b) == [a, b])
+
+
 def test_codec_long_units_and_bitfield(library):
     codec = piece_codec.codec(PIECES)
     for text in ("ab" * 2000, "thingtion" * 300 + "é" * 50, " " * 700):
