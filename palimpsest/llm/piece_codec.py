@@ -2,10 +2,10 @@
 
 A sequence of pieces is the merge result if and only if every piece re-merges to
 itself and every adjacent pair stays a pair when its text is merged again.  The
-encoder takes the longest piece at each place (prefixes walked in an
-Aho-Corasick automaton), checks it against the piece before by re-merging the
-two, falls back to the next shorter piece, and steps back one piece when none
-fits; a bitfield marks places that have failed, so each is left once.
+encoder takes the longest pieces as an Aho-Corasick automaton finds them, checks
+each against the one before by replaying the merges at their border, falls back
+to the next shorter piece, and steps back one piece when none fits; a bitfield
+marks places that have failed, so each is left once.
 
 No piece of such a model holds a word mark after another character, so merging
 never crosses the start of a word; units between those places are encoded on
