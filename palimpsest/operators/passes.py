@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,16 +12,40 @@ from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
 
 GAP = "[…]"
-#: Widths of the band of edit distances that are tried before the whole table.
-BANDS = (64, 1024)
 # Limits of the proofreading rules.
 EDIT_LIMIT, DRIFT_LIMIT, RETENTION_LEAST, CHURN_LIMIT = 0.40, 0.30, 0.50, 0.50
 
 
+def bit_distance(a: str, b: str) -> int:
+    """Levenshtein distance with a column of the table in the bits of two integers: one step for each character of ``b``."""
+    shared = len(os.path.commonprefix([a, b]))
+    a, b = a[shared:], b[shared:]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for c in b:
+        here = places.get(c, 0)
+        level = here | down
+        across = ((here & up) + up) ^ up | here
+        right_up, right_down = down | every & ~(across | up), up & across
+        distance += (right_up >> last & 1) - (right_down >> last & 1)
+        right_up, right_down = (right_up << 1 | 1) & every, right_down << 1 & every
+        up, down = right_down | every & ~(level | right_up), right_up & level
+    return distance
+
+
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance of whole texts: in narrow bands first, which suffice for passes that differ little."""
-    tries = [F.nullif(F.levenshtein(a, b, n), F.lit(-1)) for n in BANDS]
-    return F.coalesce(*tries, F.levenshtein(a, b))
+    """Levenshtein distance of whole texts; the built-in one takes a step for every pair of characters, this one for every character."""
+
+    @F.pandas_udf("int")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+    return run(a, b)
 
 
 def edit_share(a: Column, b: Column) -> Column:

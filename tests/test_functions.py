@@ -74,7 +74,23 @@ def test_overlaps_of_one_type_go(spark):
     assert sorted((m["doc_id"], m["start_offset"], m["ent_type"], m["confidence"]) for m in kept) == [(1, 0, "place", 0.4), (1, 3, "person", 0.8), (2, 3, "person", 0.1)]
 
 
-def test_edit_distance_beyond_the_bands(spark):
+@given(st.text(alphabet="abé", max_size=12), st.text(alphabet="abé", max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_bit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = _next_row(row, i, x, b)
+    assert P.bit_distance(a, b) == row[-1]
+
+
+def _next_row(row, i, x, b):
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+def test_edit_distance_of_long_texts(spark):
     a, b = "ab" * 900, "ba" * 300 + "cd" * 700
     assert one(spark, P.edit_distance(F.col("a"), F.col("b")), a=a, b=b) == one(spark, F.levenshtein(F.col("a"), F.col("b")), a=a, b=b) > 1024
 
