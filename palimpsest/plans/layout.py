@@ -219,28 +219,66 @@ register("W13_region_blocks", lambda s, d: boxes(s, d).select("page_id", "box_id
 CELL, GROWN, BLOCK_CELLS, BLOCK_SIDE = 4, 18, 400, 16
 
 
-def _raster_blocks(page: pd.DataFrame) -> pd.DataFrame:
+def _block_frames(page_id: int, x1s: list, y1s: list, x2s: list, y2s: list, widths: list, heights: list) -> list[tuple]:
     """Boxes painted on a coarse mask and grown; the frame of each set of touching ones, in pixels.
 
     Grown boxes stay rectangles, so two of them touch if they overlap, or lie next to
-    each other with a side in common; no mask is needed.
+    each other with a side in common; no mask is needed.  A set is walked from box to
+    box, each against those not yet met, so memory grows with the boxes, not their pairs.
     """
-    top = (page[["width", "height"]].to_numpy() // CELL).clip(min=1) - 1
-    low = page[["x1", "y1"]].to_numpy() // CELL
-    high = np.maximum(low + 1, page[["x2", "y2"]].to_numpy() // CELL)
-    low, high = np.maximum(low - GROWN, 0), np.minimum(high + GROWN, top)
-    label = np.arange(len(page))
-    gap = np.maximum(low[:, None], low[None]) - np.minimum(high[:, None], high[None])
-    touch = (gap <= 1).all(axis=2) & (gap <= 0).any(axis=2)
-    while True:
-        least = np.where(touch, label[None], len(page)).min(axis=1)
-        if (least == label).all():
-            break
-        label = least
-    frames = page.assign(label=label, a=low[:, 0], b=low[:, 1], c=high[:, 0], d=high[:, 1]).groupby("label").agg(a=("a", "min"), b=("b", "min"), c=("c", "max"), d=("d", "max"), page_id=("page_id", "first"), width=("width", "first"), height=("height", "first"))
-    frames = frames[(frames["c"] - frames["a"] + 1) * (frames["d"] - frames["b"] + 1) >= BLOCK_CELLS]
-    out = pd.DataFrame({"page_id": frames["page_id"], "x1": frames["a"] * CELL, "y1": frames["b"] * CELL, "x2": np.minimum(frames["width"], (frames["c"] + 1) * CELL), "y2": np.minimum(frames["height"], (frames["d"] + 1) * CELL)})
-    return out[(out["x2"] - out["x1"] >= BLOCK_SIDE) & (out["y2"] - out["y1"] >= BLOCK_SIDE)]
+    width, height = widths[0], heights[0]
+    right, bottom = max(1, width // CELL) - 1, max(1, height // CELL) - 1
+    grown = []
+    for x1, y1, x2, y2 in zip(x1s, y1s, x2s, y2s, strict=True):
+        a, b = x1 // CELL, y1 // CELL
+        grown.append((max(a - GROWN, 0), max(b - GROWN, 0), min(max(a + 1, x2 // CELL) + GROWN, right), min(max(b + 1, y2 // CELL) + GROWN, bottom)))
+    out = []
+    for members in _touching_sets(np.array(grown)) if len(grown) > FEW else _touching_few(grown):
+        a, b, c, d = (f(x) for f, x in zip((min, min, max, max), zip(*members, strict=True), strict=True))
+        if (c - a + 1) * (d - b + 1) < BLOCK_CELLS:
+            continue
+        frame = (a * CELL, b * CELL, min(width, (c + 1) * CELL), min(height, (d + 1) * CELL))
+        if frame[2] - frame[0] >= BLOCK_SIDE and frame[3] - frame[1] >= BLOCK_SIDE:
+            out.append((page_id, *frame))
+    return out
+
+
+def _raster_blocks(page: pd.DataFrame) -> pd.DataFrame:
+    """The frames of one page."""
+    return pd.DataFrame(_block_frames(page["page_id"].iloc[0], *[page[c].tolist() for c in (*XY, "width", "height")]), columns=["page_id", *XY])
+
+
+#: Up to so many boxes a plain loop is faster than arrays.
+FEW = 64
+
+
+def _touching_few(left: list) -> list[list]:
+    sets = []
+    while left:
+        members = [left.pop()]
+        for a, b, c, d in members:
+            rest = []
+            for r in left:
+                gx, gy = max(a, r[0]) - min(c, r[2]), max(b, r[1]) - min(d, r[3])
+                (members if gx <= 1 and gy <= 1 and (gx <= 0 or gy <= 0) else rest).append(r)
+            left = rest
+        sets.append(members)
+    return sets
+
+
+def _touching_sets(left: np.ndarray) -> list[list]:
+    sets = []
+    while len(left):
+        members, left = [left[-1].tolist()], left[:-1]
+        for a, b, c, d in members:
+            gx = np.maximum(a, left[:, 0]) - np.minimum(c, left[:, 2])
+            gy = np.maximum(b, left[:, 1]) - np.minimum(d, left[:, 3])
+            touch = (np.maximum(gx, gy) <= 1) & (np.minimum(gx, gy) <= 0)
+            if touch.any():
+                members += left[touch].tolist()
+                left = left[~touch]
+        sets.append(members)
+    return sets
 
 
 Q_GROWN = (
@@ -249,7 +287,7 @@ Q_GROWN = (
 )
 register(
     "W12_block_rects",
-    lambda s, d: boxes(s, d).join(pages(s, d), "page_id").select("page_id", *XY, "width", "height").groupBy("page_id").applyInPandas(_raster_blocks, "page_id long, x1 int, y1 int, x2 int, y2 int"),
+    lambda s, d: G.per_page(boxes(s, d).join(pages(s, d), "page_id").select("page_id", *XY, "width", "height"), [], _block_frames, "page_id long, x1 int, y1 int, x2 int, y2 int"),
     f"WITH RECURSIVE {B_SQL}, {P_SQL}, {Q_GROWN}, re AS (SELECT page_id, i, j FROM tp UNION SELECT re.page_id, re.i, tp.j FROM re JOIN tp ON tp.page_id = re.page_id AND tp.i = re.j), ro AS (SELECT page_id, i AS box_id, min(j) AS label FROM re GROUP BY 1, 2), "
     f"fr AS (SELECT page_id, label, min(a) AS a, min(b) AS b, max(c) AS c, max(d) AS d, any_value(width) AS width, any_value(height) AS height FROM gr JOIN ro USING (page_id, box_id) GROUP BY 1, 2 HAVING (max(c) - min(a) + 1) * (max(d) - min(b) + 1) >= {BLOCK_CELLS}) "
     f"SELECT * FROM (SELECT page_id, (a * {CELL})::INT AS x1, (b * {CELL})::INT AS y1, least(width, (c + 1) * {CELL})::INT AS x2, least(height, (d + 1) * {CELL})::INT AS y2 FROM fr) WHERE x2 - x1 >= {BLOCK_SIDE} AND y2 - y1 >= {BLOCK_SIDE}",
