@@ -189,30 +189,36 @@ register(
 )
 
 
-def _blocks(page: pd.DataFrame) -> pd.DataFrame:
+def _block_of(page_id: int, box_id: list, x1s: list, x2s: list) -> list[tuple]:
     """Boxes from left to right join the block that holds their centre, else the one that they share most width with or that is near."""
-    page = page.sort_values(["x1", "box_id"])
-    groups: list[dict] = []
+    groups: list[list] = []
     of = []
-    for x1, x2 in zip(page["x1"], page["x2"], strict=True):
+    for x1, x2 in zip(x1s, x2s, strict=True):
         m = (x1 + x2) / 2
-        fits = []
-        for k, g in enumerate(groups):
-            holds, shared, away = g["x1"] <= m <= g["x2"], max(0.0, min(x2, g["x2"]) - max(x1, g["x1"])), abs(m - (g["x1"] + g["x2"]) / 2)
-            if holds or shared > 0 or away <= max(1.0, x2 - x1, g["x2"] - g["x1"]) * 0.75:
-                fits.append((float(holds), shared - away * 0.01, -k))
-        if fits and max(fits)[:2] > (-1.0, -1.0):
-            k = -max(fits)[2]
-            groups[k] = {"x1": min(groups[k]["x1"], x1), "x2": max(groups[k]["x2"], x2)}
+        best = None
+        for k, (left, right) in enumerate(groups):
+            holds, shared, away = left <= m <= right, max(0.0, min(x2, right) - max(x1, left)), abs(m - (left + right) / 2)
+            if holds or shared > 0 or away <= max(1.0, x2 - x1, right - left) * 0.75:
+                fit = (float(holds), shared - away * 0.01, -k)
+                best = fit if best is None or fit > best else best
+        if best is not None and best[:2] > (-1.0, -1.0):
+            k = -best[2]
+            groups[k] = [min(groups[k][0], x1), max(groups[k][1], x2)]
         else:
-            groups.append({"x1": x1, "x2": x2})
-            k = len(groups) - 1
+            k = len(groups)
+            groups.append([x1, x2])
         of.append(k)
-    rank = {k: i for i, k in enumerate(sorted(range(len(groups)), key=lambda k: groups[k]["x1"]))}
-    return page.assign(block=[rank[k] for k in of])[["page_id", "box_id", "block"]]
+    rank = {k: i for i, k in enumerate(sorted(range(len(groups)), key=lambda k: groups[k][0]))}
+    return [(page_id, box, rank[k]) for box, k in zip(box_id, of, strict=True)]
+
+
+def _blocks(page: pd.DataFrame) -> pd.DataFrame:
+    """The blocks of one page."""
+    page = page.sort_values(["x1", "box_id"])
+    return pd.DataFrame(_block_of(page["page_id"].iloc[0], *[page[c].tolist() for c in ("box_id", "x1", "x2")]), columns=["page_id", "box_id", "block"])
 
 
-register("W13_region_blocks", lambda s, d: boxes(s, d).select("page_id", "box_id", "x1", "x2").groupBy("page_id").applyInPandas(_blocks, "page_id long, box_id long, block int"))
+register("W13_region_blocks", lambda s, d: G.per_page(boxes(s, d).select("page_id", "box_id", "x1", "x2"), ["x1", "box_id"], _block_of, "page_id long, box_id long, block int"))
 
 
 # A mask cell is so many pixels; boxes grow by so many cells; a block has so many cells and pixels a side at least.

@@ -34,3 +34,7 @@ def test_touching_sets_of_a_page_with_many_boxes():
     sets = lambda found: sorted(sorted(map(tuple, members)) for members in found)
     few, many = sets(layout._touching_few([tuple(r) for r in boxes.tolist()])), sets(layout._touching_sets(boxes))
     assert few == many and 1 < len(few) < 200
+
+
+def test_region_blocks_takes_many_pages_at_once(spark, sf):
+    assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["W13_region_blocks"](spark, sf))
