@@ -166,11 +166,9 @@ def per_page(rows: DataFrame, order: list, run: Callable[..., list[tuple]], sche
     return ordered.mapInArrow(step, schema)
 
 
-def merged_boxes(boxes: DataFrame, distance: int = 10) -> DataFrame:
-    """Boxes within ``distance`` of each other merged until nothing changes; one page at a time."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rects = page[["x1", "y1", "x2", "y2"]].sort_values(["y1", "x1", "x2", "y2"]).values.tolist()
+def _merged(distance: int):
+    def run(page_id: int, *columns: list) -> list[tuple]:
+        rects = [list(r) for r in zip(*columns, strict=True)]
         done = False
         while not done:
             done, out = True, []
@@ -181,11 +179,16 @@ def merged_boxes(boxes: DataFrame, distance: int = 10) -> DataFrame:
                         done = False
                         break
                 else:
-                    out.append(list(r))
+                    out.append(r)
             rects = out
-        return pd.DataFrame([[page["page_id"].iloc[0], *r] for r in rects], columns=["page_id", "x1", "y1", "x2", "y2"])
+        return [(page_id, *r) for r in rects]
 
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, x1 int, y1 int, x2 int, y2 int")
+    return run
+
+
+def merged_boxes(boxes: DataFrame, distance: int = 10) -> DataFrame:
+    """Boxes within ``distance`` of each other merged until nothing changes; one page at a time."""
+    return per_page(boxes.select("page_id", "x1", "y1", "x2", "y2"), ["y1", "x1", "x2", "y2"], _merged(distance), "page_id long, x1 int, y1 int, x2 int, y2 int")
 
 
 def unified(boxes: DataFrame, classes: list[str]) -> DataFrame:

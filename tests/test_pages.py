@@ -38,3 +38,7 @@ def test_touching_sets_of_a_page_with_many_boxes():
 
 def test_region_blocks_takes_many_pages_at_once(spark, sf):
     assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["W13_region_blocks"](spark, sf))
+
+
+def test_W11_merged_boxes_takes_many_pages_at_once(spark, sf):
+    assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["W10_W11_merged_boxes"](spark, sf))
