@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -191,22 +190,22 @@ def merged_boxes(boxes: DataFrame, distance: int = 10) -> DataFrame:
     return per_page(boxes.select("page_id", "x1", "y1", "x2", "y2"), ["y1", "x1", "x2", "y2"], _merged(distance), "page_id long, x1 int, y1 int, x2 int, y2 int")
 
 
-def unified(boxes: DataFrame, classes: list[str]) -> DataFrame:
-    """Of two boxes of one class where over 80 % of the smaller is covered, the smaller goes; in order, deletions count at once."""
-
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values("box_id").to_dict("records")
-        gone: set = set()
-        size = lambda r: (r["x2"] - r["x1"]) * (r["y2"] - r["y1"])
-        for i, a in enumerate(rows):
-            if i in gone or a["name"] not in classes:
+def _unified(page_id: int, box_id: list, kind: list, x1: list, y1: list, x2: list, y2: list) -> list[tuple]:
+    gone: set = set()
+    size = [(c - a) * (d - b) for a, b, c, d in zip(x1, y1, x2, y2, strict=True)]
+    for i, own in enumerate(kind):
+        if i in gone or not own:
+            continue
+        for j, other in enumerate(kind):
+            if other != own or i == j or j in gone:
                 continue
-            for j, b in enumerate(rows):
-                if i == j or j in gone or b["name"] != a["name"]:
-                    continue
-                both = max(0, min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])) * max(0, min(a["y2"], b["y2"]) - max(a["y1"], b["y1"]))
-                if both / max(min(size(a), size(b)), 1) > 0.80:
-                    gone.add(i if size(a) < size(b) else j)
-        return page[~page["box_id"].isin([rows[k]["box_id"] for k in gone])][["page_id", "box_id"]]
+            both = max(0, min(x2[i], x2[j]) - max(x1[i], x1[j])) * max(0, min(y2[i], y2[j]) - max(y1[i], y1[j]))
+            if both / max(min(size[i], size[j]), 1) > 0.80:
+                gone.add(i if size[i] < size[j] else j)
+    return [(page_id, b) for i, b in enumerate(box_id) if i not in gone]
 
-    return boxes.groupBy("page_id").applyInPandas(run, "page_id long, box_id long")
+
+def unified(boxes: DataFrame, classes: list[str]) -> DataFrame:
+    """Of two boxes of one class where over 80 % of the smaller is covered, the smaller goes; in order, deletions count at once."""
+    kind = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("name")), F.lit(0))  # 0: in none of the classes
+    return per_page(boxes.select("page_id", "box_id", kind.alias("kind"), "x1", "y1", "x2", "y2"), ["box_id"], _unified, "page_id long, box_id long")

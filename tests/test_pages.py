@@ -42,3 +42,7 @@ def test_region_blocks_takes_many_pages_at_once(spark, sf):
 
 def test_W11_merged_boxes_takes_many_pages_at_once(spark, sf):
     assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["W10_W11_merged_boxes"](spark, sf))
+
+
+def test_P38_unified_takes_many_pages_at_once(spark, sf):
+    assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["J13_P38_unified"](spark, sf))
