@@ -133,50 +133,70 @@ def is_column(name):
     return F.lower(name).rlike("column|mainzone|main zone|text zone|main text area")
 
 
-def segmented(s, d) -> DataFrame:
-    """Text boxes in reading order: by the column that holds most of each, else behind all columns; without columns by gaps.
-
-    A page with columns is a join and a window.  Without any, columns grow box by
-    box, each decision resting on those before, so a page is one group.
-    """
+def text_rows(s, d) -> tuple[DataFrame, DataFrame]:
+    """Usable boxes of columns with their place from left to right, and text boxes: of the classes for lines, or, where a page has none, of margins."""
     usable = boxes(s, d).where((F.col("x2") - F.col("x1") >= 8) & (F.col("y2") - F.col("y1") >= 8))
     columns = usable.where(is_column(F.col("name"))).select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("x1", "y1", "box_id")).alias("place"), *[F.col(c).alias(f"c_{c}") for c in XY])
     rows = usable.where(F.col("name").isin("Main script black", "DefaultLine", "MarginTextZone"))
     liked = F.col("name").isin("Main script black", "DefaultLine")
-    rows = rows.withColumn("any_liked", F.max(liked).over(Window.partitionBy("page_id"))).where(liked | ~F.col("any_liked"))
+    return columns, rows.withColumn("any_liked", F.max(liked).over(Window.partitionBy("page_id"))).where(liked | ~F.col("any_liked"))
+
+
+def in_columns(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """Text boxes of pages with columns in reading order: by the column that holds most of each, else behind all columns."""
     both = F.greatest(F.least("x2", "c_x2") - F.greatest("x1", "c_x1"), F.lit(0)) * F.greatest(F.least("y2", "c_y2") - F.greatest("y1", "c_y1"), F.lit(0))
     score = both / F.greatest(F.lit(1), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))) + F.when(((F.col("x1") + F.col("x2")) / 2).between(F.col("c_x1"), F.col("c_x2")), 0.25).otherwise(0.0)
     scored = rows.join(columns, "page_id").withColumn("score", F.round(score, 9))
     best = scored.groupBy("page_id", "box_id", "x1", "y1").agg(F.max(F.struct("score", (-F.col("place")).alias("m"))).alias("b"))
     dealt = best.select("page_id", "box_id", "x1", "y1", F.when(F.col("b.score") > 0.05, -F.col("b.m")).otherwise(1_000_000).cast("int").alias("col"))
-    alone = rows.join(columns.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "box_id", *XY)
-    grown = alone.groupBy("page_id").applyInPandas(_grown_columns, "page_id long, box_id long, x1 int, y1 int, col int")
-    return _in_order(dealt.unionByName(grown))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("col", "y1", "x1", "box_id")) - 1
+    return dealt.select("page_id", "box_id", place.alias("reading_order"))
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("page_id").orderBy("col", "y1", "x1", "box_id")) - 1
-    return rows.select("page_id", "box_id", place.alias("reading_order"))
+def segmented(s, d) -> DataFrame:
+    """Text boxes in reading order: by the column that holds most of each, else behind all columns; without columns by gaps.
+
+    A page with columns is a join and a window.  Without any, columns grow box by
+    box, each decision resting on those before, so a page is taken as a whole.
+    """
+    columns, rows = text_rows(s, d)
+    alone = rows.join(columns.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "box_id", *XY)
+    grown = G.per_page(alone, [(F.col("x1") + F.col("x2")) / 2, "y1", "box_id"], _grown_order, "page_id long, box_id long, reading_order int")
+    return in_columns(columns, rows).unionByName(grown)
 
 
-def _grown_columns(page: pd.DataFrame) -> pd.DataFrame:
+def _column_of(x1s: list, x2s: list) -> list[int]:
     """Boxes by centre join the nearest column within the gap that a page's width allows, else begin one."""
-    page = page.assign(m=(page["x1"] + page["x2"]) / 2).sort_values(["m", "y1", "box_id"])
-    gap = max(80.0, (page["x2"].max() - page["x1"].min()) * 0.08)
-    found: list[dict] = []
+    gap = max(80.0, (max(x2s) - min(x1s)) * 0.08)
+    found: list[list] = []  # left, right, centre, sum of the centres, boxes
     of = []
-    for x1, x2, m in zip(page["x1"], page["x2"], page["m"], strict=True):
-        away = [abs(m - c["m"]) if min(x2, c["x2"]) > max(x1, c["x1"]) else max(x1 - c["x2"], c["x1"] - x2, 0.0) for c in found]
-        near = min(range(len(found)), key=away.__getitem__, default=None)
-        if near is None or away[near] > gap:
-            found.append({"x1": x1, "x2": x2, "all": []})
-            near = len(found) - 1
+    for x1, x2 in zip(x1s, x2s, strict=True):
+        m = (x1 + x2) / 2
+        near, least = None, gap
+        for k, (left, right, centre, _, _) in enumerate(found):
+            away = abs(m - centre) if min(x2, right) > max(x1, left) else max(x1 - right, left - x2, 0.0)
+            if away < least or (away == least and near is None):
+                near, least = k, away
+        if near is None:
+            near = len(found)
+            found.append([x1, x2, m, 0.0, 0])
         c = found[near]
-        c["all"].append(m)
-        c |= {"x1": min(c["x1"], x1), "x2": max(c["x2"], x2), "m": sum(c["all"]) / len(c["all"])}
+        total, n = c[3] + m, c[4] + 1
+        found[near] = [min(c[0], x1), max(c[1], x2), total / n, total, n]
         of.append(near)
-    rank = {k: i for i, k in enumerate(sorted(range(len(found)), key=lambda k: found[k]["x1"]))}
-    return page.assign(col=[rank[k] for k in of])[["page_id", "box_id", "x1", "y1", "col"]]
+    rank = {k: i for i, k in enumerate(sorted(range(len(found)), key=lambda k: found[k][0]))}
+    return [rank[k] for k in of]
+
+
+def _grown_order(page_id: int, box_id: list, x1s: list, y1s: list, x2s: list, y2s: list) -> list[tuple]:
+    order = sorted(zip(_column_of(x1s, x2s), y1s, x1s, box_id, strict=True))
+    return [(page_id, box, i) for i, (_, _, _, box) in enumerate(order)]
+
+
+def _grown_columns(page: pd.DataFrame) -> pd.DataFrame:
+    """The columns of one page."""
+    page = page.assign(m=(page["x1"] + page["x2"]) / 2).sort_values(["m", "y1", "box_id"])
+    return page.assign(col=_column_of(page["x1"].tolist(), page["x2"].tolist()))[["page_id", "box_id", "x1", "y1", "col"]]
 
 
 register("J16_segmented_regions", segmented)

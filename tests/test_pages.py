@@ -46,3 +46,7 @@ def test_W11_merged_boxes_takes_many_pages_at_once(spark, sf):
 
 def test_P38_unified_takes_many_pages_at_once(spark, sf):
     assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["J13_P38_unified"](spark, sf))
+
+
+def test_segmented_regions_takes_many_pages_at_once(spark, sf):
+    assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["J16_segmented_regions"](spark, sf))
