@@ -203,7 +203,7 @@ register("J16_segmented_regions", segmented)
 Q_USABLE = f"{B_SQL}, us AS (SELECT * FROM boxes WHERE x2 - x1 >= 8 AND y2 - y1 >= 8), co AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY x1, y1, box_id) AS place FROM us WHERE regexp_matches(lower(name), 'column|mainzone|main zone|text zone|main text area')), tx AS (SELECT * FROM (SELECT *, name IN ('Main script black', 'DefaultLine') AS liked, bool_or(name IN ('Main script black', 'DefaultLine')) OVER (PARTITION BY page_id) AS any_liked FROM us WHERE name IN ('Main script black', 'DefaultLine', 'MarginTextZone')) WHERE liked OR NOT any_liked)"
 register(
     "J16_regions_in_columns",
-    lambda s, d: segmented(s, d).join(boxes(s, d).where(is_column(F.col("name")) & (F.col("x2") - F.col("x1") >= 8) & (F.col("y2") - F.col("y1") >= 8)).select("page_id").distinct(), "page_id", "left_semi"),
+    lambda s, d: in_columns(*text_rows(s, d)),
     f"WITH {Q_USABLE}, sc AS (SELECT t.page_id, t.box_id, t.x1, t.y1, c.place, round(greatest(least(t.x2, c.x2) - greatest(t.x1, c.x1), 0) * greatest(least(t.y2, c.y2) - greatest(t.y1, c.y1), 0)::DOUBLE / greatest(1, (t.x2 - t.x1) * (t.y2 - t.y1)) + CASE WHEN (t.x1 + t.x2)::DOUBLE / 2 BETWEEN c.x1 AND c.x2 THEN 0.25e0 ELSE 0e0 END, 9) AS score FROM tx t JOIN co c USING (page_id)), "
     "be AS (SELECT page_id, box_id, x1, y1, CASE WHEN score > 0.05e0 THEN place ELSE 1000000 END AS col FROM sc QUALIFY row_number() OVER (PARTITION BY page_id, box_id ORDER BY score DESC, place) = 1) SELECT page_id, box_id, (row_number() OVER (PARTITION BY page_id ORDER BY col, y1, x1, box_id) - 1)::INT AS reading_order FROM be",
 )

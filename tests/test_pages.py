@@ -50,3 +50,7 @@ def test_P38_unified_takes_many_pages_at_once(spark, sf):
 
 def test_segmented_regions_takes_many_pages_at_once(spark, sf):
     assert "FlatMapGroupsInPandas" not in plan_of(registry.queries()["J16_segmented_regions"](spark, sf))
+
+
+def test_regions_in_columns_leave_pages_without_columns_out(spark, sf):
+    assert not {"FlatMapGroupsInPandas", "MapInArrow"} & set(plan_of(registry.queries()["J16_regions_in_columns"](spark, sf)).split())
