@@ -246,11 +246,16 @@ def lexical_plausibility(text: Column, language: Column) -> Column:
 
 def script_family(text: Column) -> Column:
     """The script of at least 80 % of the letters, else mixed; unknown without letters."""
-    kept = F.regexp_replace(text, r"[^\p{L}]", "")
-    total = F.length(kept)
     ranges: dict[str, str] = {}
     for name, low, high in C.SCRIPT_RANGES:
         ranges[name] = ranges.get(name, "") + f"\\x{{{low:X}}}-\\x{{{high:X}}}"
-    counts = F.array(*[F.struct(F.length(F.regexp_replace(kept, f"[^{r}]", "")).alias("n"), F.lit(name).alias("script")) for name, r in ranges.items()])
-    best = F.array_max(counts)
-    return F.when(total == 0, "unknown").when(best["n"] / total >= 0.80, best["script"]).otherwise("mixed")
+
+    def verdict(kept: Column) -> Column:
+        # Scripts share no letter, so at most one holds 80 %; counts behind the first such are not made.
+        out = F.when(F.length(kept) == 0, "unknown")
+        for name, r in ranges.items():
+            out = out.when(F.length(F.regexp_replace(kept, f"[^{r}]+", "")) / F.length(kept) >= 0.80, name)
+        return out.otherwise("mixed")
+
+    # An array of one: its letters are kept once and not anew for every count.
+    return F.transform(F.array(F.regexp_replace(text, r"[^\p{L}]+", "")), verdict)[0]

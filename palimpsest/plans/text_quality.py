@@ -34,11 +34,11 @@ def per_token(name: str, column: Callable[[Column], Column], expression: str, ou
     register(name, lambda spark, d: distinct_tokens(spark, d).select("token", column(F.col("token")).alias(out)), f"WITH {TOKENS} SELECT token, {expression} AS {out} FROM tok")
 
 
-def per_document(name: str, columns: Callable[[Column, Column, Column], dict[str, Column]], expressions: dict[str, str]) -> None:
-    """``columns`` gets the text, its tokens and its lines."""
+def per_document(name: str, columns: Callable[[Column, Column, Column], dict[str, Column]], expressions: dict[str, str], wide: bool = False) -> None:
+    """``columns`` gets the text, its tokens and its lines; ``wide``: a table of few files is dealt over all cores first."""
     register(
         name,
-        lambda spark, d: documents(spark, d).select("doc_id", *[c.alias(k) for k, c in columns(F.col("text"), T.tokens("text"), T.lines("text")).items()]),
+        lambda spark, d: (spread if wide else lambda df: df)(documents(spark, d)).select("doc_id", *[c.alias(k) for k, c in columns(F.col("text"), T.tokens("text"), T.lines("text")).items()]),
         f"WITH {DOCS} SELECT doc_id, " + ", ".join(f"{e} AS {k}" for k, e in expressions.items()) + " FROM docs",
     )
 
@@ -106,7 +106,7 @@ per_document("X7_token_set", lambda text, toks, rows: {"tokens": F.size(F.array_
 per_document("T80_query_terms", lambda text, toks, rows: {"terms": F.array_join(F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda w: F.length(w) >= 2))), " ")}, {"terms": r"coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda w: length(w) >= 2))), ' '), '')"})
 per_document("P12_date_anchor", lambda text, toks, rows: {"dated": text.rlike(r"(?i)(^|[^\p{L}\p{N}])(l['’]an|lan|an +de +grace) +(mil|mille)([^\p{L}\p{N}]|$)") | text.rlike(r"(^|[^\p{L}\p{N}_])[0-9]{3,4}([^\p{L}\p{N}_]|$)") | F.arrays_overlap(F.regexp_extract_all(F.lower(text), F.lit("([A-Za-zÀ-ÿ'’]+)"), F.lit(1)), T.quoted(C.DATE_ANCHORS + C.MONTHS)) | text.rlike(r"(^|[^\p{L}\p{N}_])M{1,4}[CDLXVI]{2,}([^\p{L}\p{N}_]|$)")}, {"dated": rf"(regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{N}}])(l[''’]an|lan|an +de +grace) +(mil|mille)([^\p{{L}}\p{{N}}]|$)') OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])[0-9]{{3,4}}([^\p{{L}}\p{{N}}_]|$)') OR list_has_any(regexp_extract_all(lower(text), '[A-Za-zÀ-ÿ''’]+'), {Q.array(C.DATE_ANCHORS + C.MONTHS)}) OR regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])M{{1,4}}[CDLXVI]{{2,}}([^\p{{L}}\p{{N}}_]|$)'))"})
 per_document("P14_entity_cues", lambda text, toks, rows: {"cues": F.arrays_overlap(F.filter(T.tokens(F.lower(text)), lambda w: w.isNotNull()), T.quoted(C.PLACE_ANCHORS + C.TITLE_ANCHORS + ["roi", "saint", "dame", "the"]))}, {"cues": f"coalesce(list_has_any({Q.tokens('lower(text)')}, {Q.array(C.PLACE_ANCHORS + C.TITLE_ANCHORS + ['roi', 'saint', 'dame', 'the'])}), false)"})
-per_document("T35_script_family", lambda text, toks, rows: {"script": T.script_family(text)}, {"script": rf"CASE WHEN {Q.letters('text')} = 0 THEN 'unknown' WHEN length(regexp_replace(text, '[^\p{{Latin}}ªº]', '', 'g'))::DOUBLE / {Q.letters('text')} >= 0.8e0 THEN 'latin' ELSE 'mixed' END"})
+per_document("T35_script_family", lambda text, toks, rows: {"script": T.script_family(text)}, {"script": rf"CASE WHEN {Q.letters('text')} = 0 THEN 'unknown' WHEN length(regexp_replace(text, '[^\p{{Latin}}ªº]', '', 'g'))::DOUBLE / {Q.letters('text')} >= 0.8e0 THEN 'latin' ELSE 'mixed' END"}, wide=True)
 per_document("T36_script_hint", lambda text, toks, rows: {"hint": F.when(text.rlike(r"[\p{IsGreek}]") & text.rlike("[A-Za-z]"), "mixed").when(text.rlike(r"[\p{IsGreek}]"), "greek").when(text.rlike(r"[\p{IsCyrillic}]"), "cyrillic").when(text.rlike("[A-Za-zÀ-ɏ]"), "latin").otherwise("unknown")}, {"hint": r"CASE WHEN regexp_matches(text, '\p{Greek}') AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(text, '\p{Greek}') THEN 'greek' WHEN regexp_matches(text, '\p{Cyrillic}') THEN 'cyrillic' WHEN regexp_matches(text, '[A-Za-zÀ-ɏ]') THEN 'latin' ELSE 'unknown' END"})
 per_document("T37_insular_hint", lambda text, toks, rows: {"hint": F.when(text.rlike("[ꝺꝼꞃꞅꞇᵹ]"), "insular").when(text.rlike("[A-Za-z]"), "latin").otherwise("unknown")}, {"hint": "CASE WHEN regexp_matches(text, '[ꝺꝼꞃꞅꞇᵹ]') THEN 'insular' WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END"})
 per_document("P40_script_drift", lambda text, toks, rows: {"drift": text.rlike(r"[\p{IsGreek}\p{IsCyrillic}\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")}, {"drift": r"regexp_matches(text, '[\p{Greek}\p{Cyrillic}\p{Han}\p{Hiragana}\p{Katakana}]')"})
