@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
+from palimpsest.functions import tokens as K
 from palimpsest.plans import sql as Q
 from palimpsest.plans.extraction import RECALL, SIGNS, q_matches
-from palimpsest.plans.hardening import META, SANITY, language_tokens, sanity, text_score, Q_LANG, Q_SCORE
+from palimpsest.plans.hardening import META, SANITY, language_tokens, text_score, Q_LANG, Q_SCORE
 from palimpsest.plans.similarity import plain, q_plain
 from palimpsest.plans.store import read
-from palimpsest.plans.text_quality import DOCS, documents, per_document
+from palimpsest.plans.text_quality import DOCS, documents, per_document, spread
 from palimpsest.operators import extraction as X
 from palimpsest.registry import register
 
 # ---- fixed values -------------------------------------------------------------------
-IMPROBABLE = ["qj", "vvv", "iii", "kk", "iiit", "xq", "jq", "zx", "qx"]
+IMPROBABLE = K.IMPROBABLE
 ROMAN, YEAR_LIKE = "(?i)^[MDCLXVI]{2,}$", "(?i)^(anno|an|m[cdxlvi]+)$"
 SAFE_CORRECTIONS = {"patru": "patri", "clemencia": "clementia"}
 INITIAL_WHITELIST = ["cuero di", "cvero di", "euerendi", "euerendu", "euerendi i", "euerendu i"]
@@ -100,24 +101,7 @@ per_document(
 
 def forced_markers(docs: DataFrame) -> DataFrame:
     """(doc_id, text, forced): a question mark behind the one to three most suspicious tokens of a noisy text without any mark of doubt."""
-    odd = sanity(docs).select("doc_id", ((F.col("marks") <= 0) & ((F.col("odd") > 0.05) | (F.col("junk") > 0.03))).alias("noisy"))
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "old"))
-    tokens = lines.select("doc_id", "line", F.posexplode(T.tokens("old")).alias("pos", "t"))
-    t, n = F.col("t"), T.letters(F.col("t"))
-    score = F.when(suspicious(t), 1.0).otherwise(0.0) + F.when((n >= 6) & (T.vowel_ratio(t) < 0.25), 0.5).otherwise(0.0) + F.when((n >= 3) & F.lower(t).rlike("[bcdfghjklmnpqrstvwxyz]{4,}"), 0.3).otherwise(0.0)
-    scored = tokens.withColumn("score", F.when(t.isin("[…]", "?"), 0.0).otherwise(score))
-    ranked = scored.where("score > 0").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "line", "pos"))).withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
-    chosen = ranked.where(F.col("place") <= F.least(F.greatest(F.lit(1), F.floor(F.col("n") * 0.10)), F.lit(3))).join(odd.where("noisy"), "doc_id").select("doc_id", "line", "pos", F.lit("?").alias("mark"))
-    marked = tokens.join(chosen, ["doc_id", "line", "pos"], "left").withColumn("new", F.concat("t", F.coalesce("mark", F.lit(""))))
-    new = marked.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]), " ").alias("new"), F.count("mark").alias("hits")).where("hits > 0")
-    some = ranked.select("doc_id").distinct().withColumn("some", F.lit(True))
-    last = F.col("line") == F.max("line").over(Window.partitionBy("doc_id"))
-    bare = F.col("noisy") & F.col("some").isNull()
-    whole = lines.join(new, ["doc_id", "line"], "left").join(odd, "doc_id").join(some, "doc_id", "left")
-    shown = F.when(F.col("new").isNotNull(), F.col("new")).when(bare & last, F.concat(F.regexp_replace("old", f"{T.SPACE}+$", ""), F.lit(" [?]"))).otherwise(F.col("old"))
-    forced = F.coalesce("hits", F.lit(0)) + F.when(bare & last, 1).otherwise(0)
-    whole = whole.withColumn("shown", shown).withColumn("forced", forced)
-    return whole.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "shown"))), lambda x: x["shown"]), "\n").alias("text"), F.sum("forced").alias("forced"))
+    return K.by_text(spread(docs.select("doc_id", "text")), "text string, forced long", K.forced_marks, "text")
 
 
 Q_T_SCORE = f"(CASE WHEN {q_suspicious('t')} THEN 1e0 ELSE 0e0 END + CASE WHEN {Q.letters('t')} >= 6 AND {Q.vowel_ratio('t')} < 0.25e0 THEN 0.5e0 ELSE 0e0 END + CASE WHEN {Q.letters('t')} >= 3 AND regexp_matches(lower(t), '[bcdfghjklmnpqrstvwxyz]{{4,}}') THEN 0.3e0 ELSE 0e0 END)"
