@@ -21,6 +21,7 @@ from palimpsest.functions import text as T
 REMEMBERED, ROWS = 1 << 16, 256
 
 SPACES = re.compile(f"{T.SPACE}+")
+AT_START = re.compile(f"\\A{T.SPACE}+")
 AT_END = re.compile(f"{T.SPACE}+\\Z")
 CONSONANTS = "[bcdfghjklmnpqrstvwxyz]"
 RARE = re.compile("|".join(C.RARE_BIGRAMS))
@@ -48,21 +49,30 @@ def rounded(x: float, digits: int) -> float:
     return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
-def by_text(docs: DataFrame, schema: str, function: Callable[..., tuple], *columns: str) -> DataFrame:
-    """A row (doc_id and what the function gives of the columns) for every row; texts never meet, so nothing is shuffled."""
+def strip(text: str) -> str:
+    return AT_END.sub("", AT_START.sub("", text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
-                found = [function(*x) for x in zip(*(part.column(i).to_pylist() for i in range(1, part.num_columns)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(zip(*found, strict=True), types, strict=True))], names)
 
+def by_text(docs: DataFrame, schema: str, function: Callable, *columns: str, many: bool = False) -> DataFrame:
+    """A row (doc_id and what the function gives of the columns) for every row, or ``many``; texts never meet, so nothing is shuffled."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     fields = StructType.fromDDL(schema).fields
     types, names = [to_arrow_type(f.dataType) for f in fields], ["doc_id", *(f.name for f in fields)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                rows = [function(*x) for x in zip(*(part.column(i).to_pylist() for i in range(1, part.num_columns)), strict=True)]
+                ids = part.column(0)
+                if many:
+                    ids = ids.take(pa.array([i for i, x in enumerate(rows) for _ in x], pa.int64()))
+                    rows = [y for x in rows for y in x]
+                values = zip(*rows, strict=True) if rows else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(values, types, strict=True))], names)
+
     return docs.select("doc_id", *columns).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -163,63 +162,6 @@ WEAK_PLACES = "enfant enfans enfants vilanie vilenie villanie amor amour courtoi
 PARTS = 4
 
 
-def salvaged_names(tokens: DataFrame, name_like: Callable[[Column], Column]) -> DataFrame:
-    """A trigger and the one to four words that follow it closely: a person if one of them is like a name, else a role.
-
-    ``tokens``: the occurrences of SALVAGE_TOKEN; ``rejected`` marks triggers that only common words follow.
-    """
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    ahead = {f"{c}{k}": F.lead(c, k).over(w) for k in range(1, PARTS + 1) for c in ("surface", "gap", "end_offset")}
-    rows = tokens.withColumns(ahead).where(F.lower("surface").isin(SALVAGE_TRIGGERS))
-    part = lambda k: F.struct(F.col(f"surface{k}").alias("word"), F.lower(f"surface{k}").alias("low"), F.col(f"gap{k}").alias("gap"), F.col(f"end_offset{k}").alias("end"))
-    fits = lambda p: F.coalesce((F.length(p["gap"]) <= 3) & ~p["gap"].rlike("[.;:!?]") & (F.length(p["word"]) >= 2) & ~p["low"].isin(SALVAGE_STOPWORDS + SALVAGE_TRIGGERS), F.lit(False))
-    rows = rows.select("doc_id", "start_offset", "surface", F.array(*[part(k) for k in range(1, PARTS + 1)]).alias("parts"))
-    misfit = F.array_position(F.transform("parts", fits), F.lit(False))
-    rows = rows.select("doc_id", "start_offset", "surface", F.slice("parts", F.lit(1), F.when(misfit == 0, PARTS).otherwise(misfit - 1).cast("int")).alias("parts")).where(F.size("parts") > 0)
-    content = F.filter("parts", lambda p: ~p["low"].isin(C.COMMON_WORDS))
-    rows = rows.select("doc_id", "start_offset", F.element_at("parts", -1)["end"].alias("end_offset"), F.concat("surface", F.array_join(F.transform("parts", lambda p: F.concat(p["gap"], p["word"])), "")).alias("surface"), F.exists(content, lambda p: name_like(p["low"])).alias("like"), (F.size(content) == 0).alias("rejected"))
-    return rows.select("doc_id", "start_offset", "end_offset", "surface", F.when(F.col("like"), "person").otherwise("role").alias("ent_type"), F.when(F.col("like"), 0.55).otherwise(0.25).alias("confidence"), F.lit("rule:salvage_trigger").alias("method"), "rejected")
-
-
-def salvaged_works(tokens: DataFrame) -> DataFrame:
-    """Tokens near the name of a known work: equal if short, else close with shared bigrams; distinct tokens are compared once."""
-    words = tokens.select(F.lower("surface").alias("low")).where((F.length("low") >= 4) & ~F.col("low").isin(C.COMMON_WORDS)).distinct()
-    low = F.col("low")
-    best = None
-    for work in SALVAGE_WORKS:
-        distance = T.normalized_edit_distance(low, F.lit(work))
-        # Lengths rule most pairs out before a distance is computed.
-        possible = F.abs(F.length(low) - len(work)) <= 0.25 * F.greatest(F.length(low), F.lit(len(work)))
-        hit = F.when(F.length(low) < 5, low == work).otherwise(possible & (distance <= 0.25) & (T.bigram_overlap(low, F.lit(work)) >= 0.40))
-        best = F.when(hit, distance) if best is None else best.when(hit, distance)
-    known = words.withColumn("nd", best).where("nd IS NOT NULL").select("low", F.greatest(F.lit(0.35), 0.65 - F.col("nd")).alias("confidence"))
-    rows = tokens.withColumn("low", F.lower("surface")).join(known, "low")
-    return _mention(rows, "work", F.col("confidence"), "rule:salvage_work_fuzzy")
-
-
-def salvaged_places(docs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Tokens right behind a preposition of place, with ``reason`` where a list, the length or the quality of the token speaks against it."""
-    heads = occurrences(docs, f"(?i){EDGE[0]}{PLACE_PREPOSITION}").select("doc_id", F.col("end_offset").alias("behind"))
-    near = heads.select("doc_id", "behind", F.explode(F.sequence(F.col("behind"), F.col("behind") + 2)).alias("start_offset")).join(tokens, ["doc_id", "start_offset"])
-    first = near.groupBy("doc_id", "behind").agg(F.min_by(F.struct("start_offset", "end_offset", "surface"), "start_offset").alias("t")).select("doc_id", "t.*").distinct()
-    low, quality = F.lower("surface"), T.token_quality(F.lower("surface"))
-    anchor, capital = low.isin(C.PLACE_ANCHORS), F.col("surface").rlike(r"^\p{Lu}")
-    reason = (
-        F.when(low.isin(EDITORIAL), "editorial_blacklist").when(low.isin(WEAK_PLACES), "weak_place_lexical_blacklist").when((F.length("surface") < 5) | low.isin(SALVAGE_STOPWORDS), "too_short_or_stopword")
-        .when(~anchor & ~capital & ((F.length("surface") < 6) | (quality < 0.50)), "place_likeness").when(~anchor & capital & (quality < 0.40), "place_likeness")
-    )
-    return first.select("doc_id", "start_offset", "end_offset", "surface", F.lit("place").alias("ent_type"), F.lit(0.35).alias("confidence"), F.lit("rule:salvage_place_candidate").alias("method"), reason.alias("reason"))
-
-
-def salvaged_mentions(docs: DataFrame, name_like: Callable[[Column], Column]) -> DataFrame:
-    """Mentions of lower-case texts: names behind triggers, works, places; a span counts once, by the first rule that has it."""
-    tokens = occurrences(docs, SALVAGE_TOKEN)
-    works = salvaged_works(tokens)
-    places = salvaged_places(docs, tokens).where("reason IS NULL").select(*MENTION).join(works.select("doc_id", "start_offset", "end_offset"), ["doc_id", "start_offset", "end_offset"], "left_anti")
-    names = salvaged_names(tokens, name_like).where("NOT rejected").select(*MENTION)
-    return names.unionByName(works).unionByName(places.select(*MENTION))
-
-
 def without_overlaps(mentions: DataFrame) -> DataFrame:
     """Best confidence of each span and type; then, from the surest and longest, those that overlap no kept one of their type."""
     best = mentions.where("end_offset > start_offset AND start_offset >= 0").groupBy("doc_id", "ent_type", "start_offset", "end_offset").agg(F.max_by(F.struct("surface", "method"), F.struct("confidence", "method")).alias("m"), F.max("confidence").alias("confidence"))

@@ -15,6 +15,7 @@ from palimpsest.plans.similarity import plain, q_plain
 from palimpsest.plans.store import read
 from palimpsest.plans.text_quality import DOCS, documents, per_document, spread
 from palimpsest.operators import extraction as X
+from palimpsest.operators import spans as N
 from palimpsest.registry import register
 
 # ---- fixed values -------------------------------------------------------------------
@@ -656,7 +657,7 @@ FIRST_LINES = ["", "Le livre du roi¶", "", "La¶", "l'estoire de Merlin ¶"]
 def old_texts(s, d) -> DataFrame:
     """Texts in plain letters with a first line and a phrase of the kind that the rules look for."""
     broken = lambda values: F.replace(sample(values, F.col("doc_id")), F.lit("¶"), F.lit("\n"))
-    return documents(s, d).select("doc_id", F.concat(broken(FIRST_LINES), plain(F.col("text")), broken(SALVAGE_INSERTS)).alias("text"))
+    return spread(documents(s, d).select("doc_id", "text")).select("doc_id", F.concat(broken(FIRST_LINES), plain(F.col("text")), broken(SALVAGE_INSERTS)).alias("text"))
 
 
 OLD_TEXTS = f"{DOCS}, old AS (SELECT doc_id, concat(replace({q_sample(FIRST_LINES, 'doc_id')}, '¶', chr(10)), {q_plain('text')}, replace({q_sample(SALVAGE_INSERTS, 'doc_id')}, '¶', chr(10))) AS text FROM docs)"
@@ -679,10 +680,10 @@ SALVAGED = (
 )
 register(
     "M3_salvaged_mentions",
-    lambda s, d: X.salvaged_mentions(old_texts(s, d), medieval_name),
+    lambda s, d: N.salvaged_mentions(old_texts(s, d), tuple(NAMES)),
     f"WITH {SALVAGED} SELECT * FROM names UNION ALL SELECT * FROM works UNION ALL SELECT doc_id, start_offset, end_offset, surface, 'place', 0.35e0, 'rule:salvage_place_candidate' FROM pr WHERE reason IS NULL AND (doc_id, start_offset, end_offset) NOT IN (SELECT (doc_id, start_offset, end_offset) FROM works)",
 )
-register("M3_rejected_places", lambda s, d: X.salvaged_places(old_texts(s, d), X.occurrences(old_texts(s, d), X.SALVAGE_TOKEN)).where("reason IS NOT NULL").select("doc_id", "start_offset", "surface", "reason"), f"WITH {SALVAGED} SELECT doc_id, start_offset, surface, reason FROM pr WHERE reason IS NOT NULL")
+register("M3_rejected_places", lambda s, d: K.by_text(old_texts(s, d), "start_offset int, surface string, reason string", N.rejected_places, "text", many=True), f"WITH {SALVAGED} SELECT doc_id, start_offset, surface, reason FROM pr WHERE reason IS NOT NULL")
 
 # ---- anchors and all mentions without overlaps (M2, W5, X6) ----------------------------------------------
 
@@ -707,12 +708,6 @@ ANCHORS = (
 register("M2_anchor_mentions", lambda s, d: X.anchor_mentions(old_texts(s, d)), f"WITH {OLD_TEXTS}, {ANCHORS} SELECT * FROM anchored")
 
 
-def all_mentions(s, d) -> DataFrame:
-    """The union of four extractors: names in a row, anchors, salvage and high recall."""
-    docs = old_texts(s, d)
-    return X.person_mentions(docs).unionByName(X.anchor_mentions(docs)).unionByName(X.salvaged_mentions(docs, medieval_name)).unionByName(X.high_recall_mentions(docs))
-
-
 _over_old = lambda sql: sql.replace("FROM docs)", "FROM old)").replace("JOIN docs ON docs.doc_id", "JOIN old ON old.doc_id")
 ALL_MENTIONS = (
     f"{SALVAGED}, {ANCHORS}, pe AS (WITH {_over_old(SIGNS)} SELECT * FROM person), hr AS (WITH {_over_old(RECALL)} SELECT * FROM recall), salvage AS (SELECT * FROM names UNION ALL SELECT * FROM works UNION ALL SELECT doc_id, start_offset, end_offset, surface, 'place', 0.35e0, 'rule:salvage_place_candidate' FROM pr WHERE reason IS NULL AND (doc_id, start_offset, end_offset) NOT IN (SELECT (doc_id, start_offset, end_offset) FROM works)), "
@@ -720,4 +715,4 @@ ALL_MENTIONS = (
     "li AS (SELECT doc_id, ent_type, list([[start_offset, end_offset]] ORDER BY confidence DESC, start_offset - end_offset, start_offset, end_offset) AS l FROM best GROUP BY 1, 2), "
     "ke AS (SELECT doc_id, ent_type, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: x[1][1] < k[2] AND x[1][2] > k[1])) = 0 THEN list_concat(acc, x) ELSE acc END)) AS k FROM li), kept AS (SELECT b.* FROM best b JOIN ke ON ke.doc_id = b.doc_id AND ke.ent_type = b.ent_type AND k[1] = start_offset AND k[2] = end_offset)"
 )
-register("X6_W5_deduplicated_mentions", lambda s, d: X.without_overlaps(all_mentions(s, d)), f"WITH {ALL_MENTIONS} SELECT doc_id, start_offset, end_offset, surface, ent_type, confidence, method FROM kept")
+register("X6_W5_deduplicated_mentions", lambda s, d: N.deduplicated_mentions(old_texts(s, d), tuple(NAMES)), f"WITH {ALL_MENTIONS} SELECT doc_id, start_offset, end_offset, surface, ent_type, confidence, method FROM kept")

@@ -4,6 +4,8 @@ import pytest
 
 from palimpsest import registry
 from palimpsest.functions import tokens as K
+from palimpsest.operators import extraction as X
+from palimpsest.operators import spans as N
 
 ODD = [
     "MDCII", "mdc1", "MD-C", "an1", "anno", "1an", "iii", "iiit", "İiii", "ııı", "ſſſ", "KKK", "aaa", "x́x́x́", "strbcdfgh", "Strbcdf", "qxz", "xq", "12", "a1", "l'an", "[…]", "?", "a?", "…", "--.,", "§§§", "a§§", "𝔄𝔅𝔠𝔡", "ΑΣ", "zz",
@@ -32,3 +34,35 @@ def test_forced_marks(text, marked):
 
 def test_forced_markers_shuffle_no_tokens(spark, sf):
     assert shuffles(registry.queries()["T66_forced_markers"](spark, sf)) == 0
+
+
+TEXTS = [
+    "", "Jean de Berry vint.\nEt Marie Anne parla 😀 Guillaume de Machaut.\nIX Louis", "A B C D E F G Des De Du X", "Le livre\n de Paris le 12 MCCXL an de grâce, l'an mil\ndeux ÉVESQUE prince_ prince", "le roi Artus vint en  Lausanne_ de la Tour",
+    "Dame ſire Guenievre, mon Seigneur del Payſ ſaint ĀĪŌŪĒ", "L’an  mil cinq\n1234\xa0M\u2028MDCII an1234 1999é é1999 lan\u2028mil", "\u2029 l’ amour fin \t\nroi Duc évesque x", "de d'Avignon De\x1fla d’ En enfant AU Chastelx aux  ab des\n\nParis",
+]
+
+
+def test_mentions_as_the_extractors_find(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for frame, function in ((X.person_mentions, N.persons), (X.anchor_mentions, N.anchors), (X.high_recall_mentions, N.high_recall)):
+        got = sorted(tuple(r) for r in frame(docs).collect())
+        assert got == sorted((i, *m) for i, text in enumerate(TEXTS) for m in function(text)), frame
+
+
+def test_overlaps_go_as_in_the_fold(spark):
+    rows = [(1, *m) for m in N.persons(TEXTS[1]) + N.high_recall(TEXTS[1]) + [(0, 4, "Jean", "person", 0.9, "b"), (0, 4, "Jean", "person", 0.9, "a"), (3, 3, "", "x", 1.0, "r")]]
+    want = X.without_overlaps(spark.createDataFrame(rows, "doc_id long, " + N.SCHEMA)).collect()
+    assert sorted(tuple(r) for r in want) == sorted((1, *m) for m in N.without_overlaps([r[1:] for r in rows]))
+
+
+def test_salvage_functions_as_the_columns(spark):
+    from palimpsest.plans.rules import NAMES, medieval_name
+
+    F, words = K.T.F, [*ODD, *NAMES, "artuz", "lancelott", "percevol", "lac", "bor", "bors", "xqzt", "paris", "chastelx", "a" * 18, "ab" * 10]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select("t", K.T.token_quality(F.col("t")).alias("q"), medieval_name(F.col("t")).alias("m")).collect()
+    assert [tuple(r) for r in got] == [(w, N.token_quality(w), N.medieval_name(w, tuple(NAMES))) for w in words]
+
+
+@pytest.mark.parametrize("name", ["M3_salvaged_mentions", "X6_W5_deduplicated_mentions"])
+def test_mentions_shuffle_no_tokens(spark, sf, name):
+    assert shuffles(registry.queries()[name](spark, sf)) == 0
