@@ -6,10 +6,13 @@ tokens; over exploded tokens they cost many times as much, and shuffles besides.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,6 +79,100 @@ def by_text(docs: DataFrame, schema: str, function: Callable, *columns: str, man
     return docs.select("doc_id", *columns).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
 
 
+# ---- signals of quality -----------------------------------------------------------------------
+
+LINES = re.compile("\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]")
+RARE_AHEAD, UNLIKELY_BIGRAM = re.compile("(?=" + "|".join(C.RARE_BIGRAMS) + ")"), re.compile("|".join(C.UNLIKELY_BIGRAMS))
+FUNCTION_WORDS = frozenset(C.FUNCTION_WORDS)
+SIGNALS = "token_count int, long int, bad int, odd int, line_count int, lead long, seam long, trail long, entropy double, rare double, unc double"
+
+
+def bigram_counts(low: str) -> tuple[int, int]:
+    """Rare ones, and neighbouring letters: letters less runs of letters."""
+    return len(RARE_AHEAD.findall(low)), sum(a.isalpha() and b.isalpha() for a, b in zip(low, low[1:], strict=False))
+
+
+def non_wordlike(t: str) -> float:
+    """0 for a word, 1 for gibberish (Latin script)."""
+    low = t.lower()
+    n, alpha, v = len(low), letters(low), vowel_ratio(low)
+    if n < 2:
+        return 0.5
+    run = most = 0
+    for c in low:
+        run = run + 1 if c.isalpha() and c not in VOWELS_LATIN else 0
+        most = max(most, run)
+    score = min(0.3, (n - alpha) / n) if alpha else 0.0
+    score += 0.30 if v < 0.12 else 0.15 if v < 0.18 else 0.20 if v > 0.80 else 0.0
+    score += 0.35 if most >= 5 else 0.15 if most >= 4 else 0.0
+    if alpha >= 4:
+        rare, pairs = bigram_counts(low)
+        score += (rare / pairs if pairs else 0.0) * 0.5
+    return min(1.0, score)
+
+
+@lru_cache(REMEMBERED)
+def signs(t: str) -> tuple[bool, bool, bool, int, int, bool, bool, bool]:
+    """Of a token: long, unlike a word, doubtful, rare and all bigrams; as the first of a line a fragment, as the last a break or a fragment."""
+    low, long = t.lower(), len(t) >= 3
+    one = len(t) == 1 and t.isalpha()
+    consonant = one and low not in VOWELS_LATIN
+    two = len(t) == 2 and t.isalpha() and category(t[0]) != "Lu"
+    lead = t[0] in "-–—" or (low not in FUNCTION_WORDS and (consonant or two))
+    return long, long and non_wordlike(t) > 0.45, "?" in t or "…" in t or "[" in t, *bigram_counts(low), lead, one or t[-1] == "-", t[-1] == "-" or consonant
+
+
+def entropy(text: str) -> float:
+    """Bits of the distribution of lower-cased characters."""
+    n = len(text)
+    return 0.0 - sum(k / n * math.log2(k / n) for k in Counter(text.lower()).values())
+
+
+def signals(text: str) -> tuple:
+    """The counts and shares of SIGNALS: tokens, lines, characters, bigrams and marks of doubt."""
+    n = long = bad = odd = lines = lead = seam = trail = rare = pairs = 0
+    for line in LINES.split(text):
+        here = [signs(t) for t in tokens(line)]
+        if here:
+            for is_long, is_bad, is_odd, some, every, *_ in here:
+                long, bad, odd, rare, pairs = long + is_long, bad + is_bad, odd + is_odd, rare + some, pairs + every
+            first, last = here[0], here[-1]
+            # A lone consonant that is a whole line is no fragment at its end; a dash is.
+            end = last[7] and (len(AT_END.sub("", line)) >= 2 or "-" in line)
+            n, lines, lead, seam, trail = n + len(here), lines + 1, lead + first[5], seam + (first[5] or last[6]), trail + end
+    doubts = text.count("?") + text.count("…") + text.count("[…]") * 3
+    return n, long, bad, odd, lines, lead, seam, trail, entropy(text), rare / pairs if pairs else 0.0, doubts / len(text) if text else 0.0
+
+
+# ---- tokens that two passes read differently ------------------------------------------------------
+
+HYPHENED = re.compile("[^-]+-[^-]+", re.DOTALL)
+
+
+@lru_cache(REMEMBERED)
+def marked_token(t: str) -> str:
+    """What becomes of an unstable token: a gap, question marks for its letters, or itself."""
+    if HYPHENED.fullmatch(t):
+        left, right = t.split("-")
+        turned = {category(left[-1]), category(right[0])} == {"Ll", "Lu"}
+        if turned + bool(UNLIKELY_BIGRAM.search((left + right).lower())) + (min(len(left), len(right)) <= 2) + 1 >= 3:
+            return "[…]"
+    score = non_wordlike(t)
+    if score > 0.45 and UNLIKELY_BIGRAM.search(t.lower()):
+        return "".join("?" if c.isalpha() else c for c in t)
+    return "[…]" if score > 0.55 else t
+
+
+def marked(a: str, b: str) -> tuple[str, int]:
+    """Pass ``a`` with its unstable garbage masked, token by token, and how many tokens that changed."""
+    old, new = ([tokens(line) for line in x.split("\n")] for x in (a, b))
+    unstable = set()
+    for i in range(max(len(old), len(new))):
+        unstable.update(set(old[i] if i < len(old) else ()) ^ set(new[i] if i < len(new) else ()))
+    changed = {t: m for t in unstable if (m := marked_token(t)) != t}
+    return "\n".join(" ".join(changed.get(t, t) for t in line) for line in old), sum(t in changed for line in old for t in line)
+
+
 # ---- marks of doubt that are forced on noisy texts ------------------------------------------
 
 # Improbable bigrams, Roman and year-like tokens (ASCII letters only are folded, as in Java).

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
+from palimpsest.functions import tokens as K
 
 GAP = "[…]"
 # Limits of the proofreading rules.
@@ -117,22 +118,9 @@ def unstable_tokens(passes: DataFrame) -> DataFrame:
     return sides.groupBy("doc_id", "line", "token").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high").select("doc_id", "token").distinct()
 
 
-def marked_token(token: Column) -> Column:
-    """What becomes of an unstable token: a gap, question marks for its letters, or itself."""
-    score = T.non_wordlike(token)
-    questions = F.regexp_replace(token, r"\p{L}", "?")
-    return F.when(false_hyphen(token, F.lit(True)), GAP).when(unlikely(token) & (score > 0.45), questions).when(score > 0.55, GAP).otherwise(token)
-
-
 def marked_passes(passes: DataFrame) -> DataFrame:
     """(doc_id, text, marks): pass ``a`` with its unstable garbage masked, token by token; nothing is ever corrected."""
-    tokens = positioned_tokens(passes, "a")
-    known = tokens.join(unstable_tokens(passes).withColumn("unstable", F.lit(True)), ["doc_id", "token"], "left")
-    masked = known.withColumn("new", F.when(F.col("unstable"), marked_token(F.col("token"))).otherwise(F.col("token")))
-    lines = masked.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]), " ").alias("text"), F.count(F.when(F.col("new") != F.col("token"), 1)).alias("marks"))
-    numbered = passes.select("doc_id", F.posexplode(F.split("a", "\n")).alias("line", "old"))
-    whole = numbered.join(lines, ["doc_id", "line"], "left").select("doc_id", "line", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("marks", F.lit(0)).alias("marks"))
-    return whole.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"), F.sum("marks").alias("marks"))
+    return K.by_text(passes, "text string, marks long", K.marked, "a", "b")
 
 
 # ---- lines of overlapping tiles -----------------------------------------------------------

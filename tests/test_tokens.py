@@ -66,3 +66,39 @@ def test_salvage_functions_as_the_columns(spark):
 @pytest.mark.parametrize("name", ["M3_salvaged_mentions", "X6_W5_deduplicated_mentions"])
 def test_mentions_shuffle_no_tokens(spark, sf, name):
     assert shuffles(registry.queries()[name](spark, sf)) == 0
+
+
+LINE_TEXTS = ["", " ", "x", "é", "ab\r\n- x y\n\n z -\x85–\u2028a", "b c\x0b d\x1c et\nEt ab Ab\xa0", "a-b- \n ΑΣ σ Σ", "x[…] … a?\n qq zz\n\rk ", "1 ٣ Ⅷ ª", "strbcdfg" * 3, "😀 😀𝔄", *ODD]
+
+
+def test_signals_as_the_columns_say(spark):
+    from palimpsest.plans.text_quality import entropies
+
+    F, T = K.T.F, K.T
+    docs = spark.createDataFrame(list(enumerate(LINE_TEXTS)), "doc_id long, text string")
+    toks, rows, text = T.tokens("text"), T.lines("text"), F.col("text")
+    count = lambda xs, test: F.size(F.filter(xs, test))
+    long = lambda w: F.length(w) >= 3
+    got = docs.join(entropies(docs), "doc_id", "left").select(
+        "doc_id", F.size(toks), count(toks, long), count(toks, lambda w: long(w) & (T.non_wordlike(w) > 0.45)), count(toks, lambda w: w.contains("?") | w.contains("…") | w.contains("[")), F.size(rows), count(rows, T.leading_fragment),
+        count(rows, lambda r: T.leading_fragment(r) | T.trailing_break(r)), count(rows, T.trailing_fragment), F.coalesce("entropy", F.lit(0.0)), T.rare_bigram_ratio(text), T.uncertainty_density(text),
+    ).collect()
+    for r in got:
+        assert tuple(r)[1:] == pytest.approx(K.signals(LINE_TEXTS[r["doc_id"]])), repr(LINE_TEXTS[r["doc_id"]])
+
+
+def test_non_wordlike_as_the_column_says(spark):
+    got = spark.createDataFrame([(t,) for t in ODD], "t string").select("t", K.T.non_wordlike(K.T.F.col("t")).alias("s")).collect()
+    assert [(r["t"], r["s"]) for r in got] == [(t, K.non_wordlike(t)) for t in ODD]
+
+
+@pytest.mark.parametrize("a, b, want", [
+    ("", "", ("", 0)), ("a  b\n\nc", "a b\n\nc", ("a b\n\nc", 0)), ("zxkq- word", "word", ("????- word", 1)), ("Ab-xq ok", "ok", ("[…] ok", 1)), ("x zxkq\nzxkq", "x\nzxkq", ("x ????\n????", 2)), ("same", "same\nmore", ("same", 0)),
+])
+def test_marked_passes(a, b, want):
+    assert K.marked(a, b) == want
+
+
+@pytest.mark.parametrize("name", ["X2_uncertainty_markers"])
+def test_reports_shuffle_no_tokens(spark, sf, name):
+    assert shuffles(registry.queries()[name](spark, sf)) == 0
