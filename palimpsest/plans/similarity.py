@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from palimpsest.functions import constants as C
 from palimpsest.functions import similarity
 from palimpsest.functions import text as T
+from palimpsest.functions import tokens as K
 from palimpsest.operators import passes as P
 from palimpsest.plans import sql as Q
 from palimpsest.plans.store import C_SQL, candidates
-from palimpsest.plans.text_quality import DOCS, REPORT_SQL, TOKENS, distinct_tokens, documents, quality_report, spread
+from palimpsest.plans.text_quality import DOCS, REPORT_SQL, TOKENS, distinct_tokens, documents, graded, spread
 from palimpsest.registry import register
 
 
@@ -74,7 +75,7 @@ def second_pass(x: Column) -> Column:
 
 def passes(s: SparkSession, d: str) -> DataFrame:
     """Two readings ``a`` and ``b`` of every whole text."""
-    return documents(s, d).select("doc_id", F.col("text").alias("a"), second_pass(F.col("text")).alias("b"))
+    return spread(documents(s, d).select("doc_id", "text")).select("doc_id", F.col("text").alias("a"), second_pass(F.col("text")).alias("b"))
 
 
 PASSES = f"{DOCS}, passes AS (SELECT doc_id, text AS a, replace(regexp_replace(text, '[#*$%&|]+', '', 'g'), 'rn', 'm') AS b FROM docs)"
@@ -122,16 +123,22 @@ register(
 
 def guarded(s: SparkSession, d: str) -> DataFrame:
     """Whether a proofread pass is kept: no label two ranks worse, no more gibberish, no doubt taken off worse words."""
-    both = passes(s, d)
-    report = lambda side: quality_report(both.select("doc_id", F.col(side).alias("text"))).select("doc_id", *[F.col(c).alias(f"{c}_{side}") for c in ("label", "gibberish", "non_wordlike")])
+    names = [x.split()[0] for x in K.SIGNALS.split(", ")]
+    of_side = lambda x: K.SIGNALS.replace(" ", f"_{x} ").replace(f",_{x} ", ", ")
+    doubt = lambda x: x.count("?") + x.count("[…]")
+    rows = K.by_text(passes(s, d), f"{of_side('a')}, {of_side('b')}, empty boolean, doubt_a int, doubt_b int", lambda a, b: (*K.signals(a), *K.signals(b), not K.strip(b), doubt(a), doubt(b)), "a", "b")
+    kept = ["empty", "doubt_a", "doubt_b", *[f"{c}_b" for c in names]]
+    for side in "ab":
+        graded_side = graded(rows.withColumns({c: F.col(f"{c}_{side}") for c in names}), *kept)
+        rows = graded_side.select("doc_id", *kept, *[F.col(c).alias(f"{c}_{side}_") for c in ("label", "gibberish", "non_wordlike")])
+        kept = [*kept[:3], *[f"{c}_a_" for c in ("label", "gibberish", "non_wordlike")]]
     rank = lambda c: F.when(F.col(c) == "HIGH", 0).when(F.col(c) == "OK", 1).when(F.col(c) == "RISKY", 2).otherwise(3)
-    doubt = lambda c: F.regexp_count(c, F.lit(r"\?|\[…\]"))
     reason = (
-        F.when(F.length(T.strip("b")) == 0, "empty").when(rank("label_b") > rank("label_a") + 1, "degraded")
-        .when(F.col("gibberish_b") > F.col("gibberish_a") + 0.10, "gibberish")
-        .when((doubt("a") > 0) & (doubt("b") == 0) & (F.col("non_wordlike_b") > F.col("non_wordlike_a")), "doubt_removed").otherwise("accepted")
+        F.when(F.col("empty"), "empty").when(rank("label_b_") > rank("label_a_") + 1, "degraded")
+        .when(F.col("gibberish_b_") > F.col("gibberish_a_") + 0.10, "gibberish")
+        .when((F.col("doubt_a") > 0) & (F.col("doubt_b") == 0) & (F.col("non_wordlike_b_") > F.col("non_wordlike_a_")), "doubt_removed").otherwise("accepted")
     )
-    return both.join(report("a"), "doc_id").join(report("b"), "doc_id").select("doc_id", reason.alias("reason"))
+    return rows.select("doc_id", reason.alias("reason"))
 
 
 REPORT_B = REPORT_SQL.replace(DOCS, "docs AS (SELECT doc_id, lang, source, replace(regexp_replace(coalesce(text, ''), '[#*$%&|]+', '', 'g'), 'rn', 'm') AS text FROM documents)")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import constants as C
 from palimpsest.functions import text as T
+from palimpsest.functions import tokens as K
 from palimpsest.plans import sql as Q
 from palimpsest.registry import register
 
@@ -154,24 +155,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if len(df.inputFiles()) >= cores else df.repartition(cores)
 
 
-def token_signals(docs: DataFrame) -> DataFrame:
-    """Counts per text over its exploded tokens: all, marked as uncertain, of three signs and more, and of these unlike words."""
-    w = F.col("w")
-    rows = docs.select("doc_id", F.explode(T.tokens("text")).alias("w")).select("doc_id", "w", (F.length(w) >= 3).alias("long"))
-    rows = rows.select("doc_id", "long", (F.col("long") & (T.non_wordlike(w) > 0.45)).alias("bad"), (w.contains("?") | w.contains("…") | w.contains("[")).alias("odd"))
-    count = lambda c: F.count(F.when(F.col(c), 1)).cast("int").alias(c)
-    return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("token_count"), count("long"), count("bad"), count("odd"))
-
-
-def line_signals(docs: DataFrame) -> DataFrame:
-    """Counts per text over its exploded lines: all, and those that start, break or end in fragments."""
-    rows = docs.select("doc_id", F.explode(T.lines("text")).alias("line")).select("doc_id", "line", T.tokens("line").alias("t"))
-    lead, trail = T.leading_fragment(F.col("line")), T.trailing_break(F.col("line"))
-    rows = rows.select("doc_id", lead.alias("lead"), (lead | trail).alias("seam"), T.trailing_fragment(F.col("line")).alias("trail"))
-    count = lambda c: F.count(F.when(F.col(c), 1)).alias(c)
-    return rows.groupBy("doc_id").agg(F.count("*").cast("int").alias("line_count"), count("lead"), count("seam"), count("trail"))
-
-
 def entropies(docs: DataFrame) -> DataFrame:
     """Bits of the distribution of lower-cased characters, from the count of each."""
     chars = docs.select("doc_id", F.length("text").alias("size"), F.explode(F.split(F.lower("text"), "")).alias("c")).where("c <> ''")
@@ -180,21 +163,16 @@ def entropies(docs: DataFrame) -> DataFrame:
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    """The quality record of each text: signals, label and gates (empty texts are UNRELIABLE).
-
-    Tokens, lines and characters are exploded once each and counted per text
-    before they are shuffled; the counts meet on doc_id.
-    """
-    docs = spread(docs.select("doc_id", "text"))
-    text = F.col("text")
-    base = docs.select("doc_id", T.rare_bigram_ratio(text).alias("rare"), T.uncertainty_density(text).alias("unc"))
-    for part in (token_signals(docs), line_signals(docs), entropies(docs)):
-        base = base.join(part, "doc_id", "left")
-    base = base.na.fill(0)
+    """The quality record of each text: signals, label and gates (empty texts are UNRELIABLE)."""
+    return graded(K.by_text(spread(docs.select("doc_id", "text")), K.SIGNALS, K.signals, "text"))
+
+
+def graded(base: DataFrame, *kept: str) -> DataFrame:
+    """The quality records of the signals of texts, with the columns that are to be kept."""
     bad = T.share(F.col("bad").cast("double"), F.col("long"))
     of_lines = lambda c: F.round(T.share(F.col(c).cast("double"), F.col("line_count")), 4)
     signals = base.select(
-        "doc_id", "line_count", "token_count",
+        "doc_id", *kept, "line_count", "token_count",
         F.round("entropy", 4).alias("char_entropy"),
         F.round(bad, 4).alias("non_wordlike"),
         F.round("rare", 4).alias("rare_bigrams"),

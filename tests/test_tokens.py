@@ -99,6 +99,6 @@ def test_marked_passes(a, b, want):
     assert K.marked(a, b) == want
 
 
-@pytest.mark.parametrize("name", ["X2_uncertainty_markers"])
+@pytest.mark.parametrize("name", ["P8_proofread_guard", "T45_quality_report", "X2_uncertainty_markers"])
 def test_reports_shuffle_no_tokens(spark, sf, name):
     assert shuffles(registry.queries()[name](spark, sf)) == 0
