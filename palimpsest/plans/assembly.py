@@ -23,9 +23,11 @@ lit = lambda values: F.array(*[F.lit(v) for v in values])
 # ---- sinks: two batches appended, the table read back (S25, S29-S34, S43) ----------------------
 
 
-def sink(name: str, rows, sql: str, kind: str, as_json: bool = False) -> None:
+def sink(name: str, rows, sql: str, kind: str, as_json: bool = False, once: bool = False) -> None:
+    """``once``: rows that cost more to make than to write are made once, and both batches are read from a table of them."""
+
     def query(s, d) -> DataFrame:
-        table = rows(s, d)
+        table = S.appended([rows(s, d)], f"{kind}-made") if once else rows(s, d)
         first = F.pmod(F.xxhash64(*table.columns), F.lit(2)) == 0
         return S.appended([table.where(first), table.where(~first)], kind, as_json)
 
@@ -39,7 +41,7 @@ sink(
     f"WITH {C_SQL} SELECT mention_id, (row_number() OVER (PARTITION BY mention_id ORDER BY cand_key) - 1)::INT AS attempt_idx, label AS candidate, score, CASE WHEN score >= 0.85e0 THEN 'ACCEPT' ELSE 'REJECT' END AS outcome FROM candidates",
     "attempts",
 )
-sink("S30_insert_quality_report", lambda s, d: quality_report(documents(s, d)).select(F.col("doc_id").alias("run_id"), "label", "gibberish", "non_wordlike", "allowed"), f"WITH {REPORT_SQL} SELECT doc_id AS run_id, label, gibberish, non_wordlike, allowed FROM report", "reports")
+sink("S30_insert_quality_report", lambda s, d: quality_report(documents(s, d)).select(F.col("doc_id").alias("run_id"), "label", "gibberish", "non_wordlike", "allowed"), f"WITH {REPORT_SQL} SELECT doc_id AS run_id, label, gibberish, non_wordlike, allowed FROM report", "reports", once=True)
 sink("S31_insert_tile_audit", lambda s, d: boxes(s, d).select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("box_id")) - 1).alias("tile_idx"), "x1", "y1", "x2", "y2"), f"WITH {B_SQL} SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY box_id) - 1)::INT AS tile_idx, x1, y1, x2, y2 FROM boxes", "tiles")
 sink("S32_insert_ocr_attempt", lambda s, d: events(s, d).select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "id")) - 1).alias("attempt_idx"), F.col("stage").alias("strategy"), (F.col("event") == "END").alias("gates_passed")), f"WITH {E_SQL} SELECT run_id, (row_number() OVER (PARTITION BY run_id ORDER BY ts, id) - 1)::INT AS attempt_idx, stage AS strategy, event = 'END' AS gates_passed FROM ev", "ocr-attempts")
 sink("S33_insert_backend_results", lambda s, d: candidates(s, d).select("run_id", "mention_id", F.col("source").alias("backend_name"), F.col("score").alias("confidence"), (F.col("score") == F.max("score").over(Window.partitionBy("mention_id"))).alias("selected")), f"WITH {C_SQL} SELECT run_id, mention_id, source AS backend_name, score AS confidence, score = max(score) OVER (PARTITION BY mention_id) AS selected FROM candidates", "backend-results")

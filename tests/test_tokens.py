@@ -102,3 +102,12 @@ def test_marked_passes(a, b, want):
 @pytest.mark.parametrize("name", ["P8_proofread_guard", "T45_quality_report", "X2_uncertainty_markers"])
 def test_reports_shuffle_no_tokens(spark, sf, name):
     assert shuffles(registry.queries()[name](spark, sf)) == 0
+
+
+def test_reports_are_made_once(spark, sf, monkeypatch):
+    from palimpsest.operators import store
+
+    plans, write = [], store.append_parquet
+    monkeypatch.setattr(store, "append_parquet", lambda rows, path: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, path)))
+    assert registry.queries()["S30_insert_quality_report"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert sum("MapInArrow" in p for p in plans) == 1
