@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -47,6 +48,24 @@ def fallback(a: str, b: str) -> float:
     return max(jaro_winkler(a, b), difflib.SequenceMatcher(None, a, b).ratio())
 
 
+CONFUSED = str.maketrans("il1uvce", "IIIUUCC")
+
+
+@lru_cache(1 << 16)
+def confusion_bigrams(token: str) -> tuple[str, frozenset]:
+    """A token with signs that are misread for each other made alike, and its bigrams."""
+    alike = token.lower().replace("rn", "m").translate(CONFUSED)
+    return alike, frozenset(alike[i : i + 2] for i in range(len(alike) - 1))
+
+
+def ocr_aware(a: str, b: str) -> float:
+    """1 if both are alike but for misread signs, else the Dice share of their bigrams."""
+    (one, x), (other, y) = confusion_bigrams(a), confusion_bigrams(b)
+    if one == other:
+        return 1.0
+    return 2.0 * len(x & y) / (len(x) + len(y)) if x and y else 0.0
+
+
 def folded(text: str) -> str:
     """Compatibility forms composed, long s and special spaces folded, bracketed gaps dropped, white space collapsed."""
     text = unicodedata.normalize("NFKC", text or "").replace("ſ", "s")
@@ -78,7 +97,7 @@ def _strings(function):
 
 
 def udfs() -> dict:
-    return {"jaro": _pairs(jaro), "jaro_whole": _pairs(lambda a, b: jaro(a, b, whole=True)), "jaro_winkler": _pairs(jaro_winkler), "string_similarity": _pairs(fallback), "normalize_unicode": _strings(folded), "normalise_surface": _strings(bare)}
+    return {"ocr_aware": _pairs(ocr_aware), "jaro": _pairs(jaro), "jaro_whole": _pairs(lambda a, b: jaro(a, b, whole=True)), "jaro_winkler": _pairs(jaro_winkler), "string_similarity": _pairs(fallback), "normalize_unicode": _strings(folded), "normalise_surface": _strings(bare)}
 
 
 def register(spark) -> None:

@@ -32,9 +32,9 @@ def q_plain(x: str) -> str:
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
     """Distinct neighbours in a text."""
-    toks = T.tokens(plain(F.col("text")))
-    both = F.arrays_zip(F.slice(toks, 1, F.greatest(F.size(toks) - 1, F.lit(0))).alias("a"), F.slice(toks, 2, F.greatest(F.size(toks) - 1, F.lit(0))).alias("b"))
-    return documents(spark, d).where(F.size(toks) >= 2).select(F.explode(both).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
+    rows = spread(documents(spark, d).select("text")).select(T.tokens(plain(F.col("text"))).alias("w")).where(F.size("w") >= 2)
+    both = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("a"), F.slice("w", F.lit(2), F.size("w") - 1).alias("b"))
+    return rows.select(F.explode(both).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).distinct()
 
 
 PAIRS = f"{DOCS}, l AS (SELECT {Q.tokens(q_plain('text'))} AS w FROM docs), pairs AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b FROM (SELECT w, unnest(range(1, len(w))) AS i FROM l))"
@@ -45,7 +45,7 @@ def per_pair(name: str, column: Callable[[Column, Column], Column], expression:
 
 
 per_pair("T14_bigram_overlap", lambda a, b: F.round(T.bigram_overlap(a, b), 6), f"round({Q.dice(Q.bigrams('lower(a)'), Q.bigrams('lower(b)'))}, 6)")
-per_pair("T11_ocr_aware_similarity", lambda a, b: F.round(F.when(T.confusion_folded(a) == T.confusion_folded(b), 1.0).otherwise(T.set_dice(T.character_bigrams(T.confusion_folded(a)), T.character_bigrams(T.confusion_folded(b)))), 6), f"round(CASE WHEN {Q.folded('a')} = {Q.folded('b')} THEN 1e0 ELSE {Q.dice(Q.bigrams(Q.folded('a')), Q.bigrams(Q.folded('b')))} END, 6)")
+per_pair("T11_ocr_aware_similarity", lambda a, b: F.round(similarity.udfs()["ocr_aware"](a, b), 6), f"round(CASE WHEN {Q.folded('a')} = {Q.folded('b')} THEN 1e0 ELSE {Q.dice(Q.bigrams(Q.folded('a')), Q.bigrams(Q.folded('b')))} END, 6)")
 per_pair("T15_T18_normalized_edit_distance", lambda a, b: F.round(T.normalized_edit_distance(a, b), 6), f"round({Q.edit_distance('a', 'b')}, 6)", "distance")
 per_pair("T16_levenshtein_similarity", lambda a, b: F.round(1 - T.normalized_edit_distance(a, b), 6), f"round(1 - {Q.edit_distance('a', 'b')}, 6)")
 per_pair("T19_T20_levenshtein", lambda a, b: F.levenshtein(a, b), "levenshtein(a, b)::INT", "distance")

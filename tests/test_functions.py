@@ -215,3 +215,17 @@ def test_search_takes_queries_in_blocks(spark, monkeypatch):
     for size in (1000, 2):
         monkeypatch.setattr(retrieval, "QUERY_BLOCK", size)
         assert {(r["query_id"], r["vec_id"]) for r in retrieval.search(table, queries, 4).collect()} == want
+
+
+def test_ocr_aware_as_the_columns_say(spark):
+    words = ["", "a", "rn", "m", "corn", "com", "il1", "III", "uvce", "modern", "modem", "Ernest", "~x", "aaa", "aa", "ice", "lce", "1CC"]
+    a, b = F.col("a"), F.col("b")
+    want = F.when(T.confusion_folded(a) == T.confusion_folded(b), 1.0).otherwise(T.set_dice(T.character_bigrams(T.confusion_folded(a)), T.character_bigrams(T.confusion_folded(b))))
+    got = spark.createDataFrame([(x, y) for x in words for y in words], "a string, b string").select("a", "b", want.alias("want"), similarity.udfs()["ocr_aware"]("a", "b").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_pairs_are_compared_without_lambdas(spark, sf):
+    from palimpsest import registry
+
+    assert "transform(" not in registry.queries()["T11_ocr_aware_similarity"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
