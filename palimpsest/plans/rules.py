@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -493,18 +495,28 @@ labelled = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(command(
 q_labelled = lambda x: rf"regexp_replace(regexp_replace(regexp_replace({x}, '\bembelished\b', 'embellished', 'g'), '\blabels\b', 'label', 'g'), '\bregions\b', 'region', 'g')"
 
 
+def label_name(label: str) -> str:
+    """What :func:`labelled` makes of a label (of ASCII)."""
+    name = re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", label.strip().lower().replace("4", "a")))
+    for old, new in (("embelished", "embellished"), ("labels", "label"), ("regions", "region")):
+        name = re.sub(rf"\b{old}\b", new, name)
+    return name
+
+
 def best_labels(s, d):
     """For every prompt the label with most points, the first of equals: 100 if it is named whole, 10 for each word of it, more for initials."""
-    rows = read(s, d, "conversations").select("conv_id", "turn", labelled(asked()).alias("prompt"))
+    rows = spread(read(s, d, "conversations").select("conv_id", "turn", "text")).select("conv_id", "turn", labelled(asked()).alias("prompt"))
     prompt = F.col("prompt")
 
-    def points(name: Column, i: Column) -> Column:
-        words = F.filter(F.split(name, " "), lambda w: (F.length(w) >= 3) & prompt.contains(w))
-        both = lambda w: prompt.contains(w) & name.contains(w)
-        n = F.when(prompt.contains(name), 100).otherwise(0) + 10 * F.size(words) + F.when(both("embellished"), 50).otherwise(0) + F.when(both("initial"), 30).otherwise(0)
-        return F.struct(n.alias("n"), (-i).alias("i"))
+    def points(i: int, name: str) -> Column:
+        one = lambda hit, n: F.when(hit, n).otherwise(0)
+        n = one(prompt.contains(name), 100)
+        for word, worth in [*((w, 10) for w in name.split(" ") if len(w) >= 3), *((w, k) for w, k in (("embellished", 50), ("initial", 30)) if w in name)]:
+            n = n + one(prompt.contains(word), worth)
+        return F.struct(n.alias("n"), F.lit(-i).alias("i"))
 
-    best = F.array_max(F.transform(F.transform(lit(LABELS), labelled), points))
+    # The names of the labels are told once, not for every prompt.
+    best = F.array_max(F.array(*[points(i, label_name(x)) for i, x in enumerate(LABELS)]))
     rows = rows.select("conv_id", "turn", best.alias("best")).where("best.n > 0")
     return rows.select("conv_id", "turn", F.element_at(lit(LABELS), 1 - F.col("best.i")).alias("label"), F.col("best.n").alias("points"))
 

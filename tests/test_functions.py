@@ -225,6 +225,21 @@ def test_ocr_aware_as_the_columns_say(spark):
     assert [r["got"] for r in got] == [r["want"] for r in got]
 
 
+def test_label_names_as_the_column_says(spark):
+    from palimpsest.plans import rules
+
+    labels = [*rules.LABELS, "embelished  Labels-4", " Regions_embelished "]
+    got = spark.createDataFrame([(x,) for x in labels], "x string").select(rules.labelled(F.col("x")).alias("n")).collect()
+    assert [r["n"] for r in got] == [rules.label_name(x) for x in labels]
+
+
+def test_label_names_are_no_work_of_a_row(spark, sf):
+    from palimpsest import registry
+
+    plan = registry.queries()["C10_best_label"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
+
+
 def test_pairs_are_compared_without_lambdas(spark, sf):
     from palimpsest import registry
 
