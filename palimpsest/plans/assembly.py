@@ -251,10 +251,13 @@ register("R8_curated_run", curated_run, f"WITH {q_curated()}, {CHUNKS.removepref
 
 
 def consolidated(s, d) -> DataFrame:
-    """Per run: decisions by status, the three surest accepted surfaces, links by source, and whether the audit holds."""
+    """Per run: decisions by status, the three surest accepted surfaces, links by source, and whether the audit holds.
+
+    A mention_id can occur twice; of such equals the first surface by its letters comes first, whatever the order of the rows.
+    """
     dec = decisions(s, d)
     by_status = dec.groupBy("run_id", "status").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "status", "n"))), " ").alias("extraction"))
-    best = dec.where("status = 'ACCEPT_LINKABLE'").withColumn("r", F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("confidence").desc(), "mention_id"))).where("r <= 3")
+    best = dec.where("status = 'ACCEPT_LINKABLE'").withColumn("r", F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("confidence").desc(), "mention_id", "surface"))).where("r <= 3")
     top = best.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "surface"))), lambda x: x["surface"]), ",").alias("top"))
     links = candidates(s, d).where("compatible AND score >= 0.85").groupBy("run_id", "source").agg(F.count("*").alias("n")).groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source", "n"))), " ").alias("linking"))
     audit = dec.groupBy("run_id").agg((F.count("*") == F.countDistinct("mention_id")).alias("unique"), F.bool_and(F.col("surface") != "").alias("named"))

@@ -1,5 +1,7 @@
 """Queries over all rows reach all rows."""
 
+from pyspark.sql import functions as F
+
 from palimpsest import registry
 
 
@@ -19,3 +21,15 @@ def test_each_query_vector_has_its_neighbours(spark, sf):
 def test_signatures_are_whole(spark, sf):
     got = {r["doc_id"]: r["signature"] for r in registry.queries()["T58_repeat_signature"](spark, sf).collect()}
     assert max(map(len, got.values())) > 1000 and any(" " in x for x in got.values())
+
+
+def test_equal_mentions_come_in_one_order(spark, sf, tmp_path):
+    lines, parts = spark.read.parquet(f"{sf}/lineitem.parquet"), spark.read.parquet(f"{sf}/part.parquet")
+    one = lines.limit(1).withColumns({"l_orderkey": F.lit(1).cast("long"), "l_discount": F.lit(0.09)})
+    both = [one.withColumn("l_suppkey", F.lit(k).cast("long")) for k in (6, 38)]
+    got = []
+    for name, (a, b) in (("up", both), ("down", both[::-1])):
+        a.unionByName(b).coalesce(1).write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        parts.write.parquet(f"{tmp_path}/{name}/part.parquet")
+        got += registry.queries()["R7_consolidated_report"](spark, f"{tmp_path}/{name}").collect()
+    assert [r["report"].split("\n")[1] for r in got] == ["top: S38,S6"] * 2
