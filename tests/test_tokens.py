@@ -111,3 +111,11 @@ def test_reports_are_made_once(spark, sf, monkeypatch):
     monkeypatch.setattr(store, "append_parquet", lambda rows, path: (plans.append(rows._jdf.queryExecution().optimizedPlan().toString()), write(rows, path)))
     assert registry.queries()["S30_insert_quality_report"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert sum("MapInArrow" in p for p in plans) == 1
+
+
+def test_works_are_the_first_that_is_near():
+    words = [*ODD, *K.C.COMMON_WORDS, *N.X.SALVAGE_WORKS, "lancelott", "artur", "arthurs", "merlyn", "graa", "graals", "percevol", "xyzzy"]
+    near = lambda t, x: t == x or (len(t) >= 5 and N.distance(t, x) <= 0.25 and N.overlap(t, x) >= 0.40)
+    for t in map(str.lower, words):
+        want = None if len(t) < 4 or t in N.COMMON else next((N.distance(t, x) for x in N.X.SALVAGE_WORKS if near(t, x)), None)
+        assert N.work(t) == want
