@@ -134,7 +134,7 @@ def per_page(rows: DataFrame, order: list, run: Callable[..., list[tuple]], sche
     """
     ordered = rows.withColumn("_place", F.row_number().over(Window.partitionBy("page_id").orderBy(*(order or ["page_id"]))))
     names = [x.split()[0] for x in schema.split(", ")]
-    types = [{"long": pa.int64(), "int": pa.int32()}[x.split()[1]] for x in schema.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 
     def emit(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)

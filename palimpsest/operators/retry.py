@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+import math
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,21 +63,113 @@ def seam_bands(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     return tiles.withColumn("all_thin", others).where(~F.col("thin") | F.col("all_thin")).select("page_id", "box_id", "x1", "y1", "x2", "y2")
 
 
-def retry_strategies(pages: DataFrame, boxes: DataFrame, expand: float = 0.22) -> DataFrame:
-    """(page_id, strategy, signature, tiles): the first of grid shift, seam bands and wider overlap that changes the boxes."""
-    before = signatures(boxes).select("page_id", "signature")
-    grids = shifted_grids(pages, before)
-    one = F.count("*").over(Window.partitionBy("page_id")) >= 2
-    bands = seam_bands(pages, boxes).unionByName(grids.drop("grid").join(boxes.withColumn("many", one).where("many").select("page_id").distinct(), "page_id", "left_anti"))
-    wide = boxes.join(pages, "page_id")
-    dx, dy = (F.greatest(F.lit(4), F.floor((F.col(f"{a}2") - F.col(f"{a}1")) * expand)) for a in "xy")
-    wide = wide.select("page_id", "box_id", *G.clip(F.col("x1") - dx, F.col("y1") - dy, F.col("x2") + dx, F.col("y2") + dy, F.col("width"), F.col("height")))
-    found = None
-    for k, (name, plan) in enumerate((("grid_shift", grids.drop("grid")), ("seam_band_crop", bands), ("expand_overlap", wide))):
-        own = signatures(plan).select("page_id", F.lit(k).alias("k"), F.lit(name).alias("strategy"), F.col("signature").alias("own"), "tiles")
-        found = own if found is None else found.unionByName(own)
-    changed = found.join(before, "page_id").where(F.col("own") != F.col("signature"))
-    return changed.groupBy("page_id").agg(F.min_by(F.struct("strategy", "own", "tiles"), "k").alias("p")).select("page_id", "p.strategy", F.col("p.own").alias("signature"), "p.tiles")
+# ---- the same rules on one page: sizes are (width, height), boxes (box_id, x1, y1, x2, y2) -----------
+
+Size = tuple[float, float]
+Box = tuple[int, int, int, int, int]
+#: For null in the rows of ``retry_strategies``.  It bounds nothing, as in the column functions.
+UNKNOWN = -(2**31)
+
+
+def _within(least: int, v: float, top: float) -> float:
+    v = min(v, top)
+    return least if v == math.inf else max(least, v)
+
+
+def clip_box(box_id: int, x1: int, y1: int, x2: int, y2: int, size: Size) -> Box:
+    width, height = size
+    return box_id, _within(0, x1, width - 1), _within(0, y1, height - 1), _within(1, x2, width), _within(1, y2, height)
+
+
+@lru_cache(maxsize=16_384)
+def _grid_spans(side: float, n: int, overlap: float, shift: float) -> list[tuple]:
+    """From where to where the n tiles along a side go; pages share their sides."""
+    step = max(1, math.floor(side / n)) if side < math.inf else 1
+    grown = max(4, math.floor(step * overlap))
+    cuts = [i * step + math.floor(step * shift) for i in range(n)]
+    spans = [(max(0, a - grown) if i else a, min(side, a + step + grown) if i < n - 1 else a + step) for i, a in enumerate(cuts)]
+    return [(_within(0, a, side - 1), _within(1, b, side)) for a, b in spans]
+
+
+def grid_boxes(size: Size, rows: int, cols: int, overlap: float, shift: float = 0.0) -> list[Box]:
+    across, down = _grid_spans(size[0], cols, overlap, 0.0), _grid_spans(size[1], rows, overlap, shift)
+    return [(r * 100 + c, x1, y1, x2, y2) for r, (y1, y2) in enumerate(down) for c, (x1, x2) in enumerate(across)]
+
+
+def wider_boxes(boxes: list[Box], size: Size, expand: float) -> list[Box]:
+    grown = ((i, x1, y1, x2, y2, max(4, math.floor((x2 - x1) * expand)), max(4, math.floor((y2 - y1) * expand))) for i, x1, y1, x2, y2 in boxes)
+    return [clip_box(i, x1 - dx, y1 - dy, x2 + dx, y2 + dy, size) for i, x1, y1, x2, y2, dx, dy in grown]
+
+
+def band_boxes(boxes: list[Box], sizes: list[Size]) -> list[Box]:
+    """What ``seam_bands`` gives for a page."""
+
+    def seams(low: int, high: int) -> list[int]:
+        order = sorted(((b[low] + b[high]) / 2, b[0], b[low], b[high]) for b in boxes)
+        return [(a[3] + b[2]) // 2 for a, b in zip(order, order[1:])]
+
+    def spans(found: list[int], size: float) -> list[tuple]:
+        far: list = []
+        for y in sorted({0, size, *(max(0, s - SEAM) for s in found), *(min(size, s + SEAM) for s in found)}):
+            if not far or y - far[-1] >= LEAST_BAND:
+                far.append(y)
+        return list(zip(far, far[1:] if far[-1] == size else [*far[1:], size]))
+
+    if len(boxes) < 2:
+        return []
+    seams_y, seams_x = seams(2, 4), seams(1, 3)
+    cut = [clip_box(v * 1000 + h, xs[0], ys[0], xs[1], ys[1], size) for size in sizes for v, ys in enumerate(spans(seams_y, size[1])) for h, xs in enumerate(spans(seams_x, size[0]))]
+    tiles = [t for t in cut if (t[3] - t[1]) * (t[4] - t[2]) >= LEAST_AREA]
+    thin = lambda t: t[4] - t[2] < 3 * SEAM and any(t[2] <= s + SEAM and t[4] >= s - SEAM for s in seams_y)
+    return [t for t in tiles if not thin(t)] or tiles
+
+
+def hashed(boxes: list[Box]) -> str:
+    """``signature`` of the boxes."""
+    return hashlib.sha256(";".join(sorted([f"{x1},{y1},{x2},{y2}" for _, x1, y1, x2, y2 in boxes])).encode()).hexdigest()[:16]
+
+
+def attempts(boxes: list[Box], sizes: list[Size], overlap: float, expand: float) -> Iterator[tuple[str, list[Box]]]:
+    """Plans in the order they are tried, each made when it is asked for.
+
+    A page without seams has its shifted grid for bands; that was tried before.
+    """
+    for r, c, shift in [*((r, c, 0.0) for r, c in GRIDS), (3, 1, 0.33)]:
+        yield "grid_shift", [t for size in sizes for t in grid_boxes(size, r, c, overlap, shift)]
+    yield "seam_band_crop", band_boxes(boxes, sizes)
+    yield "expand_overlap", [t for size in sizes for t in wider_boxes(boxes, size, expand)]
+
+
+def first_changed(boxes: list[Box], sizes: list[Size], overlap: float = 0.15, expand: float = 0.22) -> tuple[str, str, int] | None:
+    """(strategy, signature, tiles) of the first plan whose boxes are not those before."""
+    before = hashed(boxes)
+    for strategy, tiles in attempts(boxes, sizes, overlap, expand):
+        if tiles and (own := hashed(tiles)) != before:
+            return strategy, own, len(tiles)
+    return None
+
+
+def retry_strategies(pages: DataFrame, boxes: DataFrame, tiled: Callable[[int, list[Size], list[Box]], list[Box]], overlap: float = 0.15, expand: float = 0.22) -> DataFrame:
+    """(page_id, strategy, signature, tiles): the first of grid shift, seam bands and wider overlap that changes the boxes.
+
+    ``tiled`` says from the id, sizes (one, where page_id is a key) and ``boxes`` of
+    a page what it was tiled by.  A page is shuffled as its size and boxes; tiles,
+    some 80 a page, live only while it is looked at.
+    """
+
+    def run(page_id: int, given: list, ids: list, *sides: list) -> list[tuple]:
+        many = sum(given)
+        sides = [[math.inf if v == UNKNOWN else v for v in side] for side in sides]
+        sizes = list(zip(sides[0][:many], sides[1][:many]))
+        now = tiled(page_id, sizes, list(zip(ids[many:], *(v[many:] for v in sides))))
+        found = first_changed(now, sizes, overlap, expand) if now else None
+        return [(page_id, *found)] if found else []
+
+    none = F.lit(0)
+    sizes = pages.repartition("page_id").select("page_id", F.lit(1).alias("given"), none.cast("long").alias("box_id"), F.col("width").alias("x1"), F.col("height").alias("y1"), none.alias("x2"), none.alias("y2"))
+    rows = sizes.unionByName(boxes.select("page_id", none.alias("given"), "box_id", "x1", "y1", "x2", "y2")).where("page_id IS NOT NULL")
+    rows = rows.fillna(UNKNOWN, ["box_id", "x1", "y1", "x2", "y2"])
+    return G.per_page(rows, [F.desc("given")], run, "page_id long, strategy string, signature string, tiles long")
 
 
 def same_boxes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -12,14 +12,14 @@ from palimpsest.registry import register
 NAMES = ["Main script black", "MarginTextZone", "NumberingZone", "GraphicZone", "Music", "DropCapitalZone", "Embellished", "Table", "MainZone", "DefaultLine", "Page Number", "Diagram"]
 
 
-def boxes(s, d):
-    """About four boxes a page on a small canvas, so that many overlap.
+def boxes(s, d, of_pages="true"):
+    """About four boxes a page on a small canvas, so that many overlap; ``of_pages``: a condition on ``l_orderkey``.
 
     Dealt by page first: the window on single boxes and all later steps by page then share one shuffle.
     """
     x1, y1 = (F.col("l_partkey") * 7 % 300).cast("int"), (F.col("l_suppkey") * 13 % 300).cast("int")
     name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("l_partkey") % len(NAMES) + 1).cast("int"))
-    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey").select(
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").where(of_pages).repartition("l_orderkey").select(
         F.col("l_orderkey").alias("page_id"), ((F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")) * 100_000 + F.col("l_suppkey")).alias("box_id"),
         x1.alias("x1"), y1.alias("y1"), (x1 + 20 + F.col("l_quantity") * 4).cast("int").alias("x2"), (y1 + 10 + F.col("l_quantity") * 2).cast("int").alias("y2"), name.alias("name"),
         F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").orderBy("l_quantity")).alias("k"),

@@ -24,6 +24,17 @@ def plans_before(s, d) -> DataFrame:
     return made(0, 2, 2).unionByName(made(1, 3, 2)).unionByName(own)
 
 
+def tiled(page_id: int, sizes: list, own: list) -> list:
+    """``plans_before`` of one page."""
+    kind = page_id % 3
+    return [t for z in sizes for t in ([R.clip_box(*b, z) for b in own] if kind == 2 else R.grid_boxes(z, 2 + kind, 2, 0.15))]
+
+
+def retried(s, d) -> DataFrame:
+    """Boxes are read for the pages that were tiled by them."""
+    return R.retry_strategies(pages(s, d), boxes(s, d, F.pmod("l_orderkey", F.lit(3)) == 2), tiled)
+
+
 def q_clip(x1, y1, x2, y2) -> str:
     return f"greatest(0, least({x1}, width - 1))::INT AS x1, greatest(0, least({y1}, height - 1))::INT AS y1, greatest(1, least({x2}, width))::INT AS x2, greatest(1, least({y2}, height))::INT AS y2"
 
@@ -70,7 +81,7 @@ BANDS = (
 register("M11_seam_band_crop", lambda s, d: R.seam_bands(pages(s, d), plans_before(s, d)), f"WITH {BEFORE}, {BANDS} SELECT * FROM bands")
 register(
     "M13_retry_strategy",
-    lambda s, d: R.retry_strategies(pages(s, d), plans_before(s, d)),
+    retried,
     f"WITH {BEFORE}, {SHIFTED}, {BANDS}, single AS (SELECT page_id FROM bef GROUP BY 1 HAVING count(*) < 2), band2 AS (SELECT * FROM bands UNION ALL SELECT page_id, box_id, x1, y1, x2, y2 FROM shifted WHERE page_id IN (SELECT page_id FROM single)), "
     f"wide AS (SELECT page_id, box_id, {q_clip('x1 - dx', 'y1 - dy', 'x2 + dx', 'y2 + dy')} FROM (SELECT *, greatest(4, floor((x2 - x1) * 0.22e0)::INT) AS dx, greatest(4, floor((y2 - y1) * 0.22e0)::INT) AS dy FROM bef JOIN pages USING (page_id))), "
     f"c AS (SELECT page_id, 0 AS k, 'grid_shift' AS strategy, {Q_SIGN} AS own, count(*) AS tiles FROM shifted GROUP BY 1 UNION ALL SELECT page_id, 1, 'seam_band_crop', {Q_SIGN}, count(*) FROM band2 GROUP BY 1 UNION ALL SELECT page_id, 2, 'expand_overlap', {Q_SIGN}, count(*) FROM wide GROUP BY 1) "
